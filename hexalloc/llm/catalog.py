@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, token_counts
+from . import bpe, licenses, quality, token_counts
 
 QUERIES = {
+    "op1_license_scans": licenses.op1_license_scans,
+    "op2_quality_rules": quality.op2_quality_rules,
     "op7_token_counts": token_counts.op7_token_counts,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
