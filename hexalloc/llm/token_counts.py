@@ -88,8 +88,9 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str, kind: str =
     new = wanted.mapInArrow(encode, T.StructType(CACHE_SCHEMA.fields[:2])).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     new.select("digest", "n_tokens", F.lit(version).alias("tokenizer")).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
 
-    counts = read_cache(spark, cache_path, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(counts, "digest", "left").select(F.col("id").alias(id_col), "digest", "n_bytes", "n_tokens")
+    # The cache holds a digest once (one writer at a time), so both sides of the join are plain
+    # exchanges and a hot content can be split.
+    return keyed.join(read_cache(spark, cache_path, version), "digest", "left").select(F.col("id").alias(id_col), "digest", "n_bytes", "n_tokens")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
