@@ -12,8 +12,8 @@ positives against unlabelled text gives density ratios p(x | positive) / p(x), w
 reach 1 / pi where only positives live; the median over positives, each scored by a fit
 that has not seen it, is taken.
 
-The fit is made on the driver from at most ``max_rows`` labelled rows (those of the
-smallest hash of their id; about 250 bytes each come back).  Measures and scores cover
+The fit is made on the driver from about ``max_rows`` labelled rows at most (those with
+the smallest hashes of their ids; about 250 bytes each come back).  Measures and scores cover
 all rows.  Scores are shifted so that an even chance stands at ``THRESHOLD``.
 
 Edge cases: null text is measured as empty and scored like any other; labels that
@@ -201,7 +201,10 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_co
     held = common.materialise(common.map_texts(docs, make, [("x", T.ArrayType(T.DoubleType()))], id_col, text_col), "measures")
     sure = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg(F.min(label_col).alias("low"), F.max(label_col).alias("high")).where("low = high")
     rows = held.join(sure, F.col(id_col) == F.col("l_id")).select("x", (F.col("high") == 1).alias("positive"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col("l_id"))
-    sample = rows.orderBy("h", "l_id").limit(max_rows).toPandas()
+    n = rows.count()
+    if n > max_rows:  # a share of the hashes, so no task sends more than its part
+        rows = rows.where(F.pmod("h", F.lit(1 << 30)) < F.lit(int((1 << 30) * max_rows / n)))
+    sample = rows.toPandas().sort_values(["h", "l_id"], ignore_index=True)
     x = np.array(sample["x"].tolist(), float).reshape(-1, len(NAMES))
     model = spark.sparkContext.broadcast(fit(x, sample["positive"].to_numpy(bool)))
     schema = T.StructType([held.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
