@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, licenses, quality, quality_classifier, token_counts
+from . import bpe, language_id, licenses, near_dups, quality, quality_classifier, token_counts
 
 QUERIES = {
     "op1_license_scans": licenses.op1_license_scans,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op6_language_id": language_id.op6_language_id,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_near_dups": near_dups.op8_near_dups,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 
