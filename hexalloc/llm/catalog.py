@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, licenses, near_dups, quality, quality_classifier, token_counts
+from . import bpe, html_text, language_id, licenses, near_dups, quality, quality_classifier, token_counts
 
 QUERIES = {
     "op1_license_scans": licenses.op1_license_scans,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_near_dups": near_dups.op8_near_dups,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_html_extraction": html_text.op10_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {}
