@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, html_text, language_id, licenses, near_dups, quality, quality_classifier, token_counts
+from . import bpe, decontamination, html_text, language_id, licenses, near_dups, quality, quality_classifier, sharding, token_counts
 
 QUERIES = {
     "op1_license_scans": licenses.op1_license_scans,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_quality_classifier": quality_classifier.op3_quality_classifier,
+    "op4_sharding": sharding.op4_sharding,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_language_id": language_id.op6_language_id,
     "op7_token_counts": token_counts.op7_token_counts,
