@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -195,8 +196,8 @@ class Encoder:
         self.vocabulary = Vocabulary(parse_ranks(ranks))
         self.cut = regex.compile(pattern)
         self.memory = memory
-        #: word: how many ids, the ids in print, the bytes that they decode to
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        #: word: its ids as 32-bit numbers, the ids in print, the bytes that they decode to
+        self.known: dict[str, tuple[bytes, str, bytes]] = {}
 
     def words(self, texts: list[str]) -> list[list[str]]:
         found = [self.cut.findall(t) for t in texts]
@@ -205,12 +206,12 @@ class Encoder:
         new = list(set().union(*found) - self.known.keys()) if found else []
         decode = self.vocabulary.decode
         for w, ids in zip(new, self.vocabulary.replay([w.encode() for w in new])):
-            self.known[w] = len(ids), " ".join(map(str, ids)), decode(ids)
+            self.known[w] = struct.pack(f"<{len(ids)}i", *ids), " ".join(map(str, ids)), decode(ids)
         return found
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         known = self.known
-        return [[int(i) for w in words for i in known[w][1].split()] for words in self.words(texts)]
+        return [np.frombuffer(b"".join([known[w][0] for w in words]), "<i4").tolist() for words in self.words(texts)]
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,8 +245,8 @@ def decode(encoded: DataFrame, rank_path: str, id_col: str = "doc_id", ids_col:
     return encoded.select(id_col, ids_col).mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_tokens, ids_sha256, decoded_sha256``: encoded, decoded and digested in one pass."""
+def digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """``id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids``): encoded, decoded and digested in one pass."""
     with open(rank_path, "rb") as f:
         held = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -253,24 +254,33 @@ def digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id
         e = Encoder(held.value, pattern)
 
         def work(texts):
-            n, ids, back = [], [], []
+            n, printed, back, packed = [], [], [], []
             for words in e.words([t or "" for t in texts.to_pylist()]):
-                counts, printed, decoded = zip(*map(e.known.__getitem__, words)) if words else ((), (), ())
-                n.append(sum(counts))
-                ids.append(hashlib.sha256(" ".join(printed).encode()).hexdigest())
+                ids, shown, decoded = zip(*map(e.known.__getitem__, words)) if words else ((), (), ())
+                ids = b"".join(ids)
+                n.append(len(ids) // 4)
+                printed.append(hashlib.sha256(" ".join(shown).encode()).hexdigest())
                 back.append(hashlib.sha256(b"".join(decoded)).hexdigest())
-            return [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
+                if with_ids:
+                    packed.append(ids)
+            out = [pa.array(n, pa.int64()), pa.array(printed, pa.string()), pa.array(back, pa.string())]
+            if with_ids:
+                flat = np.frombuffer(b"".join(packed), "<i4")
+                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat, pa.int32())))
+            return out
 
         return work
 
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+    if with_ids:
+        fields.append(("ids", T.ArrayType(T.IntegerType())))
     return common.map_texts(docs, make, fields, id_col, text_col)
 
 
-def digest_documents(docs: DataFrame) -> DataFrame:
+def digest_documents(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     import public_tokenizers
 
-    return digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=with_ids)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
