@@ -12,9 +12,11 @@ Steps, each ending in a table of the shared folder:
    are compared exactly.  After a round only buckets that still hold several components
    stay, with other centers.
 4. What is left is settled exactly: in each such bucket, all members outside its largest
-   component are held against all others by their registers, in blocks of bounded size; a
+   component are held against all others, in blocks of bounded size, first by registers; a
    pair that the estimate can't rule out (``MARGIN`` below the threshold, three standard
-   errors) is confirmed on full sets, and no cap is set on how many are.
+   errors) is confirmed on full sets, and no cap is set on how many are.  Blocks of a large
+   bucket hold the sets themselves and give out links only; those of a small one give out
+   pairs, so that few sets move.
 5. Links become components by large-star and small-star rounds over salted joins.
 
 Ids are integers.  Edge cases: a null text or one without words has an empty set, is linked
@@ -34,10 +36,12 @@ from pyspark.sql import types as T
 
 from . import common, sketches
 
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 MARGIN = 0.07
 SALTS = 64
-BLOCK_STRAYS, BLOCK_MEMBERS = 128, 2048
+BLOCK_STRAYS, BLOCK_MEMBERS = 512, 2048
+#: Members of a bucket from which on its blocks hold the sets.
+LARGE = 48
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -150,16 +154,18 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     return out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars around their least nodes: every node has one edge down, or
+    edges up alone."""
+    roles = edges.select(F.col("a").alias("u"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionAll(edges.select(F.col("b").alias("u"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return roles.groupBy("u").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down > 0 and up > 0)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` of all nodes of links ``a, c``: the smallest id that is reachable."""
     edges = materialise(links.select(F.greatest("a", "c").alias("a"), F.least("a", "c").alias("b")).where("a != b").distinct(), "edges")
-    state = None
-    while True:
+    while not settled(edges):
         edges = materialise(star(materialise(star(edges, True), "large"), False), "small")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
     return materialise(edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component").unionAll(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()), "components")
 
 
@@ -168,9 +174,9 @@ def with_components(entries: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def leftover(entries: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs ``a, c`` of different components that share a bucket and that the
-    estimate can't rule out. ``entries`` (``key, id, component``) are of buckets with
-    several components."""
+    """Distinct pairs ``a, c`` of different components that share a bucket, with ``sure``:
+    links already (true), or pairs that the estimate can't rule out. ``entries`` (``key, id,
+    component``) are of buckets with several components."""
     sizes = entries.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", F.negative("component").alias("least"))).alias("m"), F.sum("n").alias("n")).select("key", F.negative("m.least").alias("main"), (F.col("n") - F.col("m.n")).alias("strays"), "n")
     main = materialise(main, "main")
@@ -178,42 +184,48 @@ def leftover(entries: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
     stray_blocks = F.ceil(F.col("strays") / BLOCK_STRAYS).cast("int")
     member_blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
     mine = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    strays = e.where("component != main").select("key", mine(stray_blocks).alias("i"), F.explode(F.sequence(F.lit(0), member_blocks - 1)).alias("j"), F.lit(0).alias("role"), "id", "component")
-    members = e.select("key", F.explode(F.sequence(F.lit(0), stray_blocks - 1)).alias("i"), mine(member_blocks).alias("j"), F.lit(1).alias("role"), "id", "component")
-    rows = strays.unionAll(members).join(payload.select("id", "sketch"), "id").select("key", "i", "j", "role", "id", "component", "sketch")
+    large = (F.col("n") >= LARGE).alias("large")
+    strays = e.where("component != main").select("key", mine(stray_blocks).alias("i"), F.explode(F.sequence(F.lit(0), member_blocks - 1)).alias("j"), F.lit(0).alias("role"), "id", "component", large)
+    members = e.select("key", F.explode(F.sequence(F.lit(0), stray_blocks - 1)).alias("i"), mine(member_blocks).alias("j"), F.lit(1).alias("role"), "id", "component", large)
+    rows = strays.unionAll(members).join(payload, "id").select("key", "i", "j", "role", "id", "component", "sketch", F.when(F.col("large"), F.col("shingles")).alias("shingles"))
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
     least = percent / 100 - MARGIN
 
     def run(batches):
-        key, ids, comps, regs, keys = None, [], [], [], None
-
+        key, ids, comps, regs, sets, keys = None, [], [], [], [], None
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(7)]
-            out_a, out_c = [], []
-            for at, (k, i, j, role, node, comp, sketch) in enumerate(zip(*cols)):
-                mine = np.frombuffer(sketch, np.uint16)
+            cols = [b.column(i).to_pylist() for i in range(6)]
+            out_a, out_c, out_sure = [], [], []
+            for at, (k, i, j, role, node, comp) in enumerate(zip(*cols)):
+                mine = np.frombuffer(b.column(6)[at].as_py(), np.uint16)
+                held = b.column(7)[at].as_py()
+                held = None if held is None else np.frombuffer(held, np.uint64)
                 if key != (k, i, j):
-                    key, ids, comps, regs, keys = (k, i, j), [], [], [], None
+                    key, ids, comps, regs, sets, keys = (k, i, j), [], [], [], [], None
                 if role == 0:
                     ids.append(node)
                     comps.append(comp)
                     regs.append(mine)
+                    sets.append(held)
                 elif len(ids):
                     if keys is None:
                         ids, comps, regs = np.array(ids), np.array(comps), np.array(regs)
                         keys = sketches.band_keys(regs)
-                    near = np.flatnonzero((sketches.estimate(regs, mine[None]) >= least) & (comps != comp))
+                    near = np.flatnonzero(comps != comp)
+                    near = near[sketches.estimate(regs[near], mine[None]) >= least]
                     if len(near):
                         # A pair speaks in the first bucket that it shares.
                         same = keys[near] == sketches.band_keys(mine[None])
-                        first = keys[near][np.arange(len(near)), same.argmax(1)] == k
-                        for s in ids[near[first]].tolist():
-                            out_a.append(max(s, node))
-                            out_c.append(min(s, node))
+                        near = near[keys[near][np.arange(len(near)), same.argmax(1)] == k]
+                    for s in near.tolist():
+                        if held is None or sketches.linked(sets[s], held, percent):
+                            out_a.append(max(int(ids[s]), node))
+                            out_c.append(min(int(ids[s]), node))
+                            out_sure.append(held is not None)
             if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_c, pa.int64())], names=["a", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_c, pa.int64()), pa.array(out_sure)], names=["a", "c", "sure"])
 
-    return rows.mapInArrow(run, "a long, c long").distinct()
+    return rows.mapInArrow(run, "a long, c long, sure boolean").distinct()
 
 
 def group(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = STAR_ROUNDS) -> DataFrame:
@@ -253,8 +265,9 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
         state = with_components(open_entries.select("key", "id"), found)
         several = materialise(state.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key"), "several")
         open_entries = materialise(state.join(several, "key").select("key", "id", "component"), "open")
-    rest = materialise(leftover(open_entries, payload, percent).join(tried, ["a", "c"], "left_anti"), "leftover")
-    found = components(links.unionAll(confirm(rest, payload, percent)))
+    rest = materialise(leftover(open_entries, payload, percent), "leftover")
+    doubtful = rest.where("not sure").select("a", "c").join(tried, ["a", "c"], "left_anti")
+    found = components(links.unionAll(rest.where("sure").select("a", "c")).unionAll(confirm(doubtful, payload, percent)))
 
     of_class = materialise(classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component")), "of_class")
     out = feats.select("id", "n", "class").join(of_class, "class", "left")
