@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from . import common
 
 #: Distinct words that a worker remembers; beyond it the memory is emptied between chunks.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 250_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -242,7 +242,7 @@ def decode(encoded: DataFrame, rank_path: str, id_col: str = "doc_id", ids_col:
                 got = [None if ids is None else b"".join([tokens[i] for i in ids]) for ids in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary())], names=schema.names)
 
-    return encoded.select(id_col, ids_col).mapInArrow(run, schema)
+    return encoded.select(id_col, ids_col).mapInArrow(common.tidied(run), schema)
 
 
 def digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

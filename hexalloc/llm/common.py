@@ -7,12 +7,12 @@ depends on the longest text, never on the number of rows.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,23 +20,38 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .. import deploy
+
 CHUNK_BYTES = 8 << 20
 
-_shipped: set[str] = set()
+#: Rows of an Arrow batch where the session leaves Spark's default of 10,000, which is meant
+#: for numbers: texts of several kilobytes would make batches of tens of megabytes.
+BATCH_ROWS = "2000"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, as --py-files would."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp()) / f"{package.name}_{uuid.uuid4().hex[:8]}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(target))
-    _shipped.add(app)
+    """Make a session ready for Python code over texts."""
+    deploy.ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def tidied(run: Callable) -> Callable:
+    """A function over batches that gives its memory back when it ends: Spark uses a worker for
+    many tasks, and the allocators would keep the most that any of them needed."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not with this C library
+                pass
+
+    return wrapped
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -126,7 +141,7 @@ def map_texts(
                 out = work(cols[text_col])
                 yield pa.RecordBatch.from_arrays([*(cols[k] for k in keep), *(pa.array(x) if isinstance(x, np.ndarray) else x for x in out)], names=schema.names)
 
-    return docs.select(*keep, text_col).mapInArrow(run, schema)
+    return docs.select(*keep, text_col).mapInArrow(tidied(run), schema)
 
 
 def filter_texts(docs: DataFrame, make: Callable[[], Callable[[pa.Array], np.ndarray]], text_col: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
@@ -139,7 +154,7 @@ def filter_texts(docs: DataFrame, make: Callable[[], Callable[[pa.Array], np.nda
             for b in chunks(whole, text_col, limit):
                 yield b.filter(pa.array(np.asarray(work(b.column(b.schema.get_field_index(text_col))), dtype=bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

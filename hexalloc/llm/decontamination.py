@@ -247,7 +247,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id:
                 for b in common.chunks(whole, text_col):
                     yield search_batch(b, text_col, held.value)
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(common.tidied(run), schema)
     return out
 
 

@@ -46,7 +46,7 @@ LETTER = re.compile(r"[^\W\d_]")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 4 << 20
 #: Words that a worker remembers between chunks, and words scored at a time.
-MEMORY_WORDS, BLOCK = 300_000, 30_000
+MEMORY_WORDS, BLOCK = 200_000, 30_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -237,7 +237,7 @@ def fit(docs: DataFrame, vocabulary: list[str], lang_col: str = "lang", text_col
 
     known = docs.where(F.col(lang_col).isNotNull()).select(lang_col, text_col)
     # Rounded to whole units of 1e-6, so that sums don't depend on the order of tasks.
-    got = known.mapInArrow(run, schema).groupBy("lang", "piece").agg(F.sum(F.round(F.col("amount") * 1e6).cast("long")).alias("amount")).collect()
+    got = known.mapInArrow(common.tidied(run), schema).groupBy("lang", "piece").agg(F.sum(F.round(F.col("amount") * 1e6).cast("long")).alias("amount")).collect()
     # No more rows come back than languages x pieces of the fixed vocabulary.
     languages = sorted({r.lang for r in got})
     if len(languages) > MAX_LANGUAGES:

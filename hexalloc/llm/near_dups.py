@@ -82,7 +82,7 @@ def bands(reps: DataFrame) -> DataFrame:
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, keys.shape[1]))], names=["key", "id"])
 
-    return reps.select("id", "sketch").mapInArrow(run, "key long, id long")
+    return reps.select("id", "sketch").mapInArrow(common.tidied(run), "key long, id long")
 
 
 def payloads(docs: DataFrame, active: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -106,7 +106,7 @@ def payloads(docs: DataFrame, active: DataFrame, size: int, id_col: str, text_co
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], names=schema.names)
 
-    return wanted.mapInArrow(run, schema)
+    return wanted.mapInArrow(common.tidied(run), schema)
 
 
 def confirm(pairs: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
@@ -134,7 +134,7 @@ def confirm(pairs: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_c, pa.int64())], names=["a", "c"])
 
-    return rows.mapInArrow(run, "a long, c long")
+    return rows.mapInArrow(common.tidied(run), "a long, c long")
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -225,7 +225,7 @@ def leftover(entries: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_c, pa.int64()), pa.array(out_sure)], names=["a", "c", "sure"])
 
-    return rows.mapInArrow(run, "a long, c long, sure boolean").distinct()
+    return rows.mapInArrow(common.tidied(run), "a long, c long, sure boolean").distinct()
 
 
 def group(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = STAR_ROUNDS) -> DataFrame:

@@ -162,7 +162,7 @@ def fit_references(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.binary()), pa.array([0] * len(out), pa.int64())], names=row.names)
 
     # At most 2 / share words for each language and task; their union is a small table.
-    words = sorted(bytes(r.word) for r in known.mapInArrow(candidates, row).select("word").distinct().collect())
+    words = sorted(bytes(r.word) for r in known.mapInArrow(common.tidied(candidates), row).select("word").distinct().collect())
     held = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
     def count(batches):
@@ -182,7 +182,7 @@ def fit_references(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.int64()), pa.array(s[some], pa.int64())], names=["lang", "bin", "n"])
 
     bins = T.StructType([T.StructField("lang", T.StringType()), T.StructField("bin", T.LongType()), T.StructField("n", T.LongType())])
-    got = known.mapInArrow(count, bins).groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
+    got = known.mapInArrow(common.tidied(count), bins).groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.lang for r in got})
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES}")

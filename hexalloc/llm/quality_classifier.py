@@ -215,7 +215,7 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_co
                 s = model.value.scores(b.column(1).flatten().to_numpy().reshape(-1, len(NAMES)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=schema.names)
 
-    return held.select(id_col, "x").mapInArrow(score, schema)
+    return held.select(id_col, "x").mapInArrow(common.tidied(score), schema)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import xxhash
 BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 200_000
 
 _rng = np.random.default_rng(20240607)
 _MULTIPLIERS = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -85,7 +85,7 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str, kind: str =
                 n = count(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
 
-    new = wanted.mapInArrow(encode, T.StructType(CACHE_SCHEMA.fields[:2])).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    new = wanted.mapInArrow(common.tidied(encode), T.StructType(CACHE_SCHEMA.fields[:2])).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     new.select("digest", "n_tokens", F.lit(version).alias("tokenizer")).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
 
     # The cache holds a digest once (one writer at a time), so both sides of the join are plain
