@@ -7,9 +7,10 @@ for characters and for words, and is rejected if even its nearest language is to
 Guards: the character test needs ``MIN_CHARS`` characters and the word test
 ``MIN_WORDS`` words; a shorter text is not judged by it.
 
-References cover all documents.  Common words are found exactly in two passes: a word
-with a share in the corpus has that share in at least one task's part, so tasks first
-name candidates and then count them; neither pass sends a row for each word.
+References cover all documents.  Common words are found exactly in two passes.  Tasks
+read their rows in parts; a word with a share in the corpus has that share in at least one
+part, or in all small parts together.  So tasks first name the common words of their parts
+(and the counts of parts too small to tell), and then count what was named.
 
 Edge cases: a null text has no words and fails the base rule; rows without a language
 take part in no reference but are judged; with no reference at all (no language is
@@ -35,6 +36,8 @@ SHARE = 0.002
 MIN_CHARS, MIN_WORDS = 200, 50
 #: Farthest distance from the nearest reference at which a text is kept.
 MAX_CHARS, MAX_WORDS = 0.30, 0.50
+#: Distinct words that end a part, and words below which a part is small.
+PART_WORDS, SMALL_PART = 200_000, 20_000
 #: Languages that a corpus may have; more is an error, not a cut.
 MAX_LANGUAGES = 2000
 
@@ -136,33 +139,38 @@ def fit_references(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     spark = docs.sparkSession
     common.ship(spark)
     known = docs.where(F.col(lang_col).isNotNull()).select(lang_col, text_col)
-    row = T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])
+    row = T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("whole", T.BooleanType())])
 
     def candidates(batches):
         seen: dict[str, Counter] = {}
         total: Counter = Counter()
-        for whole in batches:
-            for b in common.chunks(whole, text_col):
+
+        def part(lang, whole):
+            """Ends a part of a language: its common words, or all counts of a small one."""
+            c, n = seen.pop(lang), total.pop(lang)
+            out = [(w, k) for w, k in c.items() if not whole or k >= share * n]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), pa.array([w for w, _ in out], pa.binary()), pa.array([k for _, k in out], pa.int64()), pa.array([whole] * len(out))], names=row.names)
+
+        for batch in batches:
+            for b in common.chunks(batch, text_col):
                 raw, off = common.flat(b.column(1))
                 raw, off = raw.tobytes(), off.tolist()
                 for lang, a, z in zip(b.column(0).to_pylist(), off, off[1:]):
                     w = plain_words(raw[a:z])
                     seen.setdefault(lang, Counter()).update(w)
                     total[lang] += len(w)
-                # Space saving: what has under half the share so far may go, with its count held
-                # against it: a word's error stays below half the share of what has been read.
-                for lang, c in seen.items():
-                    if len(c) > 200_000:
-                        least = share * total[lang] / 4
-                        drop = [w for w, n in c.items() if n < least]
-                        for w in drop:
-                            del c[w]
-        out = [(lang, w) for lang, c in seen.items() for w, n in c.items() if n >= share * total[lang] / 2]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.binary()), pa.array([0] * len(out), pa.int64())], names=row.names)
-
-    # At most 2 / share words for each language and task; their union is a small table.
-    words = sorted(bytes(r.word) for r in known.mapInArrow(common.tidied(candidates), row).select("word").distinct().collect())
+                for lang in [x for x, c in seen.items() if len(c) > PART_WORDS]:
+                    yield from part(lang, True)
+        for lang in list(seen):
+            yield from part(lang, total[lang] >= SMALL_PART)
+
+    # Written down, as two queries read it: at most 1 / share words of a part, or SMALL_PART.
+    named = common.materialise(known.mapInArrow(common.tidied(candidates), row), "candidates")
+    small = named.where("not whole").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    totals = named.where("not whole").groupBy("lang").agg(F.sum("n").alias("t"))
+    small = small.join(totals, "lang").where(F.col("n") >= share * F.col("t")).select("word")
+    words = sorted(bytes(r.word) for r in named.where("whole").select("word").unionAll(small).distinct().collect())
     held = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
     def count(batches):
