@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric, ranks
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation as an aggregate; null where a side is constant (a plain ``corr`` divides
+    by zero there)."""
+    sa, sb = F.stddev_pop(a), F.stddev_pop(b)
+    return F.when((sa > 0) & (sb > 0), F.covar_pop(a, b) / (sa * sb))
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row ``rho``, over rows that have both values; null where a side is constant."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
     both = ranks.with_ranks(ranks.with_ranks(both, a, mid="__a"), b, mid="__b")
-    return both.agg(F.corr("__a", "__b").alias("rho"))
+    return both.agg(correlation("__a", "__b").alias("rho"))
 
 
 def kendall(df: DataFrame, a: str, b: str, groups: list[str] = ()) -> DataFrame:
