@@ -60,14 +60,18 @@ def pick(values: list[int], at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), at + 1)
 
 
-def propagate(state: DataFrame, quota: list[int], rows: int) -> tuple[DataFrame, int]:
+def propagate(state: DataFrame, quota: list[int], rows: int, turn: int = 0) -> tuple[DataFrame, int]:
     """One round over ``rid, h, text_key, members, shard``; also how many documents moved."""
     shards = len(quota)
     largest = max(quota)
     linked = state.where("members > 1")
+    # Shards that could admit anyone; another counts half unless a text fills it itself.
+    loose, size = by_shard(state.where("members = 1"), "shard", shards), by_shard(state, "shard", shards)
+    can = F.element_at(F.array(*(F.lit(loose[s] + quota[s] - size[s] > 0) for s in range(shards))), F.col("shard") + 1)
+    weight = F.when(can | (F.col("n") * 2 >= largest), F.col("n").cast("double")).otherwise(F.col("n") * 0.49)
     held = linked.groupBy("text_key", "shard").agg(F.count(F.lit(1)).alias("n"), F.max("members").alias("members"))
     # At most one entry for each shard and text.
-    tops = held.groupBy("text_key").agg(F.max("members").alias("members"), F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), F.pmod(F.xxhash64("text_key", "shard"), F.lit(1 << 30)).alias("tie"), "shard"))).alias("s"))
+    tops = held.groupBy("text_key").agg(F.max("members").alias("members"), F.sort_array(F.collect_list(F.struct((-weight).alias("n"), F.pmod(F.xxhash64("text_key", "shard", F.lit(turn)), F.lit(1 << 30)).alias("tie"), "shard"))).alias("s"))
     need = F.ceil(F.col("members") / largest).cast("int")
     tops = tops.select("text_key", F.transform(F.slice("s", 1, F.greatest(need, F.lit(1))), lambda x: x["shard"]).alias("targets"))
     tops = common.materialise(tops, "targets")
@@ -77,8 +81,7 @@ def propagate(state: DataFrame, quota: list[int], rows: int) -> tuple[DataFrame,
     wish = wish.withColumn("target", F.when(F.col("targets").isNotNull() & ~F.array_contains("targets", F.col("shard")), target)).withColumn("level", F.when(F.col("members") > 1, F.log2("members").cast("int")).otherwise(0)).drop("targets")
     wish = common.materialise(wish, "wishes")
 
-    size, loose = by_shard(wish, "shard", shards), by_shard(wish.where("members = 1"), "shard", shards)
-    out, into = by_shard(wish.where("target is not null"), "shard", shards), by_shard(wish, "target", shards)
+    into = by_shard(wish, "target", shards)
     # Admissions: a shard's room, and its unlinked documents that can make way.  What it sends
     # away counts only once it is sure to be admitted elsewhere, so not in this round.
     admitted = [min(into[s], quota[s] - size[s] + loose[s]) for s in range(shards)]
@@ -124,8 +127,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: s
     # Even from the start: ranks over all rows, dealt in turn.
     state = ranked(state.withColumn("all", F.lit(0)), "all", ["h", "rid"], "rank", n).withColumn("shard", F.pmod("rank", F.lit(shards)).cast("int")).drop("all", "rank")
     state = common.materialise(state, "state")
-    for _ in range(rounds):
-        state, moved = propagate(state, quota, n)
+    for turn in range(rounds):
+        state, moved = propagate(state, quota, n, turn)
         if not moved:
             break
     placed = ranked(state.select("rid", "h", "shard"), "shard", ["h", "rid"], "slot", n).select("rid", "shard", "slot")
