@@ -52,9 +52,9 @@ NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\
 WORDS = re.compile(r"[^\W_]+")
 
 BASE, LIMIT = 1.0, 4.0
-#: What a word or tag against content weighs beside a word of content: text goes on after an
-#: advert unless the advert is some twenty times as long.
-AGAINST = 0.05
+#: What log-odds against content weigh beside a word of content: text goes on after an advert
+#: unless the advert is some twenty times as long or more.
+AGAINST = 0.015
 
 
 @dataclass
