@@ -35,7 +35,7 @@ from . import common
 SHARE = 0.002
 MIN_CHARS, MIN_WORDS = 200, 50
 #: Farthest distance from the nearest reference at which a text is kept.
-MAX_CHARS, MAX_WORDS = 0.30, 0.50
+MAX_CHARS, MAX_WORDS = 0.31, 0.52
 #: Distinct words that end a part, and words below which a part is small.
 PART_WORDS, SMALL_PART = 200_000, 20_000
 #: Languages that a corpus may have; more is an error, not a cut.
