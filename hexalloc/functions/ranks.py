@@ -44,13 +44,32 @@ def ranked_counts(df: DataFrame, value: str, groups: list[str] = (), small: int
     return joined.withColumn("__before", F.col("__base") + F.col("__inside")).drop("__base", "__inside", "__range")
 
 
-def with_ranks(df: DataFrame, value: str, *, rank: str | None = None, mid: str | None = None, share: str | None = None, descending: bool = True, groups: list[str] = (), small: int = SMALL_ROWS) -> DataFrame:
+def with_ranks(df: DataFrame, value: str, *, rank: str | None = None, mid: str | None = None, share: str | None = None, descending: bool = True, groups: list[str] = (), small: int = SMALL_ROWS, rows: int | None = None) -> DataFrame:
     """Adds ranks of a value; nulls have none.
 
     ``rank``: competition rank (1, 1, 3).  ``mid``: ranks shared by ties.  ``share``: the
     mid-rank in rising order, from 0 to 1 over all that have a value; 0 if there is one value.
+    ``rows``: a bound of the rows of a group (of the table, without groups) where it is known;
+    it is counted otherwise.  Up to ``small`` rows a group is ranked by a window.
     """
     groups = list(groups)
+    if rows is None:
+        counted = df.groupBy(*groups).count().agg(F.max("count")) if groups else df.agg(F.count(value))
+        rows = counted.first()[0] or 0
+    if rows <= small:
+        w = Window.partitionBy(*groups)
+        n, of_all = F.count(value).over(Window.partitionBy(*groups, value)), F.count(value).over(w)
+        upward = F.rank().over(w.orderBy(F.asc_nulls_last(value)))
+        order = F.rank().over(w.orderBy(F.desc_nulls_last(value))) if descending else upward
+        there = F.col(value).isNotNull()
+        new = {}
+        if rank:
+            new[rank] = F.when(there, order.cast("long"))
+        if mid:
+            new[mid] = F.when(there, order + (n - 1) / 2)
+        if share:
+            new[share] = F.when(there, F.when(n == of_all, 0.0).otherwise((upward - 1 + (n - 1) / 2) / (of_all - 1)))
+        return df.withColumns(new)
     counts = ranked_counts(df, value, groups, small)
     before = (F.col("__all") - F.col("__before") - F.col("__n")) if descending else F.col("__before")
     new = {}
@@ -77,21 +96,24 @@ def _interpolated(low: float, high: float, part: float) -> float:
     return low + step * part if part < 0.5 else high - step * (1 - part)
 
 
-def percentiles(df: DataFrame, wanted: dict[str, list[float]], exact_rows: int = EXACT_ROWS) -> dict[str, list[float | None]]:
+def percentiles(df: DataFrame, wanted: dict[str, list[float]], exact_rows: int = EXACT_ROWS, rows: int | None = None) -> dict[str, list[float | None]]:
     """Exact percentiles with linear interpolation, of several columns at once.
 
-    Up to ``exact_rows`` rows one aggregate holds the values.  Beyond it, a value's place is
+    ``rows``: a bound of the rows where it is known.  Up to ``exact_rows`` one aggregate holds the values.  Beyond it, a value's place is
     narrowed down by approximate quantiles until what lies between two of them fits.
     """
     cols = list(wanted)
-    row = df.agg(*(F.count(c).alias(f"n{i}") for i, c in enumerate(cols))).first()
-    sizes = {c: row[i] for i, c in enumerate(cols)}
+    if rows is not None and rows <= exact_rows:
+        sizes = dict.fromkeys(cols, rows)
+    else:
+        row = df.agg(*(F.count(c).alias(f"n{i}") for i, c in enumerate(cols))).first()
+        sizes = {c: row[i] for i, c in enumerate(cols)}
     out: dict[str, list[float | None]] = {c: [None] * len(wanted[c]) for c in cols}
     easy = [c for c in cols if 0 < sizes[c] <= exact_rows]
     if easy:
         row = df.agg(*(F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, wanted[c]))).alias(f"p{i}") for i, c in enumerate(easy))).first()
         for i, c in enumerate(easy):
-            out[c] = list(row[i])
+            out[c] = list(row[i]) if row[i] is not None else out[c]
     for c in cols:
         if sizes[c] > exact_rows:
             for k, p in enumerate(wanted[c]):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import EARTH_RADIUS_M, haversine_m
 
 #: Sites that may be broadcast, by count.
-BROADCAST_SITES = 5_000
+BROADCAST_SITES = 256
 METRES_A_DEGREE = EARTH_RADIUS_M * 3.141592653589793 / 180
 
 

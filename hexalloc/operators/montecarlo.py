@@ -41,7 +41,7 @@ def both_methods(df: DataFrame, model: Model, key: str, methods: tuple[str, ...]
 
     parts = []
     for m in methods:
-        t, here, _ = normalised(df, replace(model, method=m))
+        t, here, _, _ = normalised(df, replace(model, method=m))
         parts.append(t.select(key, F.lit(m).alias("method"), *(f"{i.column}_n" for i in here)))
     return reduce(DataFrame.unionByName, parts)
 
@@ -61,10 +61,10 @@ def drawn_priorities(norm: DataFrame, draws: DataFrame, key: str, single: dict[s
     return joined.select(key, "draw", "method", F.when(F.least(*parts.values()) <= 0, 0.0).otherwise(F.exp(logs)).alias("priority"))
 
 
-def drawn_ranks(priorities: DataFrame, digits: int = 12) -> DataFrame:
-    """Adds the competition rank within each draw."""
+def drawn_ranks(priorities: DataFrame, digits: int = 12, cells: int | None = None) -> DataFrame:
+    """Adds the competition rank within each draw (of ``cells`` rows)."""
     p = priorities.withColumn("__p", F.round("priority", digits))
-    return ranks.with_ranks(p, "__p", rank="rank", groups=["draw"]).drop("__p")
+    return ranks.with_ranks(p, "__p", rank="rank", groups=["draw"], rows=cells).drop("__p")
 
 
 def summary(ranked: DataFrame, key: str, cells: int, draws: int, methods: tuple[str, ...] = ALTERNATIVES) -> DataFrame:

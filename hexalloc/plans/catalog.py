@@ -116,14 +116,14 @@ SCENARIOS = {"equal": (1 / 3, 1 / 3, 1 / 3), "hazard led": (0.5, 0.25, 0.25), "e
 @query(f"WITH {t.SQL_NORMAL}, {t.sql_priority()}, " + ", ".join(f"{t.sql_priority(*map(repr, w), name=f'p{k}')}, m{k} AS (SELECT {sql_mid('round(a.priority, 12)')} AS ra, rank() OVER (ORDER BY round(b.priority, 12)) + (count(*) OVER (PARTITION BY round(b.priority, 12)) - 1) / 2.0 AS rb FROM prio a JOIN p{k} b USING (cell))" for k, w in enumerate(SCENARIOS.values())) + " " + " UNION ALL ".join(f"SELECT '{n}' AS scenario, round(corr(ra, rb), 6) AS rho FROM m{k}" for k, n in enumerate(SCENARIOS)))
 def weight_scenarios_spearman(spark, sf_dir):
     base = t.indicators(spark, sf_dir)
-    df, here, _ = index.normalised(base, t.MODEL)
+    df, here, _, n = index.normalised(base, t.MODEL)
     df = df.withColumns(index.scores(df, here, t.MODEL))
     parts = {d: F.col(d) for d in t.MODEL.weights.dimensions}
     names = {n: f"p{k}" for k, n in enumerate(SCENARIOS)}
     df = df.select("cell", F.round(numeric.weighted_geometric_mean(parts, t.MODEL.weights.dimensions), 12).alias("base"), *(F.round(numeric.weighted_geometric_mean(parts, dict(zip(parts, w))), 12).alias(names[n]) for n, w in SCENARIOS.items())).cache()
-    ranked = ranks.with_ranks(df, "base", mid="r")
+    ranked = ranks.with_ranks(df, "base", mid="r", rows=n)
     for c in names.values():
-        ranked = ranks.with_ranks(ranked, c, mid=f"{c}_r")
+        ranked = ranks.with_ranks(ranked, c, mid=f"{c}_r", rows=n)
     wide = ranked.agg(*(F.corr("r", f"{c}_r").alias(c) for c in names.values()))
     return wide.select(F.explode(F.array(*(F.struct(F.lit(n).alias("scenario"), F.round(c, 6).alias("rho")) for n, c in names.items()))).alias("x")).select("x.*")
 
@@ -405,7 +405,8 @@ def mc_rank_intervals(spark, sf_dir):
     norm = montecarlo.both_methods(base, t.MODEL, "cell")
     draws = montecarlo.draws_table(spark, MC_ROWS, list(MC_INNER), list(MC_OUTER))
     p = montecarlo.drawn_priorities(norm, draws, "cell", {"hazard": "heat", "exposure": "people"}, "vulnerability", list(MC_INNER), index.FLOORS)
-    out = montecarlo.summary(montecarlo.drawn_ranks(p), "cell", base.count(), MC_DRAWS)
+    n = base.count()
+    out = montecarlo.summary(montecarlo.drawn_ranks(p, cells=n), "cell", n, MC_DRAWS)
     return out.select("cell", "median_rank", "rank_low", "rank_high", "priority_low", "priority_high", "p_top20", "p_robust_minmax", "p_percentile_rank", "stability")
 
 
@@ -464,7 +465,9 @@ def clipped_cells(spark, sf_dir):
     cells = planar(spark, sf_dir).select(q.alias("q"), r.alias("r")).distinct()
     ring = geometry.hexagon_ring(F.col("q"), F.col("r"), HEX)
     cx, cy = geometry.hexagon_centre(F.col("q"), F.col("r"), HEX)
-    cells = cells.withColumn("ring", ring).withColumn("cut", geometry.clipped(boundary_ring(), F.col("ring")))
+    # An exchange between making a ring and using it keeps its expression from being written out
+    # at each use.
+    cells = cells.withColumn("ring", ring).repartition("q").withColumn("cut", geometry.clipped(boundary_ring(), F.col("ring")))
     cells = cells.withColumns({"area": geometry.area(F.col("ring")), "clipped_area": F.when(F.size("cut") > 2, geometry.area(F.col("cut"))).otherwise(0.0), "centre_inside": geometry.contains(boundary_ring(), cx, cy)})
     cells = cells.withColumn("inside_share", F.col("clipped_area") / F.col("area"))
     return cells.where("centre_inside or inside_share >= 0.25").select("q", "r", F.round("clipped_area", 3).alias("clipped_area"), F.round("inside_share", 6).alias("inside_share"), "centre_inside")
