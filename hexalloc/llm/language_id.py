@@ -20,7 +20,6 @@ repeated results; an empty table gives none; other columns are never read.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -42,7 +41,6 @@ UND = "und"
 
 #: Bytes of letters: ASCII letters, and all beyond ASCII (marks there are just rare characters).
 TABLE = bytes(c if 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
-LETTER = re.compile(r"[^\W\d_]")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 4 << 20
 #: Words that a worker remembers between chunks, and words scored at a time.
@@ -269,7 +267,7 @@ class Identifier:
         found = []
         for a, b in zip(off, off[1:]):
             text = raw[a:b]
-            found.append(letter_runs(text) if text.isascii() or LETTER.search(text.decode()) else [])
+            found.append(letter_runs(text) if text.isascii() or any(map(str.isalpha, text.decode())) else [])
         labels, scores = [UND] * n, np.zeros(n)
         if not languages:
             return labels, scores
