@@ -56,3 +56,12 @@ def shares(df: DataFrame, total: str, counts: list[str]) -> DataFrame:
 
 def density(count: Column, area: Column) -> Column:
     return F.when(area != 0, F.bround(count / area, 1)).otherwise(0.0)
+
+
+def with_fallback(first: DataFrame, second: DataFrame, zones: DataFrame, zone: str = "zone") -> DataFrame:
+    """Statistics of every zone: from pixels whose centre is inside, or else, flagged, from all that
+    touch it."""
+    found = first.where("pixels > 0").withColumn("fallback", F.lit(False))
+    left = zones.select(zone).distinct().join(found, zone, "left_anti")
+    other = left.join(second, zone, "left").withColumns({"fallback": F.lit(True), "pixels": F.coalesce("pixels", F.lit(0))})
+    return found.unionByName(other.select(*found.columns))

@@ -612,3 +612,54 @@ def serving_rows(spark, sf_dir):
     schema = "struct<properties: struct<id: bigint, p: double, r: bigint, pct: double, band: string>>"
     f = F.from_json("feature", schema[7:-1].replace("properties: ", "properties "))
     return doc.select(f.alias("f")).select(F.col("f.properties.id").alias("cell"), F.col("f.properties.r").alias("rank"), F.col("f.properties.p").alias("p"), F.col("f.properties.pct").alias("pct"), F.col("f.properties.band").alias("band"))
+
+
+@query("""WITH s AS (SELECT c_nationkey AS place, greatest(sum(CAST(round(c_acctbal) AS BIGINT)) - 20000, 0) AS units FROM customer GROUP BY 1), m AS (SELECT max(units) AS most FROM s)
+SELECT place, units::BIGINT AS units, CASE WHEN units > 0 THEN CAST(least(4, floor(CAST(units AS DOUBLE) / most * 5 - CAST(1e-9 AS DOUBLE))) AS INTEGER) ELSE 0 END AS band FROM s CROSS JOIN m""")
+def share_bands(spark, sf_dir):
+    s = t.load(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("place")).agg(F.greatest(F.sum(F.round("c_acctbal").cast("long")) - 20000, F.lit(0)).alias("units"))
+    s = s.crossJoin(F.broadcast(s.agg(F.max("units").alias("most"))))
+    return s.select("place", "units", ranks.share_band(F.col("units"), F.col("most")).alias("band"))
+
+
+@query(f"WITH {t.SQL_CELLS} SELECT cell, c_mktsegment AS kind FROM cells JOIN customer ON c_custkey = cell WHERE lon BETWEEN 67.16 AND 67.19 AND lat BETWEEN 24.82 AND 24.85 AND regexp_matches(c_mktsegment, '^(BUILDING|MACHINERY)$')")
+def bbox_tagged_points(spark, sf_dir):
+    c = t.load(spark, sf_dir, "customer")
+    lon, lat = t.coordinates(F.col("c_custkey"), 7919, 104729)
+    return c.where(lon.between(67.16, 67.19) & lat.between(24.82, 24.85) & F.col("c_mktsegment").rlike("^(BUILDING|MACHINERY)$")).select(F.col("c_custkey").alias("cell"), F.col("c_mktsegment").alias("kind"))
+
+
+@query("SELECT c_nationkey AS place, CASE WHEN c_nationkey % 5 <> 0 THEN round_even(CAST(count(*) AS DOUBLE) / (c_nationkey % 5 * 3), 1) ELSE 0.0 END AS density FROM customer GROUP BY c_nationkey")
+def cell_density(spark, sf_dir):
+    n = t.load(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("place")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return n.select("place", zonal.density(F.col("n"), F.col("place") % 5 * 3).alias("density"))
+
+
+@query(f"""WITH {SQL_PIXELS}, f AS (SELECT pixel % 61 AS zone, avg(value) AS mean, count(value) AS pixels FROM px WHERE pixel % 61 < 50 AND pixel % 3 = 0 GROUP BY 1), g AS (SELECT pixel % 61 AS zone, avg(value) AS mean, count(value) AS pixels FROM px GROUP BY 1), z AS (SELECT DISTINCT pixel % 61 AS zone FROM px)
+SELECT zone, round(CASE WHEN f.pixels > 0 THEN f.mean ELSE g.mean END, 6) AS mean, CASE WHEN f.pixels > 0 THEN f.pixels ELSE coalesce(g.pixels, 0) END AS pixels, coalesce(f.pixels, 0) = 0 AS fallback FROM z LEFT JOIN f USING (zone) LEFT JOIN g USING (zone)""")
+def zonal_fallback(spark, sf_dir):
+    px = composite(spark, sf_dir).withColumn("zone", F.col("pixel") % 61)
+    stats = lambda d: d.groupBy("zone").agg(F.avg("value").alias("mean"), F.count("value").alias("pixels"))
+    return zonal.with_fallback(stats(px.where("zone < 50 and pixel % 3 = 0")), stats(px), px).select("zone", *R6("mean"), "pixels", "fallback")
+
+
+@query(f"WITH {t.SQL_INDICATORS} SELECT round(corr(heat, lack_green), 6) AS heat_green, round(corr(heat, dist_health), 6) AS heat_health FROM ind")
+def measure_correlations(spark, sf_dir):
+    ind = t.indicators(spark, sf_dir)
+    return ind.agg(F.round(F.corr("heat", "lack_green"), 6).alias("heat_green"), F.round(F.corr("heat", "dist_health"), 6).alias("heat_health"))
+
+
+@query("""WITH n AS (SELECT c_nationkey AS scenario, c_custkey AS cell, c_acctbal AS priority, c_custkey % 41 AS need FROM customer), s AS (SELECT scenario, CAST(floor(sum(need) / 3.0) AS BIGINT) AS stock FROM n GROUP BY 1),
+r AS (SELECT n.*, stock, coalesce(sum(need) OVER (PARTITION BY scenario ORDER BY priority DESC, cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n JOIN s USING (scenario)), u AS (SELECT *, greatest(0, least(need, stock - before)) AS units FROM r)
+SELECT scenario, cell, units::BIGINT AS units, row_number() OVER (PARTITION BY scenario ORDER BY priority DESC, cell) AS serving_order FROM u WHERE units > 0""")
+def serving_order(spark, sf_dir):
+    n = t.load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("scenario"), F.col("c_custkey").alias("cell"), F.col("c_acctbal").alias("priority"), (F.col("c_custkey") % 41).alias("need"))
+    s = n.groupBy("scenario").agg(F.floor(F.sum("need") / 3).alias("stock"))
+    return allocation.single_centre(n.join(F.broadcast(s), "scenario"), ["scenario"]).where("units > 0").select("scenario", "cell", "units", "serving_order")
+
+
+@query(f"WITH {t.SQL_FACILITIES}, a AS (SELECT CAST(67.15 AS DOUBLE) AS lon, CAST(24.85 AS DOUBLE) AS lat) SELECT facility, round(min(d), 3) AS distance_m FROM (SELECT facility, {t.sql_haversine('lon', 'lat', 'site_lon', 'site_lat')} AS d FROM facilities CROSS JOIN a) GROUP BY facility ORDER BY 2, 1 LIMIT 5")
+def nearest_five(spark, sf_dir):
+    """A report of the five facilities nearest to a point."""
+    d = numeric.haversine_m(F.lit(67.15), F.lit(24.85), F.col("site_lon"), F.col("site_lat"))
+    return t.facilities(spark, sf_dir).select("facility", F.round(d, 3).alias("distance_m")).orderBy("distance_m", "facility").limit(5)

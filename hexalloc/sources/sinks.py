@@ -33,3 +33,17 @@ def write_tiles(pixels: DataFrame, path: str, tile: str = "tile") -> None:
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """New entries, and old ones whose key isn't among them, by key."""
     return new.unionByName(old.join(new.select(key), key, "left_anti")).orderBy(key)
+
+
+def markdown(df: DataFrame) -> DataFrame:
+    """One line of a Markdown table for each row; the caller writes head and order."""
+    cells = [F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in df.columns]
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+
+
+def scenario_document(reports: DataFrame, plan: DataFrame) -> DataFrame:
+    """One JSON document for each scenario, its cells by serving order and in shares alone."""
+    total = plan.groupBy("scenario").agg(F.sum("units").alias("total"))
+    cells = plan.groupBy("scenario", "cell").agg(F.sum("units").alias("units")).join(total, "scenario")
+    rows = cells.groupBy("scenario").agg(F.sort_array(F.collect_list(F.struct("cell", F.round(F.col("units") / F.col("total"), 4).alias("share_of_stock")))).alias("cells"))
+    return reports.join(rows, "scenario", "left").select("scenario", F.to_json(F.struct(*[c for c in reports.columns], "cells")).alias("document"))

@@ -195,3 +195,52 @@ def test_stream(spark, tmp_path):
     run()
     r = composite.latest(spark, store).first()
     assert r.looks == 3 and r.value == pytest.approx(45000 * 0.00341802 + 149 - 273.15)
+
+
+def test_ingest(tmp_path):
+    from hexalloc.sources import ingest
+
+    answers, waits = [(503, {"Retry-After": "7"}, iter(())), (202, {}, iter(())), (200, {}, iter([b"ab", b"c"]))], []
+    get = lambda address: answers.pop(0)
+    path = ingest.fetch("x://a", tmp_path, "d/a.txt", "CC0", open_=get, sleep=waits.append)
+    assert path.read_bytes() == b"abc" and waits == [7, 8] and not list(tmp_path.rglob("*.part"))
+    assert ingest.fetch("x://a", tmp_path, "d/a.txt", "CC0", open_=get) == path
+    path.write_bytes(b"other")
+    answers.append((200, {}, iter([b"abc"])))
+    assert ingest.fetch("x://a", tmp_path, "d/a.txt", "CC0", open_=get).read_bytes() == b"abc"
+    for status, expected in ((404, None), (200, "0" * 64)):
+        answers.append((status, {}, iter([b"z"])))
+        with pytest.raises(ingest.FetchError):
+            ingest.fetch("x://b", tmp_path, "b.txt", "CC0", expected=expected, open_=get)
+    with pytest.raises(ingest.FetchError):
+        ingest.only_member(["a1", "a2"], "a")
+
+
+def test_verify_files(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw/a.txt").write_bytes(b"a")
+    (tmp_path / "raw/b.txt").write_bytes(b"b")
+    rows = [("a.txt", hashlib.sha256(b"a").hexdigest(), 1), ("b.txt", "0" * 64, 1), ("c.txt", "0" * 64, 1)]
+    got = readers.verify_files(spark, str(tmp_path / "raw"), spark.createDataFrame(rows, "key string, sha256 string, bytes long"))
+    assert {(r.key, r.problem) for r in got.collect()} == {("b.txt", "another digest"), ("c.txt", "missing")}
+
+
+def test_documents_and_lines(spark):
+    report = spark.createDataFrame([("s", 1.5)], "scenario string, objective double")
+    plan = spark.createDataFrame([("s", 1, 1, 3.0), ("s", 2, 1, 1.0)], "scenario string, cell long, centre long, units double")
+    import json
+
+    doc = json.loads(sinks.scenario_document(report, plan).first().document)
+    assert doc["cells"] == [{"cell": 1, "share_of_stock": 0.75}, {"cell": 2, "share_of_stock": 0.25}]
+    assert values(sinks.markdown(spark.createDataFrame([("a|b", None)], "x string, y int")), "value") == ["| a\\|b |  |"]
+
+
+def test_solver_groups(spark):
+    pairs = spark.createDataFrame([("s", c, p, n, j, 10.0, d) for c, p, n in ((1, 0.9, 10.0), (2, 0.8, 10.0)) for j, d in ((0, 1000.0), (1, 2000.0 if c == 1 else 6000.0))], "scenario string, cell long, priority double, need double, centre long, stock double, distance_m double")
+    plan, report = allocation.solve(pairs, "exact", 5000.0)
+    assert report.first().objective == pytest.approx(16.994)
+    assert {(r.cell, r.centre, r.units) for r in plan.collect()} == {(1, 1, 10.0), (2, 0, 10.0)}
+    got = allocation.totals(plan).collect()
+    assert sum(r.units for r in got) == 60
