@@ -86,6 +86,23 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Workspace:
+    """Tables of one computation in a folder of their own, which goes when its result is
+    written elsewhere."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base, self.n = spark, scratch(spark, name), 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.base}/{self.n}_{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        remove(self.spark, self.base)
+
+
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and n+1 offsets; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):

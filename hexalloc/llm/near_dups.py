@@ -44,10 +44,6 @@ BLOCK_STRAYS, BLOCK_MEMBERS = 512, 2048
 LARGE = 48
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    return common.materialise(df, f"near_{name}")
-
-
 def features(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """``id, n, class, sketch``; class and sketch are null for an empty set."""
 
@@ -161,25 +157,25 @@ def settled(edges: DataFrame) -> bool:
     return roles.groupBy("u").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down > 0 and up > 0)").isEmpty()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, work: common.Workspace) -> DataFrame:
     """``id, component`` of all nodes of links ``a, c``: the smallest id that is reachable."""
-    edges = materialise(links.select(F.greatest("a", "c").alias("a"), F.least("a", "c").alias("b")).where("a != b").distinct(), "edges")
+    edges = work.write(links.select(F.greatest("a", "c").alias("a"), F.least("a", "c").alias("b")).where("a != b").distinct(), "edges")
     while not settled(edges):
-        edges = materialise(star(materialise(star(edges, True), "large"), False), "small")
-    return materialise(edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component").unionAll(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()), "components")
+        edges = work.write(star(work.write(star(edges, True), "large"), False), "small")
+    return work.write(edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component").unionAll(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()), "components")
 
 
 def with_components(entries: DataFrame, found: DataFrame) -> DataFrame:
     return entries.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def leftover(entries: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
+def leftover(entries: DataFrame, payload: DataFrame, percent: int, work: common.Workspace) -> DataFrame:
     """Distinct pairs ``a, c`` of different components that share a bucket, with ``sure``:
     links already (true), or pairs that the estimate can't rule out. ``entries`` (``key, id,
     component``) are of buckets with several components."""
     sizes = entries.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", F.negative("component").alias("least"))).alias("m"), F.sum("n").alias("n")).select("key", F.negative("m.least").alias("main"), (F.col("n") - F.col("m.n")).alias("strays"), "n")
-    main = materialise(main, "main")
+    main = work.write(main, "main")
     e = entries.join(main, "key")
     stray_blocks = F.ceil(F.col("strays") / BLOCK_STRAYS).cast("int")
     member_blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
@@ -232,15 +228,16 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
     """``id, n_shingles, component_id, kept`` of every row."""
     spark = docs.sparkSession
     common.ship(spark)
-    feats = materialise(features(docs, size, id_col, text_col), "features")
-    classes = materialise(feats.where("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("rep")), "classes")
+    work = common.Workspace(spark, "near_dups")
+    feats = common.materialise(features(docs, size, id_col, text_col), "near_features")
+    classes = work.write(feats.where("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("rep")), "classes")
     nodes = classes.groupBy(F.col("rep").alias("id")).agg(F.min("class").alias("class"))
     reps = feats.select("id", "class", "sketch").join(nodes, ["id", "class"]).dropDuplicates(["id"])
-    entries = materialise(bands(reps), "entries")
-    buckets = materialise(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("center")).where("n > 1").select("key", "center"), "buckets")
-    active = materialise(entries.join(buckets, "key"), "active")
+    entries = work.write(bands(reps), "entries")
+    buckets = work.write(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("center")).where("n > 1").select("key", "center"), "buckets")
+    active = work.write(entries.join(buckets, "key"), "active")
     ids = active.select("id").distinct().join(nodes, "id")
-    payload = materialise(payloads(docs, ids, size, id_col, text_col).dropDuplicates(["id"]), "payloads")
+    payload = work.write(payloads(docs, ids, size, id_col, text_col).dropDuplicates(["id"]), "payloads")
 
     links = spark.createDataFrame([], "a long, c long")
     found = spark.createDataFrame([], "id long, component long")
@@ -250,26 +247,27 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
         if k:
             # Other centers: the least id under a mask that the bucket's key and the round make.
             mask = F.xxhash64("key", F.lit(k))
-            centers = materialise(open_entries.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mask)).alias("least")).select("key", F.col("least").bitwiseXOR(mask).alias("center")), "centers")
+            centers = work.write(open_entries.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mask)).alias("least")).select("key", F.col("least").bitwiseXOR(mask).alias("center")), "centers")
             open_entries = open_entries.select("key", "id").join(centers, "key")
         offers = open_entries.where("id != center").groupBy(F.col("id").alias("a"), F.col("center").alias("c")).agg(F.count(F.lit(1)).alias("n"))
         if k:
             offers = offers.join(found.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("id").alias("c"), F.col("component").alias("cc")), "c", "left")
             offers = offers.where("coalesce(ca, a) != coalesce(cc, c)").join(tried, ["a", "c"], "left_anti")
         best = offers.groupBy("a").agg(F.max(F.struct("n", F.negative("c").alias("least"))).alias("m")).select("a", F.negative("m.least").alias("c"))
-        best = materialise(best, "offers")
+        best = work.write(best, "offers")
         tried = best if tried is None else tried.unionAll(best)
-        links = links.unionAll(materialise(confirm(best, payload, percent), "links"))
-        found = components(links)
+        links = links.unionAll(work.write(confirm(best, payload, percent), "links"))
+        found = components(links, work)
         # Only buckets with several components go on.
         state = with_components(open_entries.select("key", "id"), found)
-        several = materialise(state.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key"), "several")
-        open_entries = materialise(state.join(several, "key").select("key", "id", "component"), "open")
-    rest = materialise(leftover(open_entries, payload, percent), "leftover")
+        several = work.write(state.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key"), "several")
+        open_entries = work.write(state.join(several, "key").select("key", "id", "component"), "open")
+    rest = work.write(leftover(open_entries, payload, percent, work), "leftover")
     doubtful = rest.where("not sure").select("a", "c").join(tried, ["a", "c"], "left_anti")
-    found = components(links.unionAll(rest.where("sure").select("a", "c")).unionAll(confirm(doubtful, payload, percent)))
+    found = components(links.unionAll(rest.where("sure").select("a", "c")).unionAll(confirm(doubtful, payload, percent)), work)
 
-    of_class = materialise(classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component")), "of_class")
+    of_class = common.materialise(classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component")), "near_classes")
+    work.clear()
     out = feats.select("id", "n", "class").join(of_class, "class", "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
@@ -278,7 +276,7 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, of one document of each group."""
     gone = group(docs, size, percent, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("gone_id")).distinct()
-    return docs.join(materialise(gone, "gone").hint("shuffle_hash"), F.col(id_col) == F.col("gone_id"), "left_anti")
+    return docs.join(common.materialise(gone, "near_gone").hint("shuffle_hash"), F.col(id_col) == F.col("gone_id"), "left_anti")
 
 
 def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

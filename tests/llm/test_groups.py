@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from hexalloc.llm import bpe, decontamination, language_id, near_dups, quality, sharding, sketches
+from hexalloc.llm import bpe, common, decontamination, language_id, near_dups, quality, sharding, sketches
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,7 +82,7 @@ def test_near_duplicate_edges(spark, edges, nothing):
 
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 70)] + [(100, k) for k in range(101, 140)] + [(300, 299), (299, 298)]
-    got = {r.id: r.component for r in near_dups.components(spark.createDataFrame(edges, "a long, c long")).collect()}
+    got = {r.id: r.component for r in near_dups.components(spark.createDataFrame(edges, "a long, c long"), common.Workspace(spark, "t")).collect()}
     assert {got[i] for i in range(1, 71)} == {1} and {got[k] for k in range(100, 140)} == {100} and {got[i] for i in (298, 299, 300)} == {298}
 
 
