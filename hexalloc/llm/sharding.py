@@ -60,7 +60,7 @@ def pick(values: list[int], at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), at + 1)
 
 
-def propagate(state: DataFrame, quota: list[int], rows: int, turn: int = 0) -> tuple[DataFrame, int]:
+def propagate(state: DataFrame, quota: list[int], rows: int, work: common.Workspace, turn: int = 0) -> tuple[DataFrame, int]:
     """One round over ``rid, h, text_key, members, shard``; also how many documents moved."""
     shards = len(quota)
     largest = max(quota)
@@ -74,12 +74,12 @@ def propagate(state: DataFrame, quota: list[int], rows: int, turn: int = 0) -> t
     tops = held.groupBy("text_key").agg(F.max("members").alias("members"), F.sort_array(F.collect_list(F.struct((-weight).alias("n"), F.pmod(F.xxhash64("text_key", "shard", F.lit(turn)), F.lit(1 << 30)).alias("tie"), "shard"))).alias("s"))
     need = F.ceil(F.col("members") / largest).cast("int")
     tops = tops.select("text_key", F.transform(F.slice("s", 1, F.greatest(need, F.lit(1))), lambda x: x["shard"]).alias("targets"))
-    tops = common.materialise(tops, "targets")
+    tops = work.write(tops, "targets")
     wish = state.join(tops, "text_key", "left")
     target = F.element_at("targets", F.pmod(F.xxhash64("h", F.lit(3)), F.size("targets")).cast("int") + 1)
     # What a text gains by gathering, in powers of two, is the order of admission.
     wish = wish.withColumn("target", F.when(F.col("targets").isNotNull() & ~F.array_contains("targets", F.col("shard")), target)).withColumn("level", F.when(F.col("members") > 1, F.log2("members").cast("int")).otherwise(0)).drop("targets")
-    wish = common.materialise(wish, "wishes")
+    wish = work.write(wish, "wishes")
 
     into = by_shard(wish, "target", shards)
     # Admissions: a shard's room, and its unlinked documents that can make way.  What it sends
@@ -87,10 +87,10 @@ def propagate(state: DataFrame, quota: list[int], rows: int, turn: int = 0) -> t
     admitted = [min(into[s], quota[s] - size[s] + loose[s]) for s in range(shards)]
     room = sum(quota) - sum(size)
     if not any(admitted):
-        return wish.drop("target", "level"), 0
+        return state, 0
     movers = ranked(wish.where("target is not null"), "target", [F.desc("level"), "h", "rid"], "rank", rows, "level")
     movers = movers.where(F.col("rank") < pick(admitted, F.col("target"))).select("rid", F.col("target").alias("moved_to"))
-    after = common.materialise(wish.drop("target", "level").join(movers, "rid", "left"), "moved")
+    after = work.write(wish.drop("target", "level").join(movers, "rid", "left"), "moved")
     now = by_shard(after.select(F.coalesce("moved_to", "shard").alias("s")), "s", shards)
     over = [max(0, now[s] - quota[s]) for s in range(shards)]
     short = [max(0, quota[s] - now[s]) for s in range(shards)]
@@ -109,7 +109,7 @@ def propagate(state: DataFrame, quota: list[int], rows: int, turn: int = 0) -> t
     place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= seat))
     evicted = evicted.select("rid", place.cast("int").alias("sent_to"))
     done = after.join(evicted, "rid", "left").withColumn("shard", F.coalesce("moved_to", "sent_to", "shard")).drop("moved_to", "sent_to")
-    return common.materialise(done, "round"), sum(admitted)
+    return done, sum(admitted)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,6 +120,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: s
     # A row's own number: repeated rows are told apart once they are written down.
     rows = common.materialise(rows, "rows")
     rows = common.materialise(rows.withColumn("rid", F.monotonically_increasing_id()), "numbered").withColumn("h", F.xxhash64("rid", "id"))
+    spark = docs.sparkSession
     n = rows.count()
     quota = [n // shards + (s < n % shards) for s in range(shards)]
     members = common.materialise(rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "members")
@@ -128,7 +129,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: s
     state = ranked(state.withColumn("all", F.lit(0)), "all", ["h", "rid"], "rank", n).withColumn("shard", F.pmod("rank", F.lit(shards)).cast("int")).drop("all", "rank")
     state = common.materialise(state, "state")
     for turn in range(rounds):
-        state, moved = propagate(state, quota, n, turn)
+        # A round's own tables go as soon as its result is written.
+        work = common.Workspace(spark, "shard_round")
+        after, moved = propagate(state, quota, n, work, turn)
+        if moved:
+            state = common.materialise(after, "state")
+        work.clear()
         if not moved:
             break
     placed = ranked(state.select("rid", "h", "shard"), "shard", ["h", "rid"], "slot", n).select("rid", "shard", "slot")
