@@ -465,9 +465,9 @@ def clipped_cells(spark, sf_dir):
     cells = planar(spark, sf_dir).select(q.alias("q"), r.alias("r")).distinct()
     ring = geometry.hexagon_ring(F.col("q"), F.col("r"), HEX)
     cx, cy = geometry.hexagon_centre(F.col("q"), F.col("r"), HEX)
-    # An exchange between making a ring and using it keeps its expression from being written out
+    # Rings are kept between making and measuring them: else their expressions are written out
     # at each use.
-    cells = cells.withColumn("ring", ring).repartition("q").withColumn("cut", geometry.clipped(boundary_ring(), F.col("ring")))
+    cells = cells.withColumn("ring", ring).withColumn("cut", geometry.clipped(boundary_ring(), F.col("ring"))).cache()
     cells = cells.withColumns({"area": geometry.area(F.col("ring")), "clipped_area": F.when(F.size("cut") > 2, geometry.area(F.col("cut"))).otherwise(0.0), "centre_inside": geometry.contains(boundary_ring(), cx, cy)})
     cells = cells.withColumn("inside_share", F.col("clipped_area") / F.col("area"))
     return cells.where("centre_inside or inside_share >= 0.25").select("q", "r", F.round("clipped_area", 3).alias("clipped_area"), F.round("inside_share", 6).alias("inside_share"), "centre_inside")
