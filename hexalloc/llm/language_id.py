@@ -36,7 +36,8 @@ MAX_RUN, MAX_PIECE = 48, 16
 SMOOTHING, UNKNOWN = 2000.0, 1e-7
 #: Forward sums are scaled by this for each character, against underflow.
 SCALE = 32.0
-MAX_LANGUAGES = 2000
+#: Languages that a corpus may have; more is an error, not a cut.
+MAX_LANGUAGES = 300
 UND = "und"
 
 #: Bytes of letters: ASCII letters, and all beyond ASCII (marks there are just rare characters).
@@ -235,16 +236,13 @@ def fit(docs: DataFrame, vocabulary: list[str], lang_col: str = "lang", text_col
 
     known = docs.where(F.col(lang_col).isNotNull()).select(lang_col, text_col)
     # Rounded to whole units of 1e-6, so that sums don't depend on the order of tasks.
-    got = known.mapInArrow(common.tidied(run), schema).groupBy("lang", "piece").agg(F.sum(F.round(F.col("amount") * 1e6).cast("long")).alias("amount")).collect()
-    # No more rows come back than languages x pieces of the fixed vocabulary.
-    languages = sorted({r.lang for r in got})
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES}")
+    sums = common.materialise(known.mapInArrow(common.tidied(run), schema).groupBy("lang", "piece").agg(F.sum(F.round(F.col("amount") * 1e6).cast("long")).alias("amount")), "piece_counts")
+    languages = common.few_values(sums, "lang", MAX_LANGUAGES)
+    # No more rows come back than languages x pieces of the fixed vocabulary, as columns.
+    got = sums.toPandas()
     kept = Pieces(vocabulary).pieces
     counts = np.zeros((len(languages), len(kept)))
-    at = {x: i for i, x in enumerate(languages)}
-    for r in got:
-        counts[at[r.lang], r.piece] = r.amount / 1e6
+    counts[np.searchsorted(np.array(languages, object), got["lang"].to_numpy(object)), got["piece"].to_numpy(np.int64)] = got["amount"].to_numpy(float) / 1e6
     # Languages weigh the same in the pooled estimate, however much text each has.
     shares = counts / np.maximum(counts.sum(1, keepdims=True), 1e-9)
     pooled = (shares.mean(0) if len(languages) else np.zeros(len(kept))) * 0.9 + 0.1 / max(len(kept), 1)

@@ -39,7 +39,7 @@ MAX_CHARS, MAX_WORDS = 0.31, 0.52
 #: Distinct words that end a part, and words below which a part is small.
 PART_WORDS, SMALL_PART = 200_000, 20_000
 #: Languages that a corpus may have; more is an error, not a cut.
-MAX_LANGUAGES = 2000
+MAX_LANGUAGES = 300
 
 SPACE = bytes([0x20, 9, 10, 11, 12, 13])
 #: Classes of bytes: continuation bytes (0) belong to the character that they end.
@@ -190,14 +190,11 @@ def fit_references(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.int64()), pa.array(s[some], pa.int64())], names=["lang", "bin", "n"])
 
     bins = T.StructType([T.StructField("lang", T.StringType()), T.StructField("bin", T.LongType()), T.StructField("n", T.LongType())])
-    got = known.mapInArrow(common.tidied(count), bins).groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
-    languages = sorted({r.lang for r in got})
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES}")
+    binned = common.materialise(known.mapInArrow(common.tidied(count), bins).groupBy("lang", "bin").agg(F.sum("n").alias("n")), "bins")
+    languages = common.few_values(binned, "lang", MAX_LANGUAGES)
+    got = binned.toPandas()
     sums = np.zeros((len(languages), len(CLASSES) + len(words) + 1))
-    at = {x: i for i, x in enumerate(languages)}
-    for r in got:
-        sums[at[r.lang], r.bin] = r.n
+    sums[np.searchsorted(np.array(languages, object), got["lang"].to_numpy(object)), got["bin"].to_numpy(np.int64)] = got["n"].to_numpy(float)
     classes, counts = sums[:, : len(CLASSES)], sums[:, len(CLASSES) :]
     # A candidate that is common in no language is one of the rest.
     common_word = np.append((counts[:, :-1] >= share * counts.sum(1, keepdims=True)).any(0) & (counts[:, :-1].sum(0) > 0), True) if len(languages) else np.ones(len(words) + 1, bool)
