@@ -45,7 +45,9 @@ TABLE = bytes(c if 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 4 << 20
 #: Words that a worker remembers between chunks, and words scored at a time.
-MEMORY_WORDS, BLOCK = 200_000, 30_000
+MEMORY_WORDS, BLOCK = 500_000, 30_000
+#: Slots of the table of pieces, as a power of two; more than twice the pieces.
+BITS = 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,6 +73,8 @@ class Pieces:
 
     def __init__(self, pieces: list[str]):
         self.pieces = [p for p in dict.fromkeys(pieces) if 0 < len(p) <= MAX_PIECE]
+        if len(self.pieces) > 1 << BITS - 1:
+            raise ValueError(f"{len(self.pieces)} pieces; at most {1 << BITS - 1}")
         hashes = np.empty(len(self.pieces), np.uint64)
         for n in range(1, MAX_PIECE + 1):
             at = [i for i, p in enumerate(self.pieces) if len(p) == n]
@@ -80,11 +84,30 @@ class Pieces:
                 for k in range(n):
                     h = h * ODD + c[:, k] + np.uint64(1)
                 hashes[at] = mix(h + salt(n))
-        # Sorted hashes, and a bitmap of their low bits that turns most other strings away.
-        order = np.argsort(hashes)
-        self.sorted, self.place = np.append(hashes[order], np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(order, -1)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        # A table of 2^BITS slots; a piece stands in the first free one from its hash's low bits on.
+        self.hashes, self.ids = np.zeros(1 << BITS, np.uint64), np.full(1 << BITS, -1, np.int32)
+        for i, h in enumerate(hashes.tolist()):
+            slot = h & ((1 << BITS) - 1)
+            while self.ids[slot] >= 0:
+                slot = (slot + 1) & ((1 << BITS) - 1)
+            self.hashes[slot], self.ids[slot] = h, i
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces', and the pieces."""
+        slots = (hashes & np.uint64((1 << BITS) - 1)).astype(np.int64)
+        todo = np.flatnonzero(self.ids[slots] >= 0)
+        places, found = [], []
+        slots = slots[todo]
+        while len(todo):
+            hit = self.hashes[slots] == hashes[todo]
+            places.append(todo[hit])
+            found.append(self.ids[slots[hit]])
+            todo, slots = todo[~hit], (slots[~hit] + 1) & ((1 << BITS) - 1)
+            there = self.ids[slots] >= 0
+            todo, slots = todo[there], slots[there]
+        if not places:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(places), np.concatenate(found).astype(np.int64)
 
     def edges(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All places of pieces in words: start, length and piece; a character that is no
@@ -101,12 +124,10 @@ class Pieces:
                 break
             h[alive] = h[alive] * ODD + flat[alive + size - 1] + np.uint64(1)
             m = mix(h[alive] + salt(size))
-            hit = np.flatnonzero(self.maybe[(m & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            at = np.searchsorted(self.sorted[:-1], m[hit])
-            real = self.sorted[at] == m[hit]
-            starts.append(alive[hit[real]])
-            found.append(self.place[at[real]])
-            sizes.append(np.full(int(real.sum()), size))
+            at, pieces = self.find(m)
+            starts.append(alive[at])
+            found.append(pieces)
+            sizes.append(np.full(len(at), size))
             if size == 1:
                 lone = np.ones(n, bool)
                 lone[starts[0]] = False
