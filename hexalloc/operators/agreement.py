@@ -72,11 +72,15 @@ def _rows_corr(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a * b).sum(1) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
 
 
+#: Values that a block of draws holds at most (a draw of a larger group is a block).
+BLOCK_VALUES = 1_500_000
+
+
 def resampled(df: DataFrame, group: str, model: str, expert: str, draws: int = 10_000, seed: int = 20260927, block: int = 500) -> DataFrame:
     """For each group: correlation, bootstrap interval, one-sided permutation p and draws used.
 
     A group is a ranking of places that people made, so it is small; groups run in parallel and
-    draws in blocks."""
+    draws in blocks of ``block``, or fewer where the group is large."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=[model, expert]).sort_values([model, expert])
@@ -88,8 +92,9 @@ def resampled(df: DataFrame, group: str, model: str, expert: str, draws: int = 1
         rho = float(_rows_corr(rx, ry)[0])
         rng = np.random.default_rng(seed)
         found, hits = [], 0
-        for at in range(0, draws, block):
-            k = min(block, draws - at)
+        size = max(1, min(block, BLOCK_VALUES // n))
+        for at in range(0, draws, size):
+            k = min(size, draws - at)
             pick = rng.integers(0, n, (k, n))
             a, b = _mid(x[0][pick]), _mid(y[0][pick])
             c = _rows_corr(a, b)

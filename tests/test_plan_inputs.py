@@ -4,8 +4,10 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from hexalloc.operators import agreement
 from hexalloc.plans import catalog
 
 #: Keys that leave small needs (remainders by 41), far beyond any prefix of small tables.
@@ -81,3 +83,35 @@ def test_rounded_plan_of_all_rows(spark, star):
                 budget -= 1
         want |= {(name, cells[i], centres[j]): v for (i, j), v in out.items() if v}
     assert got == want
+
+
+def test_resampling_of_all_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.c_mktsegment, r.c_acctbal, r.c_acctbal + r.c_custkey * 7919 % 5000) for r in spark.read.parquet(f"{sf}/customer.parquet").collect()]
+    got = {r.who: r for r in catalog.QUERIES["bootstrap_permutation"](spark, sf).collect()}
+    assert got.keys() == {w for w, _, _ in rows}
+    mid = lambda v: [sum(a < b for a in v) + (sum(a == b for a in v) + 1) / 2 for b in v]
+    for who, r in got.items():
+        a, b = (mid([x[k] for x in rows if x[0] == who]) for k in (1, 2))
+        assert r.n == len(a) and r.rho == pytest.approx(np.corrcoef(a, b)[0, 1])
+        assert r.draws == 10_000 and r.p * 10_001 == pytest.approx(round(r.p * 10_001)) and r.p >= 1 / 10_001
+
+
+def test_blocks_shrink_with_the_group(spark, monkeypatch):
+    seen, mid = [], agreement._mid
+    monkeypatch.setattr(agreement, "BLOCK_VALUES", 100)
+    monkeypatch.setattr(agreement, "_mid", lambda x: seen.append(x.size) or mid(x))
+    pdf = pd.DataFrame({"g": "a", "x": np.arange(30.0), "y": np.arange(30.0) % 7})
+    applied = {}
+
+    class Frame:  # hands the group's function out instead of shipping it
+        schema = spark.createDataFrame(pdf).schema
+        select = groupBy = withColumnRenamed = lambda self, *_: self
+
+        def applyInPandas(self, f, _):
+            applied["f"] = f
+            return self
+
+    agreement.resampled(Frame(), "g", "x", "y", draws=25)
+    out = applied["f"](pdf)
+    assert max(seen) <= 100 and out["draws"].tolist() == [25]
