@@ -3,7 +3,8 @@
 A text is read as words (runs of digits, a-z after lower-casing A-Z, and characters
 beyond ASCII), so punctuation, line breaks and comment marks never hide a notice.  Each
 rule is a regex over the words joined by single spaces, has keywords that must all be
-among the text's words before the regex is tried, and a priority.  Detections are taken
+among the text's words before the regex is tried (taken from all strings that it stands
+for, so that none is turned away), and a priority.  Detections are taken
 from the highest priority down, then the longest; one that lies inside a detection
 already taken is suppressed, so "general public license" inside "lesser general public
 license" reports nothing.  Base phrases are always reported.
@@ -16,6 +17,7 @@ none; texts are read whole; other columns are never read.
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -109,28 +111,55 @@ class Rule:
     name: str
     label: str
     priority: int
-    keywords: frozenset
+    keywords: frozenset  # all among the words of a match
+    any_of: frozenset  # one at least is, if there are any
     regex: re.Pattern
 
 
-def fixed_words(pattern: str) -> set[bytes]:
-    """Words that every match of a pattern holds: those outside groups and classes, with
-    no alternative beside them."""
-    bare, depth = [], 0
-    for token in re.findall(r"\(\?:|\)[?*]?(?:\{[^}]*\})?|[^()]+", pattern):
-        if token == "(?:":
-            depth += 1
-            bare.append("\0")
-        elif token.startswith(")"):
-            depth -= 1
-            bare.append("\0")
-        elif depth == 0:
-            bare.append(token)
-    text = "".join(bare)
-    if "|" in text:
-        return set()
-    # A word beside a group or an operator may be part of a longer one.
-    return {w.encode() for w in re.findall(r"(?<![^ ])[a-z0-9]+(?![^ ])", text)}
+#: Stands for what an expansion leaves open.
+OPEN = "\0"
+PART = re.compile(r"\(\?:|[()|]|\[[^\]]*\]|\\w\+|[a-z0-9 ]")
+TIMES = re.compile(r"\?|\{(\d+),(\d+)\}")
+
+
+def expansions(pattern: str) -> set[str]:
+    """All strings that a pattern stands for, with ``OPEN`` for a run of any letters."""
+    at = 0
+
+    def choice() -> set[str]:
+        nonlocal at
+        whole, run = set(), {""}
+        while at < len(pattern) and pattern[at] != ")":
+            m = PART.match(pattern, at)
+            if not m:
+                raise ValueError(f"{pattern!r}: unknown at {at}")
+            at, token = m.end(), m[0]
+            if token == "|":
+                whole, run = whole | run, {""}
+                continue
+            if token == "(?:":
+                part = choice()
+                at += 1
+            elif token[0] == "[":
+                part = {c for c in map(chr, range(128)) if re.fullmatch(token, c)}
+            else:
+                part = {OPEN if token == "\\w+" else token}
+            if m := TIMES.match(pattern, at):
+                at = m.end()
+                low, high = (0, 1) if m[0] == "?" else (int(m[1]), int(m[2]))
+                part = {"".join(p) for k in range(low, high + 1) for p in itertools.product(part, repeat=k)}
+            run = {x + y for x in run for y in part}
+        return whole | run
+
+    return choice()
+
+
+def gate_words(pattern: str) -> tuple[set[bytes], set[bytes]]:
+    """Words that every match of a pattern holds; and where there are none, words of which every
+    match holds one."""
+    words = [{w.encode() for w in text.split() if OPEN not in w} for text in expansions(pattern)]
+    fixed = set.intersection(*words)
+    return fixed, set() if fixed or not all(words) else {max(w, key=lambda x: (len(x), x)) for w in words}
 
 
 def build_rules(families=FAMILIES) -> list[Rule]:
@@ -140,11 +169,11 @@ def build_rules(families=FAMILIES) -> list[Rule]:
         for kind, (priority, frame) in FRAMES.items():
             for k, pattern in enumerate(family[SOURCES[kind]]):
                 full = frame.format(f"(?:{pattern})") if kind != "name" else pattern
-                own = fixed_words(pattern)
+                own, any_of = gate_words(pattern)
                 keys = own | ({b"spdx", b"license", b"identifier"} if kind == "spdx" else set())
                 if kind == "title":
                     keys = keys | {b"copyright"}
-                rules.append(Rule(f"{family[0]}:{kind}{k}", family[0], priority, frozenset(keys), re.compile(f" (?={full} )".encode())))
+                rules.append(Rule(f"{family[0]}:{kind}{k}", family[0], priority, frozenset(keys), frozenset(any_of), re.compile(f" (?={full} )".encode())))
     return sorted(rules, key=lambda r: (-r.priority, r.name))
 
 
@@ -157,44 +186,44 @@ class Scanner:
     def __init__(self, rules: list[Rule] | None = None, base=BASE):
         self.rules = build_rules() if rules is None else rules
         self.base = [(label, re.compile(f" (?={phrase} )".encode()), frozenset(phrase.encode().split())) for label, phrase in base]
-        # A rule waits under its rarest-looking keyword, the longest; rules without one are always tried.
+        # A rule waits under its rarest-looking keyword, the longest, or under each word of which a
+        # match holds one; rules without either are always tried.
         self.waiting: dict[bytes, list[int]] = {}
         self.always = []
         for i, r in enumerate(self.rules):
-            if r.keywords:
-                self.waiting.setdefault(max(r.keywords, key=lambda w: (len(w), w)), []).append(i)
-            else:
-                self.always.append(i)
-        # Rules whose words are all alternatives: gated by any word of theirs.
-        loose: dict[int, set[bytes]] = {i: {w.encode() for w in re.findall(r"[a-z]{3,}", self.rules[i].regex.pattern.decode())} for i in self.always}
-        self.always = [i for i in self.always if not loose[i]]
-        for i, words in loose.items():
+            words = [max(r.keywords, key=lambda w: (len(w), w))] if r.keywords else r.any_of
             for w in words:
                 self.waiting.setdefault(w, []).append(i)
+            if not words:
+                self.always.append(i)
         self.gate = frozenset(self.waiting)
         self.whole = [re.compile(r.regex.pattern[len(b" (?=") : -len(b" )")] + b"(?= )") for r in self.rules]
 
+    def tried(self, have: set[bytes]) -> list[int]:
+        """Rules that a text with these words may match."""
+        waiting = {i for w in self.gate & have for i in self.waiting[w]}
+        return sorted(i for i in {*self.always, *waiting} if self.rules[i].keywords <= have)
+
     def scan(self, text: bytes) -> tuple[int, list[tuple[str, int]], list[tuple[str, str, int, int, int]]]:
         """Number of words; base places; detections kept: label, rule, first and last
         word, priority."""
         words = text.lower().translate(self.TABLE).split()
         have = set(words)
-        hit = self.gate & have
+        tried = self.tried(have)
         phrases = [(label, regex) for label, regex, keys in self.base if keys <= have]
-        if not hit and not phrases:
+        if not tried and not phrases:
             return len(words), [], []
         joined = b" " + b" ".join(words) + b" "
         spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
         base = [(label, int(np.searchsorted(spaces, m.start()))) for label, regex in phrases for m in regex.finditer(joined)]
         found = []
-        for i in sorted({*self.always, *(i for w in hit for i in self.waiting[w])}):
+        for i in tried:
             rule = self.rules[i]
-            if rule.keywords <= have:
-                for m in rule.regex.finditer(joined):
-                    at = m.start() + 1
-                    end = self.whole[i].match(joined, at).end()
-                    first, last = np.searchsorted(spaces, (at, end)).tolist()
-                    found.append((rule.priority, first - 1, last - 1, rule))
+            for m in rule.regex.finditer(joined):
+                at = m.start() + 1
+                end = self.whole[i].match(joined, at).end()
+                first, last = np.searchsorted(spaces, (at, end)).tolist()
+                found.append((rule.priority, first - 1, last - 1, rule))
         found.sort(key=lambda d: (-d[0], d[1] - d[2], d[1], d[3].name))
         kept, starts, ends = [], [], []  # of the taken that lie in no other taken, in order
         for priority, first, last, rule in found:
