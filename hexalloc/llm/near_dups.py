@@ -13,8 +13,8 @@ Steps, each ending in a table of the shared folder:
    stay, with other centers.
 4. What is left is settled exactly: in each such bucket, all members outside its largest
    component are held against all others, in blocks of bounded size, first by registers; a
-   pair that the estimate can't rule out (``MARGIN`` below the threshold, three standard
-   errors) is confirmed on full sets, and no cap is set on how many are.  Blocks of a large
+   pair that the estimate can't rule out (it is less than six standard errors below the
+   threshold, see ``least_estimate``) is confirmed on full sets, and no cap is set on how many are.  Blocks of a large
    bucket hold the sets themselves and give out links only; those of a small one give out
    pairs, so that few sets move.
 5. Links become components by large-star and small-star rounds over salted joins.
@@ -37,13 +37,21 @@ from pyspark.sql import types as T
 from . import common, sketches
 
 STAR_ROUNDS = 2
-MARGIN = 0.07
+#: Standard errors below the threshold from which on an estimate rules a pair out.
+ERRORS = 6
 SALTS = 64
 BLOCK_STRAYS, BLOCK_MEMBERS = 512, 2048
 #: Members of a bucket from which on its blocks hold the sets.
 LARGE = 48
 
 
+def least_estimate(percent: int) -> float:
+    """The estimate below which a pair is ruled out: a pair at the threshold falls there with a
+    probability of 9e-9 (0.80) or 2e-8 (0.85), a more similar one more rarely."""
+    t = percent / 100
+    return t - ERRORS * (t * (1 - t) / sketches.REGISTERS) ** 0.5
+
+
 def features(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """``id, n, class, sketch``; class and sketch are null for an empty set."""
 
@@ -112,7 +120,7 @@ def confirm(pairs: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
     wanted = dealt.select("c", "salt", F.col("a").alias("id"), F.lit(1).alias("role")).unionAll(dealt.select("c", "salt").distinct().select("c", "salt", F.col("c").alias("id"), F.lit(0).alias("role")))
     rows = wanted.join(payload, "id").select("c", "salt", "role", "id", "sketch", "shingles")
     rows = rows.repartition("c", "salt").sortWithinPartitions("c", "salt", "role")
-    least = percent / 100 - MARGIN
+    least = least_estimate(percent)
 
     def run(batches):
         key, sketch, held = None, None, None
@@ -185,7 +193,7 @@ def leftover(entries: DataFrame, payload: DataFrame, percent: int, work: common.
     members = e.select("key", F.explode(F.sequence(F.lit(0), stray_blocks - 1)).alias("i"), mine(member_blocks).alias("j"), F.lit(1).alias("role"), "id", "component", large)
     rows = strays.unionAll(members).join(payload, "id").select("key", "i", "j", "role", "id", "component", "sketch", F.when(F.col("large"), F.col("shingles")).alias("shingles"))
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
-    least = percent / 100 - MARGIN
+    least = least_estimate(percent)
 
     def run(batches):
         key, ids, comps, regs, sets, keys = None, [], [], [], [], None
