@@ -13,8 +13,8 @@ Scripts, styles, comments and the like are no tokens.  Character references are
 white space (Unicode's) inside a block becomes one space, and blocks are joined by one line feed.
 
 Edge cases: null or empty html, and pages without a word that scores, give an empty text;
-a page that breaks off inside a tag, comment or script ends there; unclosed elements end
-with what encloses them; repeated rows give repeated results; an empty table gives none;
+a page that breaks off inside a tag, comment or script ends there; unclosed elements, hidden
+ones too, end with what encloses them, and self-closed ones are empty; repeated rows give repeated results; an empty table gives none;
 other columns are never read.
 """
 
@@ -32,8 +32,12 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Elements whose text is not shown, and those that only hold controls.
-HIDDEN = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "title", "textarea", "select", "button", "audio", "video")
+#: Elements whose content is no markup, and runs to their end tag or the page's end.
+RAW = ("script", "style", "noscript", "iframe", "title", "textarea")
+#: Other elements whose text is not shown, or that only hold controls; unclosed ones end with what encloses them.
+HIDDEN = frozenset(("template", "svg", "math", "object", "canvas", "select", "button", "audio", "video"))
+#: A start tag of a block ends the first, unless it is inside one of the second.
+FOREIGN, EMBEDDED = ("svg", "math"), ("foreignobject", "desc", "annotation-xml")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
@@ -43,7 +47,7 @@ SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr":
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(" + "|".join(HIDDEN) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"|<(" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</\1\s*>|\Z)|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^>]*(?:>|\Z))",
     re.S | re.I,
@@ -78,12 +82,13 @@ def kinds_of(name: str, attributes: str) -> frozenset:
 def segments(page: str) -> list[Segment]:
     """Tokens of a page, with the kinds of all elements around each."""
     out: list[Segment] = []
-    stack: list[tuple[str, frozenset]] = []  # name; kinds of it and all around it
+    stack: list[tuple[str, frozenset, bool]] = []  # name; kinds of it and all around it; whether not shown
     around: frozenset = frozenset()
+    hidden = False
     block, at = 0, 0
 
     def text(to: int) -> None:
-        if to > at:
+        if to > at and not hidden:
             out.append(Segment(block, around, page[at:to]))
 
     for m in TOKEN.finditer(page):
@@ -92,8 +97,6 @@ def segments(page: str) -> list[Segment]:
         name = (m[3] or "").lower()
         if not name:
             continue
-        if name in BLOCKS:
-            block += 1
         if m[2]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -101,11 +104,17 @@ def segments(page: str) -> list[Segment]:
                     break
         else:
             if name in BLOCKS:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] in FOREIGN:
+                        del stack[k:]
+                        break
+                    if stack[k][0] in EMBEDDED:
+                        break
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p":
                         del stack[k:]
                         break
-                    if stack[k][0] in BLOCKS:
+                    if stack[k][0] in BLOCKS or stack[k][0] in HIDDEN or stack[k][0] in EMBEDDED:
                         break
             if name in SELF_CLOSING:
                 for k in range(len(stack) - 1, -1, -1):
@@ -115,9 +124,13 @@ def segments(page: str) -> list[Segment]:
                     if stack[k][0] in SELF_CLOSING[name]:
                         break
             if name not in VOID and not m[4].endswith("/>"):
-                outer = stack[-1][1] if stack else frozenset()
-                stack.append((name, outer | kinds_of(name, m[4])))
-        around = stack[-1][1] if stack else frozenset()
+                outer, unseen = stack[-1][1:] if stack else (frozenset(), False)
+                stack.append((name, outer | kinds_of(name, m[4]), unseen or name in HIDDEN))
+        around, hidden = stack[-1][1:] if stack else (frozenset(), False)
+        if hidden or name in HIDDEN:
+            continue
+        if name in BLOCKS:
+            block += 1
         out.append(Segment(block, around, None, name))
         if name in ("br", "td", "th"):
             out.append(Segment(block, around, " "))
