@@ -3,7 +3,8 @@
 A page becomes a row of tokens.  Words score for what they stand in: each kind of element
 (its name, and the words of its class, id and role) has a weight learned from labelled
 pages, the log-odds of words below it being content; a word takes the least weight of the
-elements around it, and a positive base weight where none speaks against it.  Tags score
+elements around it, and a positive base weight where none speaks against it; the class, id
+or role of an element that wraps the page's text (``Weights.wrappers``) is not held against it.  Tags score
 zero or less, by how often their kind stands in content.  One linear scan (Kadane's) finds
 the contiguous run with the highest sum; its blocks, less words that score below zero
 (an advert or a form amid the article), are the text.  Equal sums take the longer run, so
@@ -69,6 +70,7 @@ class Segment:
     kinds: frozenset
     text: str | None  # None: a tag
     tag: str = ""
+    path: tuple = ()  # number and own kinds of each element around it
 
 
 def kinds_of(name: str, attributes: str) -> frozenset:
@@ -82,14 +84,14 @@ def kinds_of(name: str, attributes: str) -> frozenset:
 def segments(page: str) -> list[Segment]:
     """Tokens of a page, with the kinds of all elements around each."""
     out: list[Segment] = []
-    stack: list[tuple[str, frozenset, bool]] = []  # name; kinds of it and all around it; whether not shown
-    around: frozenset = frozenset()
-    hidden = False
+    # Name; kinds of it and all around it; whether not shown; path.
+    stack: list[tuple[str, frozenset, bool, tuple]] = []
+    around, hidden, path = top = frozenset(), False, ()
     block, at = 0, 0
 
     def text(to: int) -> None:
         if to > at and not hidden:
-            out.append(Segment(block, around, page[at:to]))
+            out.append(Segment(block, around, page[at:to], path=path))
 
     for m in TOKEN.finditer(page):
         text(m.start())
@@ -124,16 +126,17 @@ def segments(page: str) -> list[Segment]:
                     if stack[k][0] in SELF_CLOSING[name]:
                         break
             if name not in VOID and not m[4].endswith("/>"):
-                outer, unseen = stack[-1][1:] if stack else (frozenset(), False)
-                stack.append((name, outer | kinds_of(name, m[4]), unseen or name in HIDDEN))
-        around, hidden = stack[-1][1:] if stack else (frozenset(), False)
+                outer, unseen, above = stack[-1][1:] if stack else top
+                own = kinds_of(name, m[4])
+                stack.append((name, outer | own, unseen or name in HIDDEN, (*above, (m.start(), own))))
+        around, hidden, path = stack[-1][1:] if stack else top
         if hidden or name in HIDDEN:
             continue
         if name in BLOCKS:
             block += 1
         out.append(Segment(block, around, None, name))
         if name in ("br", "td", "th"):
-            out.append(Segment(block, around, " "))
+            out.append(Segment(block, around, " ", path=path))
     text(len(page))
     return out
 
@@ -142,6 +145,28 @@ def segments(page: str) -> list[Segment]:
 class Weights:
     words: dict[str, float]  # of kinds of elements
     tags: dict[str, float]
+    holders: frozenset = frozenset()  # kinds that held all content of a page, and nothing else anywhere
+
+    def against(self, kinds) -> set:
+        return {k for k in kinds if self.words.get(k, 0.0) < 0}
+
+    def wrappers(self, tokens: list[Segment]) -> set:
+        """Elements whose class, id or role speaks of the page rather than against the words below:
+        they hold all of its holders' words and half of all, or without holders four fifths of all.
+        Words that an element's name speaks against don't count."""
+        total, held, counts, suspects = 0, 0, Counter(), {}
+        for s in tokens:
+            n = len(s.text.split()) if s.text is not None else 0
+            against = [self.against(own) for _, own in s.path] if n else []
+            if not n or any(not k.startswith(".") for found in against for k in found):
+                continue
+            holds = any(own & self.holders and not found for (_, own), found in zip(s.path, against))
+            total, held = total + n, held + n * holds
+            for (e, _), found in zip(s.path, against):
+                if found:
+                    a, b = suspects.get(e, (0, 0))
+                    suspects[e] = (a + n, b + n * holds)
+        return {e for e, (a, b) in suspects.items() if (b == held and 2 * a >= total if held else 5 * a >= 4 * total)}
 
     def word(self, kinds: frozenset) -> float:
         found = [self.words[k] for k in kinds if k in self.words]
@@ -152,6 +177,7 @@ class Weights:
 def fit(labelled) -> Weights:
     """``labelled``: pairs of a page and the blocks of its main text."""
     inside, outside, tag_in, tag_out = Counter(), Counter(), Counter(), Counter()
+    around_all: set = set()
     for page, blocks in labelled:
         wanted = {" ".join(b.split()) for b in blocks}
         tokens = segments(page)
@@ -160,6 +186,7 @@ def fit(labelled) -> Weights:
             if s.text is not None:
                 whole[s.block] = whole.get(s.block, "") + s.text
         content = {b for b, t in whole.items() if " ".join(html.unescape(t).split()) in wanted}
+        around_all |= frozenset.intersection(*[s.kinds for s in tokens if s.text is not None and s.block in content and s.text.split()] or [frozenset()])
         for s in tokens:
             if s.text is None:
                 (tag_in if s.block in content else tag_out)[s.tag] += 1
@@ -173,21 +200,22 @@ def fit(labelled) -> Weights:
         # What holds content somewhere isn't held against the words below it.
         words[k] = max(-LIMIT, min(LIMIT, w)) if not inside[k] else max(0.0, min(LIMIT, w))
     tags = {k: min(0.0, max(-LIMIT, math.log((tag_in[k] + 0.5) / (tag_out[k] + 0.5)))) * AGAINST if not tag_in[k] else 0.0 for k in tag_in.keys() | tag_out.keys()}
-    return Weights(words, tags)
+    return Weights(words, tags, frozenset(k for k in around_all if not outside[k]))
 
 
 def extract(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     tokens = segments(page)
+    wrappers = weights.wrappers(tokens)
     scores, known = [], {}
     for s in tokens:
         if s.text is None:
             scores.append(weights.tags.get(s.tag, 0.0))
         else:
-            if s.kinds not in known:
-                known[s.kinds] = weights.word(s.kinds)
-            scores.append(known[s.kinds] * len(s.text.split()))
+            if s.path not in known:
+                known[s.path] = weights.word(frozenset().union(*(own - {k for k in weights.against(own) if e in wrappers} for e, own in s.path)))
+            scores.append(known[s.path] * len(s.text.split()))
     best, first, last = 0.0, 0, 0
     total, begin = 0.0, 0
     for i, score in enumerate(scores):
@@ -198,7 +226,7 @@ def extract(page: str | None, weights: Weights) -> str:
             best, first, last = total, begin, i + 1
     blocks: dict[int, list[str]] = {}
     for s in tokens[first:last]:
-        if s.text is not None and known[s.kinds] > 0:
+        if s.text is not None and known[s.path] > 0:
             blocks.setdefault(s.block, []).append(s.text)
     lines = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n".join(line for line in lines if line)
