@@ -55,13 +55,15 @@ def tidied(run: Callable) -> Callable:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local
-    one where the session names none (tests and single-machine runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's.
+    Where neither is set, a local folder on a single machine (tests); an error on a cluster."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf = os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.sparkContext.setCheckpointDir(conf)
     return conf
@@ -174,6 +176,14 @@ def filter_texts(docs: DataFrame, make: Callable[[], Callable[[pa.Array], np.nda
     return docs.mapInArrow(tidied(run), docs.schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as it takes not to be one of a table's columns."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
 def few_values(df: DataFrame, column: str, most: int) -> list:
     """The values of a column, in order; an error where there are more than ``most``."""
     found = [r[0] for r in df.select(column).distinct().limit(most + 1).collect()]

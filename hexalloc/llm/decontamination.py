@@ -12,11 +12,12 @@ ranks in the wavelet matrix.  Rows of the windows found are walked back to a sam
 position, and the word spans merged; they are what a removal would cut.
 
 The benchmark is a set of queries held against all rows: it is read in blocks of at most
-``BLOCK_WORDS`` words, each broadcast and searched by a scan of its own.
+``BLOCK_WORDS`` words, one after the other, each broadcast and searched by a scan of its own.
 
-Edge cases: null texts and items have no words; an item without id marks words but is not
-listed; rows of the benchmark with one id are one item; repeated documents give repeated
-results; an empty benchmark marks nothing; an empty table gives none.
+Item ids are of any type and are listed as strings.  Edge cases: null texts and items have no
+words; an item without id marks words but is not listed; rows of the benchmark with one id are
+one item; repeated documents give repeated results; an empty benchmark marks nothing; an empty
+table gives none; other columns, whatever their names, come through unchanged.
 """
 
 from __future__ import annotations
@@ -49,11 +50,11 @@ class Queries:
     vocabulary: dict[bytes, int]  # symbols from 1
     windows: np.ndarray  # windows x WINDOW, aligned right, BREAK before shorter ones
     lengths: np.ndarray
-    owners: np.ndarray  # item ids by window, and where a window's begin
+    owners: list[str]  # item ids by window, and where a window's begin
     offsets: np.ndarray
 
 
-def build_queries(items: list[tuple[int | None, str | None]], size: int = WINDOW) -> Queries:
+def build_queries(items: list[tuple[str | None, str | None]], size: int = WINDOW) -> Queries:
     vocabulary: dict[bytes, int] = {}
     windows: dict[tuple, set] = {}
     for item, text in items:
@@ -69,7 +70,7 @@ def build_queries(items: list[tuple[int | None, str | None]], size: int = WINDOW
         vocabulary,
         table,
         np.fromiter(map(len, keys), np.int64, len(keys)),
-        np.array([x for o in owners for x in o], np.int64),
+        [x for o in owners for x in o],
         np.concatenate([[0], np.cumsum([len(o) for o in owners])]).astype(np.int64),
     )
 
@@ -215,9 +216,10 @@ def search_shard(texts: list[bytes], queries: Queries) -> tuple[np.ndarray, np.n
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_WORDS) -> Iterator[list]:
-    """The benchmark in blocks of at most ``limit`` words (about eight bytes each)."""
+    """The benchmark in blocks of at most ``limit`` words (about six bytes each), as they are used:
+    the driver holds one block and one partition of the benchmark."""
     rows, size = [], 0
-    for r in benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
+    for r in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         n = len(r.t or "") // 6 + 1
         if rows and size + n > limit:
             yield rows
@@ -228,37 +230,52 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_
         yield rows
 
 
-SPANS, ITEMS, COUNT = "__spans", "__items", "__words"
+SPAN = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
+MARKS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
-    """All columns of ``docs``, with the number of words (``__words``), removal spans
-    (``__spans``: first and last word, merged, in order) and item ids (``__items``)."""
+def mark(docs: DataFrame, benchmark: DataFrame, into: str = "marks", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
+    """All columns of ``docs`` and a struct ``into``: the number of words, removal spans (first and
+    last word, merged, in order) and the ids, as strings, of items with a window in the text.
+
+    ``into`` must not be a column of ``docs``.  Blocks beyond the first read what the block before
+    has written, so one block is broadcast at a time."""
     spark = docs.sparkSession
     common.ship(spark)
-    span = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
-    out = docs.withColumns({COUNT: F.lit(0).cast("long"), SPANS: F.array().cast(T.ArrayType(span)), ITEMS: F.array().cast(T.ArrayType(T.LongType()))})
+    if common.fresh(docs, into) != into:
+        raise ValueError(f"{into} is a column of the documents")
+    out = docs.withColumn(into, F.lit(None).cast(MARKS))
     schema = T.StructType(out.schema.fields)
-    for rows in [*blocks(benchmark, item_id, item_text)] or [[]]:
+    found = blocks(benchmark, item_id, item_text)
+    rows, before, held = next(found, []), None, None
+    while rows is not None:
         held = spark.sparkContext.broadcast(build_queries(rows, size))
 
         def run(batches, held=held):
             for whole in batches:
                 for b in common.chunks(whole, text_col):
-                    yield search_batch(b, text_col, held.value)
+                    yield search_batch(b, text_col, into, held.value)
 
         out = out.mapInArrow(common.tidied(run), schema)
+        rows = next(found, None)
+        if rows is not None:
+            work = common.Workspace(spark, "marked")
+            out = work.write(out, "block")
+            held.destroy()
+            if before:
+                before.clear()
+            before = work
     return out
 
 
-def search_batch(b: pa.RecordBatch, text_col: str, queries: Queries) -> pa.RecordBatch:
+def search_batch(b: pa.RecordBatch, text_col: str, into: str, queries: Queries) -> pa.RecordBatch:
     raw, off = common.flat(b.column(b.schema.get_field_index(text_col)))
     raw, off = raw.tobytes(), off.tolist()
     sizes, first, length, text, window = search_shard([raw[x:y] for x, y in zip(off, off[1:])], queries)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    old_spans = b.column(b.schema.get_field_index(SPANS)).to_pylist()
-    old_items = b.column(b.schema.get_field_index(ITEMS)).to_pylist()
-    touched = {i for i, s in enumerate(old_spans) if s} | set(text.tolist())
+    at = b.schema.get_field_index(into)
+    old = b.column(at).to_pylist()
+    touched = {i for i, m in enumerate(old) if m and m["spans"]} | set(text.tolist())
     spans, items = [[] for _ in sizes], [[] for _ in sizes]
     order = np.argsort(text, kind="stable")
     cuts = np.searchsorted(text[order], np.arange(len(sizes) + 1))
@@ -267,33 +284,41 @@ def search_batch(b: pa.RecordBatch, text_col: str, queries: Queries) -> pa.Recor
         cover = np.zeros(sizes[i] + 1, np.int64)
         np.add.at(cover, first[mine] - bounds[i], 1)
         np.add.at(cover, first[mine] - bounds[i] + length[mine], -1)
-        for s in old_spans[i]:
+        for s in old[i]["spans"] if old[i] else ():
             cover[s["first"]] += 1
             cover[s["last"] + 1] -= 1
         hit = np.append(0, (np.cumsum(cover)[:-1] > 0).astype(np.int8))
         edge = np.diff(np.append(hit, 0))
         spans[i] = [{"first": int(a), "last": int(z) - 1} for a, z in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
-        w = np.unique(window[mine])
-        ids = {int(x) for k in w for x in queries.owners[queries.offsets[k] : queries.offsets[k + 1]]}
-        items[i] = sorted(ids | set(old_items[i]))
-    new = {COUNT: pa.array(sizes), SPANS: pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ITEMS: pa.array(items, pa.list_(pa.int64()))}
-    return pa.RecordBatch.from_arrays([new.get(n, b.column(i)) for i, n in enumerate(b.schema.names)], names=b.schema.names)
+        ids = {queries.owners[x] for k in np.unique(window[mine]) for x in range(queries.offsets[k], queries.offsets[k + 1])}
+        items[i] = sorted(ids | set(old[i]["items"] if old[i] else ()))
+    marks = pa.StructArray.from_arrays([pa.array(sizes), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], ["n_words", "spans", "items"])
+    return pa.RecordBatch.from_arrays([marks if i == at else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
+
+
+def hit_words(marks: str):
+    return F.aggregate(f"{marks}.spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+
+
+def contaminated(marks: str):
+    """A twentieth or more of a text's words stand in windows."""
+    hit = hit_words(marks)
+    return (hit > 0) & (20 * hit >= F.col(f"{marks}.n_words"))
 
 
-def verdicts(marked: DataFrame) -> DataFrame:
-    """Adds ``n_words, n_hit, n_items, items_sha256, contaminated`` to marked rows."""
-    hit = F.aggregate(SPANS, F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
-    names = F.array_join(F.array_sort(F.transform(ITEMS, lambda x: x.cast("string"))), ",")
-    return marked.withColumns({"n_hit": hit, "n_items": F.size(ITEMS).cast("long"), "items_sha256": F.sha2(names.cast("binary"), 256)}).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col(COUNT)))
+def verdicts(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``id, n_words, n_hit, n_items, items_sha256, contaminated`` of every row."""
+    m = common.fresh(docs.select(id_col, text_col), "marks")
+    marked = mark(docs.select(id_col, text_col), benchmark, m, text_col, **options)
+    names = F.array_join(F.array_sort(f"{m}.items"), ",")
+    return marked.select(id_col, F.col(f"{m}.n_words").alias("n_words"), hit_words(m).alias("n_hit"), F.size(f"{m}.items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), contaminated(m).alias("contaminated"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows, with all their columns, that are not contaminated."""
-    hit = F.aggregate(SPANS, F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
-    return mark(docs, benchmark, text_col).where(~((hit > 0) & (20 * hit >= F.col(COUNT)))).select(*docs.columns)
+    m = common.fresh(docs, "marks")
+    return mark(docs, benchmark, m, text_col, **options).where(~contaminated(m)).drop(m)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    got = verdicts(mark(docs, common.table(spark, sf_dir, "benchmark")))
-    return got.select("doc_id", F.col(COUNT).alias("n_words"), "n_hit", "n_items", "items_sha256", "contaminated")
+    return verdicts(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))

@@ -169,7 +169,7 @@ def test_pipeline(spark):
     groups = brute_groups([(i, rows[i].text) for i in sorted(left)], 5, 80)
     left = {i for i in left if groups[i][1] == i}
     stage = docs.where(docs.doc_id.isin(*left))
-    dirty = {r.doc_id for r in decontamination.verdicts(decontamination.mark(stage, spark.read.parquet(f"{sf}/benchmark.parquet"))).where("contaminated").collect()}
+    dirty = {r.doc_id for r in decontamination.verdicts(stage, spark.read.parquet(f"{sf}/benchmark.parquet")).where("contaminated").collect()}
     left -= dirty
     assert dirty
     want = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digest_documents(docs.where(docs.doc_id.isin(*left))).collect()}

@@ -274,8 +274,8 @@ def brute_windows(docs, items, size=13):
 
 
 def verdict_rows(docs, bench):
-    got = decontamination.verdicts(decontamination.mark(docs, bench))
-    return {r.doc_id: (r["__words"], r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()}
+    got = decontamination.verdicts(docs, bench)
+    return {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()}
 
 
 def test_decontamination(spark):
@@ -285,6 +285,19 @@ def test_decontamination(spark):
     assert verdict_rows(docs, bench) == want and any(x[1] for x in want.values())
 
 
+def test_decontamination_names_and_ids(spark):
+    """Columns with the operator's own names come through, and item ids may be strings."""
+    rows = [(i, t, f"w{i}", [i], "m", None) for i, t in enumerate(("One two", "no match here", None))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, marks string, items array<int>, n_words string, Marks_ string")
+    bench = spark.createDataFrame([("b-7", "one two"), ("a", "ONE"), ("a", "other")], "item_id string, text string")
+    got = {r.doc_id: r for r in decontamination.verdicts(docs, bench).collect()}
+    assert (got[0].n_items, got[0].items_sha256) == (2, hashlib.sha256(b"a,b-7").hexdigest()) and got[0].contaminated
+    kept = decontamination.keep_clean(docs, bench)
+    assert kept.schema == docs.schema and sorted(map(tuple, kept.collect())) == [tuple(r) for r in rows[1:]]
+    with pytest.raises(ValueError):
+        decontamination.mark(docs, bench)
+
+
 @pytest.mark.parametrize("block", [3, 2_000_000])
 def test_decontamination_edges(spark, edges, nothing, monkeypatch, block):
     monkeypatch.setattr(decontamination.blocks, "__defaults__", (block,))
