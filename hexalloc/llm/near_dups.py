@@ -3,9 +3,9 @@
 Steps, each ending in a table of the shared folder:
 
 1. One pass over the texts makes, for each document, the size and a 128-bit digest of its
-   shingle set, and its registers.  Documents with equal sets are one class, spoken for by
-   their smallest id; only these go on.
-2. Forty bands of six registers each put every representative into forty buckets.  A pair
+   shingle set, and its registers.  Documents with equal sets are one class, a node with a
+   number of its own; only nodes go on.
+2. Forty bands of six registers each put every node into forty buckets.  A pair
    at the threshold shares no bucket with a probability below 1e-8 (0.85) or 6e-6 (0.8).
 3. Buckets are linked by stars, never by pairs: in each round a member is held against one
    center of its buckets.  The collision-corrected estimate goes first, then the full sets
@@ -17,12 +17,14 @@ Steps, each ending in a table of the shared folder:
    threshold, see ``least_estimate``) is confirmed on full sets, and no cap is set on how many are.  Blocks of a large
    bucket hold the sets themselves and give out links only; those of a small one give out
    pairs, so that few sets move.
-5. Links become components by large-star and small-star rounds over salted joins.
-
-Ids are integers.  Edge cases: a null text or one without words has an empty set, is linked
-with nothing and is its own component; rows that share an id are one document and stand or
-fall together; a null id has a null component, takes part in no link and is kept; an empty
-table gives none; other columns are never read.
+5. Links, and the classes of one id, become components by large-star and small-star rounds over
+   salted joins; a component has the smallest id of its nodes.
+
+Ids are of any type with an order (strings go by their bytes).  Edge cases: a null text or one
+without words has an empty set, is linked with nothing and is its own component; rows that share
+an id are one document with several texts: each text is compared, and they stand or fall
+together; a null id has a null component, takes part in no link and is kept; an empty
+table gives none; other columns, whatever their names, are never read.
 """
 
 from __future__ import annotations
@@ -53,7 +55,8 @@ def least_estimate(percent: int) -> float:
 
 
 def features(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, n, class, sketch``; class and sketch are null for an empty set."""
+    """``id, h, n, class, sketch``: ``h`` is a hash of the text; class and sketch are null for an
+    empty set."""
 
     def make():
         sets = sketches.Sets(size)
@@ -72,11 +75,12 @@ def features(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
         return work
 
     fields = [("n", T.LongType()), ("class", T.BinaryType()), ("sketch", T.BinaryType())]
-    return common.map_texts(docs, make, fields, id_col, text_col).withColumnRenamed(id_col, "id").withColumn("id", F.col("id").cast("long"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    return common.map_texts(rows, make, fields, "id", "text", keep=["h"])
 
 
-def bands(reps: DataFrame) -> DataFrame:
-    """``key, id``: the buckets of each representative."""
+def bands(nodes: DataFrame) -> DataFrame:
+    """``key, id``: the buckets of each node (``id, sketch``)."""
 
     def run(batches):
         for b in batches:
@@ -86,14 +90,15 @@ def bands(reps: DataFrame) -> DataFrame:
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, keys.shape[1]))], names=["key", "id"])
 
-    return reps.select("id", "sketch").mapInArrow(common.tidied(run), "key long, id long")
+    return nodes.select("id", "sketch").mapInArrow(common.tidied(run), "key long, id long")
 
 
 def payloads(docs: DataFrame, active: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, sketch, shingles`` of the active representatives (``id, class``), whose set is made again from the text."""
-    a = active.select(F.col("id").alias("a_id"), F.col("class").alias("a_class")).hint("shuffle_hash")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    wanted = texts.join(a, F.col("id") == F.col("a_id")).select("id", "text", "a_class")
+    """``id, sketch, shingles`` of the active nodes (``id, doc, h, class``), whose set is made again
+    from the text of the document ``doc`` that has the hash ``h``."""
+    a = active.select(F.col("id").alias("a_id"), F.col("doc").alias("a_doc"), F.col("h").alias("a_h"), F.col("class").alias("a_class")).hint("shuffle_hash")
+    texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
+    wanted = texts.join(a, (F.col("doc") == F.col("a_doc")) & (F.col("h") == F.col("a_h"))).select(F.col("a_id").alias("id"), "text", "a_class")
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
 
     def run(batches):
@@ -123,16 +128,16 @@ def confirm(pairs: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
     least = least_estimate(percent)
 
     def run(batches):
-        key, sketch, held = None, None, None
+        key, sketch, held = None, None, np.zeros(0, np.uint64)
         for b in batches:
             c, salt, role, ids = (b.column(i).to_pylist() for i in range(4))
             out_a, out_c = [], []
             for i in range(b.num_rows):
-                regs = np.frombuffer(b.column(4)[i].as_py(), np.uint16)
+                regs, mine = np.frombuffer(b.column(4)[i].as_py(), np.uint16), np.frombuffer(b.column(5)[i].as_py(), np.uint64)
                 if role[i] == 0:
-                    key, sketch, held = (c[i], salt[i]), regs, np.frombuffer(b.column(5)[i].as_py(), np.uint64)
-                elif (c[i], salt[i]) == key and sketches.estimate(regs[None], sketch[None])[0] >= least:
-                    if sketches.linked(np.frombuffer(b.column(5)[i].as_py(), np.uint64), held, percent):
+                    key, sketch, held = (c[i], salt[i]), regs, mine
+                elif (c[i], salt[i]) == key and sketches.estimate(regs, sketch, len(mine), len(held)) >= least:
+                    if sketches.linked(mine, held, percent):
                         out_a.append(ids[i])
                         out_c.append(c[i])
             if out_a:
@@ -191,32 +196,33 @@ def leftover(entries: DataFrame, payload: DataFrame, percent: int, work: common.
     large = (F.col("n") >= LARGE).alias("large")
     strays = e.where("component != main").select("key", mine(stray_blocks).alias("i"), F.explode(F.sequence(F.lit(0), member_blocks - 1)).alias("j"), F.lit(0).alias("role"), "id", "component", large)
     members = e.select("key", F.explode(F.sequence(F.lit(0), stray_blocks - 1)).alias("i"), mine(member_blocks).alias("j"), F.lit(1).alias("role"), "id", "component", large)
-    rows = strays.unionAll(members).join(payload, "id").select("key", "i", "j", "role", "id", "component", "sketch", F.when(F.col("large"), F.col("shingles")).alias("shingles"))
+    rows = strays.unionAll(members).join(payload, "id").select("key", "i", "j", "role", "id", "component", "sketch", (F.octet_length("shingles") / 8).cast("long").alias("n"), F.when(F.col("large"), F.col("shingles")).alias("shingles"))
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
     least = least_estimate(percent)
 
     def run(batches):
-        key, ids, comps, regs, sets, keys = None, [], [], [], [], None
+        key, ids, comps, regs, sizes, sets, keys = None, [], [], [], [], [], None
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(6)]
+            cols = [b.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 5, 7)]
             out_a, out_c, out_sure = [], [], []
-            for at, (k, i, j, role, node, comp) in enumerate(zip(*cols)):
+            for at, (k, i, j, role, node, comp, n) in enumerate(zip(*cols)):
                 mine = np.frombuffer(b.column(6)[at].as_py(), np.uint16)
-                held = b.column(7)[at].as_py()
+                held = b.column(8)[at].as_py()
                 held = None if held is None else np.frombuffer(held, np.uint64)
                 if key != (k, i, j):
-                    key, ids, comps, regs, sets, keys = (k, i, j), [], [], [], [], None
+                    key, ids, comps, regs, sizes, sets, keys = (k, i, j), [], [], [], [], [], None
                 if role == 0:
                     ids.append(node)
                     comps.append(comp)
                     regs.append(mine)
+                    sizes.append(n)
                     sets.append(held)
                 elif len(ids):
                     if keys is None:
-                        ids, comps, regs = np.array(ids), np.array(comps), np.array(regs)
+                        ids, comps, regs, sizes = np.array(ids), np.array(comps), np.array(regs), np.array(sizes)
                         keys = sketches.band_keys(regs)
                     near = np.flatnonzero(comps != comp)
-                    near = near[sketches.estimate(regs[near], mine[None]) >= least]
+                    near = near[sketches.estimate(regs[near], mine, sizes[near], n) >= least]
                     if len(near):
                         # A pair speaks in the first bucket that it shares.
                         same = keys[near] == sketches.band_keys(mine[None])
@@ -237,18 +243,22 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
     spark = docs.sparkSession
     common.ship(spark)
     work = common.Workspace(spark, "near_dups")
-    feats = common.materialise(features(docs, size, id_col, text_col), "near_features")
-    classes = work.write(feats.where("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("rep")), "classes")
-    nodes = classes.groupBy(F.col("rep").alias("id")).agg(F.min("class").alias("class"))
-    reps = feats.select("id", "class", "sketch").join(nodes, ["id", "class"]).dropDuplicates(["id"])
-    entries = work.write(bands(reps), "entries")
+    # A row's number, once it is written down; a class goes by the least of its rows'.
+    feats = common.materialise(features(docs, size, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "near_features")
+    there = feats.where("class is not null and id is not null")
+    classes = work.write(there.groupBy("class").agg(F.min("row").alias("node"), F.min("id").alias("least")), "classes")
+    nodes = work.write(there.select(F.col("row").alias("id"), F.col("id").alias("doc"), "h", "class", "sketch").join(classes.select(F.col("node").alias("id")), "id", "left_semi"), "nodes")
+    entries = work.write(bands(nodes), "entries")
     buckets = work.write(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("center")).where("n > 1").select("key", "center"), "buckets")
     active = work.write(entries.join(buckets, "key"), "active")
-    ids = active.select("id").distinct().join(nodes, "id")
-    payload = work.write(payloads(docs, ids, size, id_col, text_col).dropDuplicates(["id"]), "payloads")
-
-    links = spark.createDataFrame([], "a long, c long")
-    found = spark.createDataFrame([], "id long, component long")
+    wanted = nodes.drop("sketch").join(active.select("id").distinct(), "id", "left_semi")
+    payload = work.write(payloads(docs, wanted, size, id_col, text_col).dropDuplicates(["id"]), "payloads")
+
+    # The classes of one id belong together.
+    several = there.groupBy("id").agg(F.min(F.xxhash64("class")).alias("x"), F.max(F.xxhash64("class")).alias("y")).where("x != y").select("id")
+    mine = work.write(there.select("id", "class").join(several, "id", "left_semi").distinct().join(classes.select("class", "node"), "class").select("id", F.col("node").alias("a")), "own")
+    links = mine.join(mine.groupBy("id").agg(F.min("a").alias("c")), "id").where("a != c").select("a", "c")
+    found = components(links, work)
     open_entries = active.select("key", "id", "center")
     tried = None
     for k in range(rounds):
@@ -268,13 +278,16 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
         found = components(links, work)
         # Only buckets with several components go on.
         state = with_components(open_entries.select("key", "id"), found)
-        several = work.write(state.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key"), "several")
-        open_entries = work.write(state.join(several, "key").select("key", "id", "component"), "open")
+        spread = work.write(state.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key"), "several")
+        open_entries = work.write(state.join(spread, "key").select("key", "id", "component"), "open")
     rest = work.write(leftover(open_entries, payload, percent, work), "leftover")
     doubtful = rest.where("not sure").select("a", "c").join(tried, ["a", "c"], "left_anti")
     found = components(links.unionAll(rest.where("sure").select("a", "c")).unionAll(confirm(doubtful, payload, percent)), work)
 
-    of_class = common.materialise(classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component")), "near_classes")
+    # Of linked classes, the smallest id of their component.
+    linked = work.write(classes.join(found.withColumnRenamed("id", "node"), "node").select("class", "component", "least"), "linked")
+    least = linked.groupBy("component").agg(F.min("least").alias("first"))
+    of_class = common.materialise(classes.select("class", "least").join(linked.join(least, "component").select("class", "first"), "class", "left").select("class", F.coalesce("first", "least").alias("component")), "near_classes")
     work.clear()
     out = feats.select("id", "n", "class").join(of_class, "class", "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
@@ -283,8 +296,9 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, of one document of each group."""
-    gone = group(docs, size, percent, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("gone_id")).distinct()
-    return docs.join(common.materialise(gone, "near_gone").hint("shuffle_hash"), F.col(id_col) == F.col("gone_id"), "left_anti")
+    name = common.fresh(docs, "gone_id")
+    gone = group(docs, size, percent, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(common.materialise(gone, "near_gone").hint("shuffle_hash"), F.col(id_col) == F.col(name), "left_anti")
 
 
 def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,12 +81,33 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of rows of sketches, without the matches that compression makes:
-    different minima agree in the leading-zero count and all mantissa bits with a
-    probability of about 2^-MANTISSA * sum of 4^-k = 2^-MANTISSA / 3 or more."""
-    by_chance = 2.0**-MANTISSA / 1.5
-    return ((a == b).mean(1) - by_chance) / (1 - by_chance)
+#: Upper bounds of the values that a count of leading zeros stands for, as shares of all.
+_TOPS = 0.5 ** np.arange(64)
+
+
+def same_by_chance(n: np.ndarray, m: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """How often registers of sets of ``n`` and ``m`` shingles, ``both`` of them shared, agree though
+    their minima differ.
+
+    Let x be the least value of the union and one set's own.  The other set's least value is above
+    it, and falls into the same cell of values with its size times what is left of the cell, half
+    its width on average.  Cells under a top t are t * 2^-(MANTISSA + 1) wide, and x is between t / 2
+    and t with the chance that all of the union is above t / 2 and not above t."""
+    union = np.maximum(n + m - both, 1.0)[..., None]
+    between = (1 - _TOPS / 2) ** union - (1 - _TOPS) ** union
+    width = (between * _TOPS).sum(-1) * 2.0 ** -(MANTISSA + 1)
+    only_n, only_m = np.maximum(n - both, 0.0), np.maximum(m - both, 0.0)
+    other = (only_n * m + only_m * n) / np.maximum(only_n + only_m, 1e-9)
+    return np.clip(other * width / 2, 0.0, 0.5)
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of rows of sketches of sets of ``n`` and ``m`` shingles, without the matches
+    that compression makes."""
+    n, m = np.asarray(n, float), np.asarray(m, float)
+    raw = (a == b).mean(-1)
+    chance = same_by_chance(n, m, raw * (n + m) / (1 + raw))
+    return np.clip((raw - chance) / (1 - chance), 0.0, 1.0)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

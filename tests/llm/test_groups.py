@@ -101,8 +101,37 @@ def test_estimate_is_near():
 
     rng = np.random.default_rng(5)
     both, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (850, 75, 75))
-    e = sketches.estimate(sketches.registers(np.concatenate([both, a]))[None], sketches.registers(np.concatenate([both, b]))[None])
-    assert e[0] == pytest.approx(0.85, abs=0.08)
+    e = sketches.estimate(sketches.registers(np.concatenate([both, a])), sketches.registers(np.concatenate([both, b])), 925, 925)
+    assert e == pytest.approx(0.85, abs=0.08)
+
+
+@pytest.mark.parametrize("n,m,both", [(40, 40, 0), (400, 100, 50), (3, 200, 1), (900, 900, 800)])
+def test_collisions_by_chance(n, m, both):
+    """Registers whose minima differ agree as often as the correction says, for small and for unequal
+    sets; a mantissa of ten bits makes few, so many random registers are drawn."""
+    import numpy as np
+
+    rng, draws, same, differ = np.random.default_rng(n * m), 400_000, 0, 0
+    for at in range(0, draws, 20_000):
+        # The least of k values is drawn at once: 1 - (1 - u)^(1/k).
+        parts = [1 - (1 - rng.random(20_000)) ** (1 / k) if k else np.ones(20_000) for k in (n - both, m - both, both)]
+        a, b = np.minimum(parts[0], parts[2]), np.minimum(parts[1], parts[2])
+        x, y = (sketches.compress((v * 2.0**63).astype(np.uint64) << np.uint64(1)) for v in (a, b))
+        differ += int((a != b).sum())
+        same += int(((x == y) & (a != b)).sum())
+    want = float(sketches.same_by_chance(np.array(float(n)), np.array(float(m)), np.array(float(both))))
+    assert same / differ == pytest.approx(want, rel=0.25, abs=6e-5)
+
+
+def test_near_duplicates_of_texts_with_one_id(spark):
+    """Rows that share an id are one document: what is near to either text is linked."""
+    base = [" ".join(f"w{k}x{i}" for i in range(300)) for k in range(3)]
+    rows = [("b", base[0], 1), ("b", base[1], 2), ("a", mutated(base[1], 7), 3), ("d", mutated(base[0], 9), 4), ("e", base[2], 5), ("f", None, 6), (None, base[0], 7), ("b", base[0], 8)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, gone_id int")
+    got = {r.doc_id: r.component_id for r in near_dups.group(docs, 3, 85).collect()}
+    assert got == {"a": "a", "b": "a", "d": "a", "e": "e", "f": "f", None: None}
+    kept = near_dups.keep_first(docs, 3, 85)
+    assert kept.columns == docs.columns and sorted(r.gone_id for r in kept.collect()) == [3, 5, 6, 7]
 
 
 def laws(rows, shards):

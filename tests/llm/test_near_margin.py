@@ -39,7 +39,7 @@ def test_leftover_pairs_far_below_their_similarity(spark, monkeypatch, case, lar
     feats = near_dups.features(docs, size, "doc_id", "text")
     entries = near_dups.bands(feats).withColumn("component", F.col("id"))
     shared = entries.groupBy("key").count().where("count > 1").select("key")
-    payload = near_dups.payloads(docs, feats.select("id", "class"), size, "doc_id", "text")
+    payload = near_dups.payloads(docs, feats.select("id", F.col("id").alias("doc"), "h", "class"), size, "doc_id", "text")
     rest = near_dups.leftover(entries.join(shared, "key"), payload, percent, common.Workspace(spark, "t")).collect()
     assert {(r.a, r.c, r.sure) for r in rest} == {(2 * s + 1, 2 * s, large == 2) for s in seeds}
 
@@ -50,5 +50,5 @@ def test_margin_follows_the_threshold():
         sets = sketches.Sets(size)
         for s in seeds:
             a, b = (sets.of(t.encode()) for t in pair(s, size, n, k))
-            estimate = sketches.estimate(sketches.registers(a)[None], sketches.registers(b)[None])[0]
+            estimate = sketches.estimate(sketches.registers(a), sketches.registers(b), len(a), len(b))
             assert sketches.linked(a, b, percent) and near_dups.least_estimate(percent) < estimate < percent / 100 - 0.07
