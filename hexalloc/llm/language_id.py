@@ -9,35 +9,42 @@ piece probabilities give every piece's expected count in every language, and a p
 estimate smooths them.
 
 Words are scored once a chunk, all words of a chunk together: the forward sums of all
-words advance by one character at a time as arrays.  Pieces never cross a space in the
-vocabulary, so cutting at spaces loses no segmentation.
+words advance by one character at a time as arrays.  After every ``STRIDE`` characters (or
+as many as the longest piece has) the sums of a longer word are divided by their largest, and
+the divisors' logarithms are added up, so that a run of any length is summed whole.  Pieces
+never cross a space in the vocabulary, so cutting at spaces loses no segmentation.
+
+Any number of languages is learned.  A model holds them in blocks of ``BLOCK_LANGUAGES``; a
+text is held against one block after the other, and all but the first read what the block
+before has written.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; rows without a
-language are not learned from; with nothing to learn from, every text is ``und``; runs of
-over ``MAX_RUN`` characters are scored in parts of that length; repeated rows give
-repeated results; an empty table gives none; other columns are never read.
+language are not learned from; with nothing to learn from, every text is ``und``; repeated
+rows give repeated results; an empty table gives none; other columns, whatever their names,
+are never read or come through unchanged.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-MAX_RUN, MAX_PIECE = 48, 16
+STRIDE = 16
 #: Weight of the pooled estimate, in expected pieces, and the share of unknown characters.
 SMOOTHING, UNKNOWN = 2000.0, 1e-7
 #: Forward sums are scaled by this for each character, against underflow.
 SCALE = 32.0
-#: Languages that a corpus may have; more is an error, not a cut.
-MAX_LANGUAGES = 300
+#: Languages that are scored at a time.
+BLOCK_LANGUAGES = 300
 UND = "und"
 
 #: Bytes of letters: ASCII letters, and all beyond ASCII (marks there are just rare characters).
@@ -46,6 +53,8 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 4 << 20
 #: Words that a worker remembers between chunks, and words scored at a time.
 MEMORY_WORDS, BLOCK = 500_000, 30_000
+#: Characters scored at a time (a longer word is scored alone), and numbers remembered.
+BLOCK_CHARS, MEMORY_VALUES = 400_000, 4_000_000
 #: Slots of the table of pieces, as a power of two; more than twice the pieces.
 BITS = 18
 
@@ -72,11 +81,13 @@ class Pieces:
     """A fixed set of pieces, found by hashes of code points."""
 
     def __init__(self, pieces: list[str]):
-        self.pieces = [p for p in dict.fromkeys(pieces) if 0 < len(p) <= MAX_PIECE]
+        self.pieces = [p for p in dict.fromkeys(pieces) if p]
+        self.longest = max(map(len, self.pieces), default=1)
+        self.stride = max(STRIDE, self.longest)
         if len(self.pieces) > 1 << BITS - 1:
             raise ValueError(f"{len(self.pieces)} pieces; at most {1 << BITS - 1}")
         hashes = np.empty(len(self.pieces), np.uint64)
-        for n in range(1, MAX_PIECE + 1):
+        for n in sorted({len(p) for p in self.pieces}):
             at = [i for i, p in enumerate(self.pieces) if len(p) == n]
             if at:
                 c = np.frombuffer("".join(self.pieces[i] for i in at).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, n)
@@ -118,7 +129,7 @@ class Pieces:
         starts, sizes, found = [], [], []
         h = np.zeros(n, np.uint64)
         alive = np.arange(n)
-        for size in range(1, MAX_PIECE + 1):
+        for size in range(1, self.longest + 1):
             alive = alive[left[alive] >= size]
             if not len(alive):
                 break
@@ -138,70 +149,114 @@ class Pieces:
         return np.concatenate(starts), np.concatenate(sizes), np.concatenate(found)
 
 
-def lattice(pieces: Pieces, words: list[str]):
-    """Edges of all words as nodes start -> end, with the position of each end in its word.
-    A word of k characters has k + 1 nodes."""
+@dataclass
+class Lattice:
+    """Pieces of words as edges between nodes; a word of k characters (with its mark) has the nodes
+    ``first`` to ``first + k``."""
+
+    source: np.ndarray
+    target: np.ndarray
+    piece: np.ndarray
+    size: np.ndarray
+    word: np.ndarray
+    begins: np.ndarray  # place of an edge's source in its word
+    first: np.ndarray
+    lengths: np.ndarray
+
+    @property
+    def last(self) -> np.ndarray:
+        return self.first + self.lengths
+
+    @property
+    def nodes(self) -> int:
+        return int(self.last[-1]) + 1
+
+
+def lattice(pieces: Pieces, words: list[str]) -> Lattice:
     flat, offsets = codes(words)
     start, size, piece = pieces.edges(flat, offsets)
     lengths = np.diff(offsets)
-    word = np.repeat(np.arange(len(words)), lengths)
-    depth = np.arange(len(flat)) - offsets[word]
-    node = start + word[start]  # one more node for every word before
-    first = offsets[:-1] + np.arange(len(words))
-    return node, node + size, piece, depth[start], depth[start] + size, size, first, first + lengths, lengths
-
-
-def sweep(edge_from, edge_to, weight, step, order_by, values) -> None:
-    """values[to] += values[from] * weight, in rising steps."""
-    order = np.argsort(order_by * (int(edge_to.max(initial=0)) + 1) + edge_to, kind="stable")
-    src, dst, step, w = edge_from[order], edge_to[order], step[order], weight[order]
+    word = np.repeat(np.arange(len(words)), lengths)[start]
+    node = start + word  # one more node for every word before
+    return Lattice(node, node + size, piece, size, word, start - offsets[word], offsets[:-1] + np.arange(len(words)), lengths)
+
+
+def sums(of: Lattice, weight: np.ndarray, columns: int, stride: int, backward: bool = False, by_node: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all paths to each node (from each, ``backward``), and the logarithm by which each
+    word's last node (each node, ``by_node``) was divided."""
+    # A place is counted from the end that the sums begin at.
+    base, way = (of.last, -1) if backward else (of.first, 1)
+    source, target = (of.target, of.source) if backward else (of.source, of.target)
+    step = of.lengths[of.word] - of.begins if backward else of.begins + of.size
+    values, logs = np.zeros((of.nodes, columns)), np.zeros((len(base), columns))
+    of_node = np.zeros(of.nodes) if by_node else None
+    values[base] = 1.0
+    order = np.argsort(step * (of.nodes + 1) + target, kind="stable")
+    source, target, step, weight = source[order], target[order], step[order], weight[order]
     cuts = np.flatnonzero(np.diff(step)) + 1
     bounds = [0, *cuts.tolist(), len(step)]
     for a, b in zip(bounds, bounds[1:]):
         if a == b:
             continue
-        d = dst[a:b]
+        d = target[a:b]
         head = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1])
-        values[d[head]] = np.add.reduceat(values[src[a:b]] * w[a:b], head, axis=0)
+        values[d[head]] = np.add.reduceat(values[source[a:b]] * weight[a:b], head, axis=0)
+        t = int(step[a])
+        if t % stride == 0 and len(long := np.flatnonzero(of.lengths > t)):
+            window = base[long, None] + way * np.arange(t - stride + 1, t + 1)
+            top = np.maximum(values[window].max(1), 1e-300)
+            values[window] /= top[:, None]
+            logs[long] += np.log(top)
+            if by_node:
+                of_node[window] = logs[long, :1]
+    if not by_node:
+        return values, logs
+    # Nodes after a word's last division have all of its divisors.
+    word = np.repeat(np.arange(len(base)), of.lengths + 1)
+    place = (np.arange(of.nodes) - base[word]) * way
+    after = place > (of.lengths[word] - 1) // stride * stride
+    return values, np.where(after, logs[word, 0], of_node)
 
 
 def expected(pieces: Pieces, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected pieces of each word under equal probabilities: word, piece, amount."""
-    src, dst, piece, d0, d1, size, first, last, lengths = lattice(pieces, words)
-    p = np.where(piece >= 0, 1.0 / max(len(pieces.pieces), 1), UNKNOWN * 1e-3) * SCALE**size
-    n = int(last[-1]) + 1
-    forward, backward = np.zeros(n), np.zeros(n)
-    forward[first] = 1.0
-    backward[last] = 1.0
-    sweep(src, dst, p, d1, d1, forward)
-    back = np.repeat(lengths, lengths + 1)[src] - d0  # steps from the end
-    sweep(dst, src, p, back, back, backward)
-    word = np.repeat(np.arange(len(words)), lengths + 1)[src]
-    total = forward[last]
-    amount = forward[src] * p * backward[dst] / np.maximum(total[word], 1e-300)
-    real = (piece >= 0) & (amount > 1e-6)
-    return word[real], piece[real], amount[real]
+    of = lattice(pieces, words)
+    p = np.where(of.piece >= 0, 1.0 / max(len(pieces.pieces), 1), UNKNOWN * 1e-3) * SCALE**of.size
+    forward, by = sums(of, p[:, None], 1, pieces.stride, by_node=True)
+    backward, back_by = sums(of, p[:, None], 1, pieces.stride, backward=True, by_node=True)
+    scale = np.exp(by[of.source] + back_by[of.target] - by[of.last][of.word])
+    amount = forward[of.source, 0] * p * backward[of.target, 0] / np.maximum(forward[of.last, 0][of.word], 1e-300) * scale
+    real = of.piece >= 0
+    return of.word[real], of.piece[real], amount[real]
 
 
 def log_likelihoods(pieces: Pieces, probabilities: np.ndarray, words: list[str]) -> np.ndarray:
     """Words by languages: log of the sum over segmentations. probabilities: languages by pieces,
     with one column more, last, for unknown characters."""
-    src, dst, piece, _, d1, size, first, last, lengths = lattice(pieces, words)
-    w = probabilities.T[piece] * (SCALE ** size.astype(float))[:, None]
-    values = np.zeros((int(last[-1]) + 1, probabilities.shape[0]))
-    values[first] = 1.0
-    sweep(src, dst, w, d1, d1, values)
-    return np.log(np.maximum(values[last], 1e-300)) - (lengths * np.log(SCALE))[:, None]
+    of = lattice(pieces, words)
+    w = probabilities.T[of.piece] * (SCALE ** of.size.astype(float))[:, None]
+    values, logs = sums(of, w, probabilities.shape[0], pieces.stride)
+    return np.log(np.maximum(values[of.last], 1e-300)) + logs - (of.lengths * np.log(SCALE))[:, None]
+
+
+def groups(words: list[str]) -> Iterator[slice]:
+    """Slices of words that are scored together."""
+    at, size = 0, 0
+    for k, w in enumerate(words):
+        if k > at and (k - at >= BLOCK or size + len(w) > BLOCK_CHARS):
+            yield slice(at, k)
+            at, size = k, 0
+        size += len(w) + 1
+    if len(words) > at:
+        yield slice(at, len(words))
 
 
 def letter_runs(text: bytes) -> list[bytes]:
     return text.translate(TABLE).split()
 
 
-def parts(word: bytes) -> list[str]:
-    """A run of letters in parts of bounded length."""
-    w = word.decode("utf-8", "replace")
-    return [w] if len(w) < MAX_RUN else [w[i : i + MAX_RUN - 1] for i in range(0, len(w), MAX_RUN - 1)]
+def spelled(word: bytes) -> str:
+    return word.decode("utf-8", "replace")
 
 
 @dataclass
@@ -211,6 +266,33 @@ class Model:
     probabilities: np.ndarray  # languages x (pieces and unknown)
 
 
+class Models:
+    """Piece probabilities of all languages, by blocks: each is made from the table of counts when
+    it is asked for."""
+
+    def __init__(self, counts: DataFrame, names: DataFrame, vocabulary: list[str], block: int):
+        self.counts, self.names, self.block = counts, names, block
+        self.pieces = Pieces(vocabulary).pieces
+        totals = counts.groupBy("lang").agg(F.sum("amount").alias("total"))
+        self.languages = names.count()
+        # Languages weigh the same in the pooled estimate, however much text each has.
+        pooled = np.zeros(len(self.pieces))
+        got = counts.join(totals, "lang").where("total > 0").groupBy("piece").agg(F.sum(F.col("amount") / F.col("total")).alias("share")).toPandas()
+        pooled[got["piece"].to_numpy(np.int64)] = np.round(got["share"].to_numpy(float), 12) / max(self.languages, 1)
+        self.pooled = pooled * 0.9 + 0.1 / max(len(self.pieces), 1)
+
+    def blocks(self) -> Iterator[Model]:
+        """At least one; a block comes to the driver as no more rows than languages x pieces."""
+        for at in range(0, max(self.languages, 1), self.block):
+            mine = self.names.where((F.col("number") >= at) & (F.col("number") < at + self.block))
+            names = {r.lang: r.number - at for r in mine.collect()}
+            got = self.counts.join(F.broadcast(mine), "lang").select((F.col("number") - at).alias("number"), "piece", "amount").toPandas()
+            counts = np.zeros((len(names), len(self.pieces)))
+            counts[got["number"].to_numpy(np.int64), got["piece"].to_numpy(np.int64)] = got["amount"].to_numpy(float) / 1e6
+            p = (counts + SMOOTHING * self.pooled) / (counts.sum(1, keepdims=True) + SMOOTHING)
+            yield Model(sorted(names, key=names.get), self.pieces, np.hstack([p * (1 - UNKNOWN), np.full((len(names), 1), UNKNOWN)]))
+
+
 def public_pieces(model_path: str) -> list[str]:
     """Pieces of a sentencepiece model, without bytes, control marks and runs of word marks."""
     import sentencepiece
@@ -220,7 +302,7 @@ def public_pieces(model_path: str) -> list[str]:
     return [p for p in map(sp.id_to_piece, ids) if "▁" not in p[1:]]
 
 
-def fit(docs: DataFrame, vocabulary: list[str], lang_col: str = "lang", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, vocabulary: list[str], lang_col: str = "lang", text_col: str = "text", block: int = BLOCK_LANGUAGES) -> Models:
     """Piece probabilities of each language, from all rows that name theirs."""
     spark = docs.sparkSession
     common.ship(spark)
@@ -229,19 +311,25 @@ def fit(docs: DataFrame, vocabulary: list[str], lang_col: str = "lang", text_col
 
     def run(batches):
         pieces = Pieces(held.value)
-        sums: dict[str, np.ndarray] = {}
+        total: dict[str, np.ndarray] = {}
         words: dict[str, Counter] = {}
 
         def settle():
             for lang, count in words.items():
-                s = sums.setdefault(lang, np.zeros(len(pieces.pieces)))
-                pairs = [(p, n) for w, n in count.items() for p in parts(w)]
-                for k in range(0, len(pairs), BLOCK):
-                    some = pairs[k : k + BLOCK]
-                    word, piece, amount = expected(pieces, [p for p, _ in some])
-                    s += np.bincount(piece, amount * np.array([n for _, n in some], float)[word], len(s))
+                s = total.setdefault(lang, np.zeros(len(pieces.pieces)))
+                # Words of like length together, so that few steps are for the longest alone.
+                pairs = sorted(((spelled(w), n) for w, n in count.items()), key=lambda x: (len(x[0]), x[0]))
+                for some in groups([w for w, _ in pairs]):
+                    word, piece, amount = expected(pieces, [w for w, _ in pairs[some]])
+                    s += np.bincount(piece, amount * np.array([n for _, n in pairs[some]], float)[word], len(s))
             words.clear()
 
+        def given():
+            for lang, s in total.items():
+                some = np.flatnonzero(s)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int64()), pa.array(np.round(s[some], 6))], names=schema.names)
+            total.clear()
+
         for whole in batches:
             for b in common.chunks(whole, text_col, CHUNK):
                 raw, off = common.flat(b.column(1))
@@ -250,36 +338,31 @@ def fit(docs: DataFrame, vocabulary: list[str], lang_col: str = "lang", text_col
                     words.setdefault(lang, Counter()).update(letter_runs(raw[a:z]))
                 if sum(map(len, words.values())) > MEMORY_WORDS:
                     settle()
+                # A task holds the sums of so many languages at once.
+                if len(total) + len(words) > 2 * BLOCK_LANGUAGES:
+                    settle()
+                    yield from given()
         settle()
-        for lang, s in sums.items():
-            some = np.flatnonzero(s)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int64()), pa.array(np.round(s[some], 6))], names=schema.names)
+        yield from given()
 
     known = docs.where(F.col(lang_col).isNotNull()).select(lang_col, text_col)
     # Rounded to whole units of 1e-6, so that sums don't depend on the order of tasks.
-    sums = common.materialise(known.mapInArrow(common.tidied(run), schema).groupBy("lang", "piece").agg(F.sum(F.round(F.col("amount") * 1e6).cast("long")).alias("amount")), "piece_counts")
-    languages = common.few_values(sums, "lang", MAX_LANGUAGES)
-    # No more rows come back than languages x pieces of the fixed vocabulary, as columns.
-    got = sums.toPandas()
-    kept = Pieces(vocabulary).pieces
-    counts = np.zeros((len(languages), len(kept)))
-    counts[np.searchsorted(np.array(languages, object), got["lang"].to_numpy(object)), got["piece"].to_numpy(np.int64)] = got["amount"].to_numpy(float) / 1e6
-    # Languages weigh the same in the pooled estimate, however much text each has.
-    shares = counts / np.maximum(counts.sum(1, keepdims=True), 1e-9)
-    pooled = (shares.mean(0) if len(languages) else np.zeros(len(kept))) * 0.9 + 0.1 / max(len(kept), 1)
-    p = (counts + SMOOTHING * pooled) / (counts.sum(1, keepdims=True) + SMOOTHING)
-    return Model(languages, kept, np.hstack([p * (1 - UNKNOWN), np.full((len(languages), 1), UNKNOWN)]))
-
-
-class Identifier:
-    """Language and score of chunks of texts."""
+    counts = common.materialise(known.mapInArrow(common.tidied(run), schema).groupBy("lang", "piece").agg(F.sum(F.round(F.col("amount") * 1e6).cast("long")).alias("amount")), "piece_counts")
+    # Numbers of languages by name: of as many rows as there are languages.
+    names = counts.groupBy("lang").agg(F.lit(0).alias("all")).withColumn("number", F.row_number().over(Window.partitionBy("all").orderBy("lang")) - 1).select("lang", "number")
+    return Models(counts, common.materialise(names, "languages"), vocabulary, block)
+
+
+class Scorer:
+    """For chunks of texts: the likeliest language of one model, its log-likelihood, and the log of
+    the sum over all of its languages; nothing for a text without a letter."""
 
     def __init__(self, model: Model):
         self.model, self.pieces = model, Pieces(model.pieces)
         self.known: dict[bytes, int] = {}
         self.values = np.zeros((0, len(model.languages)))
 
-    def identify(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    def score(self, texts: pa.Array) -> tuple[list[str | None], np.ndarray, np.ndarray]:
         raw, off = common.flat(texts)
         raw, off = raw.tobytes(), off.tolist()
         n, languages = len(off) - 1, self.model.languages
@@ -287,72 +370,96 @@ class Identifier:
         for a, b in zip(off, off[1:]):
             text = raw[a:b]
             found.append(letter_runs(text) if text.isascii() or any(map(str.isalpha, text.decode())) else [])
-        labels, scores = [UND] * n, np.zeros(n)
+        labels, tops, totals = [None] * n, np.zeros(n), np.zeros(n)
         if not languages:
-            return labels, scores
-        if len(self.known) > MEMORY_WORDS:
+            return labels, tops, totals
+        if len(self.known) > MEMORY_WORDS or self.values.size > MEMORY_VALUES:
             self.known, self.values = {}, self.values[:0]
-        self.learn(list(set().union(*found) - self.known.keys()))
+        self.learn(sorted(set().union(*found) - self.known.keys()))
         for i, words in enumerate(found):
             if words:
                 total = self.values[list(map(self.known.__getitem__, words))].sum(0)
-                total -= total.max()
                 best = int(np.argmax(total))
-                labels[i], scores[i] = languages[best], 1.0 / np.exp(total).sum()
-        return labels, scores
+                labels[i], tops[i] = languages[best], total[best]
+                totals[i] = total[best] + np.log(np.exp(total - total[best]).sum())
+        return labels, tops, totals
 
     def learn(self, new: list[bytes]) -> None:
         """Score words and remember them."""
         if not new:
             return
-        runs = list(map(parts, new))
-        owner = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
-        flat = [p for r in runs for p in r]
-        values = np.zeros((len(new), len(self.model.languages)))
-        for k in range(0, len(flat), BLOCK):
-            np.add.at(values, owner[k : k + BLOCK], log_likelihoods(self.pieces, self.model.probabilities, flat[k : k + BLOCK]))
+        new = sorted(new, key=len)
+        flat = list(map(spelled, new))
+        values = np.concatenate([log_likelihoods(self.pieces, self.model.probabilities, flat[some]) for some in groups(flat)])
         first = len(self.known)
         self.known.update(zip(new, range(first, first + len(new))))
         self.values = np.concatenate([self.values, values])
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, lang_pred, score`` of every row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+FOUND = T.StructType([T.StructField("lang", T.StringType()), T.StructField("top", T.DoubleType()), T.StructField("total", T.DoubleType())])
 
-    def make():
-        who = Identifier(held.value)
 
-        def work(texts):
-            labels, scores = who.identify(texts)
-            return [pa.array(labels, pa.string()), pa.array(scores)]
-
-        return work
-
-    return common.map_texts(docs, make, [("lang_pred", T.StringType()), ("score", T.DoubleType())], id_col, text_col, CHUNK)
+def scored(docs: DataFrame, models: Models, into: str, text_col: str) -> DataFrame:
+    """All columns of ``docs`` and a struct ``into``: the likeliest language (null without a letter),
+    its log-likelihood and the log of the sum over all languages."""
+    spark = docs.sparkSession
+    common.ship(spark)
+    out = docs.withColumn(into, F.lit(None).cast(FOUND))
+    schema = T.StructType(out.schema.fields)
+    blocks, before, held = models.blocks(), None, None
+    model = next(blocks)
+    while model is not None:
+        held = spark.sparkContext.broadcast(model)
+
+        def run(batches, held=held):
+            who = Scorer(held.value)
+            for whole in batches:
+                at = whole.schema.get_field_index(into)
+                for b in common.chunks(whole, text_col, CHUNK):
+                    labels, tops, totals = who.score(b.column(b.schema.get_field_index(text_col)))
+                    for i, old in enumerate(b.column(at).to_pylist()):
+                        if old and old["lang"] is not None and labels[i] is not None:
+                            totals[i] = np.logaddexp(totals[i], old["total"])
+                            # Blocks are in the order of names, so the first of equals stays.
+                            if old["top"] >= tops[i]:
+                                labels[i], tops[i] = old["lang"], old["top"]
+                    new = pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(tops), pa.array(totals)], FOUND.names)
+                    yield pa.RecordBatch.from_arrays([new if i == at else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
+
+        out = out.mapInArrow(common.tidied(run), schema)
+        model = next(blocks, None)
+        if model is not None:
+            work = common.Workspace(spark, "scored")
+            out = work.write(out, "block")
+            held.destroy()
+            if before:
+                before.clear()
+            before = work
+    return out
+
+
+def chance(into: str):
+    return F.when(F.col(f"{into}.lang").isNotNull(), F.least(F.exp(F.col(f"{into}.top") - F.col(f"{into}.total")), F.lit(1.0))).otherwise(0.0)
+
+
+def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, lang_pred, score`` of every row."""
+    docs = docs.select(id_col, text_col)
+    m = common.fresh(docs, "found")
+    return scored(docs, models, m, text_col).select(id_col, F.coalesce(F.col(f"{m}.lang"), F.lit(UND)).alias("lang_pred"), chance(m).alias("score"))
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, models: Models, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows, with all their columns, whose language is known with at least ``least``."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def make():
-        who = Identifier(held.value)
-
-        def work(texts):
-            labels, scores = who.identify(texts)
-            return (np.array(labels, object) != UND) & (scores >= least)
-
-        return work
-
-    return common.filter_texts(docs, make, text_col, CHUNK)
+    m = common.fresh(docs, "found")
+    return scored(docs, models, m, text_col).where(F.col(f"{m}.lang").isNotNull() & (chance(m) >= least)).drop(m)
 
 
 def remainder(id_col: str, n: int):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
 
 
-def fit_documents(docs: DataFrame) -> Model:
+def fit_documents(docs: DataFrame) -> Models:
     import public_tokenizers
 
     train = docs.where(F.coalesce(remainder("doc_id", 4) != 2, F.lit(False)))

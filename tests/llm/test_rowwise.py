@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
+from pyspark.sql import functions as F
 
 from hexalloc.llm import bpe, decontamination, html_text, language_id, licenses, quality, quality_classifier, token_counts
 
@@ -157,6 +158,55 @@ def test_forward_sums_against_all_segmentations():
             assert got[i, k] == pytest.approx(np.log(brute("▁" + w, k)))
 
 
+def dynamic(s, p, at):
+    """Log of the sum over all segmentations, in logarithms from the start."""
+    out = [0.0] + [-np.inf] * len(s)
+    for j in range(1, len(s) + 1):
+        for n in range(1, min(j, 9) + 1):
+            x = p[at[s[j - n : j]]] if s[j - n : j] in at else p[-1] if n == 1 else 0.0
+            if x > 0:
+                out[j] = np.logaddexp(out[j], out[j - n] + np.log(x))
+    return out[-1]
+
+
+def test_long_runs_are_summed_whole():
+    names = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "abababab", "é", "日本"]
+    pieces = language_id.Pieces(names)
+    rng = np.random.default_rng(1)
+    p = np.hstack([rng.dirichlet(np.ones(len(names)), 3), np.full((3, 1), 1e-7)])
+    at = {x: i for i, x in enumerate(names)}
+    words = ["".join(rng.choice(list("abé日本z"), n)) for n in (1, 15, 16, 17, 31, 32, 33, 80, 500)] + ["ab" * 700, "z" * 400]
+    got = language_id.log_likelihoods(pieces, p, words)
+    assert got == pytest.approx(np.array([[dynamic("▁" + w, p[k], at) for k in range(3)] for w in words]), rel=1e-9)
+    # Expected pieces spell the word, however long it is.
+    known = [w for w in words if "z" not in w and "日" not in w and "本" not in w] + ["ab" * 700 + "a"]
+    word, piece, amount = language_id.expected(pieces, known)
+    assert np.bincount(word, amount * np.array(list(map(len, names)))[piece]) == pytest.approx([len(w) + 1 for w in known])
+
+
+def test_long_pieces_count():
+    pieces = language_id.Pieces(["a", "▁", "a" * 40])
+    p = np.array([[0.2, 0.3, 0.4, 1e-7]])
+    at = {x: i for i, x in enumerate(pieces.pieces)}
+    w = "▁" + "a" * 41
+    out = [0.0] + [-np.inf] * len(w)
+    for j in range(1, len(w) + 1):
+        for n in (1, 40):
+            if n <= j and w[j - n : j] in at:
+                out[j] = np.logaddexp(out[j], out[j - n] + np.log(p[0, at[w[j - n : j]]]))
+    assert language_id.log_likelihoods(pieces, p, [w[1:]])[0, 0] == pytest.approx(out[-1])
+
+
+def test_languages_in_blocks(spark, documents):
+    """Results don't depend on how many languages are held at a time."""
+    docs = documents.select("doc_id", "text", "lang", F.lit("x").alias("found"))
+    vocabulary = language_id.public_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    one, two = ({r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language_id.identify(docs, language_id.fit(docs, vocabulary, block=b)).collect()} for b in (300, 1))
+    assert one == two
+    kept = language_id.keep_identified(docs, language_id.fit(docs, vocabulary, block=3))
+    assert kept.columns == docs.columns and kept.count() == sum(v[1] >= 0.5 for v in one.values())
+
+
 def test_expected_counts_spell_the_word():
     pieces = language_id.Pieces(["▁", "▁a", "a", "b", "ab", "▁ab", "ba"])
     word, piece, amount = language_id.expected(pieces, ["abab", "b"])
