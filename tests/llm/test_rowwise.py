@@ -10,9 +10,10 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
-from hexalloc.llm import bpe, decontamination, html_text, language_id, licenses, quality, quality_classifier, token_counts
+from hexalloc.llm import bpe, decontamination, html_text, language_id, licenses, quality, quality_classifier, sketches, token_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -113,16 +114,90 @@ def test_quality_references_are_exact(spark, documents, monkeypatch):
         seen.setdefault(r.lang, Counter()).update(quality.plain_words(r.text.encode()))
     want = {w for c in seen.values() for w, n in c.items() if n >= 0.01 * sum(c.values())}
     assert set(whole.words) == want
-    for i, lang in enumerate(whole.languages):
-        total = sum(seen[lang].values())
-        for w, p in zip(whole.words, whole.shares[i]):
-            assert p == pytest.approx(seen[lang][w] / total)
+    monkeypatch.setattr(quality, "PART_WORDS", 300)
+    parts = quality.fit_references(documents, share=0.01)
+    for found in (whole, parts):
+        for lang, (at, shares) in zip(found.languages, found.shares):
+            total = sum(seen[lang].values())
+            assert {found.words[x] for x in at} == {w for w, n in seen[lang].items() if n >= 0.01 * total}
+            for x, p in zip(at, shares):
+                assert p == pytest.approx(seen[lang][found.words[x]] / total)
 
 
 def test_distance_by_hand():
-    q = np.array([[0.5, 0.5, 0.0]])
-    assert quality.distances(np.array([[2.0, 2.0, 0.0]]), q)[0, 0] == pytest.approx(0)
-    assert quality.distances(np.array([[0.0, 0.0, 3.0]]), q)[0, 0] == pytest.approx(1)
+    q = np.array([0.5, 0.5, 0.0])
+    assert quality.distances(np.array([[2.0, 2.0, 0.0]]), q)[0] == pytest.approx(0)
+    assert quality.distances(np.array([[0.0, 0.0, 3.0]]), q)[0] == pytest.approx(1)
+
+
+def divergence(p, q):
+    """Jensen-Shannon distance of two dicts of shares."""
+    kl = lambda a, m: sum(x * np.log2(x / m[k]) for k, x in a.items() if x > 0)
+    m = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in p.keys() | q.keys()}
+    return (kl(p, m) / 2 + kl(q, m) / 2) ** 0.5
+
+
+def test_quality_verdicts_against_brute_force(spark, monkeypatch):
+    """Distances, limits and verdicts of every document, step by step from the words."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.collect()
+    words = {r.doc_id: quality.plain_words((r.text or "").encode()) for r in rows}
+    seen = {}
+    for r in rows:
+        seen.setdefault(r.lang, Counter()).update(words[r.doc_id])
+    refs = []
+    for c in seen.values():
+        total = sum(c.values())
+        ref = {w: n / total for w, n in c.items() if n >= quality.SHARE * total}
+        refs.append(ref | {None: 1 - sum(ref.values())})
+    got = {r.doc_id: r for r in quality.op2_quality_rules(spark, sf).collect()}
+    near, texts = {}, {}
+    for i, own in words.items():
+        if got[i].n_words < 50:
+            continue
+        counts = Counter(own)
+        near[i] = min(divergence({w: counts[w] / len(own) for w in ref if w and counts[w]} | {None: sum(n for w, n in counts.items() if w not in ref) / len(own)}, ref) for ref in refs)
+        assert got[i].word_distance == pytest.approx(near[i], abs=1e-9)
+        if not got[i].base_failed:
+            h = [xxhash.xxh64_intdigest(w) for w in own]
+            key = min((int(sketches.mix(np.array([(a * 0x9E3779B97F4A7C15 + b) % 2**64], np.uint64))[0]) >> 1 for a, b in zip(h, h[1:])), default=0)
+            text = texts.setdefault(int(np.log2(got[i].n_words)), {}).setdefault(key, [1.0, 1.0])
+            text[:] = min(text[0], got[i].char_distance), min(text[1], got[i].word_distance)
+    limits, before = {}, (1.0, 1.0)
+    for length in range(40):
+        if len(found := list(texts.get(length, {}).values())) >= quality.LEAST_TEXTS:
+            before = []
+            for k, least in enumerate(quality.LEAST_SPREAD):
+                d = sorted(int(x[k] / quality.STEP) * quality.STEP for x in found)
+                low, median = d[int(np.ceil(0.05 * len(d))) - 1], d[int(np.ceil(0.5 * len(d))) - 1]
+                before.append(median + quality.SPREADS * max(median - low, least))
+        limits[length] = tuple(before)
+    for r in got.values():
+        length = int(np.log2(max(r.n_words, 1)))
+        near_limit = any(abs(d - x) < 0.003 for d, x in zip((r.char_distance, r.word_distance), limits[length]))
+        if not near_limit:
+            assert r.kept == (not r.base_failed and r.char_distance <= limits[length][0] and r.word_distance <= limits[length][1])
+    assert {r.kept for r in got.values() if not r.base_failed} == {True, False}
+
+
+def test_quality_limits_and_copies(spark):
+    """A third of all rows being near copies of one text moves no limit."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    refs = quality.fit_references(docs)
+    base = next(r.text.split() for r in docs.orderBy("doc_id").collect() if 140 < len(r.text.split()) < 240)
+    copies = [(10_000 + k, " ".join([*base[: k % 100], f"new{k}", *base[k % 100 :]]), "en") for k in range(500)]
+    plain, more = (quality.fit_limits(quality.measure(d, refs)) for d in (docs, docs.unionAll(spark.createDataFrame(copies, docs.schema))))
+    assert more.words == pytest.approx(plain.words, rel=0.15) and more.chars == pytest.approx(plain.chars, rel=0.15)
+
+
+def test_keep_good_is_the_verdict(spark, documents):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumns({"kept": F.lit("x"), "n_words": F.lit(1)})
+    refs = quality.fit_references(docs)
+    kept = quality.keep_good(docs, refs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.judge(docs, refs).where("kept").collect()}
 
 
 def test_quality_keeps_clean_documents(spark):
