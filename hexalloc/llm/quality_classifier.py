@@ -5,16 +5,18 @@ al. (2017): with class prior pi,
 
     pi * E_P[loss(+)] + max(0, E_U[loss(-)] - pi * E_P[loss(-)])
 
-Trusted positives are rows labelled 1; the unlabelled text is every labelled row with
-its label hidden, so both samples come from the same web text and negatives are never
-shown to the learner.  The class prior is estimated too: a logistic regression of
-positives against unlabelled text gives density ratios p(x | positive) / p(x), which
-reach 1 / pi where only positives live; the median over positives, each scored by a fit
-that has not seen it, is taken.
-
-The fit is made on the driver from about ``max_rows`` labelled rows at most (those with
-the smallest hashes of their ids; about 250 bytes each come back).  Measures and scores cover
-all rows.  Scores are shifted so that an even chance stands at ``THRESHOLD``.
+Trusted positives are rows labelled 1.  The unlabelled text is web text as it comes: rows
+of the documents themselves, of any quality and whether or not somebody labelled them, with
+their labels (if any) unseen; negatives are never shown to the learner.  The class prior is
+estimated too: a logistic regression of positives against unlabelled text ranks both, each
+row by a fit that has not seen it, and the prior is the least ratio U(S) / P(S) of the shares
+of unlabelled text and of positives in the regions S of the highest ranks (with its sampling
+error added), as U(S) = pi P(S) where only positives live.
+
+The fit is made on the driver from at most ``max_rows`` positives and ``max_rows``
+unlabelled rows, in expectation, by the smallest hashes of id and measures (about 250 bytes
+each come back; rows that repeat come back once, with their number as a weight).  Measures
+and scores cover all rows.  Scores are shifted so that an even chance stands at ``THRESHOLD``.
 
 Edge cases: null text is measured as empty and scored like any other; labels that
 contradict each other for one id are left out; without positives every score is 0; with
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,17 +128,23 @@ def start(width: int, hidden: int = HIDDEN) -> list[np.ndarray]:
     return [rng.normal(0, 1 / np.sqrt(width), (width, hidden)), np.zeros(hidden), np.zeros(hidden), np.zeros(1), np.zeros(width)]
 
 
-def risk_gradient(p: np.ndarray, u: np.ndarray, prior: float):
-    """Gradient of the non-negative risk with the logistic loss.  Where the negative part
-    falls below zero, the step climbs back along it instead, as the paper does."""
+def risk(layers: list[np.ndarray], p: np.ndarray, wp: np.ndarray, u: np.ndarray, wu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The positive and the negative part of the risk with the logistic loss; weights add up to 1."""
+    zp, zu = forward(layers, p)[0], forward(layers, u)[0]
+    return prior * (wp @ np.logaddexp(0, -zp)), wu @ np.logaddexp(0, zu) - prior * (wp @ np.logaddexp(0, zp))
+
+
+def risk_gradient(p: np.ndarray, wp: np.ndarray, u: np.ndarray, wu: np.ndarray, prior: float):
+    """Gradient of the non-negative risk.  Where the negative part falls below zero, the step
+    climbs back along it instead, as the paper does."""
 
     def gradient(layers):
         zp, hp = forward(layers, p)
         zu, hu = forward(layers, u)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        dp_plus = prior * (sigmoid(zp) - 1) / len(p)
-        dp_minus = -prior * sigmoid(zp) / len(p)
-        du = sigmoid(zu) / len(u)
+        negative = wu @ np.logaddexp(0, zu) - prior * (wp @ np.logaddexp(0, zp))
+        dp_plus = prior * (sigmoid(zp) - 1) * wp
+        dp_minus = -prior * sigmoid(zp) * wp
+        du = sigmoid(zu) * wu
         if negative >= 0:
             a, b = back(layers, p, hp, dp_plus + dp_minus), back(layers, u, hu, du)
             return [x + y for x, y in zip(a, b)]
@@ -146,49 +154,64 @@ def risk_gradient(p: np.ndarray, u: np.ndarray, prior: float):
     return gradient
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
+def estimate_prior(p: np.ndarray, wp: np.ndarray, u: np.ndarray, wu: np.ndarray) -> float:
     """The least U(S) / P(S) over regions S that a fit of positives against unlabelled text
     ranks highest.  Two fits score each other's rows; a ratio counts with its sampling
     error added, so that small regions don't win by chance."""
     sp, su = np.zeros(len(p)), np.zeros(len(u))
     for k in (0, 1):
-        pk, uk = p[k::2], u[k::2]
+        pk, uk, ak, bk = p[k::2], u[k::2], wp[k::2], wu[k::2]
         if not len(pk) or not len(uk):
             return 0.5
+        ak, bk = ak / ak.sum() / 2, bk / bk.sum() / 2
 
-        def gradient(layers, pk=pk, uk=uk):
+        def gradient(layers, pk=pk, uk=uk, ak=ak, bk=bk):
             zp, hp = forward(layers, pk)
             zu, hu = forward(layers, uk)
-            a, b = back(layers, pk, hp, (sigmoid(zp) - 1) / len(pk) / 2), back(layers, uk, hu, sigmoid(zu) / len(uk) / 2)
+            a, b = back(layers, pk, hp, (sigmoid(zp) - 1) * ak), back(layers, uk, hu, sigmoid(zu) * bk)
             return [x + y for x, y in zip(a, b)]
 
         layers = adam(start(p.shape[1]), gradient, STEPS // 2, len(pk))
+        # Ranks by the positives of the half make the two fits' scores comparable.
+        other = p[1 - k :: 2]
+        ranks = np.sort(forward(layers, other)[0])
         for out, x in ((sp, p), (su, u)):
-            z = forward(layers, x[1 - k :: 2])[0]
-            # Ranks by the positives of the half make the two fits' scores comparable.
-            out[1 - k :: 2] = np.searchsorted(np.sort(forward(layers, p[1 - k :: 2])[0]), z) / max(len(p[1 - k :: 2]), 1)
+            out[1 - k :: 2] = np.searchsorted(ranks, forward(layers, x[1 - k :: 2])[0]) / max(len(other), 1)
     best = 1.0
     for t in np.unique(np.quantile(sp, np.linspace(0, 0.5, 51))):
-        ps, us = (sp >= t).mean(), (su >= t).mean()
+        ps, us = wp @ (sp >= t), wu @ (su >= t)
         if ps > 0:
-            best = min(best, us / ps + np.sqrt(us * (1 - us) / len(u)) / ps)
+            best = min(best, us / ps + np.sqrt(max(us * (1 - us), 0.0) * (wu @ wu)) / ps)
     return float(np.clip(best, 0.05, 0.98))
 
 
-def fit(x: np.ndarray, positive: np.ndarray) -> Model:
-    """x: measures of labelled rows; positive: which are trusted. The rest are unlabelled,
-    and so are the positives once more."""
-    if not len(x) or not positive.any():
+def fit(p: np.ndarray, wp: np.ndarray, u: np.ndarray, wu: np.ndarray) -> Model:
+    """Measures of trusted positives and of unlabelled rows, and how often each stands."""
+    if not len(p):
         return Model(np.zeros(0), np.ones(0), [], 0.0)
-    mean, spread = x.mean(0), np.maximum(x.std(0), 1e-6)
-    u = np.clip((x - mean) / spread, -8, 8)
-    p = u[positive]
-    prior = estimate_prior(p, u)
-    return Model(mean, spread, adam(start(x.shape[1]), risk_gradient(p, u, prior), STEPS, len(u)), prior)
+    if not len(u):
+        u, wu = p, wp
+    wp, wu = wp / wp.sum(), wu / wu.sum()
+    mean = wu @ u
+    spread = np.maximum(np.sqrt(wu @ (u - mean) ** 2), 1e-6)
+    p, u = (np.clip((x - mean) / spread, -8, 8) for x in (p, u))
+    prior = estimate_prior(p, wp, u, wu)
+    return Model(mean, spread, adam(start(p.shape[1]), risk_gradient(p, wp, u, wu, prior), STEPS, len(u)), prior)
+
+
+def sample(rows: DataFrame, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Measures (``x``) and numbers of about ``max_rows`` different rows at most, by hash."""
+    n = rows.count()
+    if n > max_rows:  # a share of the hashes, so no task sends more than its part
+        rows = rows.where(F.pmod("h", F.lit(1 << 30)) < F.lit(int((1 << 30) * max_rows / n)))
+    got = rows.groupBy("h", "x").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    got = got.assign(first=got["x"].map(tuple)).sort_values(["h", "first"], ignore_index=True)
+    return np.array(got["x"].tolist(), float).reshape(-1, len(NAMES)), got["n"].to_numpy(float)
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """``id, score, predicted`` of every row; ``labels`` are the rows that may be learned from."""
+def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn_from: Column | None = None) -> DataFrame:
+    """``id, score, predicted`` of every row.  ``labels`` are the rows that may be learned from;
+    ``learn_from`` says which documents are unlabelled text (all, if it isn't given)."""
     spark = docs.sparkSession
 
     def make():
@@ -198,16 +221,13 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_co
 
         return work
 
-    held = common.materialise(common.map_texts(docs, make, [("x", T.ArrayType(T.DoubleType()))], id_col, text_col), "measures")
-    sure = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg(F.min(label_col).alias("low"), F.max(label_col).alias("high")).where("low = high")
-    rows = held.join(sure, F.col(id_col) == F.col("l_id")).select("x", (F.col("high") == 1).alias("positive"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col("l_id"))
-    n = rows.count()
-    if n > max_rows:  # a share of the hashes, so no task sends more than its part
-        rows = rows.where(F.pmod("h", F.lit(1 << 30)) < F.lit(int((1 << 30) * max_rows / n)))
-    sample = rows.toPandas().sort_values(["h", "l_id"], ignore_index=True)
-    x = np.array(sample["x"].tolist(), float).reshape(-1, len(NAMES))
-    model = spark.sparkContext.broadcast(fit(x, sample["positive"].to_numpy(bool)))
-    schema = T.StructType([held.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    usable = F.lit(True) if learn_from is None else F.coalesce(learn_from, F.lit(False))
+    rows = docs.select(F.col(id_col).alias("id"), usable.alias("usable"), F.col(text_col).alias("text"))
+    held = common.materialise(common.map_texts(rows, make, [("x", T.ArrayType(T.DoubleType()))], "id", "text", keep=["usable"]).withColumn("h", F.xxhash64(F.col("id").cast("string"), "x")), "measures")
+    sure = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg(F.min(label_col).alias("low"), F.max(label_col).alias("high")).where("low = high and high = 1")
+    positive = held.join(sure, F.col("id") == F.col("l_id"), "left_semi")
+    model = spark.sparkContext.broadcast(fit(*sample(positive, max_rows), *sample(held.where("usable"), max_rows)))
+    schema = T.StructType([T.StructField(id_col, held.schema["id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def score(batches):
         for b in batches:
@@ -215,10 +235,10 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_co
                 s = model.value.scores(b.column(1).flatten().to_numpy().reshape(-1, len(NAMES)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=schema.names)
 
-    return held.select(id_col, "x").mapInArrow(common.tidied(score), schema)
+    return held.select("id", "x").mapInArrow(common.tidied(score), schema)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    learnable = common.table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
-    got = classify(common.table(spark, sf_dir, "documents"), learnable)
+    may = remainder("doc_id", 5) != 0
+    got = classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels").where(may), learn_from=may)
     return got.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -511,7 +511,56 @@ def test_prior_estimate():
     rng = np.random.default_rng(1)
     p = rng.normal(2, 1, (2000, 4))
     u = np.vstack([rng.normal(2, 1, (1400, 4)), rng.normal(-2, 1, (600, 4))])
-    assert quality_classifier.estimate_prior(p, u) == pytest.approx(0.7, abs=0.06)
+    assert quality_classifier.estimate_prior(p, np.full(2000, 1 / 2000), u, np.full(2000, 1 / 2000)) == pytest.approx(0.7, abs=0.06)
+
+
+def test_risk_gradient_against_differences():
+    """Also where the negative part is below zero and the step goes back along it."""
+    rng = np.random.default_rng(2)
+    p, u = rng.normal(1, 1, (30, 5)), rng.normal(-1, 1, (40, 5))
+    wp, wu = rng.dirichlet(np.ones(30)), rng.dirichlet(np.ones(40))
+    layers = [rng.normal(0, 0.5, a.shape) for a in quality_classifier.start(5)]
+    for prior in (0.2, 0.95):
+        plus, minus = quality_classifier.risk(layers, p, wp, u, wu, prior)
+        below = minus < 0
+        got = quality_classifier.risk_gradient(p, wp, u, wu, prior)(layers)
+        for k, a in enumerate(layers):
+            for at in np.ndindex(a.shape):
+                ends = []
+                for step in (1e-6, -1e-6):
+                    moved = [b.copy() for b in layers]
+                    moved[k][at] += step
+                    x, y = quality_classifier.risk(moved, p, wp, u, wu, prior)
+                    ends.append(-y if below else x + y)
+                assert got[k][at] == pytest.approx((ends[0] - ends[1]) / 2e-6, abs=1e-6)
+
+
+def test_negative_part_below_zero():
+    p, u = np.full((4, 1), 5.0), np.full((4, 1), -5.0)
+    w = np.full(4, 0.25)
+    layers = [np.zeros((1, 2)), np.zeros(2), np.zeros(2), np.zeros(1), np.ones(1)]
+    assert quality_classifier.risk(layers, p, w, u, w, 0.5)[1] < 0
+    got = quality_classifier.risk_gradient(p, w, u, w, 0.5)(layers)
+    ends = []
+    for step in (1e-6, -1e-6):
+        moved = [*layers[:4], layers[4] + step]
+        ends.append(-quality_classifier.risk(moved, p, w, u, w, 0.5)[1])
+    assert got[4][0] == pytest.approx((ends[0] - ends[1]) / 2e-6, abs=1e-6)
+
+
+def test_unlabelled_text_teaches(spark):
+    """The same labels and other unlabelled text give another model; a hot id comes back once."""
+    rng = np.random.default_rng(3)
+    good = [" ".join(rng.choice(["the", "river", "runs", "low", "under", "bridge"], 60)) + "." for _ in range(120)]
+    junk = [" | ".join(rng.choice(["XX", "99", "##", "||"], 60)) for _ in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(good + junk)] + [(7, good[7])] * 200, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 120, 3)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality_classifier.classify(docs, labels).collect()}
+    assert min(got[i] for i in range(120)) > max(got[i] for i in range(120, 240))
+    alone = {r.doc_id: r.score for r in quality_classifier.classify(docs, labels, learn_from=F.col("doc_id") < 120).collect()}
+    assert alone != got
+    x, n = quality_classifier.sample(docs.select(F.array(*[F.col("doc_id") * 1.0] * len(quality_classifier.NAMES)).alias("x"), F.xxhash64("doc_id").alias("h")), 10_000)
+    assert len(x) == 240 and n.sum() == 440 and n.max() == 201
 
 
 def test_measures_of_nothing():
