@@ -1,11 +1,16 @@
-"""Byte-level BPE encoding and decoding by merge replay over a corpus of words.
+"""Byte-level BPE encoding and decoding by merge replay over the words of the corpus.
 
-Texts are cut by the tokenizer's pattern.  The distinct words of a block are laid out
-as one long array of symbols, and an inverted index leads from each token pair (named
-by the rank of the token it makes) to the positions where it stands.  Ranks are then
-replayed in rising order: a merge touches the positions of its pair, and only the pairs
-with their neighbours are looked up again and entered into the index.  A word is encoded
-once a block, however often it stands there.
+Three passes.  The first cuts texts by the tokenizer's pattern, a chunk of documents at a
+time: a chunk becomes the sequences of its segments (runs between spaces, each a few words)
+and its distinct words, dealt by hash to parts.  In the second a part sees its words from
+all chunks and encodes each of them once; a chunk's words go back to it as ids.  In the
+third chunks and ids meet, and every document is put together from its segments.  Chunks
+and words travel as compressed blobs, so the corpus is never a row a word.
+
+A part's words are laid out as one long array of symbols, and an inverted index leads from
+each token pair (named by the rank of the token it makes) to the positions where it stands.
+Ranks are then replayed in rising order: a merge touches the positions of its pair, and only
+the pairs with their neighbours are looked up again and entered into the index.
 
 A pair made by a merge nearly always has a higher rank than that merge.  Where a
 vocabulary makes a lower one, the word leaves the replay and is encoded by itself,
@@ -13,7 +18,7 @@ always taking its lowest pair, so results are those of the plain algorithm.
 
 Edge cases: null text encodes as empty (no ids, digests of the empty string); repeated
 rows give repeated results; an empty table gives none; texts of any length are encoded
-whole; other columns are never read.
+whole; ids are of any type; other columns are never read.
 """
 
 from __future__ import annotations
@@ -21,17 +26,27 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import struct
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-#: Distinct words that a worker remembers; beyond it the memory is emptied between chunks.
+#: Segments and words that a worker remembers; a part with more words replays some again.
 MEMORY_WORDS = 250_000
+#: Words that are replayed at a time, and parts that words are dealt to at most.
+BLOCK_WORDS, MOST_PARTS = 100_000, 1024
+#: Text of a chunk.
+CHUNK = 4 << 20
+#: Ends of patterns in which a space between two other characters always begins a match.
+SPACED = " ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -44,6 +59,7 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
+        self.printed = {r: str(r) for r in self.tokens}
         self.base = max(ranks.values()) + 1
         self.byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
         if (self.byte < 0).any():
@@ -187,43 +203,193 @@ class Vocabulary:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-class Encoder:
-    """Encodes texts; remembers words between chunks."""
+class Cutter:
+    """Cuts texts into segments, and segments into words (the pattern's matches).
+
+    Where the pattern allows it, texts are cut at spaces between two characters that are no white
+    space, so that most of a text is found among the segments that are known."""
 
-    def __init__(self, ranks: bytes, pattern: str, memory: int = MEMORY_WORDS):
+    def __init__(self, pattern: str):
         import regex
 
-        self.vocabulary = Vocabulary(parse_ranks(ranks))
         self.cut = regex.compile(pattern)
-        self.memory = memory
-        #: word: its ids as 32-bit numbers, the ids in print, the bytes that they decode to
-        self.known: dict[str, tuple[bytes, str, bytes]] = {}
-
-    def words(self, texts: list[str]) -> list[list[str]]:
-        found = [self.cut.findall(t) for t in texts]
-        if len(self.known) > self.memory:
-            self.known.clear()
-        new = list(set().union(*found) - self.known.keys()) if found else []
-        decode = self.vocabulary.decode
-        for w, ids in zip(new, self.vocabulary.replay([w.encode() for w in new])):
-            self.known[w] = struct.pack(f"<{len(ids)}i", *ids), " ".join(map(str, ids)), decode(ids)
+        self.spaced = pattern.endswith(SPACED)
+        self.odd, self.between = regex.compile(r" \s|\s |\A | \Z"), regex.compile(r"(?<=\S) (?=\S)")
+        self.known: dict[str, list[str]] = {}
+
+    def segments(self, text: str) -> list[str]:
+        """All but the first stand after a space; none of an empty text."""
+        if not text:
+            return []
+        if not self.spaced:
+            return [text]
+        return self.between.split(text) if self.odd.search(text) else text.split(" ")
+
+    def words(self, segment: str, first: bool) -> list[str]:
+        if first:
+            return self.cut.findall(segment)
+        found = self.known.get(segment)
+        if found is None:
+            if len(self.known) > MEMORY_WORDS:
+                self.known.clear()
+            found = self.cut.findall(" " + segment)
+            if len(segment) < 40:
+                self.known[segment] = found
         return found
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        known = self.known
-        return [np.frombuffer(b"".join([known[w][0] for w in words]), "<i4").tolist() for words in self.words(texts)]
+
+def packed(*arrays) -> bytes:
+    """Arrays of 32-bit numbers as one compressed blob."""
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.asarray(x, "<i4").tobytes() for x in ([len(a) for a in arrays], *arrays)))
+
+
+def unpacked(blob: bytes, n: int) -> list[np.ndarray]:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<i4")
+    return np.split(flat[n:], np.cumsum(flat[:n])[:-1])
+
+
+def cut_chunk(cutter: Cutter, texts: list[str], parts: int) -> tuple[bytes, list[tuple[int, bytes]]]:
+    """A chunk's documents as segments, segments as words and words by part.
+
+    Words are numbered part by part, as their ids will come back."""
+    cut = list(map(cutter.segments, texts))
+    heads, rest = {x[0] for x in cut if x}, set().union(*(x[1:] for x in cut)) if cut else set()
+    segments = [cutter.words(x, True) for x in heads] + [cutter.words(x, False) for x in rest]
+    by_part: dict[int, list[str]] = {}
+    for w in set().union(*segments):
+        by_part.setdefault(zlib.crc32(w.encode()) % parts, []).append(w)
+    number: dict[str, int] = {}
+    blobs = []
+    for part in sorted(by_part):
+        mine = [w.encode() for w in by_part[part]]
+        for w in by_part[part]:
+            number[w] = len(number)
+        sizes = np.fromiter(map(len, mine), "<i4", len(mine))
+        blobs.append((part, zstandard.ZstdCompressor(level=3).compress(np.array([len(mine)], "<i4").tobytes() + sizes.tobytes() + b"".join(mine))))
+    of_head, of_rest = {x: i for i, x in enumerate(heads)}, {x: i + len(heads) for i, x in enumerate(rest)}
+    docs = [number for x in cut if x for number in (of_head[x[0]], *map(of_rest.__getitem__, x[1:]))]
+    return packed([len(x) for x in cut], docs, [len(x) for x in segments], [number[w] for x in segments for w in x]), blobs
+
+
+def words_of(blob: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, "<i4", 1)[0])
+    ends = 4 + 4 * n + np.cumsum(np.frombuffer(raw, "<i4", n, 4), dtype=np.int64)
+    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist())]
+
+
+#: How a chunk's documents become output columns: from the number of ids, the ids in print, what they
+#: decode to and the ids themselves, each by segment, and the segments of each document.
+Finish = Callable[["Segments", list[np.ndarray]], list[pa.Array]]
+
+
+class Segments:
+    """Segments of a chunk by number, with their ids."""
+
+    def __init__(self, vocabulary: Vocabulary, word_counts: np.ndarray, word_ids: np.ndarray, sizes: np.ndarray, words: np.ndarray):
+        shown = vocabulary.printed
+        tokens = vocabulary.tokens
+        flat = word_ids.tolist()
+        ends = np.cumsum(word_counts).tolist()
+        of_word = [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+        words, ends = words.tolist(), np.cumsum(sizes).tolist()
+        self.ids = [of_word[words[a]] if b - a == 1 else [x for w in words[a:b] for x in of_word[w]] for a, b in zip([0, *ends[:-1]], ends)]
+        self.shown = [" ".join([shown[i] for i in x]) for x in self.ids]
+        self.bytes = [b"".join([tokens[i] for i in x]) for x in self.ids]
+
+
+def replayed(docs: DataFrame, rank_path: str, pattern: str, finish: Finish, fields: list[tuple[str, T.DataType]], id_col: str, text_col: str) -> DataFrame:
+    """``id`` and ``fields`` of every row."""
+    spark = docs.sparkSession
+    common.ship(spark)
+    with open(rank_path, "rb") as f:
+        held = spark.sparkContext.broadcast(f.read())
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    parts = max(8, min(MOST_PARTS, 2 * docs.rdd.getNumPartitions()))
+
+    def cut(batches):
+        cutter, n = Cutter(pattern), 0
+        for whole in batches:
+            for b in common.chunks(whole, "text", CHUNK):
+                sequences, words = cut_chunk(cutter, [t or "" for t in b.column(1).to_pylist()], parts)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, pa.schema([pa.field("id", b.schema.field(0).type)])) as out:
+                    out.write_batch(pa.RecordBatch.from_arrays([b.column(0)], names=["id"]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([TaskContext.get().partitionId() << 32 | n]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([sequences], pa.binary()), pa.array([[{"part": p, "words": w} for p, w in words]], pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary())])))],
+                    names=["chunk", "ids", "sequences", "words"],
+                )
+                n += 1
+
+    chunks = common.materialise(docs.mapInArrow(common.tidied(cut), "chunk long, ids binary, sequences binary, words array<struct<part: int, words: binary>>"), "bpe_chunks")
+
+    def replay(batches):
+        vocabulary = Vocabulary(parse_ranks(held.value))
+        known: dict[bytes, list[int]] = {}
+        rows: list[tuple[int, int, list[bytes]]] = []
+        now, new = None, set()
+
+        def given() -> Iterator[pa.RecordBatch]:
+            some = list(new)
+            new.clear()
+            known.update(zip(some, vocabulary.replay(some)))
+            out = []
+            for _, _, words in rows:
+                found = [known[w] for w in words]
+                out.append(packed([len(x) for x in found], [i for x in found for i in x]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(out, pa.binary())], names=["chunk", "part", "blob"])
+            rows.clear()
+
+        for b in batches:
+            for part, chunk, blob in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if part != now or len(known) > MEMORY_WORDS:
+                    yield from given()
+                    known.clear()
+                    now = part
+                words = words_of(blob)
+                rows.append((chunk, part, words))
+                new.update(w for w in words if w not in known)
+                if len(new) > BLOCK_WORDS or len(rows) >= 200:
+                    yield from given()
+        yield from given()
+
+    words = chunks.select("chunk", F.explode("words").alias("w")).select(F.col("w.part").alias("part"), "chunk", F.col("w.words").alias("words"))
+    ids = words.repartition("part").sortWithinPartitions("part", "chunk").mapInArrow(common.tidied(replay), "chunk long, part int, blob binary")
+    schema = T.StructType([T.StructField(id_col, docs.schema["id"].dataType), *(T.StructField(n, t) for n, t in fields)])
+
+    def join(batches):
+        vocabulary = Vocabulary(parse_ranks(held.value))
+        now, blobs = None, []
+        for b in batches:
+            for chunk, ids, sequences, blob in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4))):
+                if chunk != now:
+                    now, blobs = chunk, []
+                if sequences is None:
+                    blobs.append(blob)
+                    continue
+                of_part = [unpacked(x, 2) for x in blobs] or [[np.zeros(0, np.int32)] * 2]
+                sizes, docs, of_segment, words = unpacked(sequences, 4)
+                segments = Segments(vocabulary, np.concatenate([x[0] for x in of_part]), np.concatenate([x[1] for x in of_part]), of_segment, words)
+                with pa.ipc.open_stream(ids) as stream:
+                    column = stream.read_next_batch().column(0)
+                out = finish(segments, np.split(docs, np.cumsum(sizes)[:-1]))
+                yield pa.RecordBatch.from_arrays([column, *out], names=schema.names)
+                blobs = []
+
+    # Ids first, by part; a chunk's documents last.
+    both = ids.select("chunk", "part", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("sequences"), "blob")
+    both = both.unionAll(chunks.select("chunk", F.lit(2**31 - 1).alias("part"), "ids", "sequences", F.lit(None).cast("binary")))
+    return both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(common.tidied(join), schema)
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, ids`` (array of int): the general operator."""
-    with open(rank_path, "rb") as f:
-        held = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def make():
-        e = Encoder(held.value, pattern)
-        return lambda texts: [pa.array(e.encode([t or "" for t in texts.to_pylist()]), pa.list_(pa.int32()))]
+    def finish(segments, documents):
+        return [pa.array([[i for k in d.tolist() for i in segments.ids[k]] for d in documents], pa.list_(pa.int32()))]
 
-    return common.map_texts(docs, make, [("ids", T.ArrayType(T.IntegerType()))], id_col, text_col)
+    return replayed(docs, rank_path, pattern, finish, [("ids", T.ArrayType(T.IntegerType()))], id_col, text_col)
 
 
 def decode(encoded: DataFrame, rank_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -246,35 +412,25 @@ def decode(encoded: DataFrame, rank_path: str, id_col: str = "doc_id", ids_col:
 
 
 def digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """``id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids``): encoded, decoded and digested in one pass."""
-    with open(rank_path, "rb") as f:
-        held = docs.sparkSession.sparkContext.broadcast(f.read())
-
-    def make():
-        e = Encoder(held.value, pattern)
-
-        def work(texts):
-            n, printed, back, packed = [], [], [], []
-            for words in e.words([t or "" for t in texts.to_pylist()]):
-                ids, shown, decoded = zip(*map(e.known.__getitem__, words)) if words else ((), (), ())
-                ids = b"".join(ids)
-                n.append(len(ids) // 4)
-                printed.append(hashlib.sha256(" ".join(shown).encode()).hexdigest())
-                back.append(hashlib.sha256(b"".join(decoded)).hexdigest())
-                if with_ids:
-                    packed.append(ids)
-            out = [pa.array(n, pa.int64()), pa.array(printed, pa.string()), pa.array(back, pa.string())]
+    """``id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids``): encoded, decoded and digested."""
+
+    def finish(segments, documents):
+        sizes = np.array([*map(len, segments.ids), 0], np.int64)
+        n, printed, back, ids = [], [], [], []
+        for d in documents:
+            n.append(int(sizes[d].sum()))
+            d = d.tolist()
+            printed.append(hashlib.sha256(" ".join([segments.shown[k] for k in d]).encode()).hexdigest())
+            back.append(hashlib.sha256(b"".join([segments.bytes[k] for k in d])).hexdigest())
             if with_ids:
-                flat = np.frombuffer(b"".join(packed), "<i4")
-                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat, pa.int32())))
-            return out
-
-        return work
+                ids.append([i for k in d for i in segments.ids[k]])
+        out = [pa.array(n, pa.int64()), pa.array(printed, pa.string()), pa.array(back, pa.string())]
+        return [*out, pa.array(ids, pa.list_(pa.int32()))] if with_ids else out
 
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     if with_ids:
         fields.append(("ids", T.ArrayType(T.IntegerType())))
-    return common.map_texts(docs, make, fields, id_col, text_col)
+    return replayed(docs, rank_path, pattern, finish, fields, id_col, text_col)
 
 
 def digest_documents(docs: DataFrame, with_ids: bool = False) -> DataFrame:

@@ -360,6 +360,37 @@ def test_byte_bpe(spark, documents, edges, reference_bpe):
             assert r.decoded_sha256 == hashlib.sha256(texts[i].encode()).hexdigest()
 
 
+def test_segments_keep_the_pattern():
+    """Cutting at spaces first gives the pattern's own matches, whatever the white space."""
+    import regex
+
+    cutter, plain = bpe.Cutter(public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN)
+    assert cutter.spaced
+    rng = np.random.default_rng(8)
+    marks = [" ", " ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "a", "Bc", "é", "日本", "1", "٣", "'s", "'", "...", "!", "\u200b", "\u0301"]
+    for _ in range(4000):
+        text = "".join(rng.choice(marks, rng.integers(0, 14)))
+        segments = cutter.segments(text)
+        assert (segments[0] + "".join(" " + x for x in segments[1:]) if segments else "") == text
+        assert [w for i, x in enumerate(segments) for w in cutter.words(x, i == 0)] == plain.findall(text)
+    assert not bpe.Cutter(r"\w+|\W").spaced
+
+
+def test_words_of_many_chunks_and_parts(spark, documents, reference_bpe, monkeypatch):
+    """Small chunks, blocks and memories give the same ids; each part encodes a word once."""
+    for name, value in (("CHUNK", 5_000), ("MEMORY_WORDS", 300), ("BLOCK_WORDS", 50)):
+        monkeypatch.setattr(bpe, name, value)
+    texts = {r.doc_id: r.text or "" for r in documents.collect()}
+    docs = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.lit(1).alias("chunk")).repartition(3)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    got = {r.doc_id: r.ids for r in bpe.encode(docs, path, public_tokenizers.PATTERN).collect()}
+    assert got == {str(i): reference_bpe.encode_ordinary(t) for i, t in texts.items()}
+    other = {r.doc_id: r.ids for r in bpe.encode(docs.limit(5), path, r"\w+|\W").collect()}
+    plain = tiktoken.Encoding("other", pat_str=r"\w+|\W", mergeable_ranks=reference_bpe._mergeable_ranks, special_tokens={})
+    assert other == {i: plain.encode_ordinary(texts[int(i)]) for i in other}
+    assert bpe.encode(documents.limit(0), path, public_tokenizers.PATTERN).count() == 0
+
+
 def test_byte_bpe_round_trip(spark, edges):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     back = by_id(bpe.decode(bpe.encode(edges, path, public_tokenizers.PATTERN), path))
