@@ -123,7 +123,7 @@ def confirm(pairs: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
     ``SALTS`` groups, each of which gets the center's set once and streams the members'."""
     dealt = pairs.select("c", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt"), "a")
     wanted = dealt.select("c", "salt", F.col("a").alias("id"), F.lit(1).alias("role")).unionAll(dealt.select("c", "salt").distinct().select("c", "salt", F.col("c").alias("id"), F.lit(0).alias("role")))
-    rows = wanted.join(payload, "id").select("c", "salt", "role", "id", "sketch", "shingles")
+    rows = wanted.hint("shuffle_hash").join(payload, "id").select("c", "salt", "role", "id", "sketch", "shingles")
     rows = rows.repartition("c", "salt").sortWithinPartitions("c", "salt", "role")
     least = least_estimate(percent)
 
@@ -196,7 +196,7 @@ def leftover(entries: DataFrame, payload: DataFrame, percent: int, work: common.
     large = (F.col("n") >= LARGE).alias("large")
     strays = e.where("component != main").select("key", mine(stray_blocks).alias("i"), F.explode(F.sequence(F.lit(0), member_blocks - 1)).alias("j"), F.lit(0).alias("role"), "id", "component", large)
     members = e.select("key", F.explode(F.sequence(F.lit(0), stray_blocks - 1)).alias("i"), mine(member_blocks).alias("j"), F.lit(1).alias("role"), "id", "component", large)
-    rows = strays.unionAll(members).join(payload, "id").select("key", "i", "j", "role", "id", "component", "sketch", (F.octet_length("shingles") / 8).cast("long").alias("n"), F.when(F.col("large"), F.col("shingles")).alias("shingles"))
+    rows = strays.unionAll(members).join(payload.hint("shuffle_hash"), "id").select("key", "i", "j", "role", "id", "component", "sketch", (F.octet_length("shingles") / 8).cast("long").alias("n"), F.when(F.col("large"), F.col("shingles")).alias("shingles"))
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
     least = least_estimate(percent)
 
@@ -247,9 +247,10 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
     feats = common.materialise(features(docs, size, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "near_features")
     there = feats.where("class is not null and id is not null")
     classes = work.write(there.groupBy("class").agg(F.min("row").alias("node"), F.min("id").alias("least")), "classes")
-    nodes = work.write(there.select(F.col("row").alias("id"), F.col("id").alias("doc"), "h", "class", "sketch").join(classes.select(F.col("node").alias("id")), "id", "left_semi"), "nodes")
-    entries = work.write(bands(nodes), "entries")
-    buckets = work.write(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("center")).where("n > 1").select("key", "center"), "buckets")
+    nodes = work.write(there.select(F.col("row").alias("id"), F.col("id").alias("doc"), "h", "class", "sketch").join(classes.select(F.col("node").alias("id")).hint("shuffle_hash"), "id", "left_semi"), "nodes")
+    # Counted and joined in one exchange.
+    entries = work.write(bands(nodes), "entries").repartition("key")
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("center")).where("n > 1").select("key", "center")
     active = work.write(entries.join(buckets, "key"), "active")
     wanted = nodes.drop("sketch").join(active.select("id").distinct(), "id", "left_semi")
     payload = work.write(payloads(docs, wanted, size, id_col, text_col).dropDuplicates(["id"]), "payloads")
