@@ -24,6 +24,7 @@ whole; ids are of any type; other columns are never read.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import zlib
@@ -214,7 +215,8 @@ class Cutter:
 
         self.cut = regex.compile(pattern)
         self.spaced = pattern.endswith(SPACED)
-        self.odd, self.between = regex.compile(r" \s|\s |\A | \Z"), regex.compile(r"(?<=\S) (?=\S)")
+        self.between = regex.compile(r"(?<=\S) (?=\S)")
+        self.white = [c for c in map(chr, range(0x3001)) if c != " " and (c.isspace() or regex.match(r"\s", c))]
         self.known: dict[str, list[str]] = {}
 
     def segments(self, text: str) -> list[str]:
@@ -223,7 +225,10 @@ class Cutter:
             return []
         if not self.spaced:
             return [text]
-        return self.between.split(text) if self.odd.search(text) else text.split(" ")
+        found = text.split(" ")
+        if "" in found or any(f" {c}" in text or f"{c} " in text for c in self.white if c in text):
+            return self.between.split(text)
+        return found
 
     def words(self, segment: str, first: bool) -> list[str]:
         if first:
@@ -255,20 +260,27 @@ def cut_chunk(cutter: Cutter, texts: list[str], parts: int) -> tuple[bytes, list
     cut = list(map(cutter.segments, texts))
     heads, rest = {x[0] for x in cut if x}, set().union(*(x[1:] for x in cut)) if cut else set()
     segments = [cutter.words(x, True) for x in heads] + [cutter.words(x, False) for x in rest]
-    by_part: dict[int, list[str]] = {}
-    for w in set().union(*segments):
-        by_part.setdefault(zlib.crc32(w.encode()) % parts, []).append(w)
-    number: dict[str, int] = {}
+    flat = [w for x in segments for w in x]
+    words = list(set(flat))
+    data = [w.encode() for w in words]
+    of_part = np.fromiter(map(zlib.crc32, data), np.int64, len(data)) % parts
+    order = np.argsort(of_part, kind="stable")
+    at = order.tolist()
+    number = dict(zip([words[i] for i in at], range(len(at))))
+    of_part = of_part[order]
+    starts = np.flatnonzero(np.diff(of_part, prepend=-1)).tolist()
     blobs = []
-    for part in sorted(by_part):
-        mine = [w.encode() for w in by_part[part]]
-        for w in by_part[part]:
-            number[w] = len(number)
+    for a, b in zip(starts, [*starts[1:], len(at)]):
+        mine = [data[i] for i in at[a:b]]
         sizes = np.fromiter(map(len, mine), "<i4", len(mine))
-        blobs.append((part, zstandard.ZstdCompressor(level=3).compress(np.array([len(mine)], "<i4").tobytes() + sizes.tobytes() + b"".join(mine))))
-    of_head, of_rest = {x: i for i, x in enumerate(heads)}, {x: i + len(heads) for i, x in enumerate(rest)}
-    docs = [number for x in cut if x for number in (of_head[x[0]], *map(of_rest.__getitem__, x[1:]))]
-    return packed([len(x) for x in cut], docs, [len(x) for x in segments], [number[w] for x in segments for w in x]), blobs
+        blobs.append((int(of_part[a]), zstandard.ZstdCompressor(level=3).compress(np.array([len(mine)], "<i4").tobytes() + sizes.tobytes() + b"".join(mine))))
+    of_head, of_rest = dict(zip(heads, range(len(heads)))), dict(zip(rest, range(len(heads), len(segments))))
+    docs = []
+    for x in cut:
+        if x:
+            docs.append(of_head[x[0]])
+            docs.extend(map(of_rest.__getitem__, x[1:]))
+    return packed([len(x) for x in cut], docs, [len(x) for x in segments], list(map(number.__getitem__, flat))), blobs
 
 
 def words_of(blob: bytes) -> list[bytes]:
@@ -278,24 +290,34 @@ def words_of(blob: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist())]
 
 
-#: How a chunk's documents become output columns: from the number of ids, the ids in print, what they
-#: decode to and the ids themselves, each by segment, and the segments of each document.
-Finish = Callable[["Segments", list[np.ndarray]], list[pa.Array]]
+def gathered(values: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs that stand one after the other with ``sizes``, the picked ones, and their sizes."""
+    sizes = sizes.astype(np.int64)
+    starts, mine = np.cumsum(sizes) - sizes, sizes[picks]
+    ends = np.cumsum(mine)
+    if not len(ends) or not ends[-1]:
+        return values[:0], mine
+    return values[np.arange(ends[-1]) + np.repeat(starts[picks] - (ends - mine), mine)], mine
+
+
+def sums_of(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums over runs that stand one after the other."""
+    upto = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return upto[ends] - upto[ends - sizes]
 
 
-class Segments:
-    """Segments of a chunk by number, with their ids."""
+def documents_of(sequences: bytes, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a chunk's documents one after the other, and how many each has."""
+    of_part = [unpacked(x, 2) for x in blobs] or [[np.zeros(0, np.int32)] * 2]
+    sizes, docs, of_segment, words = unpacked(sequences, 4)
+    ids, counts = gathered(np.concatenate([x[1] for x in of_part]), np.concatenate([x[0] for x in of_part]), words)
+    ids, counts = gathered(ids, sums_of(counts, of_segment), docs)
+    return ids, sums_of(counts, sizes)
 
-    def __init__(self, vocabulary: Vocabulary, word_counts: np.ndarray, word_ids: np.ndarray, sizes: np.ndarray, words: np.ndarray):
-        shown = vocabulary.printed
-        tokens = vocabulary.tokens
-        flat = word_ids.tolist()
-        ends = np.cumsum(word_counts).tolist()
-        of_word = [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]
-        words, ends = words.tolist(), np.cumsum(sizes).tolist()
-        self.ids = [of_word[words[a]] if b - a == 1 else [x for w in words[a:b] for x in of_word[w]] for a, b in zip([0, *ends[:-1]], ends)]
-        self.shown = [" ".join([shown[i] for i in x]) for x in self.ids]
-        self.bytes = [b"".join([tokens[i] for i in x]) for x in self.ids]
+
+#: How the ids of a chunk's documents, and how many each has, become output columns.
+Finish = Callable[[Vocabulary, np.ndarray, np.ndarray], list[pa.Array]]
 
 
 def replayed(docs: DataFrame, rank_path: str, pattern: str, finish: Finish, fields: list[tuple[str, T.DataType]], id_col: str, text_col: str) -> DataFrame:
@@ -308,6 +330,7 @@ def replayed(docs: DataFrame, rank_path: str, pattern: str, finish: Finish, fiel
     parts = max(8, min(MOST_PARTS, 2 * docs.rdd.getNumPartitions()))
 
     def cut(batches):
+        gc.disable()  # many short lists, none in a circle
         cutter, n = Cutter(pattern), 0
         for whole in batches:
             for b in common.chunks(whole, "text", CHUNK):
@@ -324,6 +347,7 @@ def replayed(docs: DataFrame, rank_path: str, pattern: str, finish: Finish, fiel
     chunks = common.materialise(docs.mapInArrow(common.tidied(cut), "chunk long, ids binary, sequences binary, words array<struct<part: int, words: binary>>"), "bpe_chunks")
 
     def replay(batches):
+        gc.disable()
         vocabulary = Vocabulary(parse_ranks(held.value))
         known: dict[bytes, list[int]] = {}
         rows: list[tuple[int, int, list[bytes]]] = []
@@ -368,13 +392,9 @@ def replayed(docs: DataFrame, rank_path: str, pattern: str, finish: Finish, fiel
                 if sequences is None:
                     blobs.append(blob)
                     continue
-                of_part = [unpacked(x, 2) for x in blobs] or [[np.zeros(0, np.int32)] * 2]
-                sizes, docs, of_segment, words = unpacked(sequences, 4)
-                segments = Segments(vocabulary, np.concatenate([x[0] for x in of_part]), np.concatenate([x[1] for x in of_part]), of_segment, words)
                 with pa.ipc.open_stream(ids) as stream:
                     column = stream.read_next_batch().column(0)
-                out = finish(segments, np.split(docs, np.cumsum(sizes)[:-1]))
-                yield pa.RecordBatch.from_arrays([column, *out], names=schema.names)
+                yield pa.RecordBatch.from_arrays([column, *finish(vocabulary, *documents_of(sequences, blobs))], names=schema.names)
                 blobs = []
 
     # Ids first, by part; a chunk's documents last.
@@ -383,11 +403,15 @@ def replayed(docs: DataFrame, rank_path: str, pattern: str, finish: Finish, fiel
     return both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(common.tidied(join), schema)
 
 
+def listed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, pa.int32()))
+
+
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, ids`` (array of int): the general operator."""
 
-    def finish(segments, documents):
-        return [pa.array([[i for k in d.tolist() for i in segments.ids[k]] for d in documents], pa.list_(pa.int32()))]
+    def finish(vocabulary, ids, sizes):
+        return [listed(ids, sizes)]
 
     return replayed(docs, rank_path, pattern, finish, [("ids", T.ArrayType(T.IntegerType()))], id_col, text_col)
 
@@ -414,18 +438,15 @@ def decode(encoded: DataFrame, rank_path: str, id_col: str = "doc_id", ids_col:
 def digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """``id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids``): encoded, decoded and digested."""
 
-    def finish(segments, documents):
-        sizes = np.array([*map(len, segments.ids), 0], np.int64)
-        n, printed, back, ids = [], [], [], []
-        for d in documents:
-            n.append(int(sizes[d].sum()))
-            d = d.tolist()
-            printed.append(hashlib.sha256(" ".join([segments.shown[k] for k in d]).encode()).hexdigest())
-            back.append(hashlib.sha256(b"".join([segments.bytes[k] for k in d])).hexdigest())
-            if with_ids:
-                ids.append([i for k in d for i in segments.ids[k]])
-        out = [pa.array(n, pa.int64()), pa.array(printed, pa.string()), pa.array(back, pa.string())]
-        return [*out, pa.array(ids, pa.list_(pa.int32()))] if with_ids else out
+    def finish(vocabulary, ids, sizes):
+        printed, back, shown, tokens = [], [], vocabulary.printed, vocabulary.tokens
+        ends = np.cumsum(sizes).tolist()
+        for a, b in zip([0, *ends], ends):
+            mine = ids[a:b].tolist()
+            printed.append(hashlib.sha256(" ".join([shown[i] for i in mine]).encode()).hexdigest())
+            back.append(hashlib.sha256(b"".join([tokens[i] for i in mine])).hexdigest())
+        out = [pa.array(sizes), pa.array(printed, pa.string()), pa.array(back, pa.string())]
+        return [*out, listed(ids, sizes)] if with_ids else out
 
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     if with_ids:

@@ -44,6 +44,7 @@ def tidied(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
+            gc.enable()
             gc.collect()
             pa.default_memory_pool().release_unused()
             try:
