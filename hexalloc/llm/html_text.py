@@ -1,17 +1,21 @@
 """Main text of web pages by the maximum-scoring run of words and tags.
 
-A page becomes a row of tokens.  Words score for what they stand in: each kind of element
-(its name, and the words of its class, id and role) has a weight learned from labelled
-pages, the log-odds of words below it being content; a word takes the least weight of the
-elements around it, and a positive base weight where none speaks against it; the class, id
-or role of an element that wraps the page's text (``Weights.wrappers``) is not held against it.  Tags score
-zero or less, by how often their kind stands in content.  One linear scan (Kadane's) finds
-the contiguous run with the highest sum; its blocks, less words that score below zero
-(an advert or a form amid the article), are the text.  Equal sums take the longer run, so
-that nothing without a score against it is lost at the edges.
+A page becomes a row of tokens, texts and tags.  Weights come from labelled pages, as log-odds
+of content: of words below each kind of element (its name, and the words of its class, id and
+role), of words in blocks with few or many links, and of tags.  A word scores a base weight,
+less what the nearest element with a weight says against it, less what its block's links say
+(unless that element speaks for it); the class, id or role of an element that wraps the page's
+text is not held against it (``Weights.judged``).  Every tag costs something.
+
+One linear scan finds the run of tokens with the highest sum (Kadane's), from which whole
+blocks may be left out at a price: so an advert or a form amid the article, whose words score
+below zero, costs the same however long it is, and ends no article.  Nothing else picks or
+drops words.  Of equal sums the longer run counts, so that nothing without a score against it
+is lost at the edges.
 
 Scripts, styles, comments and the like are no tokens.  Character references are decoded,
 white space (Unicode's) inside a block becomes one space, and blocks are joined by one line feed.
+Reading and scanning take time in proportion to the page.
 
 Edge cases: null or empty html, and pages without a word that scores, give an empty text;
 a page that breaks off inside a tag, comment or script ends there; unclosed elements, hidden
@@ -56,21 +60,42 @@ TOKEN = re.compile(
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 WORDS = re.compile(r"[^\W_]+")
 
+#: Elements that mean something else inside sections of the page.
+INNER, SECTIONS = ("header", "footer"), ("article", "main")
+#: A word's score before evidence, bounds of log-odds and of a tag's cost, and the price of a block that
+#: is left out of a run. Both are small beside a word, so that no paragraph of one word is a loss.
 BASE, LIMIT = 1.0, 4.0
-#: What log-odds against content weigh beside a word of content: text goes on after an advert
-#: unless the advert is some twenty times as long or more.
-AGAINST = 0.015
+LEAST_OF_TAG, MOST_OF_TAG, LEFT_OUT = 0.02, 0.1, 0.2
+
+
+@dataclass(eq=False)
+class Element:
+    """An open element: its own kinds, what is around it, and its tokens."""
+
+    name: str
+    own: frozenset
+    outer: Element | None
+    hidden: bool
+    begin: int = 0  # of its first token, and after its last
+    end: int = 0
+    words: int = 0  # below it, in all and below holders; see Weights.judged
+    held: int = 0
+    holds: bool = False
+    counted: bool = True
+    evidence: float = 0.0
 
 
 @dataclass
-class Segment:
-    """Words between two tags, or a tag."""
+class Token:
+    """A text between two tags (``text``), or the start or end of an element."""
 
     block: int
-    kinds: frozenset
-    text: str | None  # None: a tag
+    element: Element | None
+    text: str | None = None
     tag: str = ""
-    path: tuple = ()  # number and own kinds of each element around it
+    closes: bool = False
+    words: int = 0
+    score: float = 0.0
 
 
 def kinds_of(name: str, attributes: str) -> frozenset:
@@ -81,17 +106,64 @@ def kinds_of(name: str, attributes: str) -> frozenset:
     return frozenset(found)
 
 
-def segments(page: str) -> list[Segment]:
-    """Tokens of a page, with the kinds of all elements around each."""
-    out: list[Segment] = []
-    # Name; kinds of it and all around it; whether not shown; path.
-    stack: list[tuple[str, frozenset, bool, tuple]] = []
-    around, hidden, path = top = frozenset(), False, ()
+class Stack:
+    """Open elements, and where those of each name and those that end a search stand; every step
+    takes time for what it opens or closes, however deep the stack is."""
+
+    BARRIERS = BLOCKS | HIDDEN | set(EMBEDDED)
+
+    def __init__(self):
+        self.open: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+        self.barriers: list[int] = []
+
+    def push(self, e: Element) -> None:
+        self.places.setdefault(e.name, []).append(len(self.open))
+        if e.name in self.BARRIERS:
+            self.barriers.append(len(self.open))
+        self.open.append(e)
+
+    def last(self, *names: str) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def cut(self, at: int) -> list[Element]:
+        """Closes all from a place on, the innermost first."""
+        out = []
+        while len(self.open) > at:
+            e = self.open.pop()
+            self.places[e.name].pop()
+            if self.barriers and self.barriers[-1] == len(self.open):
+                self.barriers.pop()
+            out.append(e)
+        return out
+
+
+def parsed(page: str) -> tuple[list[Token], list[Element]]:
+    """Tokens of a page in order, and its elements, outer ones first."""
+    out: list[Token] = []
+    elements: list[Element] = []
+    stack = Stack()
     block, at = 0, 0
 
+    def inner() -> Element | None:
+        return stack.open[-1] if stack.open else None
+
+    def closed(place: int, tag: str = "") -> None:
+        nonlocal block
+        for e in stack.cut(place):
+            if not e.hidden:
+                # Only the end tag that stands there is a token with a weight.
+                written = tag == e.name and len(stack.open) == place
+                if e.name in BLOCKS:
+                    block += 1
+                out.append(Token(block, e, None, e.name if written else "", True))
+            e.end = len(out)
+
     def text(to: int) -> None:
-        if to > at and not hidden:
-            out.append(Segment(block, around, page[at:to], path=path))
+        e = inner()
+        if to > at and not (e and e.hidden):
+            words = len(page[at:to].split())
+            out.append(Token(block, e, page[at:to], words=words))
 
     for m in TOKEN.finditer(page):
         text(m.start())
@@ -100,134 +172,204 @@ def segments(page: str) -> list[Segment]:
         if not name:
             continue
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-        else:
-            if name in BLOCKS:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in FOREIGN:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in EMBEDDED:
-                        break
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        del stack[k:]
-                        break
-                    if stack[k][0] in BLOCKS or stack[k][0] in HIDDEN or stack[k][0] in EMBEDDED:
-                        break
-            if name in SELF_CLOSING:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in SELF_CLOSING[name]:
-                        break
-            if name not in VOID and not m[4].endswith("/>"):
-                outer, unseen, above = stack[-1][1:] if stack else top
-                own = kinds_of(name, m[4])
-                stack.append((name, outer | own, unseen or name in HIDDEN, (*above, (m.start(), own))))
-        around, hidden, path = stack[-1][1:] if stack else top
-        if hidden or name in HIDDEN:
+            if (k := stack.last(name)) >= 0:
+                closed(k, name)
+            elif name in BLOCKS and not (inner() and inner().hidden):
+                block += 1
             continue
         if name in BLOCKS:
-            block += 1
-        out.append(Segment(block, around, None, name))
-        if name in ("br", "td", "th"):
-            out.append(Segment(block, around, " ", path=path))
+            # Blocks end foreign elements, unless they are embedded in them, and an open paragraph.
+            if (k := stack.last(*FOREIGN)) > stack.last(*EMBEDDED):
+                closed(k)
+            if (k := stack.last("p")) >= 0 and k >= (stack.barriers[-1] if stack.barriers else -1):
+                closed(k)
+        if name in SELF_CLOSING and (k := stack.last(name)) > stack.last(*SELF_CLOSING[name]):
+            closed(k)
+        outer = inner()
+        hidden = bool(outer and outer.hidden)
+        if name in VOID or m[4].endswith("/>"):
+            if not hidden and name not in HIDDEN:
+                block += name in BLOCKS
+                out.append(Token(block, outer, None, name))
+                if name in ("br", "td", "th"):
+                    out.append(Token(block, outer, " "))
+            continue
+        if name in INNER and any(stack.places.get(n) for n in SECTIONS):
+            own = kinds_of("inner " + name, m[4])
+        else:
+            own = kinds_of(name, m[4])
+        e = Element(name, own, outer, hidden or name in HIDDEN, len(out))
+        stack.push(e)
+        elements.append(e)
+        if not e.hidden:
+            block += name in BLOCKS
+            out.append(Token(block, e, None, name))
+            if name in ("td", "th"):
+                out.append(Token(block, e, " "))
     text(len(page))
-    return out
+    closed(0)
+    return out, elements
+
+
+def link_share(tokens: list[Token]) -> dict[int, float]:
+    """Of each block, the share of its words that are links."""
+    linked, total, inside = Counter(), Counter(), 0
+    for t in tokens:
+        if t.text is None:
+            if t.element and t.element.name == "a" and (t.closes or t.tag == "a"):
+                inside += -1 if t.closes else 1
+        elif t.words:
+            total[t.block] += t.words
+            linked[t.block] += t.words * (inside > 0)
+    return {b: linked[b] / n for b, n in total.items()}
+
+
+def link_class(share: float) -> int:
+    return 0 if share == 0 else 1 if share <= 0.5 else 2
 
 
 @dataclass
 class Weights:
-    words: dict[str, float]  # of kinds of elements
+    kinds: dict[str, float]  # log-odds of words below: of kinds that never hold content, and of holders
+    links: tuple  # of words of blocks by their share of links
     tags: dict[str, float]
     holders: frozenset = frozenset()  # kinds that held all content of a page, and nothing else anywhere
 
-    def against(self, kinds) -> set:
-        return {k for k in kinds if self.words.get(k, 0.0) < 0}
-
-    def wrappers(self, tokens: list[Segment]) -> set:
-        """Elements whose class, id or role speaks of the page rather than against the words below:
-        they hold all of its holders' words and half of all, or without holders four fifths of all.
-        Words that an element's name speaks against don't count."""
-        total, held, counts, suspects = 0, 0, Counter(), {}
-        for s in tokens:
-            n = len(s.text.split()) if s.text is not None else 0
-            against = [self.against(own) for _, own in s.path] if n else []
-            if not n or any(not k.startswith(".") for found in against for k in found):
-                continue
-            holds = any(own & self.holders and not found for (_, own), found in zip(s.path, against))
-            total, held = total + n, held + n * holds
-            for (e, _), found in zip(s.path, against):
-                if found:
-                    a, b = suspects.get(e, (0, 0))
-                    suspects[e] = (a + n, b + n * holds)
-        return {e for e, (a, b) in suspects.items() if (b == held and 2 * a >= total if held else 5 * a >= 4 * total)}
-
-    def word(self, kinds: frozenset) -> float:
-        found = [self.words[k] for k in kinds if k in self.words]
-        least = min(found, default=0.0)
-        return least * AGAINST if least < 0 else BASE
+    def of(self, own: frozenset, wraps: bool = False) -> float:
+        """What an element's kinds say: the most that any says against, or else for, its words.
+        Of an element that wraps the page's text its class, id and role say nothing."""
+        said = [self.kinds[k] for k in own if k in self.kinds and not (wraps and k.startswith("."))]
+        return min((x for x in said if x < 0), default=max(said, default=0.0))
+
+    def judged(self, tokens: list[Token], elements: list[Element]) -> None:
+        """Evidence of every element: its own, or else that of the nearest around it."""
+        for e in elements:
+            against = [k for k in e.own if self.kinds.get(k, 0.0) < 0]
+            e.counted = (e.outer is None or e.outer.counted) and all(k.startswith(".") for k in against)
+            e.holds = bool(e.outer and e.outer.holds) or bool(e.own & self.holders and not against)
+            e.words = e.held = 0
+        total = held = 0
+        for t in tokens:
+            if t.words and (t.element is None or t.element.counted):
+                total += t.words
+                if t.element:
+                    t.element.words += t.words
+                    t.element.held += t.words * t.element.holds
+                    held += t.words * t.element.holds
+        for e in reversed(elements):
+            if e.outer:
+                e.outer.words += e.words
+                e.outer.held += e.held
+        for e in elements:
+            wraps = (e.held == held and 2 * e.words >= total) if held else 5 * e.words >= 4 * total
+            said = self.of(e.own, bool(total) and wraps)
+            e.evidence = said or (e.outer.evidence if e.outer else 0.0)
+
+    def score(self, tokens: list[Token]) -> None:
+        shares = link_share(tokens)
+        for t in tokens:
+            said = t.element.evidence if t.element else 0.0
+            if t.text is None:
+                t.score = self.tags.get(t.tag, min(self.tags.values(), default=0.0)) if t.tag else 0.0
+            elif t.words:
+                # A holder vouches for its links.
+                one = BASE + min(said, 0.0) + (self.links[link_class(shares[t.block])] if said <= 0 else 0.0)
+                t.score = t.words * one
 
 
 def fit(labelled) -> Weights:
-    """``labelled``: pairs of a page and the blocks of its main text."""
+    """``labelled``: pairs of a page and the blocks of its main text.  All weights are log-odds of
+    content, by words or tags; what holds content somewhere isn't held against the words below it."""
     inside, outside, tag_in, tag_out = Counter(), Counter(), Counter(), Counter()
+    links_in, links_out = Counter(), Counter()
     around_all: set = set()
+    others: list[tuple[Element | None, int]] = []
     for page, blocks in labelled:
         wanted = {" ".join(b.split()) for b in blocks}
-        tokens = segments(page)
+        tokens, _ = parsed(page)
         whole: dict[int, str] = {}
-        for s in tokens:
-            if s.text is not None:
-                whole[s.block] = whole.get(s.block, "") + s.text
-        content = {b for b, t in whole.items() if " ".join(html.unescape(t).split()) in wanted}
-        around_all |= frozenset.intersection(*[s.kinds for s in tokens if s.text is not None and s.block in content and s.text.split()] or [frozenset()])
-        for s in tokens:
-            if s.text is None:
-                (tag_in if s.block in content else tag_out)[s.tag] += 1
-            else:
-                n = len(s.text.split())
-                for k in s.kinds:
-                    (inside if s.block in content else outside)[k] += n
-    words = {}
-    for k in inside.keys() | outside.keys():
-        w = math.log((inside[k] + 0.5) / (outside[k] + 0.5))
-        # What holds content somewhere isn't held against the words below it.
-        words[k] = max(-LIMIT, min(LIMIT, w)) if not inside[k] else max(0.0, min(LIMIT, w))
-    tags = {k: min(0.0, max(-LIMIT, math.log((tag_in[k] + 0.5) / (tag_out[k] + 0.5)))) * AGAINST if not tag_in[k] else 0.0 for k in tag_in.keys() | tag_out.keys()}
-    return Weights(words, tags, frozenset(k for k in around_all if not outside[k]))
+        for t in tokens:
+            if t.text is not None:
+                whole[t.block] = whole.get(t.block, "") + t.text
+        content = {b for b, x in whole.items() if " ".join(html.unescape(x).split()) in wanted}
+        shares, common_kinds = link_share(tokens), None
+        for t in tokens:
+            mine = t.block in content
+            if t.text is None:
+                (tag_in if mine else tag_out)[t.tag] += 1
+            elif t.words:
+                (links_in if mine else links_out)[link_class(shares[t.block])] += t.words
+                if not mine:
+                    others.append((t.element, t.words))
+                    continue
+                around = {k for e in outwards(t.element) for k in e.own}
+                for k in around:
+                    inside[k] += t.words
+                common_kinds = around if common_kinds is None else common_kinds & around
+        around_all |= common_kinds or set()
+    # Other words count for what is around them up to the first element that never holds content.
+    for e, words in others:
+        for e in outwards(e):
+            for k in e.own:
+                outside[k] += words
+            if any(not inside[k] for k in e.own):
+                break
+    odds = lambda a, b: max(-LIMIT, min(LIMIT, math.log((a + 0.5) / (b + 0.5))))
+    holders = frozenset(k for k in around_all if not outside[k])
+    kinds = {k: odds(inside[k], outside[k]) for k in inside.keys() | outside.keys() if not inside[k] or k in holders}
+    total = odds(sum(links_in.values()), sum(links_out.values()))
+    links = tuple(min(0.0, odds(links_in[k], links_out[k]) - total) for k in range(3))
+    tags = {k: max(-MOST_OF_TAG, min(-LEAST_OF_TAG, odds(tag_in[k], tag_out[k]))) for k in tag_in.keys() | tag_out.keys() if k}
+    return Weights(kinds, links, tags, holders)
+
+
+def outwards(e: Element | None):
+    """An element and those around it."""
+    while e:
+        yield e
+        e = e.outer
+
+
+def best_run(tokens: list[Token]) -> tuple[float, list[int]]:
+    """The highest score of a run of tokens less the blocks left out of it, each at the price
+    ``LEFT_OUT``; and the places of its tokens.  Of runs with one score, the longest.
+
+    One pass: ``now`` is the best run that ends here, and at the end of a block it may be the one
+    that ended before the block, with the block left out."""
+    now, begin, left = 0.0, 0, None  # left: what was left out, as (first, after, what before)
+    best, first, last, skipped = 0.0, 0, 0, None
+    before: list[tuple[Element, float, int, tuple | None]] = []
+    for i, t in enumerate(tokens):
+        if now < 0:
+            now, begin, left = 0.0, i, None
+        if t.text is None and t.element and t.element.name in BLOCKS and not t.closes and t.element.begin == i:
+            before.append((t.element, now, begin, left))
+        now += t.score
+        if t.closes and before and before[-1][0] is t.element:
+            e, old, old_begin, old_left = before.pop()
+            if old > 0 and old - LEFT_OUT > now:
+                now, begin, left = old - LEFT_OUT, old_begin, (e.begin, i + 1, old_left)
+        if now > best or (now == best and best > 0 and i + 1 - begin > last - first):
+            best, first, last, skipped = now, begin, i + 1, left
+    places, at = [], last
+    while skipped:
+        begin, end, skipped = skipped
+        places.append(range(end, at))
+        at = begin
+    places.append(range(first, at))
+    return best, [i for part in reversed(places) for i in part] if best > 0 else []
 
 
 def extract(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
-    tokens = segments(page)
-    wrappers = weights.wrappers(tokens)
-    scores, known = [], {}
-    for s in tokens:
-        if s.text is None:
-            scores.append(weights.tags.get(s.tag, 0.0))
-        else:
-            if s.path not in known:
-                known[s.path] = weights.word(frozenset().union(*(own - {k for k in weights.against(own) if e in wrappers} for e, own in s.path)))
-            scores.append(known[s.path] * len(s.text.split()))
-    best, first, last = 0.0, 0, 0
-    total, begin = 0.0, 0
-    for i, score in enumerate(scores):
-        if total < 0:
-            total, begin = 0.0, i
-        total += score
-        if total > best or (total == best and best > 0 and i + 1 - begin > last - first):
-            best, first, last = total, begin, i + 1
+    tokens, elements = parsed(page)
+    weights.judged(tokens, elements)
+    weights.score(tokens)
     blocks: dict[int, list[str]] = {}
-    for s in tokens[first:last]:
-        if s.text is not None and known[s.path] > 0:
-            blocks.setdefault(s.block, []).append(s.text)
+    for i in best_run(tokens)[1]:
+        if tokens[i].text is not None:
+            blocks.setdefault(tokens[i].block, []).append(tokens[i].text)
     lines = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n".join(line for line in lines if line)
 
@@ -270,6 +412,14 @@ LABELLED = [
         ),
         ["A walk in the hills", "Morning", "We left at six and walked until ten. It was cold.", "Height", "900 metres", "The last hut"],
     ),
+    (
+        _page(
+            '<div><div><a href="/">Town library</a></div><ul><li><a href="/o">Opening hours</a></li><li><a href="/c">Catalogue</a></li><li><a href="/e">Events</a></li></ul></div>',
+            '<article><header><h1>New reading room</h1></header><p>The library opens a reading room on the second floor, with a view over the square.</p><p>It has <a href="/s">sixty seats</a> and twelve desks; none of them can be booked.</p><footer>Filed under news, buildings</footer></article>',
+            '<div><a href="/1">Older entries</a> <a href="/2">Newer entries</a></div><div><p><a href="/i">Imprint</a> <a href="/p">Privacy</a></p></div>',
+        ),
+        ["New reading room", "The library opens a reading room on the second floor, with a view over the square.", "It has sixty seats and twelve desks; none of them can be booked."],
+    ),
 ]
 
 
