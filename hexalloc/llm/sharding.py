@@ -85,7 +85,6 @@ def propagate(state: DataFrame, quota: list[int], rows: int, work: common.Worksp
     # Admissions: a shard's room, and its unlinked documents that can make way.  What it sends
     # away counts only once it is sure to be admitted elsewhere, so not in this round.
     admitted = [min(into[s], quota[s] - size[s] + loose[s]) for s in range(shards)]
-    room = sum(quota) - sum(size)
     if not any(admitted):
         return state, 0
     movers = ranked(wish.where("target is not null"), "target", [F.desc("level"), "h", "rid"], "rank", rows, "level")
@@ -94,8 +93,8 @@ def propagate(state: DataFrame, quota: list[int], rows: int, work: common.Worksp
     now = by_shard(after.select(F.coalesce("moved_to", "shard").alias("s")), "s", shards)
     over = [max(0, now[s] - quota[s]) for s in range(shards)]
     short = [max(0, quota[s] - now[s]) for s in range(shards)]
-    assert sum(over) <= sum(short) + room
-    # Unlinked documents of shards that are over go to those that are short, in one sequence.
+    # Unlinked documents of shards that are over go to those that are short, in one sequence.  All
+    # find a seat: quotas add up to the rows, so as many are short as are over.
     starts, bounds, total = [], [], 0
     for s in range(shards):
         starts.append(total)

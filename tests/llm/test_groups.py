@@ -174,6 +174,60 @@ def where_at_random(rows, shards):
     return where
 
 
+def one_round(rows, quota):
+    """A round of propagation in plain Python: rows are dicts with the engine's hashes."""
+    shards = len(quota)
+    size, loose = Counter(r["shard"] for r in rows), Counter(r["shard"] for r in rows if r["members"] == 1)
+    can = [loose[s] + quota[s] - size[s] > 0 for s in range(shards)]
+    texts = defaultdict(list)
+    for r in rows:
+        if r["members"] > 1:
+            texts[r["text_key"]].append(r)
+    for r in rows:
+        r["target"], r["level"] = None, 0
+    for mine in texts.values():
+        held, members = Counter(r["shard"] for r in mine), mine[0]["members"]
+        order = sorted(held, key=lambda s: (-(held[s] if can[s] or 2 * held[s] >= max(quota) else 0.49 * held[s]), mine[0]["ties"][s], s))
+        targets = order[: max(1, -(-members // max(quota)))]
+        for r in mine:
+            r["level"] = members.bit_length() - 1
+            if r["shard"] not in targets:
+                r["target"] = targets[r["pick"] % len(targets)]
+    into = Counter(r["target"] for r in rows if r["target"] is not None)
+    for s in range(shards):
+        movers = sorted((r for r in rows if r["target"] == s), key=lambda r: (-r["level"], r["h"], r["rid"]))
+        for r in movers[: min(into[s], quota[s] - size[s] + loose[s])]:
+            r["to"] = s
+    now = Counter(r.get("to", r["shard"]) for r in rows)
+    seats = [s for s in range(shards) for _ in range(quota[s] - now[s])]
+    for s in range(shards):
+        out = sorted((r for r in rows if r["members"] == 1 and r["shard"] == s), key=lambda r: (r["h"], r["rid"]))
+        for r in out[: max(0, now[s] - quota[s])]:
+            r["to"] = seats.pop(0)
+    return {r["rid"]: r.get("to", r["shard"]) for r in rows}
+
+
+def test_round_against_plain_python(spark):
+    from pyspark.sql import functions as F
+
+    shards, n = 4, 120
+    keys = [f"t{i % 9}" if i < 50 else f"own{i}" for i in range(n)]
+    state = spark.createDataFrame([(i, keys[i], Counter(keys)[keys[i]], (i * 7) % shards) for i in range(n)], "rid long, text_key string, members long, shard int").withColumn("h", F.xxhash64("rid", F.lit(5)))
+    quota = [n // shards] * shards
+    for turn in range(3):
+        ties = F.array(*(F.pmod(F.xxhash64("text_key", F.lit(s), F.lit(turn)), F.lit(1 << 30)) for s in range(shards)))
+        rows = [r.asDict() for r in state.withColumn("ties", ties).withColumn("pick", F.xxhash64("h", F.lit(3))).collect()]
+        want = one_round(rows, quota)
+        after, moved = sharding.propagate(state, quota, n, common.Workspace(spark, "t"), turn)
+        got = {r.rid: r.shard for r in after.collect()}
+        assert got == want and set(Counter(got.values()).values()) == {n // shards}
+        state = spark.createDataFrame([(r.rid, r.text_key, r.members, r.shard, r.h) for r in after.select("rid", "text_key", "members", "shard", "h").collect()], "rid long, text_key string, members long, shard int, h long")
+    where = defaultdict(set)
+    for i, s in got.items():
+        where[keys[i]].add(s)
+    assert all(len(x) == 1 for x in where.values())
+
+
 def test_shard_edges(spark, edges, nothing):
     got = sharding.shard(edges).collect()
     assert len(got) == edges.count()
