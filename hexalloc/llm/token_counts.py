@@ -5,6 +5,8 @@ pair; only one row of each unseen content is encoded, by the tokenizer's own lib
 and what was encoded is appended to the cache table.  Normalisation must not change a
 count, so it only turns a null text into the empty one.
 
+Several writers may append to one cache: a digest that two of them stored is read once.
+
 Edge cases: null text counts as empty (0 tokens); rows with equal text share one entry,
 rows that repeat an id are answered one by one; a null id is kept; an empty table gives
 an empty result and appends nothing; other columns are never read.
@@ -54,7 +56,13 @@ def read_cache(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
     p = jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], CACHE_SCHEMA)
-    return spark.read.schema(CACHE_SCHEMA).parquet(path).where(F.col("tokenizer") == tokenizer)
+    stored = spark.read.schema(CACHE_SCHEMA).parquet(path).where(F.col("tokenizer") == tokenizer)
+    # Writers at the same time may store a digest twice; then one of its rows is taken, from a table
+    # of its own, so that the cache is a plain side of later joins either way.
+    if stored.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return stored
+    once = stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).withColumn("tokenizer", F.lit(tokenizer))
+    return common.materialise(once, "cache_once")
 
 
 def count_tokens(docs: DataFrame, model_path: str, cache_path: str, kind: str = "sentencepiece", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,8 +96,8 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str, kind: str =
     new = wanted.mapInArrow(common.tidied(encode), T.StructType(CACHE_SCHEMA.fields[:2])).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     new.select("digest", "n_tokens", F.lit(version).alias("tokenizer")).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
 
-    # The cache holds a digest once (one writer at a time), so both sides of the join are plain
-    # exchanges and a hot content can be split.
+    # The cache is read with each digest once, so both sides of the join are plain exchanges and a
+    # hot content can be split.
     return keyed.join(read_cache(spark, cache_path, version), "digest", "left").select(F.col("id").alias(id_col), "digest", "n_bytes", "n_tokens")
 
 

@@ -75,6 +75,35 @@ def test_license_rules():
     assert [(d[0], d[2], d[3]) for d in found] == [("apache-2", 0, n - 1)]
 
 
+def brute_labels(text, rules):
+    """Every rule at every place, without gates; a detection inside one of a higher rank goes."""
+    w = alnum(text)
+    joined = " " + " ".join(w) + " "
+    starts = [i for i, c in enumerate(joined) if c == " "][:-1]
+    found = []
+    for rule in rules:
+        body = re.compile(rule.regex.pattern.decode()[len(" (?=") : -len(" )")] + "(?= )", re.ASCII)
+        for k, at in enumerate(starts):
+            if m := body.match(joined, at + 1):
+                found.append((-rule.priority, -len(m[0].split()), k, rule.name, rule.label))
+    kept = []
+    for priority, n, k, name, label in sorted(found):
+        if not any(a <= k and k - n <= b for a, b, _ in kept):
+            kept.append((k, k - n, label))
+    return {x for _, _, x in kept}
+
+
+def test_license_labels_against_brute_force(spark, documents):
+    """Labels of documents, and of texts of notices in any mix, by plain means."""
+    s = licenses.Scanner()
+    rng = np.random.default_rng(11)
+    some = ["licensed under the", "apache license version 2 0", "mit license", "gnu lesser general public license", "version 3", "or later", "spdx license identifier", "gpl 2 0 only", "copyright 2020", "cc by nc", "creative commons attribution", "share alike", "sharealike 4 0", "bsd 3 clause license", "the", "all rights reserved", "released under", "https opensource org licenses mit", "python"]
+    texts = [" ".join(rng.choice(some, rng.integers(1, 9))) for _ in range(300)]
+    texts += [r.text for r in documents.collect() if len(r.text) < 1500][:60]
+    for t in texts:
+        assert {d[0] for d in s.scan(t.encode())[2]} == brute_labels(t, s.rules), t
+
+
 def test_license_detections_never_nest():
     s = licenses.Scanner()
     text = " ".join(f"licensed under the {x} license, all rights reserved" for x in ("mit", "apache", "new bsd", "mit", "isc") * 60)
@@ -332,6 +361,15 @@ def test_cache_encodes_only_misses(spark, documents, edges, nothing, tmp_path, m
     assert token_counts.count_tokens(nothing, model, path).count() == 0
 
 
+def test_cache_of_two_writers(spark, documents, tmp_path):
+    """A digest that was stored twice is read once."""
+    path, model = str(tmp_path / "cache"), public_tokenizers.path("piece_bpe_32k.model")
+    want = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(documents, model, path).collect()}
+    spark.read.parquet(path).limit(30).write.mode("append").partitionBy("tokenizer").parquet(path)
+    got = token_counts.count_tokens(documents, model, path).collect()
+    assert len(got) == documents.count() and {r.doc_id: r.n_tokens for r in got} == want
+
+
 def test_json_tokenizer(spark, documents, tmp_path):
     from tokenizers import Tokenizer
 
