@@ -270,7 +270,7 @@ class Models:
     """Piece probabilities of all languages, by blocks: each is made from the table of counts when
     it is asked for."""
 
-    def __init__(self, counts: DataFrame, names: DataFrame, vocabulary: list[str], block: int):
+    def __init__(self, counts: DataFrame, names: DataFrame, vocabulary: list[str], block: int, work: common.Workspace):
         self.counts, self.names, self.block = counts, names, block
         self.pieces = Pieces(vocabulary).pieces
         totals = counts.groupBy("lang").agg(F.sum("amount").alias("total"))
@@ -280,8 +280,16 @@ class Models:
         got = counts.join(totals, "lang").where("total > 0").groupBy("piece").agg(F.sum(F.col("amount") / F.col("total")).alias("share")).toPandas()
         pooled[got["piece"].to_numpy(np.int64)] = np.round(got["share"].to_numpy(float), 12) / max(self.languages, 1)
         self.pooled = pooled * 0.9 + 0.1 / max(len(self.pieces), 1)
+        self.only = None
+        if self.languages <= block:
+            # One block is kept, and its tables go.
+            self.only = list(self.made())
+            work.clear()
 
     def blocks(self) -> Iterator[Model]:
+        return iter(self.only) if self.only else self.made()
+
+    def made(self) -> Iterator[Model]:
         """At least one; a block comes to the driver as no more rows than languages x pieces."""
         for at in range(0, max(self.languages, 1), self.block):
             mine = self.names.where((F.col("number") >= at) & (F.col("number") < at + self.block))
@@ -347,10 +355,11 @@ def fit(docs: DataFrame, vocabulary: list[str], lang_col: str = "lang", text_col
 
     known = docs.where(F.col(lang_col).isNotNull()).select(lang_col, text_col)
     # Rounded to whole units of 1e-6, so that sums don't depend on the order of tasks.
-    counts = common.materialise(known.mapInArrow(common.tidied(run), schema).groupBy("lang", "piece").agg(F.sum(F.round(F.col("amount") * 1e6).cast("long")).alias("amount")), "piece_counts")
+    work = common.Workspace(spark, "languages")
+    counts = work.write(known.mapInArrow(common.tidied(run), schema).groupBy("lang", "piece").agg(F.sum(F.round(F.col("amount") * 1e6).cast("long")).alias("amount")), "piece_counts")
     # Numbers of languages by name: of as many rows as there are languages.
     names = counts.groupBy("lang").agg(F.lit(0).alias("all")).withColumn("number", F.row_number().over(Window.partitionBy("all").orderBy("lang")) - 1).select("lang", "number")
-    return Models(counts, common.materialise(names, "languages"), vocabulary, block)
+    return Models(counts, work.write(names, "names"), vocabulary, block, work)
 
 
 class Scorer:

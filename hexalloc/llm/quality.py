@@ -188,7 +188,8 @@ def fit_references(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
             yield from part(lang, total[lang] >= SMALL_PART)
 
     # Written down, as two queries read it: at most 1 / share words of a part, or SMALL_PART.
-    named = common.materialise(known.mapInArrow(common.tidied(candidates), row), "candidates")
+    work = common.Workspace(spark, "references")
+    named = work.write(known.mapInArrow(common.tidied(candidates), row), "candidates")
     small = named.where("not whole").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     totals = named.where("not whole").groupBy("lang").agg(F.sum("n").alias("t"))
     small = small.join(totals, "lang").where(F.col("n") >= share * F.col("t")).select("word")
@@ -221,11 +222,12 @@ def fit_references(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
                     yield from given()
         yield from given()
 
-    binned = common.materialise(known.mapInArrow(common.tidied(count), bins).groupBy("lang", "bin").agg(F.sum("n").alias("n")), "bins")
+    binned = work.write(known.mapInArrow(common.tidied(count), bins).groupBy("lang", "bin").agg(F.sum("n").alias("n")), "bins")
     k = len(CLASSES)
     totals = binned.groupBy("lang").agg(F.sum(F.when(F.col("bin").between(0, k - 1), F.col("n"))).alias("chars"), F.sum(F.when(~F.col("bin").between(0, k - 1), F.col("n"))).alias("total")).where("chars > 0 and total > 0")
     # Of each language its classes, its number of words and its common words, 1 / share at most.
     got = binned.join(totals, "lang").where((F.col("bin") < k) | (F.col("n") >= share * F.col("total"))).toPandas()
+    work.clear()
     of_lang, shares, places = {}, [], {}
     for lang, rows in sorted(got.groupby("lang")):
         of_class = np.zeros(k)

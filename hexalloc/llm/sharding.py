@@ -117,22 +117,27 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: s
     key = F.when(F.col(text_col).isNull(), F.lit("null")).otherwise(F.sha2(data, 256))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), key.alias("text_key"))
     # A row's own number: repeated rows are told apart once they are written down.
-    rows = common.materialise(rows, "rows")
-    rows = common.materialise(rows.withColumn("rid", F.monotonically_increasing_id()), "numbered").withColumn("h", F.xxhash64("rid", "id"))
     spark = docs.sparkSession
+    first = common.Workspace(spark, "shard_rows")
+    rows = common.materialise(first.write(rows, "rows").withColumn("rid", F.monotonically_increasing_id()), "numbered").withColumn("h", F.xxhash64("rid", "id"))
     n = rows.count()
     quota = [n // shards + (s < n % shards) for s in range(shards)]
-    members = common.materialise(rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "members")
+    members = first.write(rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "members")
     state = rows.select("rid", "h", "text_key").join(members, "text_key", "left").withColumn("members", F.coalesce("members", F.lit(1)))
     # Even from the start: ranks over all rows, dealt in turn.
     state = ranked(state.withColumn("all", F.lit(0)), "all", ["h", "rid"], "rank", n).withColumn("shard", F.pmod("rank", F.lit(shards)).cast("int")).drop("all", "rank")
-    state = common.materialise(state, "state")
+    kept = common.Workspace(spark, "shard_state")
+    state = kept.write(state, "state")
+    first.clear()
     for turn in range(rounds):
         # A round's own tables go as soon as its result is written.
         work = common.Workspace(spark, "shard_round")
         after, moved = propagate(state, quota, n, work, turn)
         if moved:
-            state = common.materialise(after, "state")
+            now = common.Workspace(spark, "shard_state")
+            state = now.write(after, "state")
+            kept.clear()
+            kept = now
         work.clear()
         if not moved:
             break
