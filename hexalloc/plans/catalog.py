@@ -320,28 +320,28 @@ def scenario_cube_shares(spark, sf_dir):
     return served.groupBy("scenario").agg(F.count_if(F.col("need") > 0).alias("cells_with_need"), F.count_if(F.col("units") > 0).alias("cells_served"), F.sum("units").alias("units"), F.max("stock").alias("stock"), F.round(1 - F.sum("units") / F.max("stock"), 6).alias("undelivered_share"))
 
 
-def flow_pairs(spark, sf_dir):
-    """Scenarios for the solvers: all of a nation's cells and suppliers (by remainder)."""
+def flow_problem(spark, sf_dir):
+    """Scenarios for the solvers: all of a nation's cells and suppliers (by remainder), and their ways."""
     c = t.load(spark, sf_dir, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey")).alias("scenario"), F.col("c_custkey").alias("cell"), (F.floor((F.col("c_acctbal") + 1000) / 11000 * 10000) / 10000).alias("priority"), (F.col("c_custkey") % 41).cast("double").alias("need"), (F.col("c_custkey") * 13 % 101).alias("h"))
     s = t.load(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), F.col("s_suppkey") % 25).alias("scenario"), F.col("s_suppkey").alias("centre"), F.floor(F.greatest("s_acctbal", F.lit(0.0)) / 40).cast("double").alias("stock"))
     d = (F.col("h") * 37 + F.col("centre") * 911) % 6000 + 200
-    return c.join(s, "scenario").withColumn("distance_m", d.cast("double")).drop("h")
+    return c.drop("h"), s, c.join(s, "scenario").select("scenario", "cell", "centre", d.cast("double").alias("distance_m"), "need", "stock")
 
 
 @query()
 def greedy_plan(spark, sf_dir):
-    return allocation.solve(flow_pairs(spark, sf_dir), "greedy", 5000.0)[0]
+    return allocation.plan_of(allocation.solve(*flow_problem(spark, sf_dir), "greedy", 5000.0))
 
 
 @query()
 def exact_plan(spark, sf_dir):
-    got = allocation.solve(flow_pairs(spark, sf_dir), "exact", 5000.0)[1]
+    got = allocation.report_of(allocation.solve(*flow_problem(spark, sf_dir), "exact", 5000.0))
     return got.select("scenario", F.round("objective", 4).alias("objective"), "delivered", "shortfall", "note")
 
 
 @query()
 def rounded_plan(spark, sf_dir):
-    pairs = flow_pairs(spark, sf_dir)
+    pairs = flow_problem(spark, sf_dir)[2]
     n = F.count(F.lit(1)).over(Window.partitionBy("scenario", "centre"))
     m = F.count(F.lit(1)).over(Window.partitionBy("scenario", "cell"))
     units = F.least(F.col("stock") / n, F.col("need") / m)

@@ -239,8 +239,9 @@ def test_documents_and_lines(spark):
 
 def test_solver_groups(spark):
     pairs = spark.createDataFrame([("s", c, p, n, j, 10.0, d) for c, p, n in ((1, 0.9, 10.0), (2, 0.8, 10.0)) for j, d in ((0, 1000.0), (1, 2000.0 if c == 1 else 6000.0))], "scenario string, cell long, priority double, need double, centre long, stock double, distance_m double")
-    plan, report = allocation.solve(pairs, "exact", 5000.0)
-    assert report.first().objective == pytest.approx(16.994)
+    solved = allocation.solve(*allocation.of_pairs(pairs), "exact", 5000.0).cache()
+    plan, report = allocation.plan_of(solved), allocation.report_of(solved)
+    assert report.first().objective == pytest.approx(16.994) and report.first().reachable == 2
     assert {(r.cell, r.centre, r.units) for r in plan.collect()} == {(1, 1, 10.0), (2, 0, 10.0)}
     got = allocation.totals(plan).collect()
     assert sum(r.units for r in got) == 60
