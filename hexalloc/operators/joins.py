@@ -1,44 +1,57 @@
 """Joins: one-to-one assembly, nearest site, distance ranges, members and consistency.
 
-Spatial joins go over a grid: both sides are put into square buckets and joined on them, so
-no side is crossed with the other.  Only a side whose rows have been counted is broadcast.
+Spatial joins go over cubes: points of the globe are put into cubes of space, a side of which is
+as long as the distance sought, and joined with the cubes around them.  So no side is crossed with
+the other, and neither the date line nor the poles are special.  Only a side whose rows have been
+counted is broadcast.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import EARTH_RADIUS_M, haversine_m
+from ..stages import kept
 
 #: Sites that may be broadcast, by count.
 BROADCAST_SITES = 256
-METRES_A_DEGREE = EARTH_RADIUS_M * 3.141592653589793 / 180
+#: Sites that a cube should hold, and how much cubes widen from round to round.
+SITES_A_CUBE, WIDER = 2.0, 4.0
 
 
 class JoinError(ValueError):
     pass
 
 
+def repeated_keys(tables: dict[str, DataFrame], key: str) -> list[tuple]:
+    """Some keys that stand twice in a table, as (table, key), from one pass over all."""
+    keys = reduce(DataFrame.unionAll, (df.select(F.lit(name).alias("table"), key) for name, df in tables.items()))
+    return [tuple(r) for r in keys.groupBy("table", key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("table", key).limit(3).collect()]
+
+
 def assert_unique(df: DataFrame, key: str, what: str) -> None:
-    bad = df.groupBy(key).count().where("count > 1").select(key).limit(3).collect()
-    if bad:
-        raise JoinError(f"{what}: key {key} repeats, for example {[r[0] for r in bad]}")
+    if bad := repeated_keys({what: df}, key):
+        raise JoinError(f"key {key} repeats, for example {bad}")
 
 
-def assemble(base: DataFrame, layers: dict[str, tuple[DataFrame, list[str]]], key: str, pending: tuple[str, ...] = ()) -> DataFrame:
+def assemble(base: DataFrame, layers: dict[str, tuple[DataFrame, list[str]]], key: str, pending: tuple[str, ...] = (), grouped: tuple[str, ...] = ()) -> DataFrame:
     """Left-joins layers one to one, picking their columns; ``pending`` columns are all null.
 
-    Both sides' keys must be unique, so the number of rows can't change."""
-    assert_unique(base, key, "base")
-    out = base
+    Keys must be unique on both sides, so the number of rows can't change.  ``grouped`` names the
+    layers (and "base") that were grouped by their key, which need no look."""
     for name, (layer, columns) in layers.items():
-        absent = [c for c in [key, *columns] if c not in layer.columns]
-        if absent:
+        if absent := [c for c in [key, *columns] if c not in layer.columns]:
             raise JoinError(f"layer {name} lacks {absent}")
-        assert_unique(layer, key, f"layer {name}")
+    look = {n: df for n, df in {"base": base, **{f"layer {n}": v[0] for n, v in layers.items()}}.items() if n.removeprefix("layer ") not in grouped}
+    if look and (bad := repeated_keys(look, key)):
+        raise JoinError(f"key {key} repeats, for example {bad}")
+    out = base
+    for layer, columns in layers.values():
         out = out.join(layer.select(key, *columns), key, "left")
     return out.withColumns({c: F.lit(None).cast("double") for c in pending})
 
@@ -51,62 +64,78 @@ def must_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key)
 
 
-def bucket(lon: Column, lat: Column, degrees: float) -> tuple[Column, Column]:
-    return F.floor(lon / degrees), F.floor(lat / degrees)
+def cube(lon: Column, lat: Column, side_m: float) -> tuple[Column, Column, Column]:
+    """The cube of space that a point of the globe lies in."""
+    u, v = F.radians(lon), F.radians(lat)
+    place = (F.cos(v) * F.cos(u), F.cos(v) * F.sin(u), F.sin(v))
+    return tuple(F.floor(x * (EARTH_RADIUS_M / side_m)) for x in place)
+
+
+CUBE = ("__x", "__y", "__z")
 
 
-def with_neighbours(df: DataFrame, lon: str, lat: str, degrees: float, names: tuple[str, str], reach: int = 1) -> DataFrame:
-    """A row for each bucket around a point's own."""
-    x, y = bucket(F.col(lon), F.col(lat), degrees)
-    around = F.array(*(F.struct((x + i).alias("x"), (y + j).alias("y")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)))
-    return df.withColumn("__b", F.explode(around)).withColumns({names[0]: F.col("__b.x"), names[1]: F.col("__b.y")}).drop("__b")
+def in_cubes(df: DataFrame, at: tuple[str, str], side_m: float, around: bool = False) -> DataFrame:
+    """Adds a point's cube; with ``around``, a row for it and each of the 26 around it."""
+    place = cube(F.col(at[0]), F.col(at[1]), side_m)
+    if not around:
+        return df.withColumns(dict(zip(CUBE, place)))
+    steps = F.sequence(F.lit(-1), F.lit(1))
+    for name, x in zip(CUBE, place):
+        df = df.withColumn(name, x).withColumn("__step", F.explode(steps)).withColumn(name, F.col(name) + F.col("__step")).drop("__step")
+    return df
 
 
-def within(points: DataFrame, sites: DataFrame, radius_m: float, point: tuple[str, str] = ("lon", "lat"), site: tuple[str, str] = ("site_lon", "site_lat"), distance: Callable = haversine_m, most_latitude: float = 60.0) -> DataFrame:
-    """Pairs of points and sites at most ``radius_m`` apart, with ``distance_m``.
+def chord_m(distance_m: float) -> float:
+    """The straight line under an arc of the globe."""
+    return 2 * EARTH_RADIUS_M * math.sin(min(distance_m / (2 * EARTH_RADIUS_M), math.pi / 2))
 
-    Buckets are as wide as the radius at ``most_latitude``, up to which the result is whole."""
-    import math
 
-    degrees = radius_m / (METRES_A_DEGREE * math.cos(math.radians(most_latitude))) * 1.001
-    p = points.withColumns(dict(zip(("__x", "__y"), bucket(F.col(point[0]), F.col(point[1]), degrees))))
-    s = with_neighbours(sites, site[0], site[1], degrees, ("__x", "__y"))
+def within(points: DataFrame, sites: DataFrame, radius_m: float, point: tuple[str, str] = ("lon", "lat"), site: tuple[str, str] = ("site_lon", "site_lat"), distance: Callable = haversine_m) -> DataFrame:
+    """Pairs of points and sites at most ``radius_m`` apart, with ``distance_m``, anywhere on the
+    globe.  ``distance`` may differ from the great circle's by 1 %."""
+    side = chord_m(radius_m * 1.01) + 1e-3
     d = distance(F.col(point[0]), F.col(point[1]), F.col(site[0]), F.col(site[1]))
-    return p.join(s, ["__x", "__y"]).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop("__x", "__y")
+    pairs = in_cubes(points, point, side).join(in_cubes(sites, site, side, around=True), [*CUBE])
+    return pairs.withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop(*CUBE)
 
 
-def nearest(points: DataFrame, sites: DataFrame, key: str, site_key: str, point: tuple[str, str] = ("lon", "lat"), site: tuple[str, str] = ("site_lon", "site_lat"), carry: tuple[str, ...] = (), distance: Callable = haversine_m, broadcast_sites: int = BROADCAST_SITES, degrees: float = 0.01) -> DataFrame:
+def nearest(points: DataFrame, sites: DataFrame, key: str, site_key: str, point: tuple[str, str] = ("lon", "lat"), site: tuple[str, str] = ("site_lon", "site_lat"), carry: tuple[str, ...] = (), distance: Callable = haversine_m, broadcast_sites: int = BROADCAST_SITES, side_m: float | None = None) -> DataFrame:
     """The nearest site of each point: ``key, site_key, distance_m`` and ``carry``; the smaller
-    site key wins a tie.
+    site key wins a tie.  ``distance`` may differ from the great circle's by 1 %.
 
-    Few sites (counted) are broadcast.  More go over a grid: a point takes the nearest site of
-    the buckets around it if none outside can be nearer, and the points left try a grid four
-    times as wide, until a bucket and its neighbours are the whole world.
+    Few sites (counted) are broadcast.  More go over cubes, at first of a side at which one holds
+    a few sites: a point takes the nearest site of the cubes around it if none beyond can be nearer,
+    and the points left try cubes four times as wide, until those around a point are all there are.
+    Every round starts from rows that the round before has written.
     """
     sites = sites.select(site_key, *site, *carry)
     d = distance(F.col(point[0]), F.col(point[1]), F.col(site[0]), F.col(site[1]))
     best = F.min(F.struct(d.alias("distance_m"), F.col(site_key), *map(F.col, carry))).alias("b")
-    few = sites.limit(broadcast_sites + 1).count()
+    found = lambda df: df.select(key, f"b.{site_key}", "b.distance_m", *(f"b.{c}" for c in carry))
     points = points.select(key, *point)
-    if few <= broadcast_sites:
-        found = points.crossJoin(F.broadcast(sites)).groupBy(key).agg(best)
-        return found.select(key, f"b.{site_key}", "b.distance_m", *(f"b.{c}" for c in carry))
-    done, left = None, points
+    n, west, east, south, north = sites.agg(F.count(F.lit(1)), F.min(site[0]), F.max(site[0]), F.min(site[1]), F.max(site[1])).first()
+    if n <= broadcast_sites or not n:
+        return found(points.crossJoin(F.broadcast(sites)).groupBy(key).agg(best))
+    if side_m is None:
+        metres = EARTH_RADIUS_M * math.pi / 180
+        side_m = max(10.0, math.sqrt(max(east - west, 1e-4) * max(north - south, 1e-4) / n * SITES_A_CUBE) * metres)
+    done = []
     while True:
-        last = degrees >= 360
-        p = left.withColumns(dict(zip(("__x", "__y"), bucket(F.col(point[0]), F.col(point[1]), degrees))))
-        s = with_neighbours(sites, site[0], site[1], degrees, ("__x", "__y"))
-        got = p.join(s, ["__x", "__y"]).groupBy(key, *point).agg(best)
-        # What is not in the buckets around is at least one bucket away in either axis.
-        sure = F.lit(True) if last else F.col("b.distance_m") <= degrees * METRES_A_DEGREE * F.cos(F.radians(F.abs(F.col(point[1])) + degrees)) * 0.999
-        part = got.where(sure).select(key, f"b.{site_key}", "b.distance_m", *(f"b.{c}" for c in carry))
-        done = part if done is None else done.unionByName(part)
+        last = side_m >= 2 * EARTH_RADIUS_M
+        got = in_cubes(points, point, side_m).join(in_cubes(sites, site, side_m, around=True), [*CUBE]).groupBy(key).agg(best)
+        # What is not in the cubes around is at least a side away, as the crow would dig.
+        sure = F.lit(True) if last else 2 * EARTH_RADIUS_M * F.sin(F.least(F.col("b.distance_m") * 1.02 / (2 * EARTH_RADIUS_M), F.lit(math.pi / 2))) <= side_m
         if last:
-            return done
-        left = left.join(done.select(key), key, "left_anti")
-        degrees = min(degrees * 4, 360.0)
-        if left.isEmpty():
-            return done
+            done.append(found(got))
+            break
+        # Points without a sure site go on; they are known once the round is written.
+        tried = kept(points.join(got, key, "left").withColumn("__sure", F.coalesce(sure, F.lit(False))))
+        done.append(found(tried.where("__sure")))
+        points = tried.where("not __sure").select(key, *point)
+        if points.isEmpty():
+            break
+        side_m *= WIDER
+    return reduce(DataFrame.unionByName, done)
 
 
 def members(df: DataFrame, known: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -73,9 +73,9 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = cells(spark, sf_dir)
-    # Layers are a row for each cell; kept, as the check of their keys and the join both read them.
-    layers = {"measures": (measures(spark, sf_dir).cache(), ["heat", "lack_green"]), "people": (people(spark, sf_dir).cache(), ["people"]), "health": (health(spark, sf_dir).cache(), ["dist_health"])}
-    out = joins.assemble(base, layers, "cell", ("dist_centre",))
+    # Layers are grouped by cell; the cells' own keys are looked at.
+    layers = {"measures": (measures(spark, sf_dir), ["heat", "lack_green"]), "people": (people(spark, sf_dir), ["people"]), "health": (health(spark, sf_dir), ["dist_health"])}
+    out = joins.assemble(base, layers, "cell", ("dist_centre",), grouped=tuple(layers))
     # Used by several passes of a model.
     return out.withColumn("people", F.coalesce("people", F.lit(0))).cache()
 

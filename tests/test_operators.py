@@ -63,6 +63,53 @@ def test_joins(spark):
         joins.must_match(base, twice.limit(1), "cell")
 
 
+def great_circle(a, b):
+    u, v = np.radians(a), np.radians(b)
+    h = np.sin((v[1] - u[1]) / 2) ** 2 + np.cos(u[1]) * np.cos(v[1]) * np.sin((v[0] - u[0]) / 2) ** 2
+    return 2 * 6_371_008.8 * np.arcsin(np.sqrt(min(h, 1.0)))
+
+
+def globe(n, seed):
+    """Points everywhere, some close to the date line, the poles, and one another."""
+    r = np.random.default_rng(seed)
+    out = [(float(r.uniform(-180, 180)), float(np.degrees(np.arcsin(r.uniform(-1, 1))))) for _ in range(n)]
+    out += [(lon, lat) for lon in (179.9995, -179.9995, 180.0, -180.0, 0.0) for lat in (10.0, 80.0, 89.9999, -89.9999, -60.0)]
+    return out + [(10.0 + k * 1e-4, 60.0 + k * 1e-4) for k in range(12)]
+
+
+@pytest.mark.parametrize("side", [None, 500.0, 400_000.0])
+def test_nearest_on_the_whole_globe(spark, side):
+    points, sites = globe(40, 1), globe(300, 2)
+    p = spark.createDataFrame([(i, *x) for i, x in enumerate(points)], "cell int, lon double, lat double")
+    s = spark.createDataFrame([(i, *x) for i, x in enumerate(sites)], "site int, site_lon double, site_lat double")
+    out = joins.nearest(p, s, "cell", "site", side_m=side)
+    got = {r.cell: r for r in out.collect()}
+    assert got.keys() == set(range(len(points)))
+    for i, x in enumerate(points):
+        assert got[i].distance_m == pytest.approx(min(great_circle(x, y) for y in sites), abs=1e-3)
+    # However many rounds there were, a round adds a scan of what it has written.
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert len(lines) < 60 and sum("Scan ExistingRDD" in x for x in lines) >= 1
+
+
+def test_nearest_of_far_points(spark):
+    """A crowd of sites far away from everybody."""
+    sites = [(i, 67.0 + (i % 20) * 0.001, 24.8 + i // 20 * 0.001) for i in range(300)]
+    points = [(0, 67.0, 25.4), (1, 72.0, 24.8), (2, 97.0, 24.8), (3, -113.0, -24.8)]
+    got = joins.nearest(spark.createDataFrame(points, "cell int, lon double, lat double"), spark.createDataFrame(sites, "site int, site_lon double, site_lat double"), "cell", "site")
+    for r in got.collect():
+        assert r.distance_m == pytest.approx(min(great_circle(points[r.cell][1:], y[1:]) for y in sites), abs=1e-3)
+
+
+@pytest.mark.parametrize("radius", [400.0, 60_000.0, 2_500_000.0, 21_000_000.0])
+def test_within_on_the_whole_globe(spark, radius):
+    points, sites = globe(30, 3), globe(40, 4)
+    p = spark.createDataFrame([(i, *x) for i, x in enumerate(points)], "cell int, lon double, lat double")
+    s = spark.createDataFrame([(i, *x) for i, x in enumerate(sites)], "site int, site_lon double, site_lat double")
+    got = sorted((r.cell, r.site) for r in joins.within(p, s, radius).select("cell", "site").collect())
+    assert got == sorted((i, j) for i, x in enumerate(points) for j, y in enumerate(sites) if great_circle(x, y) <= radius) and got
+
+
 @pytest.mark.parametrize("few", [0, 5000])
 def test_nearest_against_all_pairs(spark, few):
     rng = np.random.default_rng(3)
