@@ -27,6 +27,7 @@ import base64
 import gc
 import hashlib
 import heapq
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -244,43 +245,73 @@ class Cutter:
 
 
 def packed(*arrays) -> bytes:
-    """Arrays of 32-bit numbers as one compressed blob."""
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.asarray(x, "<i4").tobytes() for x in ([len(a) for a in arrays], *arrays)))
+    """Arrays of whole numbers as one compressed blob: byte by byte, the lowest bytes of all first."""
+    out = []
+    for x in arrays:
+        x = np.asarray(x, np.int64)
+        width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+        out += [np.array([len(x), width], "<i8").tobytes(), *((x >> 8 * k & 255).astype(np.uint8).tobytes() for k in range(width))]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
-def unpacked(blob: bytes, n: int) -> list[np.ndarray]:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<i4")
-    return np.split(flat[n:], np.cumsum(flat[:n])[:-1])
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    out, at = [], 0
+    while at < len(raw):
+        n, width = np.frombuffer(raw, "<i8", 2, at).tolist()
+        bytes_ = np.frombuffer(raw, np.uint8, n * width, at + 16).reshape(width, n)
+        out.append(sum((bytes_[k].astype(np.int64) << 8 * k for k in range(1, width)), bytes_[0].astype(np.int64)))
+        at += 16 + n * width
+    return out
+
+
+def fewer(numbers: np.ndarray) -> np.ndarray:
+    """Numbers that were given in order of first occurrence: 0 for the next new one, else 1 more."""
+    new = np.append(True, numbers[1:] > np.maximum.accumulate(numbers)[:-1]) if len(numbers) else np.zeros(0, bool)
+    return np.where(new, 0, numbers + 1)
+
+
+def given(coded: np.ndarray) -> np.ndarray:
+    return np.where(coded == 0, np.cumsum(coded == 0) - 1, coded - 1)
 
 
 def cut_chunk(cutter: Cutter, texts: list[str], parts: int) -> tuple[bytes, list[tuple[int, bytes]]]:
-    """A chunk's documents as segments, segments as words and words by part.
+    """A chunk's documents as segments, segments as words, and words by part.
 
-    Words are numbered part by part, as their ids will come back."""
+    Segments and words are numbered by first occurrence; a part has its words in that order."""
     cut = list(map(cutter.segments, texts))
-    heads, rest = {x[0] for x in cut if x}, set().union(*(x[1:] for x in cut)) if cut else set()
-    segments = [cutter.words(x, True) for x in heads] + [cutter.words(x, False) for x in rest]
+    of_head: dict[str, int] = {}
+    of_rest: dict[str, int] = {}
+    docs: list[int] = []
+    segments: list[list[str]] = []
+    for x in cut:
+        if x:
+            if x[0] not in of_head:
+                of_head[x[0]] = len(segments)
+                segments.append(cutter.words(x[0], True))
+            docs.append(of_head[x[0]])
+            for y in x[1:]:
+                k = of_rest.get(y)
+                if k is None:
+                    k = of_rest[y] = len(segments)
+                    segments.append(cutter.words(y, False))
+                docs.append(k)
     flat = [w for x in segments for w in x]
-    words = list(set(flat))
+    words = list(dict.fromkeys(flat))
+    number = dict(zip(words, range(len(words))))
     data = [w.encode() for w in words]
     of_part = np.fromiter(map(zlib.crc32, data), np.int64, len(data)) % parts
     order = np.argsort(of_part, kind="stable")
-    at = order.tolist()
-    number = dict(zip([words[i] for i in at], range(len(at))))
-    of_part = of_part[order]
-    starts = np.flatnonzero(np.diff(of_part, prepend=-1)).tolist()
+    at, sorted_parts = order.tolist(), of_part[order]
+    starts = np.flatnonzero(np.diff(sorted_parts, prepend=-1)).tolist()
     blobs = []
     for a, b in zip(starts, [*starts[1:], len(at)]):
         mine = [data[i] for i in at[a:b]]
         sizes = np.fromiter(map(len, mine), "<i4", len(mine))
-        blobs.append((int(of_part[a]), zstandard.ZstdCompressor(level=3).compress(np.array([len(mine)], "<i4").tobytes() + sizes.tobytes() + b"".join(mine))))
-    of_head, of_rest = dict(zip(heads, range(len(heads)))), dict(zip(rest, range(len(heads), len(segments))))
-    docs = []
-    for x in cut:
-        if x:
-            docs.append(of_head[x[0]])
-            docs.extend(map(of_rest.__getitem__, x[1:]))
-    return packed([len(x) for x in cut], docs, [len(x) for x in segments], list(map(number.__getitem__, flat))), blobs
+        blobs.append((int(sorted_parts[a]), zstandard.ZstdCompressor(level=3).compress(np.array([len(mine)], "<i4").tobytes() + sizes.tobytes() + b"".join(mine))))
+    docs = fewer(np.array(docs, np.int64))
+    used = fewer(np.fromiter(map(number.__getitem__, flat), np.int64, len(flat)))
+    return packed([len(x) for x in cut], docs, [len(x) for x in segments], used, of_part), blobs
 
 
 def words_of(blob: bytes) -> list[bytes]:
@@ -308,11 +339,15 @@ def sums_of(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def documents_of(sequences: bytes, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of a chunk's documents one after the other, and how many each has."""
-    of_part = [unpacked(x, 2) for x in blobs] or [[np.zeros(0, np.int32)] * 2]
-    sizes, docs, of_segment, words = unpacked(sequences, 4)
-    ids, counts = gathered(np.concatenate([x[1] for x in of_part]), np.concatenate([x[0] for x in of_part]), words)
-    ids, counts = gathered(ids, sums_of(counts, of_segment), docs)
+    """Ids of a chunk's documents one after the other, and how many each has. ``blobs``: of its
+    parts, in order."""
+    sizes, docs, of_segment, used, of_part = unpacked(sequences)
+    found = [unpacked(x) for x in blobs] or [[np.zeros(0, np.int64)] * 2]
+    # A word's place among the words by part.
+    place = np.empty(len(of_part), np.int64)
+    place[np.argsort(of_part, kind="stable")] = np.arange(len(of_part))
+    ids, counts = gathered(np.concatenate([x[1] for x in found]), np.concatenate([x[0] for x in found]), place[given(used)])
+    ids, counts = gathered(ids, sums_of(counts, of_segment), given(docs))
     return ids, sums_of(counts, sizes)
 
 
@@ -327,80 +362,96 @@ def replayed(docs: DataFrame, rank_path: str, pattern: str, finish: Finish, fiel
     with open(rank_path, "rb") as f:
         held = spark.sparkContext.broadcast(f.read())
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parts = max(8, min(MOST_PARTS, 2 * docs.rdd.getNumPartitions()))
+    tasks = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(8, min(MOST_PARTS, 2 * tasks))
 
     def cut(batches):
         gc.disable()  # many short lists, none in a circle
-        cutter, n = Cutter(pattern), 0
+        cutter, n, task = Cutter(pattern), 0, TaskContext.get().partitionId()
         for whole in batches:
             for b in common.chunks(whole, "text", CHUNK):
                 sequences, words = cut_chunk(cutter, [t or "" for t in b.column(1).to_pylist()], parts)
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, pa.schema([pa.field("id", b.schema.field(0).type)])) as out:
                     out.write_batch(pa.RecordBatch.from_arrays([b.column(0)], names=["id"]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([TaskContext.get().partitionId() << 32 | n]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([sequences], pa.binary()), pa.array([[{"part": p, "words": w} for p, w in words]], pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary())])))],
-                    names=["chunk", "ids", "sequences", "words"],
-                )
+                row = [pa.array([task], pa.int64()), pa.array([n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([sequences], pa.binary())]
+                words = pa.array([[{"part": p, "words": w} for p, w in words]], pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary())])))
+                yield pa.RecordBatch.from_arrays([*row, words], names=["task", "chunk", "ids", "sequences", "words"])
                 n += 1
 
-    chunks = common.materialise(docs.mapInArrow(common.tidied(cut), "chunk long, ids binary, sequences binary, words array<struct<part: int, words: binary>>"), "bpe_chunks")
+    # In buckets by task, so that chunks stay where they are when their ids come.
+    chunks = bucketed(docs.mapInArrow(common.tidied(cut), "task long, chunk long, ids binary, sequences binary, words array<struct<part: int, words: binary>>"), tasks, "task")
 
     def replay(batches):
         gc.disable()
         vocabulary = Vocabulary(parse_ranks(held.value))
         known: dict[bytes, list[int]] = {}
-        rows: list[tuple[int, int, list[bytes]]] = []
+        rows: list[tuple[int, int, int, list[bytes]]] = []
         now, new = None, set()
 
-        def given() -> Iterator[pa.RecordBatch]:
+        def ready() -> Iterator[pa.RecordBatch]:
             some = list(new)
             new.clear()
             known.update(zip(some, vocabulary.replay(some)))
             out = []
-            for _, _, words in rows:
+            for *_, words in rows:
                 found = [known[w] for w in words]
                 out.append(packed([len(x) for x in found], [i for x in found for i in x]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(out, pa.binary())], names=["chunk", "part", "blob"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))), pa.array(out, pa.binary())], names=["task", "chunk", "part", "blob"])
             rows.clear()
 
         for b in batches:
-            for part, chunk, blob in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for part, task, chunk, blob in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if part != now or len(known) > MEMORY_WORDS:
-                    yield from given()
+                    yield from ready()
                     known.clear()
                     now = part
                 words = words_of(blob)
-                rows.append((chunk, part, words))
+                rows.append((task, chunk, part, words))
                 new.update(w for w in words if w not in known)
                 if len(new) > BLOCK_WORDS or len(rows) >= 200:
-                    yield from given()
-        yield from given()
+                    yield from ready()
+        yield from ready()
 
-    words = chunks.select("chunk", F.explode("words").alias("w")).select(F.col("w.part").alias("part"), "chunk", F.col("w.words").alias("words"))
-    ids = words.repartition("part").sortWithinPartitions("part", "chunk").mapInArrow(common.tidied(replay), "chunk long, part int, blob binary")
+    words = chunks.select("task", "chunk", F.explode("words").alias("w")).select(F.col("w.part").alias("part"), "task", "chunk", F.col("w.words").alias("words"))
+    ids = words.repartition("part").sortWithinPartitions("part", "task", "chunk").mapInArrow(common.tidied(replay), "task long, chunk long, part int, blob binary")
     schema = T.StructType([T.StructField(id_col, docs.schema["id"].dataType), *(T.StructField(n, t) for n, t in fields)])
 
-    def join(batches):
-        vocabulary = Vocabulary(parse_ranks(held.value))
-        now, blobs = None, []
-        for b in batches:
-            for chunk, ids, sequences, blob in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4))):
-                if chunk != now:
-                    now, blobs = chunk, []
-                if sequences is None:
-                    blobs.append(blob)
-                    continue
-                with pa.ipc.open_stream(ids) as stream:
-                    column = stream.read_next_batch().column(0)
-                yield pa.RecordBatch.from_arrays([column, *finish(vocabulary, *documents_of(sequences, blobs))], names=schema.names)
-                blobs = []
-
-    # Ids first, by part; a chunk's documents last.
-    both = ids.select("chunk", "part", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("sequences"), "blob")
-    both = both.unionAll(chunks.select("chunk", F.lit(2**31 - 1).alias("part"), "ids", "sequences", F.lit(None).cast("binary")))
-    return both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(common.tidied(join), schema)
+    def join(mine: pa.Table, coded: pa.Table) -> Iterator[pa.RecordBatch]:
+        vocabulary = vocabulary_of(held.value)
+        blobs: dict[int, list[tuple[int, bytes]]] = {}
+        for chunk, part, blob in zip(coded["chunk"].to_pylist(), coded["part"].to_pylist(), coded["blob"].to_pylist()):
+            blobs.setdefault(chunk, []).append((part, blob))
+        for chunk, ids, sequences in zip(mine["chunk"].to_pylist(), mine["ids"].to_pylist(), mine["sequences"].to_pylist()):
+            with pa.ipc.open_stream(ids) as stream:
+                column = stream.read_next_batch().column(0)
+            found = [blob for _, blob in sorted(blobs.get(chunk, []))]
+            yield pa.RecordBatch.from_arrays([column, *finish(vocabulary, *documents_of(sequences, found))], names=schema.names)
+
+    def put_together(mine: pa.Table, coded: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(common.tidied(lambda _: join(mine, coded))(None)))
+
+    both = chunks.select("task", "chunk", "ids", "sequences").groupBy("task").cogroup(ids.groupBy("task"))
+    return both.applyInArrow(put_together, schema)
+
+
+_last: tuple[bytes, Vocabulary] | None = None
+
+
+def vocabulary_of(ranks: bytes) -> Vocabulary:
+    """A worker's vocabulary, kept from group to group."""
+    global _last
+    if _last is None or _last[0] is not ranks and _last[0] != ranks:
+        _last = ranks, Vocabulary(parse_ranks(ranks))
+    return _last[1]
+
+
+def bucketed(df: DataFrame, buckets: int, column: str) -> DataFrame:
+    """The rows, written to a table of the shared folder by buckets of a column's values."""
+    name = f"hexalloc_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", common.scratch(df.sparkSession, "bpe_chunks")).bucketBy(buckets, column).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def listed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
