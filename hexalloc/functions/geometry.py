@@ -148,3 +148,66 @@ def stitch(ways: list[list[tuple[float, float]]]) -> list[list[tuple[float, floa
                 raise ValueError(f"a ring ends at {ring[-1]} and is not closed")
         rings.append(ring)
     return rings
+
+
+def union_area(rings: list[list[tuple[float, float]]]) -> float:
+    """The area that at least one of some rings covers, exactly.
+
+    Between two neighbouring values of x at which a corner or a crossing lies, no edges cross, so
+    what is covered grows in a straight line and its middle stands for the whole strip."""
+    edges = []
+    for k, ring in enumerate(rings):
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            if ax != bx:
+                edges.append((ax, ay, bx, by, k) if ax < bx else (bx, by, ax, ay, k))
+    edges.sort()
+    stops = {x for e in edges for x in (e[0], e[2])}
+    for i, (ax, ay, bx, by, _) in enumerate(edges):
+        for cx, cy, dx, dy, _ in edges[i + 1 :]:
+            if cx >= bx:
+                break
+            one, other = (by - ay) / (bx - ax), (dy - cy) / (dx - cx)
+            if one != other:
+                x = ax + (cy - ay + other * (ax - cx)) / (one - other)
+                if max(ax, cx) < x < min(bx, dx):
+                    stops.add(x)
+    total, places = 0.0, sorted(stops)
+    for left, right in zip(places, places[1:]):
+        middle, by_ring = (left + right) / 2, {}
+        for ax, ay, bx, by, k in edges:
+            if ax > middle:
+                break
+            if bx > middle:
+                by_ring.setdefault(k, []).append(ay + (by - ay) * (middle - ax) / (bx - ax))
+        spans = sorted(pair for ys in by_ring.values() for ys in [sorted(ys)] for pair in zip(ys[::2], ys[1::2]))
+        covered, top = 0.0, -math.inf
+        for low, high in spans:
+            covered += max(0.0, high - max(low, top))
+            top = max(top, high)
+        total += covered * (right - left)
+    return total
+
+
+@F.udf(T.DoubleType(), useArrow=True)
+def covered_area(rings):
+    """Area of the union of an array of rings, as an Arrow UDF; for the few rings of one cell."""
+    return None if rings is None else union_area([[(p["x"], p["y"]) for p in ring] for ring in rings if ring is not None])
+
+
+def drawn(lon: Column, lat: Column, west: float, north: float, middle: float, pixels_a_degree: float) -> tuple[Column, Column]:
+    """Whole pixels from the upper left corner of a map whose scale is right at the middle latitude."""
+    across = pixels_a_degree * math.cos(math.radians(middle))
+    return F.floor((lon - west) * across + 0.5).cast("long"), F.floor((north - lat) * pixels_a_degree + 0.5).cast("long")
+
+
+def svg_path(points: Column) -> Column:
+    """A closed path of an array of struct<x, y> of whole pixels."""
+    steps = F.transform(points, lambda p: F.concat(p["x"].cast("string"), F.lit(" "), p["y"].cast("string")))
+    return F.concat(F.lit("M"), F.array_join(steps, " L"), F.lit("Z"))
+
+
+def scale_bar(pixels_a_degree: float, most_pixels: int) -> tuple[int, int]:
+    """The longest round number of metres (1, 2 or 5 and zeros) that fits, and its pixels."""
+    a_metre = pixels_a_degree / (6_371_008.8 * math.pi / 180)
+    best = max((m * 10**k for k in range(8) for m in (1, 2, 5) if m * 10**k * a_metre <= most_pixels), default=1)
+    return best, math.floor(best * a_metre + 0.5)

@@ -90,6 +90,32 @@ def with_ranks(df: DataFrame, value: str, *, rank: str | None = None, mid: str |
     return df.join(keys, cond, "left").drop(*(f"__k{i}" for i in range(len(on))))
 
 
+def total_order(df: DataFrame, first: str, second: str, name: str, rows: int, descending: bool = False, groups: list[str] = (), small: int = SMALL_ROWS) -> DataFrame:
+    """Adds a whole number that orders rows by ``first`` (falling, if ``descending``) and then by the
+    numeric ``second``, in each group of at most ``rows`` rows."""
+    df = with_ranks(df, first, rank="__first", descending=descending, groups=groups, rows=rows, small=small)
+    df = with_ranks(df, second, rank="__second", descending=False, groups=groups, rows=rows, small=small)
+    return df.withColumn(name, F.col("__first") * (rows + 1) + F.col("__second")).drop("__first", "__second")
+
+
+def running_sum(df: DataFrame, value: str, order: str, name: str, rows: int, groups: list[str] = (), small: int = SMALL_ROWS) -> DataFrame:
+    """Adds the sum of ``value`` over a group's rows before, in rising order of a numeric column that
+    is unique in it.  ``rows``: a bound of a group's rows; up to ``small`` a window sees them all,
+    beyond it sums are taken in ranges, whose totals are summed up and joined back."""
+    groups, zero = list(groups), F.lit(0)
+    before = lambda w: F.coalesce(F.sum(value).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), zero)
+    if rows <= small:
+        return df.withColumn(name, before(Window.partitionBy(*groups) if groups else Window.partitionBy(zero)))
+    bounds = range_bounds(df, order, small)
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order))) if bounds else zero
+    df = df.withColumn("__range", place)
+    totals = df.groupBy(*groups, "__range").agg(F.sum(value).alias("__t"))
+    w = Window.partitionBy(*groups, *([] if groups else [zero])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*groups, "__range", F.coalesce(F.sum("__t").over(w), zero).alias("__base"))
+    inside = df.withColumn("__inside", before(Window.partitionBy(*groups, "__range")))
+    return inside.join(totals, [*groups, "__range"]).withColumn(name, F.col("__base") + F.col("__inside")).drop("__base", "__inside", "__range")
+
+
 def _interpolated(low: float, high: float, part: float) -> float:
     """As array libraries do it: from whichever end is nearer."""
     step = high - low
@@ -125,21 +151,27 @@ def percentiles(df: DataFrame, wanted: dict[str, list[float]], exact_rows: int =
 
 
 def order_statistic(df: DataFrame, column: str, index: int, n: int, exact_rows: int) -> float:
-    """The value at a place of the sorted column, from 0."""
-    part, before = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")), 0
+    """The value at a place of the sorted column, from 0.
+
+    Two approximate quantiles around the place are counted exactly; where the place turns out not
+    to be between them, they are taken farther apart, at last as the least and the largest value."""
+    part, before, apart = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")), 0, 0.01
     while n > exact_rows:
         p = (index - before) / max(n - 1, 1)
-        eps = 0.01
-        low, high = part.agg(F.percentile_approx("v", F.array(F.lit(max(p - eps, 0.0)), F.lit(min(p + eps, 1.0))), F.lit(1000))).first()[0]
+        if apart >= 1:
+            low, high = part.agg(F.min("v"), F.max("v")).first()
+        else:
+            low, high = part.agg(F.percentile_approx("v", F.array(F.lit(max(p - apart, 0.0)), F.lit(min(p + apart, 1.0))), F.lit(1000))).first()[0]
         below, equal_low, inside, equal_high = part.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v") == low), F.count_if((F.col("v") > low) & (F.col("v") < high)), F.count_if(F.col("v") == high)).first()
-        if not before + below <= index < before + below + equal_low + inside + (equal_high if high > low else 0):
-            low, high, below = None, None, 0
-            break
-        if index < before + below + equal_low:
+        at = index - before - below
+        if at < 0 or at >= equal_low + inside + (equal_high if high > low else 0):
+            apart *= 8
+            continue
+        if at < equal_low:
             return low
-        if index >= before + below + equal_low + inside:
+        if at >= equal_low + inside:
             return high
-        part, before, n = part.where((F.col("v") > low) & (F.col("v") < high)), before + below + equal_low, inside
+        part, before, n, apart = part.where((F.col("v") > low) & (F.col("v") < high)), before + below + equal_low, inside, 0.01
     k = index - before
     return part.agg(F.percentile("v", F.lit(k / max(n - 1, 1)))).first()[0]
 
@@ -149,6 +181,14 @@ def nearest_rank(values: Column, q: float) -> Column:
     return F.element_at(F.array_sort(values), (F.rint((F.size(values) - 1) * F.lit(q)) + 1).cast("int"))
 
 
+def sorted_percentile(ordered: Column, q: float) -> Column:
+    """Percentile with linear interpolation of a bounded sorted array."""
+    at = (F.size(ordered) - 1) * F.lit(q)
+    low = F.element_at(ordered, (F.floor(at) + 1).cast("int"))
+    high = F.element_at(ordered, (F.ceil(at) + 1).cast("int"))
+    return low + (high - low) * (at - F.floor(at))
+
+
 def lower_rank(values: Column, q: float) -> Column:
     """Element at floor((n - 1) * q) of a bounded array."""
     return F.element_at(F.array_sort(values), (F.floor((F.size(values) - 1) * F.lit(q)) + 1).cast("int"))

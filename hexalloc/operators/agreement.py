@@ -24,15 +24,35 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return both.agg(correlation("__a", "__b").alias("rho"))
 
 
-def kendall(df: DataFrame, a: str, b: str, groups: list[str] = ()) -> DataFrame:
-    """``tau`` (b) of small groups of places: pairs are joined inside each group."""
+def kendall(df: DataFrame, a: str, b: str, groups: list[str] = (), small: int = ranks.SMALL_ROWS) -> DataFrame:
+    """``tau`` (b) of each group; null where a side is constant.  Rows without both values don't count.
+
+    No pair is ever made.  With rows in the order of ``a`` (then ``b``), a pair disagrees where the
+    larger rank of ``b`` comes first.  The two ranks are equal down to some bit, so for every bit
+    the rows that are equal above it are walked in order, and a row without the bit meets as many
+    disagreeing rows as have come with it: n log n rows, summed in ranges where groups are large."""
     groups = list(groups)
-    n = df.withColumn("__i", F.monotonically_increasing_id())
-    l, r = (n.select(*groups, F.col("__i").alias(f"i{k}"), F.col(a).alias(f"a{k}"), F.col(b).alias(f"b{k}")) for k in (1, 2))
-    pairs = (l.join(r, groups) if groups else l.crossJoin(r)).where("i1 < i2")
-    sa, sb = F.signum(F.col("a1") - F.col("a2")), F.signum(F.col("b1") - F.col("b2"))
-    out = pairs.groupBy(*groups).agg(F.sum(sa * sb).alias("s"), F.sum(F.abs(sa)).alias("na"), F.sum(F.abs(sb)).alias("nb"))
-    return out.select(*groups, F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("s") / F.sqrt(F.col("na") * F.col("nb"))).alias("tau"))
+    g = groups or ["__whole"]
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    rows = rows.select(*groups, F.col(a).alias("__a"), F.col(b).alias("__b")) if groups else rows.select(F.lit(0).alias("__whole"), F.col(a).alias("__a"), F.col(b).alias("__b"))
+    most = rows.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
+    ranked = ranks.with_ranks(ranks.with_ranks(rows, "__a", rank="__ra", descending=False, groups=g, rows=most, small=small), "__b", rank="__rb", descending=False, groups=g, rows=most, small=small)
+    cells = ranked.groupBy(*g, "__ra", "__rb").agg(F.count(F.lit(1)).alias("__n")).withColumn("__order", F.col("__ra") * (most + 1) + F.col("__rb"))
+
+    def tied(*by):
+        t = cells.groupBy(*g, *by).agg(F.sum("__n").alias("t")) if by else cells.groupBy(*g).agg(F.sum("__n").alias("t"))
+        return t.groupBy(*g).agg(F.sum(F.expr("t * (t - 1) div 2")).alias("_".join(["pairs", *by])))
+
+    bits = cells.withColumn("__bit", F.explode(F.sequence(F.lit(0), F.lit(max(most.bit_length() - 1, 0)))))
+    bits = bits.withColumns({"__above": F.expr("shiftright(__rb, __bit + 1)"), "__has": F.expr("shiftright(__rb, __bit) & 1")}).withColumn("__ones", F.col("__n") * F.col("__has"))
+    met = ranks.running_sum(bits, "__ones", "__order", "__met", most, [*g, "__bit", "__above"], small)
+    against = met.groupBy(*g).agg(F.sum(F.when(F.col("__has") == 0, F.col("__n") * F.col("__met")).otherwise(0)).alias("against"))
+    out = tied()
+    for other in (tied("__ra"), tied("__rb"), tied("__ra", "__rb"), against):
+        out = out.join(other, g)
+    x, y = F.col("pairs") - F.col("pairs___ra"), F.col("pairs") - F.col("pairs___rb")
+    s = F.col("pairs") - F.col("pairs___ra") - F.col("pairs___rb") + F.col("pairs___ra___rb") - 2 * F.col("against")
+    return out.select(*groups, F.when((x > 0) & (y > 0), s / (F.sqrt(x.cast("double")) * F.sqrt(y.cast("double")))).alias("tau"))
 
 
 def concordance(rankings: DataFrame, who: str, what: str, rank: str) -> DataFrame:
@@ -107,3 +127,21 @@ def resampled(df: DataFrame, group: str, model: str, expert: str, draws: int = 1
 
     kind = df.schema[group].dataType.simpleString()
     return df.select(group, model, expert).groupBy(group).applyInPandas(run, f"g {kind}, n long, rho double, low double, high double, p double, draws long").withColumnRenamed("g", group)
+
+
+def of_respondents(rankings: DataFrame, who: str, expert: str, model: str) -> DataFrame:
+    """``who, n, rho`` of each respondent's ranking against the model's; null where either is
+    constant, which makes an agreement undefined."""
+    both = rankings.where(F.col(expert).isNotNull() & F.col(model).isNotNull()).select(who, F.col(expert).alias("__x"), F.col(model).alias("__y"))
+    both = ranks.with_ranks(both, "__x", mid="__a", descending=False, groups=[who])
+    both = ranks.with_ranks(both, "__y", mid="__b", descending=False, groups=[who])
+    return both.groupBy(who).agg(F.count(F.lit(1)).alias("n"), correlation("__a", "__b").alias("rho"))
+
+
+def of_resamples(rows: DataFrame, picks: DataFrame, group: str, item: str, x: str, y: str, resample: str = "resample") -> DataFrame:
+    """``group, resample, rho``: both columns ranked anew within each resample.  ``picks``: group,
+    resample and item, an item as often as it was drawn; resamples in which a side is constant go."""
+    drawn = picks.join(rows.select(group, item, F.col(x).alias("__x"), F.col(y).alias("__y")), [group, item])
+    drawn = ranks.with_ranks(drawn, "__x", mid="__a", descending=False, groups=[group, resample])
+    drawn = ranks.with_ranks(drawn, "__y", mid="__b", descending=False, groups=[group, resample])
+    return drawn.groupBy(group, resample).agg(correlation("__a", "__b").alias("rho")).where("rho is not null")

@@ -73,20 +73,19 @@ def summary(ranked: DataFrame, key: str, cells: int, draws: int, methods: tuple[
     hit = (F.col("rank") <= top).cast("int")
     aggs = [
         F.avg(hit).alias("p"),
-        F.percentile("rank", F.lit(0.5)).alias("median"),
-        F.collect_list("rank").alias("ranks"),
-        F.percentile("priority", F.array(F.lit(0.05), F.lit(0.95))).alias("span"),
+        F.array_sort(F.collect_list("rank")).alias("ranks"),
+        F.array_sort(F.collect_list("priority")).alias("priorities"),
         *(F.avg(F.when(F.col("method") == m, hit)).alias(f"p_{m}_raw") for m in methods),
     ]
     out = ranked.groupBy(key).agg(*aggs)
-    low, high = ranks.nearest_rank(F.col("ranks"), 0.05), ranks.nearest_rank(F.col("ranks"), 0.95)
+    low, high = (F.element_at("ranks", (F.rint((F.size("ranks") - 1) * F.lit(q)) + 1).cast("int")) for q in (0.05, 0.95))
     out = out.withColumns({
-        "median_rank": F.col("median").cast("long"),
+        "median_rank": ranks.sorted_percentile(F.col("ranks"), 0.5).cast("long"),
         "rank_low": low.cast("long"),
         "rank_high": high.cast("long"),
         "rank_width": (high - low).cast("long"),
-        "priority_low": rint_to(F.col("span")[0], 3),
-        "priority_high": rint_to(F.col("span")[1], 3),
+        "priority_low": rint_to(ranks.sorted_percentile(F.col("priorities"), 0.05), 3),
+        "priority_high": rint_to(ranks.sorted_percentile(F.col("priorities"), 0.95), 3),
         "p_top20": rint_to(F.col("p"), 2),
         "p_top20_se": rint_to(F.sqrt(F.col("p") * (1 - F.col("p")) / draws), 3),
         **{f"p_{m}": rint_to(F.col(f"p_{m}_raw"), 2) for m in methods},
@@ -97,7 +96,7 @@ def summary(ranked: DataFrame, key: str, cells: int, draws: int, methods: tuple[
     out = out.withColumn("certainty", rint_to(F.greatest(p, 1.0 - p), 2))
     stability = F.when(p >= HIGH, "confidently in").when(p <= 1 - HIGH, "confidently out").otherwise("uncertain")
     out = out.withColumns({"stability": stability, "confidence": grade(F.col("certainty")), "confidence_literal": grade(p)})
-    return out.drop("p", "median", "ranks", "span", *(f"p_{m}_raw" for m in methods))
+    return out.drop("p", "ranks", "priorities", *(f"p_{m}_raw" for m in methods))
 
 
 def grade(x: Column) -> Column:

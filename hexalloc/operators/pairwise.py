@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,21 +63,24 @@ def evaluate(whole: DataFrame, tolerance: float = 1e-12, steps: int = 1000) -> d
     return out
 
 
-def weights_sql(spark: SparkSession, whole: DataFrame, steps: int = 60) -> DataFrame:
-    """``i, w`` by power iteration as a recursive query: nothing leaves the engine."""
-    whole.createOrReplaceTempView("pairwise_matrix")
+def weights_sql(spark: SparkSession, whole: DataFrame, doublings: int = 60) -> DataFrame:
+    """``i, w`` by power iteration as a recursive query: nothing leaves the engine.
+
+    Each step squares the matrix (and scales it to a sum of 1), so that k steps are 2^k iterations;
+    it ends when no weight moves by 1e-12, which ``doublings`` are more than enough for."""
+    name = f"pairwise_{uuid.uuid4().hex}"
+    whole.createOrReplaceTempView(name)
+    square = "transform(sequence(0, n * n - 1), x -> aggregate(sequence(0, n - 1), 0D, (s, q) -> s + a[x div n * n + q] * a[q * n + x % n]))"
+    scaled = f"transform({square}, v -> v / aggregate({square}, 0D, (s, y) -> s + y))"
+    weights = "transform(sequence(0, n - 1), p -> aggregate(slice({a}, p * n + 1, n), 0D, (s, y) -> s + y) / aggregate({a}, 0D, (s, y) -> s + y))"
     return spark.sql(f"""
-        WITH RECURSIVE items AS (SELECT DISTINCT i FROM pairwise_matrix),
-        start AS (SELECT array_sort(collect_list(i)) AS ids, cast(count(*) AS int) AS n FROM items),
-        m AS (SELECT transform(array_sort(collect_list(struct(i, j, a))), x -> x.a) AS a FROM pairwise_matrix),
-        steps(k, ids, n, a, w) AS (
-            SELECT 0, ids, n, a, transform(ids, x -> cast(1.0D / n AS double)) FROM start CROSS JOIN m
+        WITH RECURSIVE start AS (SELECT array_sort(collect_set(i)) AS ids, cast(count(DISTINCT i) AS int) AS n, transform(array_sort(collect_list(struct(i, j, a))), x -> x.a) AS a FROM {name}),
+        steps(k, ids, n, a, w, moved) AS (
+            SELECT 0, ids, n, a, {weights.format(a="a")}, 1D FROM start
             UNION ALL
-            SELECT k + 1, ids, n, a,
-                   transform(transform(ids, (x, p) -> aggregate(sequence(0, n - 1), 0D, (s, q) -> s + a[p * n + q] * w[q])),
-                             v -> v / aggregate(transform(ids, (x, p) -> aggregate(sequence(0, n - 1), 0D, (s, q) -> s + a[p * n + q] * w[q])), 0D, (s, y) -> s + y))
-            FROM steps WHERE k < {steps})
-        SELECT id AS i, w[pos] AS w FROM steps LATERAL VIEW posexplode(ids) t AS pos, id WHERE k = {steps}""").cache()
+            SELECT k + 1, ids, n, b, {weights.format(a="b")}, array_max(transform(sequence(0, n - 1), p -> abs(aggregate(slice(b, p * n + 1, n), 0D, (s, y) -> s + y) / aggregate(b, 0D, (s, y) -> s + y) - w[p])))
+            FROM (SELECT k, ids, n, w, moved, {scaled} AS b FROM steps WHERE k < {doublings} AND moved >= 1e-12))
+        SELECT id AS i, w[pos] AS w FROM (SELECT max_by(ids, k) AS ids, max_by(w, k) AS w FROM steps) LATERAL VIEW posexplode(ids) t AS pos, id""")
 
 
 def conflicts(whole: DataFrame, weights: DataFrame) -> DataFrame:
@@ -94,3 +99,34 @@ def three_items(a01: float, a02: float, a12: float) -> list[float]:
     """Weights of three items: the rows' geometric means."""
     g = [(a01 * a02) ** (1 / 3), (a12 / a01) ** (1 / 3), (1 / (a02 * a12)) ** (1 / 3)]
     return [x / math.fsum(g) for x in g]
+
+
+def consistency(whole: DataFrame, weights: DataFrame) -> DataFrame:
+    """One row of a judged matrix: ``n, lambda_max, ci, cr, threshold, low, high``, where low and high
+    are the least and the largest of (A w)_i / w_i, which hold the eigenvalue between them."""
+    w = weights.select(F.col("i").alias("j"), F.col("w").alias("wj"))
+    ratio = whole.join(F.broadcast(w), "j").groupBy("i").agg(F.sum(F.col("a") * F.col("wj")).alias("s")).join(F.broadcast(weights), "i").select((F.col("s") / F.col("w")).alias("r"))
+    one = ratio.agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("lambda_max"), F.min("r").alias("low"), F.max("r").alias("high"))
+    n = F.col("n")
+    index = F.element_at(F.create_map(*(F.lit(x) for pair in RANDOM_INDEX.items() for x in pair)), n.cast("int"))
+    one = one.withColumn("ci", F.when(n > 1, F.greatest((F.col("lambda_max") - n) / (n - 1), F.lit(0.0))).otherwise(0.0))
+    limit = F.when(n == 3, threshold(3)).when(n == 4, threshold(4)).otherwise(threshold(5))
+    return one.select("n", "lambda_max", "ci", F.when(index > 0, F.col("ci") / index).otherwise(0.0).alias("cr"), limit.alias("threshold"), "low", "high")
+
+
+def session(spark: SparkSession, items: list[str], ask: Callable[[str, str], float], rounds: int = 5) -> dict:
+    """Asks for every pair of items, and again for the pair that stands out most, until the answers are
+    consistent enough or the rounds are over.  ``ask`` is told two items and gives how many times
+    as much the first counts.  Returns the evaluation, the answers and how often it asked again."""
+    pairs = [(i, j) for i in range(len(items)) for j in range(i + 1, len(items))]
+    answers, times = {p: float(ask(items[p[0]], items[p[1]])) for p in pairs}, dict.fromkeys(pairs, 1)
+    for turn in range(rounds + 1):
+        whole = matrix(spark.createDataFrame([(i, j, a) for (i, j), a in answers.items()], "i int, j int, a double"))
+        found = evaluate(whole)
+        if found["cr"] <= found["threshold"] or turn == rounds:
+            return found | {"answers": {(items[i], items[j]): a for (i, j), a in answers.items()}, "asked_again": turn, "consistent": found["cr"] <= found["threshold"]}
+        # Of pairs that stand out alike (of three items all do) the one that was asked least.
+        error = {p: round(abs(math.log(answers[p] * found["weights"][p[1]] / found["weights"][p[0]])), 9) for p in pairs}
+        worst = max(pairs, key=lambda p: (error[p], -times[p], p))
+        times[worst] += 1
+        answers[worst] = float(ask(items[worst[0]], items[worst[1]]))

@@ -71,12 +71,6 @@ def norm_method_agreement(spark, sf_dir):
     return agreement.spearman(b, "heat_a", "heat_b").select(F.lit("heat").alias("measure"), F.round("rho", 6).alias("rho"))
 
 
-@query("""SELECT c_custkey AS cell, 0.0::DOUBLE AS same_n, 0.0::DOUBLE AS flat_n, CASE WHEN c_custkey % 7 <> 0 THEN 0.0::DOUBLE END AS holed_n FROM customer""")
-def constant_and_flat_columns(spark, sf_dir):
-    df = t.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cell"), F.lit(5.0).alias("same"), F.when(F.col("c_custkey") % 50 == 0, 1.0).otherwise(0.0).alias("flat"), F.when(F.col("c_custkey") % 7 != 0, 3.0).alias("holed"))
-    return normalise.robust_minmax(df, {"same": -1, "flat": 1, "holed": 1}).select("cell", "same_n", "flat_n", "holed_n")
-
-
 @query(f"""WITH {t.SQL_PRIORITY}, r AS (SELECT unnest(list_transform(list_reverse_sort(list_filter([{GAPS}], lambda x: x.gap > 0))[1:3], lambda x: x.phrase)) AS reason FROM ranked),
 none AS (SELECT '{index.NO_REASON}' AS reason FROM ranked WHERE len(list_filter([{GAPS}], lambda x: x.gap > 0)) = 0)
 SELECT reason, count(*) AS n FROM (SELECT * FROM r UNION ALL SELECT * FROM none) GROUP BY reason ORDER BY n DESC, reason LIMIT 4""")
@@ -205,13 +199,6 @@ def ellipsoidal_distance(spark, sf_dir):
     return c.join(f, F.col("cell") % 100 == F.col("facility") % 100).select("cell", "facility", F.round(d, 3).alias("distance_m"))
 
 
-@query()
-def utm_distance(spark, sf_dir):
-    c, f = t.cells(spark, sf_dir), t.facilities(spark, sf_dir)
-    d = numeric.utm_distance_m(F.col("lon"), F.col("lat"), F.col("site_lon"), F.col("site_lat"), 42, 1.3)
-    return c.join(f, F.col("cell") % 100 == F.col("facility") % 100).select("cell", "facility", F.round(d, 3).alias("distance_m"))
-
-
 @query(f"""WITH {t.SQL_PRIORITY}, {t.SQL_PLACES},
 pairs AS (SELECT place, cell, priority, people FROM places CROSS JOIN ranked WHERE home = cell OR {t.sql_haversine('lon', 'lat', 'place_lon', 'place_lat')} <= 500)
 SELECT p.place, round(CASE WHEN sum(people) > 0 THEN sum(priority * people) / sum(people) WHEN count(cell) > 0 THEN 0.0 END, 6) AS weighted_mean, round(max(priority), 6) AS maximum, nullif(count(cell), 0) AS n
@@ -328,26 +315,12 @@ def flow_problem(spark, sf_dir):
     return c.drop("h"), s, c.join(s, "scenario").select("scenario", "cell", "centre", d.cast("double").alias("distance_m"), "need", "stock")
 
 
-@query()
-def greedy_plan(spark, sf_dir):
-    return allocation.plan_of(allocation.solve(*flow_problem(spark, sf_dir), "greedy", 5000.0))
-
-
 @query()
 def exact_plan(spark, sf_dir):
     got = allocation.report_of(allocation.solve(*flow_problem(spark, sf_dir), "exact", 5000.0))
     return got.select("scenario", F.round("objective", 4).alias("objective"), "delivered", "shortfall", "note")
 
 
-@query()
-def rounded_plan(spark, sf_dir):
-    pairs = flow_problem(spark, sf_dir)[2]
-    n = F.count(F.lit(1)).over(Window.partitionBy("scenario", "centre"))
-    m = F.count(F.lit(1)).over(Window.partitionBy("scenario", "cell"))
-    units = F.least(F.col("stock") / n, F.col("need") / m)
-    return allocation.rounded(pairs.withColumn("units", units))
-
-
 SQL_SHIPMENTS = "p AS (SELECT 'n' || c_nationkey AS scenario, c_custkey AS cell, s_suppkey AS centre, (c_custkey * 13 + s_suppkey * 7) % 9 AS units, floor((c_acctbal + 1000) / 11000 * 10000) / 10000 AS priority, (c_custkey * 37 + s_suppkey * 911) % 6000 + 200 AS d FROM customer JOIN supplier ON c_nationkey = s_suppkey % 25 WHERE (c_custkey + s_suppkey) % 3 = 0)"
 
 
@@ -378,7 +351,7 @@ def equity_floor(spark, sf_dir):
     return c.withColumn("top", top).join(s, "scenario").groupBy("scenario").agg(F.sum(F.when(F.col("top"), F.col("need"))).alias("top_need"), F.round(0.25 * F.least(F.sum("need"), F.max("stock")), 4).alias("floor_units"))
 
 
-MC_DRAWS = 60
+MC_DRAWS = montecarlo.DRAWS
 MC_INNER = {"lack_green": 0.5, "dist_health": 0.5}
 MC_OUTER = t.MODEL.weights.dimensions
 MC_ROWS = montecarlo.draw_weights(MC_INNER, MC_OUTER, MC_DRAWS)
@@ -395,8 +368,9 @@ p AS (SELECT cell, draw, method, CASE WHEN least(h, e, v) <= 0 THEN 0.0 ELSE exp
 r AS (SELECT *, rank() OVER (PARTITION BY draw ORDER BY round(priority, 12) DESC) AS rk FROM p), k AS (SELECT ceil(0.2 * count(DISTINCT cell)) AS top FROM p),
 g AS (SELECT cell, avg(CAST(rk <= top AS INT)) AS pt, median(rk) AS med, list(rk ORDER BY rk) AS l, avg(CAST(rk <= top AS INT)) FILTER (WHERE method = 'robust_minmax') AS pa, avg(CAST(rk <= top AS INT)) FILTER (WHERE method = 'percentile_rank') AS pb, quantile_cont(priority, 0.05) AS pl, quantile_cont(priority, 0.95) AS ph FROM r CROSS JOIN k GROUP BY cell),
 o AS (SELECT *, round_even(pt * 100, 0) / 100 AS p2 FROM g)
-SELECT cell, CAST(trunc(med) AS BIGINT) AS median_rank, l[1 + CAST(round_even(0.05 * {MC_DRAWS - 1}, 0) AS INT)] AS rank_low, l[1 + CAST(round_even(0.95 * {MC_DRAWS - 1}, 0) AS INT)] AS rank_high, round_even(pl * 1000, 0) / 1000 AS priority_low, round_even(ph * 1000, 0) / 1000 AS priority_high,
- p2 AS p_top20, round_even(pa * 100, 0) / 100 AS p_robust_minmax, round_even(pb * 100, 0) / 100 AS p_percentile_rank, CASE WHEN p2 >= 0.8 THEN 'confidently in' WHEN p2 <= CAST(1 AS DOUBLE) - CAST(0.8 AS DOUBLE) THEN 'confidently out' ELSE 'uncertain' END AS stability FROM o"""
+SELECT cell, CAST(trunc(med) AS BIGINT) AS median_rank, l[1 + CAST(round_even(0.05 * {MC_DRAWS - 1}, 0) AS INT)] AS rank_low, l[1 + CAST(round_even(0.95 * {MC_DRAWS - 1}, 0) AS INT)] AS rank_high, l[1 + CAST(round_even(0.95 * {MC_DRAWS - 1}, 0) AS INT)] - l[1 + CAST(round_even(0.05 * {MC_DRAWS - 1}, 0) AS INT)] AS rank_width, round_even(pl * 1000, 0) / 1000 AS priority_low, round_even(ph * 1000, 0) / 1000 AS priority_high,
+ p2 AS p_top20, round_even(sqrt(pt * (1 - pt) / {MC_DRAWS}) * 1000, 0) / 1000 AS p_top20_se, round_even(pa * 100, 0) / 100 AS p_robust_minmax, round_even(pb * 100, 0) / 100 AS p_percentile_rank, round_even(abs(pa - pb) * 100, 0) / 100 AS method_gap, round_even(greatest(p2, 1 - p2) * 100, 0) / 100 AS certainty,
+ CASE WHEN p2 >= 0.8 THEN 'confidently in' WHEN p2 <= CAST(1 AS DOUBLE) - CAST(0.8 AS DOUBLE) THEN 'confidently out' ELSE 'uncertain' END AS stability, CASE WHEN round_even(greatest(p2, 1 - p2) * 100, 0) / 100 >= 0.8 THEN 'high' WHEN round_even(greatest(p2, 1 - p2) * 100, 0) / 100 >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM o"""
 
 
 @query(sql_mc())
@@ -407,7 +381,7 @@ def mc_rank_intervals(spark, sf_dir):
     p = montecarlo.drawn_priorities(norm, draws, "cell", {"hazard": "heat", "exposure": "people"}, "vulnerability", list(MC_INNER), index.FLOORS)
     n = base.count()
     out = montecarlo.summary(montecarlo.drawn_ranks(p, cells=n), "cell", n, MC_DRAWS)
-    return out.select("cell", "median_rank", "rank_low", "rank_high", "priority_low", "priority_high", "p_top20", "p_robust_minmax", "p_percentile_rank", "stability")
+    return out.select("cell", "median_rank", "rank_low", "rank_high", "rank_width", "priority_low", "priority_high", "p_top20", "p_top20_se", "p_robust_minmax", "p_percentile_rank", "method_gap", "certainty", "stability", "confidence")
 
 
 @query()
@@ -473,20 +447,6 @@ def clipped_cells(spark, sf_dir):
     return cells.where("centre_inside or inside_share >= 0.25").select("q", "r", F.round("clipped_area", 3).alias("clipped_area"), F.round("inside_share", 6).alias("inside_share"), "centre_inside")
 
 
-@query("""SELECT * FROM (VALUES (0, 0.636986), (1, 0.258285), (2, 0.104729)) t(i, w)""")
-def ahp_power_iteration(spark, sf_dir):
-    answers = spark.createDataFrame([(0, 1, 3.0), (0, 2, 5.0), (1, 2, 3.0)], "i int, j int, a double")
-    return pairwise.weights_sql(spark, pairwise.matrix(answers)).select("i", F.round("w", 6).alias("w"))
-
-
-@query("""WITH g AS (SELECT pow(3.0 * 5, 1/3.0) AS a, pow(3.0 / 3, 1/3.0) AS b, pow(1 / (5.0 * 3), 1/3.0) AS c), w AS (SELECT [a, b, c] AS g, a + b + c AS s FROM g),
-p AS (SELECT * FROM (VALUES (0, 1, 3.0), (0, 2, 5.0), (1, 2, 3.0)) t(i, j, a))
-SELECT i, j, a::DOUBLE AS a, round(greatest(a * g[j + 1] / g[i + 1], g[i + 1] / (a * g[j + 1])), 6) AS error FROM p CROSS JOIN w""")
-def ahp_conflicts(spark, sf_dir):
-    whole = pairwise.matrix(spark.createDataFrame([(0, 1, 3.0), (0, 2, 5.0), (1, 2, 3.0)], "i int, j int, a double"))
-    return pairwise.conflicts(whole, pairwise.weights_sql(spark, whole)).select("i", "j", "a", F.round("error", 6).alias("error"))
-
-
 @query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, replace(replace(replace(replace(replace(p_type || ' <&\"''>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped, upper(left(p_type, 1)) || substr(p_type, 2) AS sentence FROM part")
 def text_functions(spark, sf_dir):
     p = t.load(spark, sf_dir, "part")
@@ -663,3 +623,6 @@ def nearest_five(spark, sf_dir):
     """A report of the five facilities nearest to a point."""
     d = numeric.haversine_m(F.lit(67.15), F.lit(24.85), F.col("site_lon"), F.col("site_lat"))
     return t.facilities(spark, sf_dir).select("facility", F.round(d, 3).alias("distance_m")).orderBy("distance_m", "facility").limit(5)
+
+
+from . import more  # noqa: E402, F401  further queries, which use this module's relations

@@ -12,8 +12,10 @@ import json
 import os
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 # Answers worth another try, and seconds between tries.
@@ -99,3 +101,49 @@ def only_member(names: list[str], part: str) -> str:
     if len(found) != 1:
         raise FetchError(f"{len(found)} members hold {part!r}")
     return found[0]
+
+
+def fetch_all(wanted: dict[str, str], folder: str | Path, licence: str, at_once: int = 4, **options) -> dict[str, Path]:
+    """Files of several addresses (key: address), some at once; the first error is raised when all
+    have ended."""
+    with ThreadPoolExecutor(at_once) as pool:
+        # Downloads run side by side; entries are recorded one after the other.
+        folder = Path(folder)
+        known = read_manifest(folder)
+        missing = {k: a for k, a in wanted.items() if not (k in known and (folder / k).exists() and digest_of(folder / k) == known[k]["sha256"])}
+        running = {k: pool.submit(download, a, folder / k, **options) for k, a in missing.items()}
+    for k, r in running.items():
+        record(folder, k, {"url": wanted[k], "sha256": r.result(), "bytes": (folder / k).stat().st_size, "downloaded": datetime.date.today().isoformat(), "licence": licence, "note": ""})
+    return {k: folder / k for k in wanted}
+
+
+def network_first(address: str, folder: str | Path, key: str, licence: str = "", **options) -> tuple[Path, bool]:
+    """The file of an address, fresh if the network gives it, and else the one that is kept; also
+    whether it is fresh."""
+    try:
+        return fetch(address, folder, key, licence, refresh=True, **options), True
+    except (FetchError, OSError):
+        if (Path(folder) / key).exists():
+            return Path(folder) / key, False
+        raise
+
+
+def ask(body: str, endpoints: list[str], folder: str | Path, key: str, licence: str, refresh: bool = False, tries: int = 6, open_: Callable = opened, sleep: Callable = time.sleep) -> Path:
+    """The answer to a query, from whichever of some endpoints gives one: each try goes to the next.
+    An answer is kept under the query's digest, so another query is another file."""
+    folder = Path(folder)
+    name = f"{key}-{hashlib.sha256(body.encode()).hexdigest()[:16]}.json"
+    entry = read_manifest(folder).get(name)
+    if not refresh and entry and (folder / name).exists() and digest_of(folder / name) == entry["sha256"]:
+        return folder / name
+    last: Exception | None = None
+    for k in range(tries):
+        address = f"{endpoints[k % len(endpoints)]}?{urllib.parse.urlencode({'data': body})}"
+        try:
+            return fetch(address, folder, name, licence, refresh=True, tries=1, open_=open_, sleep=sleep)
+        except FetchError as e:
+            last = e
+            if k + 1 < tries:
+                # A wait after every round of all endpoints.
+                sleep(min(LONGEST_WAIT, FIRST_WAIT * 2 ** (k // len(endpoints))) if (k + 1) % len(endpoints) == 0 else 0)
+    raise FetchError(f"no endpoint answered: {last}")

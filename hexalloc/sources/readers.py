@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import struct as _struct
+import urllib.request
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -109,37 +111,42 @@ class ZipSource(DataSource):
         return ZipReader(self.options)
 
 
-def members_of(path: str) -> list[ZipMember]:
-    """The central directory, found from the archive's end."""
+def ranged(path: str, first: int, size: int) -> bytes:
+    """Some bytes of a file, or of an address that serves ranges; a negative start counts from the
+    end."""
+    if path.startswith(("http://", "https://")):
+        asked = f"bytes={first}-{first + size - 1}" if first >= 0 else f"bytes={first}"
+        with urllib.request.urlopen(urllib.request.Request(path, headers={"Range": asked})) as r:
+            if r.status != 206:
+                raise ValueError(f"{path} serves no ranges")
+            return r.read()
     with open(path, "rb") as f:
-        f.seek(0, 2)
-        size = f.tell()
-        f.seek(max(0, size - 65_557))
-        tail = f.read()
-        at = tail.rfind(b"PK\x05\x06")
-        if at < 0:
-            raise ValueError(f"{path} is no ZIP archive")
-        count, _, start = _struct.unpack("<HII", tail[at + 10 : at + 20])
-        f.seek(start)
-        directory, out, p = f.read(size - start), [], 0
-        for _ in range(count):
-            if directory[p : p + 4] != b"PK\x01\x02":
-                raise ValueError(f"{path} has a broken directory")
-            method, = _struct.unpack("<H", directory[p + 10 : p + 12])
-            packed, _, n, extra, comment = _struct.unpack("<IIHHH", directory[p + 20 : p + 34])
-            offset, = _struct.unpack("<I", directory[p + 42 : p + 46])
-            out.append(ZipMember(path, directory[p + 46 : p + 46 + n].decode(), offset, packed, method))
-            p += 46 + n + extra + comment
+        f.seek(max(first, -os.path.getsize(path)) if first < 0 else first, 2 if first < 0 else 0)
+        return f.read(size)
+
+
+def members_of(path: str, read=ranged) -> list[ZipMember]:
+    """The central directory, found from the archive's end; only the directory is read."""
+    tail = read(path, -65_557, 65_557)
+    at = tail.rfind(b"PK\x05\x06")
+    if at < 0:
+        raise ValueError(f"{path} is no ZIP archive")
+    count, length, start = _struct.unpack("<HII", tail[at + 10 : at + 20])
+    directory, out, p = read(path, start, length), [], 0
+    for _ in range(count):
+        if directory[p : p + 4] != b"PK\x01\x02":
+            raise ValueError(f"{path} has a broken directory")
+        method, = _struct.unpack("<H", directory[p + 10 : p + 12])
+        packed, _, n, extra, comment = _struct.unpack("<IIHHH", directory[p + 20 : p + 34])
+        offset, = _struct.unpack("<I", directory[p + 42 : p + 46])
+        out.append(ZipMember(path, directory[p + 46 : p + 46 + n].decode(), offset, packed, method))
+        p += 46 + n + extra + comment
     return out
 
 
-def extract(m: ZipMember) -> bytes:
-    with open(m.path, "rb") as f:
-        f.seek(m.offset)
-        head = f.read(30)
-        n, extra = _struct.unpack("<HH", head[26:30])
-        f.seek(m.offset + 30 + n + extra)
-        data = f.read(m.size)
+def extract(m: ZipMember, read=ranged) -> bytes:
+    n, extra = _struct.unpack("<HH", read(m.path, m.offset + 26, 4))
+    data = read(m.path, m.offset + 30 + n + extra, m.size) if m.size else b""
     if m.method == 0:
         return data
     if m.method == 8:

@@ -4,20 +4,37 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session, or the context's; where neither is set, a local folder
+    that serves a single machine only."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get().rstrip("/")
+    if not context._jsc.sc().isLocal():
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = os.path.join(tempfile.gettempdir(), "checkpoints")
+    context.setCheckpointDir(folder)
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/{name}_{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The rows, written below spark.checkpoint.dir, without what led to them: plans stay as small
-    as a single step, and a lost executor costs no more than what it was writing.  Where neither the
-    session nor the context names a folder, a local one serves a single machine only."""
+    """The rows, written below the shared folder, without what led to them: plans stay as small as a
+    single step, and a lost executor costs no more than what it was writing."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context._jsc.sc().isLocal():
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            folder = os.path.join(tempfile.gettempdir(), "checkpoints")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
