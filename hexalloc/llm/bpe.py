@@ -29,6 +29,7 @@ import hashlib
 import heapq
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,8 +46,8 @@ from . import common
 MEMORY_WORDS = 250_000
 #: Words that are replayed at a time, and parts that words are dealt to at most.
 BLOCK_WORDS, MOST_PARTS = 100_000, 1024
-#: Text of a chunk.
-CHUNK = 4 << 20
+#: Text of a chunk: the more, the fewer words travel twice.
+CHUNK = 16 << 20
 #: Ends of patterns in which a space between two other characters always begins a match.
 SPACED = " ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
 
@@ -275,43 +276,51 @@ def given(coded: np.ndarray) -> np.ndarray:
     return np.where(coded == 0, np.cumsum(coded == 0) - 1, coded - 1)
 
 
-def cut_chunk(cutter: Cutter, texts: list[str], parts: int) -> tuple[bytes, list[tuple[int, bytes]]]:
-    """A chunk's documents as segments, segments as words, and words by part.
+class Chunk:
+    """Documents as segments, segments as words, and words by part.
 
     Segments and words are numbered by first occurrence; a part has its words in that order."""
-    cut = list(map(cutter.segments, texts))
-    of_head: dict[str, int] = {}
-    of_rest: dict[str, int] = {}
-    docs: list[int] = []
-    segments: list[list[str]] = []
-    for x in cut:
-        if x:
-            if x[0] not in of_head:
-                of_head[x[0]] = len(segments)
-                segments.append(cutter.words(x[0], True))
-            docs.append(of_head[x[0]])
-            for y in x[1:]:
-                k = of_rest.get(y)
-                if k is None:
-                    k = of_rest[y] = len(segments)
-                    segments.append(cutter.words(y, False))
-                docs.append(k)
-    flat = [w for x in segments for w in x]
-    words = list(dict.fromkeys(flat))
-    number = dict(zip(words, range(len(words))))
-    data = [w.encode() for w in words]
-    of_part = np.fromiter(map(zlib.crc32, data), np.int64, len(data)) % parts
-    order = np.argsort(of_part, kind="stable")
-    at, sorted_parts = order.tolist(), of_part[order]
-    starts = np.flatnonzero(np.diff(sorted_parts, prepend=-1)).tolist()
-    blobs = []
-    for a, b in zip(starts, [*starts[1:], len(at)]):
-        mine = [data[i] for i in at[a:b]]
-        sizes = np.fromiter(map(len, mine), "<i4", len(mine))
-        blobs.append((int(sorted_parts[a]), zstandard.ZstdCompressor(level=3).compress(np.array([len(mine)], "<i4").tobytes() + sizes.tobytes() + b"".join(mine))))
-    docs = fewer(np.array(docs, np.int64))
-    used = fewer(np.fromiter(map(number.__getitem__, flat), np.int64, len(flat)))
-    return packed([len(x) for x in cut], docs, [len(x) for x in segments], used, of_part), blobs
+
+    def __init__(self, cutter: Cutter, parts: int):
+        self.cutter, self.parts = cutter, parts
+        self.heads: dict[str, int] = {}
+        self.rest: dict[str, int] = {}
+        self.segments: list[list[str]] = []
+        self.sizes, self.docs = array("q"), array("q")
+
+    def add(self, text: str) -> None:
+        cut, heads, rest, segments, docs = self.cutter, self.heads, self.rest, self.segments, self.docs
+        mine = cut.segments(text)
+        self.sizes.append(len(mine))
+        if not mine:
+            return
+        if mine[0] not in heads:
+            heads[mine[0]] = len(segments)
+            segments.append(cut.words(mine[0], True))
+        docs.append(heads[mine[0]])
+        for x in mine[1:]:
+            k = rest.get(x)
+            if k is None:
+                k = rest[x] = len(segments)
+                segments.append(cut.words(x, False))
+            docs.append(k)
+
+    def packed(self) -> tuple[bytes, list[tuple[int, bytes]]]:
+        flat = [w for x in self.segments for w in x]
+        words = list(dict.fromkeys(flat))
+        number = dict(zip(words, range(len(words))))
+        data = [w.encode() for w in words]
+        of_part = np.fromiter(map(zlib.crc32, data), np.int64, len(data)) % self.parts
+        order = np.argsort(of_part, kind="stable")
+        at, sorted_parts = order.tolist(), of_part[order]
+        starts = np.flatnonzero(np.diff(sorted_parts, prepend=-1)).tolist()
+        blobs = []
+        for a, b in zip(starts, [*starts[1:], len(at)]):
+            mine = [data[i] for i in at[a:b]]
+            sizes = np.fromiter(map(len, mine), "<i4", len(mine))
+            blobs.append((int(sorted_parts[a]), zstandard.ZstdCompressor(level=3).compress(np.array([len(mine)], "<i4").tobytes() + sizes.tobytes() + b"".join(mine))))
+        used = fewer(np.fromiter(map(number.__getitem__, flat), np.int64, len(flat)))
+        return packed(self.sizes, fewer(np.array(self.docs, np.int64)), [len(x) for x in self.segments], used, of_part), blobs
 
 
 def words_of(blob: bytes) -> list[bytes]:
@@ -368,16 +377,29 @@ def replayed(docs: DataFrame, rank_path: str, pattern: str, finish: Finish, fiel
     def cut(batches):
         gc.disable()  # many short lists, none in a circle
         cutter, n, task = Cutter(pattern), 0, TaskContext.get().partitionId()
+        chunk, ids, size = Chunk(cutter, parts), [], 0
+
+        def done():
+            sequences, words = chunk.packed()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, pa.schema([pa.field("id", ids[0].type)])) as out:
+                for x in ids:
+                    out.write_batch(pa.RecordBatch.from_arrays([x], names=["id"]))
+            row = [pa.array([task], pa.int64()), pa.array([n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([sequences], pa.binary())]
+            words = pa.array([[{"part": p, "words": w} for p, w in words]], pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary())])))
+            return pa.RecordBatch.from_arrays([*row, words], names=["task", "chunk", "ids", "sequences", "words"])
+
         for whole in batches:
             for b in common.chunks(whole, "text", CHUNK):
-                sequences, words = cut_chunk(cutter, [t or "" for t in b.column(1).to_pylist()], parts)
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, pa.schema([pa.field("id", b.schema.field(0).type)])) as out:
-                    out.write_batch(pa.RecordBatch.from_arrays([b.column(0)], names=["id"]))
-                row = [pa.array([task], pa.int64()), pa.array([n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([sequences], pa.binary())]
-                words = pa.array([[{"part": p, "words": w} for p, w in words]], pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary())])))
-                yield pa.RecordBatch.from_arrays([*row, words], names=["task", "chunk", "ids", "sequences", "words"])
-                n += 1
+                for t in b.column(1).to_pylist():
+                    chunk.add(t or "")
+                ids.append(b.column(0))
+                size += b.column(1).nbytes
+                if size >= CHUNK:
+                    yield done()
+                    chunk, ids, size, n = Chunk(cutter, parts), [], 0, n + 1
+        if ids:
+            yield done()
 
     # In buckets by task, so that chunks stay where they are when their ids come.
     chunks = bucketed(docs.mapInArrow(common.tidied(cut), "task long, chunk long, ids binary, sequences binary, words array<struct<part: int, words: binary>>"), tasks, "task")
@@ -425,7 +447,7 @@ def replayed(docs: DataFrame, rank_path: str, pattern: str, finish: Finish, fiel
             blobs.setdefault(chunk, []).append((part, blob))
         for chunk, ids, sequences in zip(mine["chunk"].to_pylist(), mine["ids"].to_pylist(), mine["sequences"].to_pylist()):
             with pa.ipc.open_stream(ids) as stream:
-                column = stream.read_next_batch().column(0)
+                column = pa.concat_arrays([x.column(0) for x in stream])
             found = [blob for _, blob in sorted(blobs.get(chunk, []))]
             yield pa.RecordBatch.from_arrays([column, *finish(vocabulary, *documents_of(sequences, found))], names=schema.names)
 
