@@ -211,3 +211,21 @@ def scale_bar(pixels_a_degree: float, most_pixels: int) -> tuple[int, int]:
     a_metre = pixels_a_degree / (6_371_008.8 * math.pi / 180)
     best = max((m * 10**k for k in range(8) for m in (1, 2, 5) if m * 10**k * a_metre <= most_pixels), default=1)
     return best, math.floor(best * a_metre + 0.5)
+
+
+@F.udf(T.ArrayType(RING), useArrow=True)
+def stitched(ways):
+    """Closed rings of an array of pieces of a boundary, as an Arrow UDF; see ``stitch``."""
+    if ways is None:
+        return None
+    return [[{"x": x, "y": y} for x, y in ring[:-1]] for ring in stitch([[(p["x"], p["y"]) for p in way] for way in ways])]
+
+
+def boundary_area(outer: Column, inner: Column) -> Column:
+    """What outer rings cover together, less what inner rings do; rings may overlap or touch."""
+    return covered_area(outer) - F.coalesce(covered_area(inner), F.lit(0.0))
+
+
+def in_boundary(outer: Column, inner: Column, x: Column, y: Column) -> Column:
+    """Whether a point is inside an outer ring and in no inner one."""
+    return F.exists(outer, lambda r: contains(r, x, y)) & ~F.exists(inner, lambda r: contains(r, x, y))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,15 +70,77 @@ def drawn_ranks(priorities: DataFrame, digits: int = 12, cells: int | None = Non
 
 def summary(ranked: DataFrame, key: str, cells: int, draws: int, methods: tuple[str, ...] = ALTERNATIVES) -> DataFrame:
     """What each cell's ranks do over all draws (a bounded number for each cell)."""
-    top = int(np.ceil(TOP_SHARE * cells))
-    hit = (F.col("rank") <= top).cast("int")
+    hit = (F.col("rank") <= int(np.ceil(TOP_SHARE * cells))).cast("int")
     aggs = [
         F.avg(hit).alias("p"),
         F.array_sort(F.collect_list("rank")).alias("ranks"),
         F.array_sort(F.collect_list("priority")).alias("priorities"),
         *(F.avg(F.when(F.col("method") == m, hit)).alias(f"p_{m}_raw") for m in methods),
     ]
-    out = ranked.groupBy(key).agg(*aggs)
+    return described(ranked.groupBy(key).agg(*aggs), draws, methods)
+
+
+#: Cells whose normalised values are sent to all workers, and values that a worker makes at a time.
+BROADCAST_CELLS, BLOCK_VALUES = 200_000, 2_000_000
+
+
+def drawn_summary(norm: DataFrame, draws: DataFrame, key: str, single: dict[str, str], mixed: str, inner: list[str], floors: dict[str, float | None], cells: int, methods: tuple[str, ...] = ALTERNATIVES, most: int = BROADCAST_CELLS, digits: int = 12) -> DataFrame:
+    """``summary`` of all draws, from the normalised table of both methods.
+
+    Up to ``most`` cells the table goes to every worker, which makes the priorities and ranks of a block
+    of draws as arrays, so that a cell's ranks travel together; more cells are ranked draw by draw."""
+    n = draws.count()
+    if cells > most:
+        ranked = drawn_ranks(drawn_priorities(norm, draws, key, single, mixed, inner, floors), digits, cells)
+        return summary(ranked, key, cells, n, methods)
+    parts = [*single, mixed]
+    held = {}
+    for m in methods:
+        pdf = norm.where(F.col("method") == m).toPandas().sort_values(key)
+        held[m] = pdf[key].to_numpy(), {c: pdf[f"{c}_n"].fillna(0.0).to_numpy(float) for c in {*single.values(), *inner}}
+    sent = norm.sparkSession.sparkContext.broadcast(held)
+    size = max(1, min(64, BLOCK_VALUES // max(cells, 1)))
+    schema = T.StructType([norm.schema[key], T.StructField("method", T.StringType()), T.StructField("ranks", T.ArrayType(T.IntegerType())), T.StructField("priorities", T.ArrayType(T.DoubleType()))])
+
+    def arrays(batches):
+        for b in batches:
+            rows = b.to_pandas()
+            for m, mine in rows.groupby("method"):
+                names, column = sent.value[m]
+                for at in range(0, len(mine), size):
+                    some = mine.iloc[at : at + size]
+                    values = {d: np.broadcast_to(column[c], (len(some), len(names))) for d, c in single.items()}
+                    values[mixed] = sum(some[f"w_{i}"].to_numpy(float)[:, None] * column[i] for i in inner)
+                    values = {d: np.maximum(v, floors[d]) if floors.get(d) is not None else v for d, v in values.items()}
+                    with np.errstate(divide="ignore"):
+                        logs = sum(some[f"e_{d}"].to_numpy(float)[:, None] * np.log(np.maximum(values[d], 1e-300)) for d in parts)
+                    p = np.where(np.minimum.reduce([values[d] for d in parts]) <= 0, 0.0, np.exp(logs))
+                    rounded = np.round(p, digits)
+                    ranks_ = np.empty(p.shape, np.int32)
+                    for k, row in enumerate(rounded):
+                        ranks_[k] = len(row) + 1 - np.searchsorted(np.sort(row), row, side="right")
+                    ends = pa.array(np.arange(0, p.size + 1, len(some), dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([m] * len(names)), pa.ListArray.from_arrays(ends, pa.array(ranks_.T.ravel())), pa.ListArray.from_arrays(ends, pa.array(p.T.ravel()))], names=schema.names)
+
+    # A block of draws is a task's work; methods alternate, so every task has both.
+    dealt = draws.repartition(max(1, min(-(-n // size), norm.sparkSession.sparkContext.defaultParallelism)), F.expr("draw div 2"))
+    top = int(np.ceil(TOP_SHARE * cells))
+    together = dealt.mapInArrow(arrays, schema).groupBy(key).agg(F.collect_list(F.struct("method", "ranks", "priorities")).alias("b"))
+    hits = lambda blocks: F.aggregate(blocks, F.lit(0), lambda s, x: s + F.size(F.filter(x["ranks"], lambda r: r <= top)))
+    size_of = lambda blocks: F.aggregate(blocks, F.lit(0), lambda s, x: s + F.size(x["ranks"]))
+    of = lambda m: F.filter("b", lambda x: x["method"] == m)
+    out = together.select(
+        key,
+        (hits(F.col("b")) / size_of(F.col("b"))).alias("p"),
+        F.array_sort(F.flatten(F.transform("b", lambda x: x["ranks"]))).alias("ranks"),
+        F.array_sort(F.flatten(F.transform("b", lambda x: x["priorities"]))).alias("priorities"),
+        *((hits(of(m)) / F.nullif(size_of(of(m)), F.lit(0))).alias(f"p_{m}_raw") for m in methods),
+    )
+    return described(out, n, methods)
+
+
+def described(out: DataFrame, draws: int, methods: tuple[str, ...]) -> DataFrame:
+    """Columns of a summary from a cell's sorted ranks and priorities and its shares of hits."""
     low, high = (F.element_at("ranks", (F.rint((F.size("ranks") - 1) * F.lit(q)) + 1).cast("int")) for q in (0.05, 0.95))
     out = out.withColumns({
         "median_rank": ranks.sorted_percentile(F.col("ranks"), 0.5).cast("long"),

@@ -378,9 +378,7 @@ def mc_rank_intervals(spark, sf_dir):
     base = t.indicators(spark, sf_dir)
     norm = montecarlo.both_methods(base, t.MODEL, "cell")
     draws = montecarlo.draws_table(spark, MC_ROWS, list(MC_INNER), list(MC_OUTER))
-    p = montecarlo.drawn_priorities(norm, draws, "cell", {"hazard": "heat", "exposure": "people"}, "vulnerability", list(MC_INNER), index.FLOORS)
-    n = base.count()
-    out = montecarlo.summary(montecarlo.drawn_ranks(p, cells=n), "cell", n, MC_DRAWS)
+    out = montecarlo.drawn_summary(norm, draws, "cell", {"hazard": "heat", "exposure": "people"}, "vulnerability", list(MC_INNER), index.FLOORS, base.count())
     return out.select("cell", "median_rank", "rank_low", "rank_high", "rank_width", "priority_low", "priority_high", "p_top20", "p_top20_se", "p_robust_minmax", "p_percentile_rank", "method_gap", "certainty", "stability", "confidence")
 
 

@@ -13,7 +13,7 @@ from ..operators import agreement, allocation, index, joins, normalise, pairwise
 from ..sources import readers, sinks
 from ..stages import scratch
 from . import tables as t
-from .catalog import HEX, SQL_HEX, SQL_RANKINGS, flow_problem, planar, query, rankings
+from .catalog import HEX, MC_ROWS, SQL_ELLIPSOID, SQL_HEX, SQL_RANKINGS, flow_problem, planar, query, rankings
 
 # Judgements: four groups of nations are compared by their customers, with some inconsistency.
 
@@ -457,3 +457,62 @@ def text_rules(spark, sf_dir):
         per_day.alias("stock_day"), text.without_ending(per_day, " per day").alias("stock"), text.units(F.col("p_partkey") * 1000).alias("amount"), text.percent(F.col("p_size") / 50).alias("share"),
         (F.size(text.holders_of(F.array("p_name", "p_type", "p_brand"), "BRASS")) == 1).alias("only_one"),
     )
+
+
+@query(f"""WITH {t.SQL_CELLS}, {t.SQL_FACILITIES}, p AS (SELECT site_lon, site_lat FROM facilities WHERE facility = 1), c AS (SELECT cell, (cell * 7919 % 9973) / CAST(10000 AS DOUBLE) AS priority, (cell % 41) * CAST(1.5 AS DOUBLE) AS need, lon, lat FROM cells),
+d AS (SELECT *, round({SQL_ELLIPSOID} * 1.3, 6) AS d FROM c CROSS JOIN p), g AS (SELECT *, CASE WHEN d <= 3000 THEN need ELSE 0 END AS can FROM d),
+u AS (SELECT *, floor(greatest(0, least(can, 900 - coalesce(sum(floor(can)) OVER (ORDER BY priority DESC, cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))) AS units FROM g)
+SELECT sum(units) AS delivered, count(*) FILTER (WHERE units > 0) AS served, count(*) FILTER (WHERE d <= 3000) AS reachable, round(sum(units * (priority - CAST(0.001 AS DOUBLE) * d / 3000)), 4) AS objective FROM u""")
+def planner_estimate(spark, sf_dir):
+    """A planner's own point, with the browser's distance."""
+    c = t.cells(spark, sf_dir).select("cell", "lon", "lat", ((F.col("cell") * 7919 % 9973) / F.lit(10000.0)).alias("priority"), (F.col("cell") % 41).alias("people"))
+    point = t.facilities(spark, sf_dir).where("facility = 1").select(F.lit(1).alias("centre"), F.col("site_lon").alias("centre_lon"), F.col("site_lat").alias("centre_lat"), F.lit(900.0).alias("stock"))
+    return allocation.quick_estimate(c, point, 1.5, 1.3, 3000.0).select("delivered", "served", "reachable", F.round("objective", 4).alias("objective"))
+
+
+@query("""WITH h AS (SELECT s_suppkey % 25 AS scenario FROM supplier WHERE s_suppkey % 6 <> 0 AND s_suppkey % 3 = 0 AND s_acctbal > 3000)
+SELECT c_nationkey::BIGINT AS scenario, (SELECT count(*) FROM h WHERE h.scenario = n.c_nationkey) AS centres, CASE WHEN (SELECT count(*) FROM h WHERE h.scenario = n.c_nationkey) > 0 THEN 'planned' ELSE 'no_verified_centre' END AS status FROM (SELECT DISTINCT c_nationkey FROM customer) n""")
+def scenario_statuses(spark, sf_dir):
+    roles, flags, k = F.array(*map(F.lit, allocation.ROLES)), F.array(*map(F.lit, (" Yes", "no", "unknown"))), F.col("s_suppkey")
+    c = t.load(spark, sf_dir, "supplier").where("s_acctbal > 3000").select((k % 25).cast("long").alias("scenario"), F.col("s_name").alias("name"), F.element_at(roles, (k % 6 + 1).cast("int")).alias("role"), F.element_at(flags, (k % 3 + 1).cast("int")).alias("can_hold_stock"))
+    scenarios = t.load(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("scenario"))
+    return allocation.statuses(scenarios, allocation.holders(c, strict=False))
+
+
+@query("SELECT p_partkey AS line, p_size % 30 AS bend, CASE WHEN p_size % 30 > 15 THEN 3 ELSE 2 END AS points FROM part")
+def simplified_lines(spark, sf_dir):
+    """Bent lines of five points each: those on the way between two kept ones go."""
+    h = (F.col("p_size") % 30).cast("double")
+    points = F.array(*(F.struct(F.lit(x).alias("x"), (h * share).alias("y")) for x, share in ((0.0, 0.0), (5.0, 0.5), (10.0, 1.0), (15.0, 0.5), (20.0, 0.0))))
+    return t.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("line"), (F.col("p_size") % 30).alias("bend"), F.size(geometry.simplified(15.0)(points)).alias("points"))
+
+
+@query("""WITH s AS (SELECT n_nationkey AS place, 100.0::DOUBLE + n_nationkey * 10 AS a, 20.0::DOUBLE + n_nationkey AS b FROM nation)
+SELECT place, 2 AS rings, round(a * a + a * a / 2 - b * b, 6) AS area, true AS middle_of_outer, false AS middle_of_hole FROM s""")
+def stitched_boundaries(spark, sf_dir):
+    """Boundaries from pieces in any order and direction: two squares that overlap by half, and a hole."""
+    n = t.load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("place"), (100.0 + F.col("n_nationkey") * 10).alias("a"), (20.0 + F.col("n_nationkey")).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    at = lambda x, y: F.struct(F.lit(x).cast("double").alias("x") if not hasattr(x, "cast") else x.cast("double").alias("x"), F.lit(y).cast("double").alias("y") if not hasattr(y, "cast") else y.cast("double").alias("y"))
+    square = lambda x, y, s: [at(x, y), at(x + s, y), at(x + s, y + s), at(x, y + s)]
+
+    def pieces(p):
+        """One way around a corner, one the other way about, and the last side."""
+        return [F.array(p[2], p[1], p[0]), F.array(p[2], p[3]), F.array(p[0], p[3])]
+
+    zero = F.lit(0.0)
+    outer = geometry.stitched(F.array(*pieces(square(zero, zero, a)), *pieces(square(a / 2, a * 0, a))))
+    inner = geometry.stitched(F.array(*pieces(square(F.lit(1.0), F.lit(1.0), b))))
+    n = n.withColumns({"outer": outer, "inner": inner}).cache()
+    return n.select("place", F.size("outer").alias("rings"), F.round(geometry.boundary_area(F.col("outer"), F.col("inner")), 6).alias("area"), geometry.in_boundary(F.col("outer"), F.col("inner"), a * 0.9, a * 0.9).alias("middle_of_outer"), geometry.in_boundary(F.col("outer"), F.col("inner"), b / 2 + 1, b / 2 + 1).alias("middle_of_hole"))
+
+
+@query("SELECT draw::INTEGER AS draw, CASE WHEN draw % 2 = 0 THEN 'robust_minmax' ELSE 'percentile_rank' END AS method, 1.0::DOUBLE AS inner_sum, 1.0::DOUBLE AS outer_sum FROM range(1000) r(draw)")
+def drawn_weights(spark, sf_dir):
+    """The Monte Carlo's draws: methods take turns, weights add up to 1."""
+    from ..operators import montecarlo
+    from .catalog import MC_INNER, MC_OUTER
+
+    d = montecarlo.draws_table(spark, MC_ROWS, list(MC_INNER), list(MC_OUTER))
+    total = lambda names: F.round(sum((F.col(n) for n in names[1:]), F.col(names[0])), 9)
+    return d.select("draw", "method", total([f"w_{i}" for i in MC_INNER]).alias("inner_sum"), total([f"e_{o}" for o in MC_OUTER]).alias("outer_sum"))

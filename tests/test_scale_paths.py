@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hexalloc.functions import ranks
-from hexalloc.operators import agreement, allocation, index, pairwise, validation
+from hexalloc.operators import agreement, allocation, index, montecarlo, pairwise, validation
 
 
 @pytest.mark.parametrize("small", [200_000, 5])
@@ -94,3 +94,15 @@ def test_weights_converge(spark):
         w = np.abs(vectors[:, np.argmax(values.real)].real)
         got = {x.i: x.w for x in pairwise.weights_sql(spark, whole).collect()}
         assert [got[i] for i in range(n)] == pytest.approx(list(w / w.sum()), abs=1e-9)
+
+
+def test_draws_as_arrays_and_row_by_row(spark):
+    """Both ways of the Monte Carlo give the same summary."""
+    r = np.random.default_rng(9)
+    rows = [(i, m, *(None if r.random() < 0.05 else float(x) for x in r.uniform(0, 1, 4).round(2))) for m in montecarlo.ALTERNATIVES for i in range(70)]
+    norm = spark.createDataFrame(rows, "cell long, method string, heat_n double, people_n double, lack_n double, far_n double")
+    inner, outer = {"lack": 0.5, "far": 0.5}, {"hazard": 1 / 3, "exposure": 1 / 3, "vulnerability": 1 / 3}
+    draws = montecarlo.draws_table(spark, montecarlo.draw_weights(inner, outer, 90), list(inner), list(outer))
+    run = lambda most: montecarlo.drawn_summary(norm, draws, "cell", {"hazard": "heat", "exposure": "people"}, "vulnerability", list(inner), index.FLOORS, 70, most=most)
+    a, b = run(200_000), run(10)
+    assert a.columns == b.columns and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
