@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..deploy import ship
 from ..functions import geometry, numeric, ranks, text
-from ..operators import agreement, allocation, index, joins, montecarlo, normalise, pairwise, reports, validation, zonal
+from ..operators import agreement, allocation, index, joins, montecarlo, normalise, reports, validation, zonal
 from . import tables as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,7 +158,7 @@ def fisher_interval(spark, sf_dir):
 
 @query(f"WITH {t.SQL_INDICATORS} SELECT cell, {S6('lon', 'lat')}, heat, lack_green, people, dist_health, dist_centre FROM ind")
 def indicator_table_join(spark, sf_dir):
-    return t.indicators(spark, sf_dir).select("cell", *R6("lon", "lat"), "heat", "lack_green", "people", "dist_health", "dist_centre")
+    return t.assembled(spark, sf_dir).select("cell", *R6("lon", "lat"), "heat", "lack_green", "people", "dist_health", "dist_centre")
 
 
 @query(f"WITH {t.SQL_INDICATORS} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, round(100 * CAST(count(*) - count({c}) AS DOUBLE) / count(*), 1) AS share FROM ind" for c in ("heat", "lack_green", "people", "dist_health", "dist_centre")))

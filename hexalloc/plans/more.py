@@ -8,12 +8,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import geometry, numeric, text
+from ..functions import geometry, numeric, ranks, text
 from ..operators import agreement, allocation, index, joins, normalise, pairwise, reports, validation
 from ..sources import readers, sinks
 from ..stages import scratch
 from . import tables as t
-from .catalog import HEX, MC_ROWS, SQL_ELLIPSOID, SQL_HEX, SQL_RANKINGS, flow_problem, planar, query, rankings
+from .catalog import HEX, MC_ROWS, SQL_ELLIPSOID, SQL_HEX, SQL_RANKINGS, flow_problem, planar, query, rankings, sql_mc
 
 # Judgements: four groups of nations are compared by their customers, with some inconsistency.
 
@@ -462,12 +462,12 @@ def text_rules(spark, sf_dir):
 @query(f"""WITH {t.SQL_CELLS}, {t.SQL_FACILITIES}, p AS (SELECT site_lon, site_lat FROM facilities WHERE facility = 1), c AS (SELECT cell, (cell * 7919 % 9973) / CAST(10000 AS DOUBLE) AS priority, (cell % 41) * CAST(1.5 AS DOUBLE) AS need, lon, lat FROM cells),
 d AS (SELECT *, round({SQL_ELLIPSOID} * 1.3, 6) AS d FROM c CROSS JOIN p), g AS (SELECT *, CASE WHEN d <= 3000 THEN need ELSE 0 END AS can FROM d),
 u AS (SELECT *, floor(greatest(0, least(can, 900 - coalesce(sum(floor(can)) OVER (ORDER BY priority DESC, cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))) AS units FROM g)
-SELECT sum(units) AS delivered, count(*) FILTER (WHERE units > 0) AS served, count(*) FILTER (WHERE d <= 3000) AS reachable, round(sum(units * (priority - CAST(0.001 AS DOUBLE) * d / 3000)), 4) AS objective FROM u""")
+SELECT sum(units) AS delivered, 900 - sum(units) AS left_over, count(*) FILTER (WHERE units > 0) AS served, count(*) FILTER (WHERE d <= 3000) AS reachable, count(*) FILTER (WHERE d > 3000) AS out_of_reach, round(sum(units * (priority - CAST(0.001 AS DOUBLE) * d / 3000)), 4) AS objective FROM u""")
 def planner_estimate(spark, sf_dir):
     """A planner's own point, with the browser's distance."""
     c = t.cells(spark, sf_dir).select("cell", "lon", "lat", ((F.col("cell") * 7919 % 9973) / F.lit(10000.0)).alias("priority"), (F.col("cell") % 41).alias("people"))
     point = t.facilities(spark, sf_dir).where("facility = 1").select(F.lit(1).alias("centre"), F.col("site_lon").alias("centre_lon"), F.col("site_lat").alias("centre_lat"), F.lit(900.0).alias("stock"))
-    return allocation.quick_estimate(c, point, 1.5, 1.3, 3000.0).select("delivered", "served", "reachable", F.round("objective", 4).alias("objective"))
+    return allocation.quick_estimate(c, point, 1.5, 1.3, 3000.0).select("delivered", "left_over", "served", "reachable", "out_of_reach", F.round("objective", 4).alias("objective"))
 
 
 @query("""WITH h AS (SELECT s_suppkey % 25 AS scenario FROM supplier WHERE s_suppkey % 6 <> 0 AND s_suppkey % 3 = 0 AND s_acctbal > 3000)
@@ -516,3 +516,28 @@ def drawn_weights(spark, sf_dir):
     d = montecarlo.draws_table(spark, MC_ROWS, list(MC_INNER), list(MC_OUTER))
     total = lambda names: F.round(sum((F.col(n) for n in names[1:]), F.col(names[0])), 9)
     return d.select("draw", "method", total([f"w_{i}" for i in MC_INNER]).alias("inner_sum"), total([f"e_{o}" for o in MC_OUTER]).alias("outer_sum"))
+
+
+@query(f"""WITH mc AS ({sql_mc()}), {t.SQL_CELLS}, {t.SQL_PLACES}, pairs AS (SELECT place, cell FROM places CROSS JOIN cells WHERE home = cell OR {t.sql_haversine('lon', 'lat', 'place_lon', 'place_lat')} <= 500)
+SELECT place, count(*) FILTER (WHERE stability = 'confidently in') AS certain_in, count(*) FILTER (WHERE stability = 'uncertain') AS uncertain, count(*) FILTER (WHERE stability = 'confidently out') AS certain_out FROM pairs JOIN mc USING (cell) GROUP BY place""")
+def place_stability(spark, sf_dir):
+    """How sure the ranks of each place's cells are."""
+    from .catalog import mc_rank_intervals
+
+    pairs = reports.place_cells(t.places(spark, sf_dir), t.cells(spark, sf_dir))
+    return reports.stability_counts(pairs, mc_rank_intervals(spark, sf_dir))
+
+
+@query(f"""WITH {SQL_HEX}, n AS (SELECT hq, hr, count(*) AS n FROM hex GROUP BY 1, 2), k AS (SELECT *, rank() OVER (ORDER BY n DESC) AS rank FROM n), m AS (SELECT max(rank) AS most FROM k),
+{SQL_HEX.replace('xy AS', 'pxy AS').replace('c_custkey AS cell', 's_suppkey AS cell').replace('c_custkey * 7919 % 10007', 's_suppkey * 6997 % 10007').replace('c_custkey * 104729 % 10009', 's_suppkey * 7919 % 20011').replace('FROM customer', 'FROM supplier').replace('f AS (', 'pf AS (').replace('FROM xy', 'FROM pxy').replace('g AS (', 'pg AS (').replace('FROM f)', 'FROM pf)').replace('h AS (', 'ph AS (').replace('FROM g)', 'FROM pg)').replace('hex AS (', 'phex AS (').replace('FROM h)', 'FROM ph)')}
+SELECT p.cell AS point, p.hq AS q, p.hr AS r, rank, round(100 * (1 - CAST(rank - 1 AS DOUBLE) / (most - 1)), 1) AS percentile, rank IS NOT NULL AS known FROM phex p LEFT JOIN k USING (hq, hr) CROSS JOIN m""")
+def face_validity(spark, sf_dir):
+    """Points to the cells that they lie in, and where those rank; unknown outside of the grid."""
+    q, r = geometry.hexagon(F.col("x"), F.col("y"), HEX)
+    n = planar(spark, sf_dir).groupBy(q.alias("q"), r.alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = ranks.with_ranks(n, "n", rank="rank")
+    most = ranked.agg(F.max("rank").alias("most"))
+    points = t.load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("point"), (F.col("s_suppkey") * 6997 % 10007).cast("double").alias("x"), (F.col("s_suppkey") * 7919 % 20011).cast("double").alias("y"))
+    found = points.select("point", q.alias("q"), r.alias("r")).join(ranked.drop("n"), ["q", "r"], "left").crossJoin(F.broadcast(most))
+    share = F.round(100 * (1 - (F.col("rank") - 1) / (F.col("most") - 1)), 1)
+    return found.select("point", "q", "r", "rank", share.alias("percentile"), F.col("rank").isNotNull().alias("known"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins
 from ..operators.index import Indicator, Model, Weights
+from ..stages import once
 
 THIRD = 1 / 3
 MODEL = Model(
@@ -71,13 +72,17 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("cell", F.round(F.col("distance_m") * CIRCUITY, 3).alias("dist_health"))
 
 
-def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = cells(spark, sf_dir)
+def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells' table with all layers."""
     # Layers are grouped by cell; the cells' own keys are looked at.
     layers = {"measures": (measures(spark, sf_dir), ["heat", "lack_green"]), "people": (people(spark, sf_dir), ["people"]), "health": (health(spark, sf_dir), ["dist_health"])}
-    out = joins.assemble(base, layers, "cell", ("dist_centre",), grouped=tuple(layers))
-    # Used by several passes of a model.
-    return out.withColumn("people", F.coalesce("people", F.lit(0))).cache()
+    out = joins.assemble(cells(spark, sf_dir), layers, "cell", ("dist_centre",), grouped=tuple(layers))
+    return out.withColumn("people", F.coalesce("people", F.lit(0)))
+
+
+def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written once for all queries over the same files."""
+    return once(spark, "indicators", [f"{sf_dir}/{n}.parquet" for n in ("customer", "orders", "lineitem", "supplier")], lambda: assembled(spark, sf_dir))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +39,25 @@ def kept(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+_made: dict[tuple, str] = {}
+
+
+def once(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries start from: written by the first of an application, and read by
+    the others as long as the files that it was made from are the same."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def state(path: str) -> tuple:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        files = fs.listStatus(p)
+        return path, *sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)
+
+    key = (spark.sparkContext.applicationId, name, *map(state, inputs))
+    if key not in _made:
+        path = scratch(spark, name)
+        make().write.parquet(path)
+        _made[key] = path
+    return spark.read.parquet(_made[key])

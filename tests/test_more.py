@@ -9,7 +9,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import numpy as np
 import pytest
 
-from hexalloc import run
+from hexalloc import config, run
 from hexalloc.functions import geometry
 from hexalloc.operators import normalise, pairwise
 from hexalloc.sources import ingest, readers
@@ -173,3 +173,50 @@ def test_scale_bars():
 def test_warnings_of_flat_columns(spark):
     df = spark.createDataFrame([(1.0, float(i == 0), None) for i in range(40)], "a double, b double, c double")
     assert {(r.column, r.warning) for r in normalise.warnings(df, ["a", "b", "c"]).collect()} == {("a", "constant"), ("b", "flat core"), ("c", "no value")}
+
+
+CONFIG = """
+method = "percentile_rank"
+[solver]
+max_distance = 5000.0
+share = 0.25
+[commodities]
+unit = "litre"
+[commodity.water]
+rate = 3.0
+[commodity.ice]
+rate = 1.0
+unit = "bag"
+[[indicator]]
+column = "heat"
+dimension = "hazard"
+phrase = "hot"
+[[indicator]]
+column = "people"
+dimension = "exposure"
+phrase = "many"
+transform = "log1p"
+structural_zero = true
+[weights]
+provisional = false
+[weights.dimensions]
+hazard = 0.5
+exposure = 0.5
+[weights.inside.hazard]
+heat = 1.0
+[weights.inside.exposure]
+people = 1.0
+"""
+
+
+def test_configuration(tmp_path):
+    (tmp_path / "c.toml").write_text(CONFIG)
+    doc = config.load(str(tmp_path / "c.toml"))
+    assert config.load(str(tmp_path / "c.toml")) is doc
+    model = config.model_of(doc)
+    assert model.method == "percentile_rank" and not model.weights.provisional and model.indicators[1].structural_zero
+    assert config.settings_of(doc).share == 0.25
+    assert config.commodity(doc, "ice") == {"unit": "bag", "rate": 1.0, "name": "ice"} and config.commodity(doc, "water")["unit"] == "litre"
+    for bad in (lambda: config.commodity(doc, "sand"), lambda: config.settings_of({"solver": {"max_distance": 1.0, "speed": 1}}), lambda: config.settings_of({"solver": {"max_distance": -1.0}}), lambda: config.model_of(doc | {"weights": doc["weights"] | {"dimensions": {"hazard": 0.7, "exposure": 0.5}}}), lambda: config.model_of(doc | {"indicator": [{"column": "x", "dimension": "hazard", "phrase": "y"}]})):
+        with pytest.raises(config.ConfigError):
+            bad()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hexalloc.functions import ranks
 from hexalloc.operators import agreement, allocation, index, montecarlo, pairwise, validation
+from hexalloc.stages import once
 
 
 @pytest.mark.parametrize("small", [200_000, 5])
@@ -106,3 +107,18 @@ def test_draws_as_arrays_and_row_by_row(spark):
     run = lambda most: montecarlo.drawn_summary(norm, draws, "cell", {"hazard": "heat", "exposure": "people"}, "vulnerability", list(inner), index.FLOORS, 70, most=most)
     a, b = run(200_000), run(10)
     assert a.columns == b.columns and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_tables_are_made_once(spark, tmp_path):
+    """Until the files that they were made from change."""
+    spark.range(3).write.parquet(f"{tmp_path}/in")
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.read.parquet(f"{tmp_path}/in")
+
+    read = lambda: once(spark, "t", [f"{tmp_path}/in"], make).count()
+    assert (read(), read(), len(made)) == (3, 3, 1)
+    spark.range(2).write.mode("append").parquet(f"{tmp_path}/in")
+    assert (read(), len(made)) == (5, 2)
