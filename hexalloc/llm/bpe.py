@@ -47,7 +47,7 @@ MEMORY_WORDS = 250_000
 #: Words that are replayed at a time, and parts that words are dealt to at most.
 BLOCK_WORDS, MOST_PARTS = 100_000, 1024
 #: Text of a chunk: the more, the fewer words travel twice.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Ends of patterns in which a space between two other characters always begins a match.
 SPACED = " ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
 
@@ -371,7 +371,7 @@ def replayed(docs: DataFrame, rank_path: str, pattern: str, finish: Finish, fiel
     with open(rank_path, "rb") as f:
         held = spark.sparkContext.broadcast(f.read())
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    tasks = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = tasks_for(docs)
     parts = max(8, min(MOST_PARTS, 2 * tasks))
 
     def cut(batches):
@@ -469,6 +469,13 @@ def vocabulary_of(ranks: bytes) -> Vocabulary:
     return _last[1]
 
 
+def tasks_for(docs: DataFrame) -> int:
+    """About one for 16 MB of the input's files, as many as shuffles have at least; nothing is run."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(size >> 24, 4096)) if size < 1 << 50 else least
+
+
 def bucketed(df: DataFrame, buckets: int, column: str) -> DataFrame:
     """The rows, written to a table of the shared folder by buckets of a column's values."""
     name = f"hexalloc_{uuid.uuid4().hex}"

@@ -185,13 +185,5 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def few_values(df: DataFrame, column: str, most: int) -> list:
-    """The values of a column, in order; an error where there are more than ``most``."""
-    found = [r[0] for r in df.select(column).distinct().limit(most + 1).collect()]
-    if len(found) > most:
-        raise ValueError(f"{column} has more than {most} values")
-    return sorted(found)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
