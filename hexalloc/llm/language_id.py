@@ -52,9 +52,9 @@ TABLE = bytes(c if 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 4 << 20
 #: Words that a worker remembers between chunks, and words scored at a time.
-MEMORY_WORDS, BLOCK = 500_000, 30_000
+MEMORY_WORDS, BLOCK = 400_000, 15_000
 #: Characters scored at a time (a longer word is scored alone), and numbers remembered.
-BLOCK_CHARS, MEMORY_VALUES = 400_000, 4_000_000
+BLOCK_CHARS, MEMORY_VALUES = 200_000, 4_000_000
 #: Slots of the table of pieces, as a power of two; more than twice the pieces.
 BITS = 18
 
