@@ -54,7 +54,7 @@ STEP = 0.001
 #: which a part is small; counts that a task holds.
 PART_WORDS, SMALL_PART, HELD = 200_000, 20_000, 500_000
 #: Cells of the table of words by texts that is held at once.
-CELLS = 2_000_000
+CELLS = 1_000_000
 
 SPACE = bytes([0x20, 9, 10, 11, 12, 13])
 #: Classes of bytes: continuation bytes (0) belong to the character that they end.
