@@ -266,11 +266,11 @@ class Weights:
             e.evidence = said or (e.outer.evidence if e.outer else 0.0)
 
     def score(self, tokens: list[Token]) -> None:
-        shares = link_share(tokens)
+        shares, unknown = link_share(tokens), min(self.tags.values(), default=0.0)
         for t in tokens:
             said = t.element.evidence if t.element else 0.0
             if t.text is None:
-                t.score = self.tags.get(t.tag, min(self.tags.values(), default=0.0)) if t.tag else 0.0
+                t.score = self.tags.get(t.tag, unknown) if t.tag else 0.0
             elif t.words:
                 # A holder vouches for its links.
                 one = BASE + min(said, 0.0) + (self.links[link_class(shares[t.block])] if said <= 0 else 0.0)
