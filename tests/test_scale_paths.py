@@ -69,8 +69,8 @@ def test_order_statistics_where_brackets_fail(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("edges,circle", [
-    ([(i, i + 1) for i in range(1500)], False),
-    ([(i, i + 1) for i in range(1500)] + [(1500, 0)], True),
+    ([(i, i + 1) for i in range(300)], False),
+    ([(i, i + 1) for i in range(300)] + [(300, 0)], True),
     ([(1, 2), (2, 3), (3, 1), (9, 1), (3, 12)], True),
     ([(a, b) for a in range(6) for b in range(6) if a < b], False),
     ([(a, b) for a in range(5) for b in range(5) if a != b], True),
