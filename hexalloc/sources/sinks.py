@@ -42,8 +42,13 @@ def markdown(df: DataFrame) -> DataFrame:
 
 
 def scenario_document(reports: DataFrame, plan: DataFrame) -> DataFrame:
-    """One JSON document for each scenario, its cells by serving order and in shares alone."""
-    total = plan.groupBy("scenario").agg(F.sum("units").alias("total"))
-    cells = plan.groupBy("scenario", "cell").agg(F.sum("units").alias("units")).join(total, "scenario")
-    rows = cells.groupBy("scenario").agg(F.sort_array(F.collect_list(F.struct("cell", F.round(F.col("units") / F.col("total"), 4).alias("share_of_stock")))).alias("cells"))
+    """One JSON document for each scenario, its cells by serving order and in shares alone.
+
+    Shares have four digits, and one more for every tenfold of ten cells, so that those of any number
+    of cells add up to 1 within 0.0005."""
+    cells = plan.groupBy("scenario", "cell").agg(F.sum("units").alias("units"))
+    whole = cells.groupBy("scenario").agg(F.sum("units").alias("total"), F.count(F.lit(1)).alias("n"))
+    scale = F.pow(F.lit(10.0), 4 + F.greatest(F.ceil(F.log10("n")) - 1, F.lit(0)))
+    cells = cells.join(whole, "scenario").withColumn("share_of_stock", F.floor(F.col("units") / F.col("total") * scale + 0.5) / scale)
+    rows = cells.groupBy("scenario").agg(F.sort_array(F.collect_list(F.struct("cell", "share_of_stock"))).alias("cells"))
     return reports.join(rows, "scenario", "left").select("scenario", F.to_json(F.struct(*[c for c in reports.columns], "cells")).alias("document"))

@@ -1,14 +1,17 @@
 """The queries without SQL see every row: their results against brute force on keys of any size."""
 
 import itertools
+import json
 import math
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from hexalloc.operators import agreement
 from hexalloc.plans import catalog
+from hexalloc.sources import sinks
 
 #: Keys that leave small needs (remainders by 41), far beyond any prefix of small tables.
 CUSTOMERS = [(6152, 0, 900.0), (41 * 5000 + 3, 0, 7000.0), (2, 0, 3000.0), (41 * 900 + 1, 3, 500.0), (41 * 801 + 2, 3, 9000.0)]
@@ -115,3 +118,11 @@ def test_blocks_shrink_with_the_group(spark, monkeypatch):
     agreement.resampled(Frame(), "g", "x", "y", draws=25)
     out = applied["f"](pdf)
     assert max(seen) <= 100 and out["draws"].tolist() == [25]
+
+
+def test_shares_of_many_cells_add_up(spark):
+    """Each of them is far below what four digits tell."""
+    plan = spark.range(7000).selectExpr("'a' AS scenario", "id AS cell", "cast(id % 7 AS double) AS units").where("units > 0")
+    doc = json.loads(sinks.scenario_document(plan.groupBy("scenario").agg(F.sum("units").alias("objective")), plan).first().document)
+    assert len(doc["cells"]) == 6000 and sum(c["share_of_stock"] for c in doc["cells"]) == pytest.approx(1, abs=5e-4)
+    assert [c["share_of_stock"] for c in doc["cells"][:6]] == [round(k / 21000, 7) for k in range(1, 7)]
