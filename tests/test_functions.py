@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hexalloc.functions import geometry, numeric, ranks, text
+from hexalloc.plans import catalog, tables
 
 
 def one(spark, **columns):
@@ -120,3 +121,22 @@ def test_lines_and_rings():
     for bad in ([], [[(0, 0), (1, 0)]]):
         with pytest.raises(ValueError):
             geometry.stitch(bad)
+
+
+def test_pairs_are_made_in_many_tasks_of_projected_points(spark):
+    """One small file is not one task, and no pair projects its ends anew."""
+    sf = "/root/testdata/sf0.01"
+    df = catalog.QUERIES["utm_distance"](spark, sf)
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("sinh" in line.lower() for line in plan.split("\n")[: plan.split("\n").index(next(x for x in plan.split("\n") if "Join" in x))])
+    got = {(r.cell, r.facility): r.distance_m for r in df.where("cell % 211 = 5 and facility % 17 = 3").collect()}
+    c, f = tables.cells(spark, sf), tables.facilities(spark, sf)
+    d = numeric.utm_distance_m(F.col("lon"), F.col("lat"), F.col("site_lon"), F.col("site_lat"), 42, 1.3)
+    want = {(r.cell, r.facility): r.d for r in c.where("cell % 211 = 5").crossJoin(f.where("facility % 17 = 3")).select("cell", "facility", F.round(d, 3).alias("d")).collect()}
+    assert got.keys() == want.keys() and len(got) > 10 and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_rounding_by_scale(spark):
+    row = one(spark, a=numeric.round_half_up(F.lit(2.0005), 3), b=numeric.round_half_up(F.lit(0.1234499), 3), c=numeric.round_half_up(F.lit(None).cast("double"), 3), d=numeric.round_half_up(F.lit(7.5), 0))
+    assert (row.a, row.b, row.c, row.d) == (2.001, 0.123, None, 8.0)
