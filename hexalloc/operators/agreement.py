@@ -92,41 +92,106 @@ def _rows_corr(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a * b).sum(1) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
 
 
-#: Values that a block of draws holds at most (a draw of a larger group is a block).
-BLOCK_VALUES = 1_500_000
-
-
-def resampled(df: DataFrame, group: str, model: str, expert: str, draws: int = 10_000, seed: int = 20260927, block: int = 500) -> DataFrame:
+#: Values that a block of draws holds at most (a draw of a larger group is a block), and draws that
+#: have random numbers of their own, so that they can be made anywhere.
+BLOCK_VALUES, CHUNK_DRAWS = 250_000, 500
+
+
+def _doubled(counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each value was drawn, in each row, and its mid-rank, doubled and less the mean.
+    ``counts``: of items by rising value; ``starts``: the first item of each value."""
+    n = counts.shape[1]
+    w = counts if len(starts) == n else np.add.reduceat(counts, starts, axis=1)
+    return w, (2 * np.cumsum(w, axis=1) - w - n).astype(float)
+
+
+def _drawn(x: np.ndarray, y: np.ndarray, draws: int, seed: list[int], block: int) -> tuple[np.ndarray, int]:
+    """Correlations of resamples that have any, and how many shuffles agree as well as the items do.
+    ``x`` and ``y``: places of each item's values among the distinct ones, by rising ``x``.
+
+    A resample is how often each item was drawn, so its ranks are running sums over the items as they
+    were sorted once: nothing is sorted anew."""
+    n = len(x)
+    by_y = np.argsort(y, kind="stable")
+    from_x, from_y = (np.flatnonzero(np.r_[True, np.diff(v) > 0]) for v in (x, y[by_y]))
+    whole = np.ones((1, n), np.int64)
+    rx, ry = _doubled(whole, from_x)[1][0][x], _doubled(whole, from_y)[1][0][y]
+    norm = np.linalg.norm(rx) * np.linalg.norm(ry)
+    least = (rx @ ry) / norm - 1e-12
+    picks, shuffles = (np.random.default_rng([*seed, k]) for k in (0, 1))
+    found, hits = [], 0
+    size = max(1, min(block, BLOCK_VALUES // n))
+    for at in range(0, draws, size):
+        k = min(size, draws - at)
+        pick = picks.integers(0, n, (k, n))
+        if k > 1:
+            pick += np.arange(k)[:, None] * n
+        counts = np.bincount(pick.ravel(), minlength=k * n).reshape(k, n)
+        (wx, ax), (wy, ay) = _doubled(counts, from_x), _doubled(counts[:, by_y], from_y)
+        both = np.sqrt(np.einsum("ij,ij,ij->i", wx, ax, ax) * np.einsum("ij,ij,ij->i", wy, ay, ay))
+        ax = ax if len(from_x) == n else ax[:, x]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            c = np.einsum("ij,ij,ij->i", counts, ax, ay[:, y]) / both
+        found.append(c[np.isfinite(c)])
+        shuffled = np.tile(ry, (k, 1))
+        shuffles.permuted(shuffled, axis=1, out=shuffled)
+        hits += int((shuffled @ rx / norm >= least).sum())
+    return np.concatenate(found), hits
+
+
+def resampled(df: DataFrame, group: str, model: str, expert: str, draws: int = 10_000, seed: int = 20260927, block: int = 500, apart: bool = False) -> DataFrame:
     """For each group: correlation, bootstrap interval, one-sided permutation p and draws used.
 
-    A group is a ranking of places that people made, so it is small; groups run in parallel and
-    draws in blocks of ``block``, or fewer where the group is large."""
+    A ranking of places that people made is small: its group is a task, which makes draws in blocks of
+    ``block``, or fewer.  With ``apart`` a group may be of any size that a task can sort: its places in
+    both orders go to many tasks, each of which makes ``CHUNK_DRAWS`` draws.  Chunks have random numbers
+    of their own, so both ways give the same."""
+    chunks = [(k, min(CHUNK_DRAWS, draws - k * CHUNK_DRAWS)) for k in range(-(-draws // CHUNK_DRAWS))]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def places(pdf: pd.DataFrame) -> tuple[int, float, np.ndarray | None]:
+        """Rows with both values, their correlation, and their places in both orders."""
         pdf = pdf.dropna(subset=[model, expert]).sort_values([model, expert])
-        x, y = pdf[model].to_numpy(float)[None], pdf[expert].to_numpy(float)[None]
-        n = x.shape[1]
-        if n < 3 or np.ptp(x) == 0 or np.ptp(y) == 0:
-            return pd.DataFrame({"g": pdf[group].iloc[:1], "n": [n] if len(pdf) else [], "rho": np.nan, "low": np.nan, "high": np.nan, "p": np.nan, "draws": 0})
-        rx, ry = _mid(x), _mid(y)
-        rho = float(_rows_corr(rx, ry)[0])
-        rng = np.random.default_rng(seed)
-        found, hits = [], 0
-        size = max(1, min(block, BLOCK_VALUES // n))
-        for at in range(0, draws, size):
-            k = min(size, draws - at)
-            pick = rng.integers(0, n, (k, n))
-            a, b = _mid(x[0][pick]), _mid(y[0][pick])
-            c = _rows_corr(a, b)
-            found.append(c[np.isfinite(c)])
-            shuffled = rng.permuted(np.tile(ry, (k, 1)), axis=1)
-            hits += int((_rows_corr(np.tile(rx, (k, 1)), shuffled) >= rho - 1e-12).sum())
-        found = np.concatenate(found)
+        x, y = pdf[model].to_numpy(float), pdf[expert].to_numpy(float)
+        if len(x) < 3 or np.ptp(x) == 0 or np.ptp(y) == 0:
+            return len(x), np.nan, None
+        return len(x), float(_rows_corr(_mid(x[None]), _mid(y[None]))[0]), np.stack([np.unique(v, return_inverse=True)[1] for v in (x, y)])
+
+    def summed(name, n: int, rho: float, parts: list[tuple[np.ndarray, int]]) -> pd.DataFrame:
+        if not parts:
+            return pd.DataFrame({"g": name, "n": [n] if n else [], "rho": np.nan, "low": np.nan, "high": np.nan, "p": np.nan, "draws": 0})
+        found, hits = np.concatenate([f for f, _ in parts]), sum(h for _, h in parts)
         low, high = np.percentile(found, [2.5, 97.5])
-        return pd.DataFrame({"g": pdf[group].iloc[:1], "n": [n], "rho": [rho], "low": [low], "high": [high], "p": [(hits + 1) / (draws + 1)], "draws": [len(found)]})
+        return pd.DataFrame({"g": name, "n": [n], "rho": [rho], "low": [low], "high": [high], "p": [(hits + 1) / (draws + 1)], "draws": [len(found)]})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, rho, at = places(pdf)
+        return summed(pdf[group].iloc[: min(n, 1)].to_numpy(), n, rho, [] if at is None else [_drawn(*at, size, [seed, k], block) for k, size in chunks])
 
     kind = df.schema[group].dataType.simpleString()
-    return df.select(group, model, expert).groupBy(group).applyInPandas(run, f"g {kind}, n long, rho double, low double, high double, p double, draws long").withColumnRenamed("g", group)
+    result = f"g {kind}, n long, rho double, low double, high double, p double, draws long"
+    rows = df.select(group, model, expert).groupBy(group)
+    if not apart:
+        return rows.applyInPandas(run, result).withColumnRenamed("g", group)
+
+    def sort(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, rho, at = places(pdf)
+        return pd.DataFrame({"g": pdf[group].iloc[:1].to_numpy(), "n": [n], "rho": [rho], "at": [None if at is None else at.astype(np.int32).tobytes()]})
+
+    def draw(batches):
+        for b in batches:
+            for r in b.itertuples(index=False):
+                got, hits = _drawn(*np.frombuffer(r.at, np.int32).reshape(2, -1), chunks[r.chunk][1], [seed, r.chunk], block) if r.at is not None else (np.empty(0), -1)
+                yield pd.DataFrame({"g": [r.g], "n": [r.n], "rho": [r.rho], "found": [got], "hits": [hits]})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf["n"].iloc[0])
+        return summed(pdf["g"].iloc[: min(n, 1)].to_numpy(), n, pdf["rho"].iloc[0], [(np.asarray(f), int(h)) for f, h in zip(pdf["found"], pdf["hits"]) if h >= 0])
+
+    sorted_ = rows.applyInPandas(sort, f"g {kind}, n long, rho double, at binary")
+    each = sorted_.withColumn("chunk", F.explode(F.when(F.col("at").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(len(chunks) - 1)))))
+    tasks = max(100, df.sparkSession.sparkContext.defaultParallelism)
+    made = each.repartition(tasks).mapInPandas(draw, f"g {kind}, n long, rho double, found array<double>, hits long")
+    return made.groupBy("g").applyInPandas(merge, result).withColumnRenamed("g", group)
 
 
 def of_respondents(rankings: DataFrame, who: str, expert: str, model: str) -> DataFrame:

@@ -122,3 +122,18 @@ def test_tables_are_made_once(spark, tmp_path):
     assert (read(), read(), len(made)) == (3, 3, 1)
     spark.range(2).write.mode("append").parquet(f"{tmp_path}/in")
     assert (read(), len(made)) == (5, 2)
+
+
+def test_draws_apart_and_in_one_task(spark):
+    """Both ways make the same draws; ranks of a resample are those of its values."""
+    r = np.random.default_rng(10)
+    rows = [("ties", float(r.integers(0, 5)), float(r.integers(0, 4))) for _ in range(40)] + [("plain", float(i), float(i * 7 % 31) + i) for i in range(31)]
+    rows += [("flat", 1.0, float(i)) for i in range(5)] + [("two", 1.0, 2.0), ("two", 2.0, 1.0), ("none", None, 1.0), (None, 1.0, 2.0), (None, 3.0, 2.5), (None, 2.0, 4.0), ("plain", None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    a, b = ({x.g: tuple(x)[1:] for x in agreement.resampled(df, "g", "x", "y", draws=1200, apart=apart).collect()} for apart in (True, False))
+    assert a.keys() == b.keys() == {"ties", "plain", "flat", "two", None} and repr(sorted(a.items(), key=str)) == repr(sorted(b.items(), key=str))
+    assert a["flat"][0] == 5 and a["two"][5] == 0 and a["plain"][5] == 1200
+    x, y = (np.array([v[k] for v in sorted(rows[:40], key=lambda v: v[1:])]) for k in (1, 2))
+    got = agreement._drawn(np.unique(x, return_inverse=True)[1], np.unique(y, return_inverse=True)[1], 50, [3], 7)[0]
+    pick = np.random.default_rng([3, 0]).integers(0, 40, (50, 40))
+    assert got == pytest.approx(agreement._rows_corr(agreement._mid(x[pick]), agreement._mid(y[pick])))
