@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,63 +81,130 @@ def summary(ranked: DataFrame, key: str, cells: int, draws: int, methods: tuple[
     return described(ranked.groupBy(key).agg(*aggs), draws, methods)
 
 
-#: Cells whose normalised values are sent to all workers, and values that a worker makes at a time.
-BROADCAST_CELLS, BLOCK_VALUES = 200_000, 2_000_000
+#: Cells whose normalised values are sent to all workers, and cells whose ranks of all draws are put
+#: together at a time.
+BROADCAST_CELLS, RANGE_CELLS = 2_000_000, 8_000
 
 
-def drawn_summary(norm: DataFrame, draws: DataFrame, key: str, single: dict[str, str], mixed: str, inner: list[str], floors: dict[str, float | None], cells: int, methods: tuple[str, ...] = ALTERNATIVES, most: int = BROADCAST_CELLS, digits: int = 12) -> DataFrame:
+def drawn_summary(norm: DataFrame, draws: DataFrame, key: str, single: dict[str, str], mixed: str, inner: list[str], floors: dict[str, float | None], cells: int, methods: tuple[str, ...] = ALTERNATIVES, most: int = BROADCAST_CELLS, digits: int = 12, range_cells: int = RANGE_CELLS) -> DataFrame:
     """``summary`` of all draws, from the normalised table of both methods.
 
-    Up to ``most`` cells the table goes to every worker, which makes the priorities and ranks of a block
-    of draws as arrays, so that a cell's ranks travel together; more cells are ranked draw by draw."""
+    Up to ``most`` cells (2**24 at most) the table goes to every worker.  A draw's ranks are made as one
+    array, and of it parts travel to the ranges of ``range_cells`` cells that they are about: two bytes
+    a rank, and what stands above them compressed, as cells lie in the order of a plain priority.
+    Priorities don't travel; a range makes those of its own cells again.  More cells are ranked draw by
+    draw."""
     n = draws.count()
-    if cells > most:
+    if cells > min(most, 2**24):
         ranked = drawn_ranks(drawn_priorities(norm, draws, key, single, mixed, inner, floors), digits, cells)
         return summary(ranked, key, cells, n, methods)
     parts = [*single, mixed]
+    columns = sorted({*single.values(), *inner})
     held = {}
     for m in methods:
-        pdf = norm.where(F.col("method") == m).toPandas().sort_values(key)
-        held[m] = pdf[key].to_numpy(), {c: pdf[f"{c}_n"].fillna(0.0).to_numpy(float) for c in {*single.values(), *inner}}
-    sent = norm.sparkSession.sparkContext.broadcast(held)
-    size = max(1, min(64, BLOCK_VALUES // max(cells, 1)))
-    schema = T.StructType([norm.schema[key], T.StructField("method", T.StringType()), T.StructField("ranks", T.ArrayType(T.IntegerType())), T.StructField("priorities", T.ArrayType(T.DoubleType()))])
-
-    def arrays(batches):
+        got = norm.where(F.col("method") == m).select(key, *(F.coalesce(f"{c}_n", F.lit(0.0)).cast("double").alias(c) for c in columns)).toArrow()
+        order = pc.sort_indices(got[key])
+        held["keys"] = got[key].take(order).combine_chunks()
+        values = {c: got[c].to_numpy()[order.to_numpy()] for c in columns}
+        # Logarithms of dimensions that no draw changes are taken once.
+        held[m] = {d: lifted(values[c], floors.get(d)) for d, c in single.items()}, {i: values[i] for i in inner}
+    first = held[methods[0]]
+    plain = np.argsort(sum(v for v, _ in first[0].values()) + lifted(sum(first[1].values()), floors.get(mixed))[0], kind="stable")
+    held = {"keys": held["keys"].take(pa.array(plain)), **{m: ({d: (v[plain], z[plain]) for d, (v, z) in held[m][0].items()}, {i: v[plain] for i, v in held[m][1].items()}) for m in methods}}
+    spark = norm.sparkSession
+    sent = spark.sparkContext.broadcast(held)
+    weights = [r.asDict() for r in draws.orderBy("draw").collect()]
+
+    def priorities(draw: dict, some: slice) -> np.ndarray:
+        lifts, mixing = sent.value[draw["method"]]
+        lifts = {d: (v[some], z[some]) for d, (v, z) in lifts.items()}
+        lifts[mixed] = lifted(sum(draw[f"w_{i}"] * mixing[i][some] for i in inner), floors.get(mixed))
+        p = np.exp(sum(draw[f"e_{d}"] * lifts[d][0] for d in parts))
+        p[reduce(np.logical_or, (lifts[d][1] for d in parts))] = 0.0
+        return p
+
+    def rank(batches):
         for b in batches:
-            rows = b.to_pandas()
-            for m, mine in rows.groupby("method"):
-                names, column = sent.value[m]
-                for at in range(0, len(mine), size):
-                    some = mine.iloc[at : at + size]
-                    values = {d: np.broadcast_to(column[c], (len(some), len(names))) for d, c in single.items()}
-                    values[mixed] = sum(some[f"w_{i}"].to_numpy(float)[:, None] * column[i] for i in inner)
-                    values = {d: np.maximum(v, floors[d]) if floors.get(d) is not None else v for d, v in values.items()}
-                    with np.errstate(divide="ignore"):
-                        logs = sum(some[f"e_{d}"].to_numpy(float)[:, None] * np.log(np.maximum(values[d], 1e-300)) for d in parts)
-                    p = np.where(np.minimum.reduce([values[d] for d in parts]) <= 0, 0.0, np.exp(logs))
-                    rounded = np.round(p, digits)
-                    ranks_ = np.empty(p.shape, np.int32)
-                    for k, row in enumerate(rounded):
-                        ranks_[k] = len(row) + 1 - np.searchsorted(np.sort(row), row, side="right")
-                    ends = pa.array(np.arange(0, p.size + 1, len(some), dtype=np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([m] * len(names)), pa.ListArray.from_arrays(ends, pa.array(ranks_.T.ravel())), pa.ListArray.from_arrays(ends, pa.array(p.T.ravel()))], names=schema.names)
-
-    # A block of draws is a task's work; methods alternate, so every task has both.
-    dealt = draws.repartition(max(1, min(-(-n // size), norm.sparkSession.sparkContext.defaultParallelism)), F.expr("draw div 2"))
+            for at in b.column("at").to_pylist():
+                p = np.round(priorities(weights[at], slice(None)), digits)
+                order = np.argsort(p)
+                rising = p[order]
+                # Of equal priorities all have the rank of the last in rising order.
+                last = np.flatnonzero(np.r_[rising[1:] != rising[:-1], True])
+                place = np.empty(len(p), np.int32)
+                place[order] = np.repeat(len(p) - last, np.diff(last, prepend=-1)).astype(np.int32)
+                starts = range(0, len(p), range_cells)
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(starts)), pa.int32()), pa.array([at] * len(starts), pa.int32()), pa.array([packed(place[k : k + range_cells]) for k in starts], pa.binary())], names=["part", "at", "ranks"])
+
     top = int(np.ceil(TOP_SHARE * cells))
-    together = dealt.mapInArrow(arrays, schema).groupBy(key).agg(F.collect_list(F.struct("method", "ranks", "priorities")).alias("b"))
-    hits = lambda blocks: F.aggregate(blocks, F.lit(0), lambda s, x: s + F.size(F.filter(x["ranks"], lambda r: r <= top)))
-    size_of = lambda blocks: F.aggregate(blocks, F.lit(0), lambda s, x: s + F.size(x["ranks"]))
-    of = lambda m: F.filter("b", lambda x: x["method"] == m)
-    out = together.select(
+    using = {m: [k for k, w in enumerate(weights) if w["method"] == m] for m in methods}
+    low, high = (int(np.rint((n - 1) * q)) for q in (0.05, 0.95))
+    numbers = ["p", "median", "priority_low_raw", "priority_high_raw", *(f"p_{m}_raw" for m in methods)]
+    schema = T.StructType([norm.schema[key], T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in numbers)])
+
+    def put_together(rows: pa.Table) -> pa.Table:
+        part = rows.column("part")[0].as_py()
+        some = slice(part * range_cells, (part + 1) * range_cells)
+        names = sent.value["keys"][some.start : some.stop]
+        ranks_ = np.empty((n, len(names)), np.int32)
+        for chunk in rows.select(["at", "ranks"]).to_batches():
+            for at, r in zip(chunk.column(0).to_pylist(), chunk.column(1)):
+                ranks_[at] = unpacked(r.as_buffer(), len(names))
+        hit = ranks_ <= top
+        shares = {m: hit[k].mean(0) if k else np.full(len(names), np.nan) for m, k in using.items()}
+        p = hit.mean(0)
+        ranks_ = np.sort(ranks_, axis=0)
+        values = np.stack([priorities(w, some) for w in weights])
+        values.partition(sorted({k for q in (0.05, 0.95) for k in ends(n, q)[:2]}), axis=0)
+        out = [names, ranks_[low], ranks_[high], p, at_share(ranks_, 0.5), at_share(values, 0.05), at_share(values, 0.95), *(pa.array(shares[m], from_pandas=True) for m in methods)]
+        return pa.table([pa.array(x) if isinstance(x, np.ndarray) else x for x in out], names=[f.name for f in schema])
+
+    tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
+    numbered = spark.range(n).select(F.col("id").cast("int").alias("at")).repartition(tasks, "at") if n else spark.range(0).select(F.col("id").cast("int").alias("at"))
+    ranges = max(1, -(-cells // range_cells))
+    made = numbered.mapInArrow(rank, "part int, at int, ranks binary").repartition(min(ranges, 4_000), "part")
+    out = made.groupBy("part").applyInArrow(put_together, schema)
+    return graded(out.select(
         key,
-        (hits(F.col("b")) / size_of(F.col("b"))).alias("p"),
-        F.array_sort(F.flatten(F.transform("b", lambda x: x["ranks"]))).alias("ranks"),
-        F.array_sort(F.flatten(F.transform("b", lambda x: x["priorities"]))).alias("priorities"),
-        *((hits(of(m)) / F.nullif(size_of(of(m)), F.lit(0))).alias(f"p_{m}_raw") for m in methods),
-    )
-    return described(out, n, methods)
+        "p",
+        F.col("median").cast("long").alias("median_rank"),
+        F.col("low").cast("long").alias("rank_low"),
+        F.col("high").cast("long").alias("rank_high"),
+        (F.col("high") - F.col("low")).cast("long").alias("rank_width"),
+        "priority_low_raw",
+        "priority_high_raw",
+        *(f"p_{m}_raw" for m in methods),
+    ), n, methods)
+
+
+def packed(ranks_: np.ndarray) -> bytes:
+    """Ranks below 2**24: their two lower bytes, then the upper one compressed."""
+    return ranks_.astype(np.uint16).tobytes() + pa.compress((ranks_ >> 16).astype(np.uint8).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: pa.Buffer, n: int) -> np.ndarray:
+    upper = pa.decompress(data.slice(2 * n), decompressed_size=n, codec="zstd")
+    return np.frombuffer(upper, np.uint8).astype(np.int32) << 16 | np.frombuffer(data.slice(0, 2 * n), np.uint16)
+
+
+def lifted(values: np.ndarray, floor: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of a dimension's values, and where there is nothing to take one of."""
+    v = values if floor is None else np.maximum(values, floor)
+    return np.log(np.maximum(v, 1e-300)), v <= 0
+
+
+def ends(n: int, share: float) -> tuple[int, int, float]:
+    """Places of a percentile's two neighbours among ``n`` sorted values, and its way between them."""
+    at = (n - 1) * share
+    low = int(np.floor(at))
+    return low, min(low + 1, n - 1), at - low
+
+
+def at_share(rows: np.ndarray, share: float) -> np.ndarray:
+    """The percentile of each column, whose rows stand where sorting puts them."""
+    low, high, way = ends(len(rows), share)
+    a, b = rows[low].astype(float), rows[high].astype(float)
+    return a + (b - a) * way
 
 
 def described(out: DataFrame, draws: int, methods: tuple[str, ...]) -> DataFrame:
@@ -147,8 +215,17 @@ def described(out: DataFrame, draws: int, methods: tuple[str, ...]) -> DataFrame
         "rank_low": low.cast("long"),
         "rank_high": high.cast("long"),
         "rank_width": (high - low).cast("long"),
-        "priority_low": rint_to(ranks.sorted_percentile(F.col("priorities"), 0.05), 3),
-        "priority_high": rint_to(ranks.sorted_percentile(F.col("priorities"), 0.95), 3),
+        "priority_low_raw": ranks.sorted_percentile(F.col("priorities"), 0.05),
+        "priority_high_raw": ranks.sorted_percentile(F.col("priorities"), 0.95),
+    })
+    return graded(out.drop("ranks", "priorities"), draws, methods)
+
+
+def graded(out: DataFrame, draws: int, methods: tuple[str, ...]) -> DataFrame:
+    """Rounds a summary's numbers, and adds what follows from them."""
+    out = out.withColumns({
+        "priority_low": rint_to(F.col("priority_low_raw"), 3),
+        "priority_high": rint_to(F.col("priority_high_raw"), 3),
         "p_top20": rint_to(F.col("p"), 2),
         "p_top20_se": rint_to(F.sqrt(F.col("p") * (1 - F.col("p")) / draws), 3),
         **{f"p_{m}": rint_to(F.col(f"p_{m}_raw"), 2) for m in methods},
@@ -159,7 +236,7 @@ def described(out: DataFrame, draws: int, methods: tuple[str, ...]) -> DataFrame
     out = out.withColumn("certainty", rint_to(F.greatest(p, 1.0 - p), 2))
     stability = F.when(p >= HIGH, "confidently in").when(p <= 1 - HIGH, "confidently out").otherwise("uncertain")
     out = out.withColumns({"stability": stability, "confidence": grade(F.col("certainty")), "confidence_literal": grade(p)})
-    return out.drop("p", "ranks", "priorities", *(f"p_{m}_raw" for m in methods))
+    return out.drop("p", "priority_low_raw", "priority_high_raw", *(f"p_{m}_raw" for m in methods))
 
 
 def grade(x: Column) -> Column:

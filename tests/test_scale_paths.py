@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,18 @@ def test_draws_apart_and_in_one_task(spark):
     got = agreement._drawn(np.unique(x, return_inverse=True)[1], np.unique(y, return_inverse=True)[1], 50, [3], 7)[0]
     pick = np.random.default_rng([3, 0]).integers(0, 40, (50, 40))
     assert got == pytest.approx(agreement._rows_corr(agreement._mid(x[pick]), agreement._mid(y[pick])))
+
+
+def test_ranks_travel_to_their_ranges(spark):
+    """Of many cells too: ranges of any length, ranks beyond two bytes, ties and nothing at all."""
+    r = np.random.default_rng(11)
+    for values in (r.integers(0, 2**24, 500), np.arange(3), np.full(9, 65_536), np.empty(0, int)):
+        got = montecarlo.unpacked(pa.py_buffer(montecarlo.packed(values.astype(np.int32))), len(values))
+        assert got.tolist() == values.tolist()
+    assert montecarlo.BROADCAST_CELLS >= 900_000
+    rows = [(i, m, float(r.integers(0, 4)) / 4, float(r.integers(0, 3)) / 3, 0.5, float(r.integers(0, 2))) for m in montecarlo.ALTERNATIVES for i in range(53)]
+    norm = spark.createDataFrame(rows, "cell long, method string, heat_n double, people_n double, lack_n double, far_n double")
+    inner, outer = {"lack": 0.5, "far": 0.5}, {"hazard": 1 / 3, "exposure": 1 / 3, "vulnerability": 1 / 3}
+    draws = montecarlo.draws_table(spark, montecarlo.draw_weights(inner, outer, 31), list(inner), list(outer))
+    run = lambda **how: sorted(map(tuple, montecarlo.drawn_summary(norm, draws, "cell", {"hazard": "heat", "exposure": "people"}, "vulnerability", list(inner), index.FLOORS, 53, **how).collect()))
+    assert run(range_cells=7) == run(range_cells=53) == run(most=10)
