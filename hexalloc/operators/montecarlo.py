@@ -98,31 +98,10 @@ def drawn_summary(norm: DataFrame, draws: DataFrame, key: str, single: dict[str,
     if cells > min(most, 2**24):
         ranked = drawn_ranks(drawn_priorities(norm, draws, key, single, mixed, inner, floors), digits, cells)
         return summary(ranked, key, cells, n, methods)
-    parts = [*single, mixed]
-    columns = sorted({*single.values(), *inner})
-    held = {}
-    for m in methods:
-        got = norm.where(F.col("method") == m).select(key, *(F.coalesce(f"{c}_n", F.lit(0.0)).cast("double").alias(c) for c in columns)).toArrow()
-        order = pc.sort_indices(got[key])
-        held["keys"] = got[key].take(order).combine_chunks()
-        values = {c: got[c].to_numpy()[order.to_numpy()] for c in columns}
-        # Logarithms of dimensions that no draw changes are taken once.
-        held[m] = {d: lifted(values[c], floors.get(d)) for d, c in single.items()}, {i: values[i] for i in inner}
-    first = held[methods[0]]
-    plain = np.argsort(sum(v for v, _ in first[0].values()) + lifted(sum(first[1].values()), floors.get(mixed))[0], kind="stable")
-    held = {"keys": held["keys"].take(pa.array(plain)), **{m: ({d: (v[plain], z[plain]) for d, (v, z) in held[m][0].items()}, {i: v[plain] for i, v in held[m][1].items()}) for m in methods}}
     spark = norm.sparkSession
-    sent = spark.sparkContext.broadcast(held)
+    sent, priorities = held_values(norm, key, single, mixed, inner, floors, methods)
     weights = [r.asDict() for r in draws.orderBy("draw").collect()]
 
-    def priorities(draw: dict, some: slice) -> np.ndarray:
-        lifts, mixing = sent.value[draw["method"]]
-        lifts = {d: (v[some], z[some]) for d, (v, z) in lifts.items()}
-        lifts[mixed] = lifted(sum(draw[f"w_{i}"] * mixing[i][some] for i in inner), floors.get(mixed))
-        p = np.exp(sum(draw[f"e_{d}"] * lifts[d][0] for d in parts))
-        p[reduce(np.logical_or, (lifts[d][1] for d in parts))] = 0.0
-        return p
-
     def rank(batches):
         for b in batches:
             for at in b.column("at").to_pylist():
@@ -159,10 +138,8 @@ def drawn_summary(norm: DataFrame, draws: DataFrame, key: str, single: dict[str,
         out = [names, ranks_[low], ranks_[high], p, at_share(ranks_, 0.5), at_share(values, 0.05), at_share(values, 0.95), *(pa.array(shares[m], from_pandas=True) for m in methods)]
         return pa.table([pa.array(x) if isinstance(x, np.ndarray) else x for x in out], names=[f.name for f in schema])
 
-    tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
-    numbered = spark.range(n).select(F.col("id").cast("int").alias("at")).repartition(tasks, "at") if n else spark.range(0).select(F.col("id").cast("int").alias("at"))
     ranges = max(1, -(-cells // range_cells))
-    made = numbered.mapInArrow(rank, "part int, at int, ranks binary").repartition(min(ranges, 4_000), "part")
+    made = numbered(spark, n).mapInArrow(rank, "part int, at int, ranks binary").repartition(min(ranges, 4_000), "part")
     out = made.groupBy("part").applyInArrow(put_together, schema)
     return graded(out.select(
         key,
@@ -177,6 +154,81 @@ def drawn_summary(norm: DataFrame, draws: DataFrame, key: str, single: dict[str,
     ), n, methods)
 
 
+def held_values(norm: DataFrame, key: str, single: dict[str, str], mixed: str, inner: list[str], floors: dict[str, float | None], methods: tuple[str, ...]):
+    """The normalised table of both methods, sent to every worker as arrays in the order of a plain
+    priority, and a function that makes from it the priorities of a draw for some of the cells."""
+    parts = [*single, mixed]
+    columns = sorted({*single.values(), *inner})
+    held = {}
+    for m in methods:
+        got = norm.where(F.col("method") == m).select(key, *(F.coalesce(f"{c}_n", F.lit(0.0)).cast("double").alias(c) for c in columns)).toArrow()
+        order = pc.sort_indices(got[key])
+        held["keys"] = got[key].take(order).combine_chunks()
+        values = {c: got[c].to_numpy()[order.to_numpy()] for c in columns}
+        # Logarithms of dimensions that no draw changes are taken once.
+        held[m] = {d: lifted(values[c], floors.get(d)) for d, c in single.items()}, {i: values[i] for i in inner}
+    first = held[methods[0]]
+    plain = np.argsort(sum(v for v, _ in first[0].values()) + lifted(sum(first[1].values()), floors.get(mixed))[0], kind="stable")
+    held = {"keys": held["keys"].take(pa.array(plain)), **{m: ({d: (v[plain], z[plain]) for d, (v, z) in held[m][0].items()}, {i: v[plain] for i, v in held[m][1].items()}) for m in methods}}
+    sent = norm.sparkSession.sparkContext.broadcast(held)
+
+    def priorities(draw: dict, some: slice) -> np.ndarray:
+        lifts, mixing = sent.value[draw["method"]]
+        lifts = {d: (v[some], z[some]) for d, (v, z) in lifts.items()}
+        lifts[mixed] = lifted(sum(draw[f"w_{i}"] * mixing[i][some] for i in inner), floors.get(mixed))
+        p = np.exp(sum(draw[f"e_{d}"] * lifts[d][0] for d in parts))
+        p[reduce(np.logical_or, (lifts[d][1] for d in parts))] = 0.0
+        return p
+
+    return sent, priorities
+
+
+def numbered(spark: SparkSession, n: int) -> DataFrame:
+    """Numbers of draws, ``at``, dealt to many tasks."""
+    out = spark.range(n).select(F.col("id").cast("int").alias("at"))
+    return out.repartition(max(1, min(n, 4 * spark.sparkContext.defaultParallelism)), "at") if n else out
+
+
+def drawn_stability(norm: DataFrame, draws: DataFrame, key: str, single: dict[str, str], mixed: str, inner: list[str], floors: dict[str, float | None], cells: int, methods: tuple[str, ...] = ALTERNATIVES, most: int = BROADCAST_CELLS, digits: int = 12, range_cells: int = RANGE_CELLS) -> DataFrame:
+    """``key, p_top20, stability`` of ``drawn_summary`` alone: no ranks are made, sorted or sent.
+
+    A cell is in a draw's highest fifth if its priority is not below the last one of it.  A task counts
+    that over its draws, and counts travel, two bytes for each cell and task.  More than ``most`` cells
+    are ranked draw by draw."""
+    n, top = draws.count(), int(np.ceil(TOP_SHARE * cells))
+    if cells > most:
+        ranked = drawn_ranks(drawn_priorities(norm, draws, key, single, mixed, inner, floors), digits, cells)
+        out = ranked.groupBy(key).agg(F.avg((F.col("rank") <= top).cast("int")).alias("p"))
+    else:
+        sent, priorities = held_values(norm, key, single, mixed, inner, floors, methods)
+        weights = [r.asDict() for r in draws.orderBy("draw").collect()]
+        width = np.uint16 if n < 2**16 else np.uint32
+
+        def count(batches):
+            hits = None
+            for b in batches:
+                for at in b.column("at").to_pylist():
+                    p = np.round(priorities(weights[at], slice(None)), digits)
+                    p[np.isnan(p)] = np.inf
+                    hits = np.zeros(len(p), width) if hits is None else hits
+                    if len(p):
+                        hits += p >= np.partition(p, len(p) - top)[len(p) - top]
+            if hits is not None:
+                starts = range(0, len(hits), range_cells)
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(starts)), pa.int32()), pa.array([hits[k : k + range_cells].tobytes() for k in starts], pa.binary())], names=["part", "hits"])
+
+        schema = T.StructType([norm.schema[key], T.StructField("p", T.DoubleType())])
+
+        def put_together(rows: pa.Table) -> pa.Table:
+            at = rows.column("part")[0].as_py() * range_cells
+            hits = sum(np.frombuffer(h.as_buffer(), width).astype(np.int64) for h in rows.column("hits"))
+            return pa.table([sent.value["keys"][at : at + range_cells], pa.array(hits / n)], names=[key, "p"])
+
+        made = numbered(norm.sparkSession, n).mapInArrow(count, "part int, hits binary")
+        out = made.groupBy("part").applyInArrow(put_together, schema)
+    return out.select(key, rint_to(F.col("p"), 2).alias("p_top20")).withColumn("stability", stable(F.col("p_top20")))
+
+
 def packed(ranks_: np.ndarray) -> bytes:
     """Ranks below 2**24: their two lower bytes, then the upper one compressed."""
     return ranks_.astype(np.uint16).tobytes() + pa.compress((ranks_ >> 16).astype(np.uint8).tobytes(), codec="zstd", asbytes=True)
@@ -234,10 +286,14 @@ def graded(out: DataFrame, draws: int, methods: tuple[str, ...]) -> DataFrame:
     # Classes go by the rounded numbers, as they are shown.
     p = F.col("p_top20")
     out = out.withColumn("certainty", rint_to(F.greatest(p, 1.0 - p), 2))
-    stability = F.when(p >= HIGH, "confidently in").when(p <= 1 - HIGH, "confidently out").otherwise("uncertain")
-    out = out.withColumns({"stability": stability, "confidence": grade(F.col("certainty")), "confidence_literal": grade(p)})
+    out = out.withColumns({"stability": stable(p), "confidence": grade(F.col("certainty")), "confidence_literal": grade(p)})
     return out.drop("p", "priority_low_raw", "priority_high_raw", *(f"p_{m}_raw" for m in methods))
 
 
+def stable(p: Column) -> Column:
+    """Class of a rounded share of draws in the highest fifth."""
+    return F.when(p >= HIGH, "confidently in").when(p <= 1 - HIGH, "confidently out").otherwise("uncertain")
+
+
 def grade(x: Column) -> Column:
     return F.when(x >= HIGH, "high").when(x >= MEDIUM, "medium").otherwise("low")

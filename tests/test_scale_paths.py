@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hexalloc.functions import ranks
-from hexalloc.operators import agreement, allocation, index, montecarlo, pairwise, validation
+from hexalloc.operators import agreement, allocation, index, joins, montecarlo, pairwise, validation
 from hexalloc.stages import once
 
 
@@ -161,3 +161,33 @@ def test_stability_of_places_takes_ranks_as_arrays(spark):
 
     plan = catalog.QUERIES["place_stability"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and montecarlo.BROADCAST_CELLS > 900_000
+
+
+def test_stability_of_places_makes_no_ranks(spark):
+    """Draws are counted where they are made; neither ranks nor priorities travel or are sorted."""
+    from hexalloc.plans import catalog
+
+    plan = catalog.QUERIES["place_stability"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ranks#" not in plan and "median" not in plan and "hits#" in plan
+
+
+def test_stability_alone_equals_the_summary(spark):
+    """With ties at the border, cells without a value, any ranges, and draw by draw."""
+    r = np.random.default_rng(12)
+    inner, outer = {"lack": 0.5, "far": 0.5}, {"hazard": 1 / 3, "exposure": 1 / 3, "vulnerability": 1 / 3}
+    draws = montecarlo.draws_table(spark, montecarlo.draw_weights(inner, outer, 30), list(inner), list(outer))
+    for n, steps in ((53, 4), (40, 2), (1, 3)):
+        some = lambda: None if r.random() < 0.1 else float(r.integers(0, steps)) / steps
+        norm = spark.createDataFrame([(i, m, some(), some(), some(), some()) for m in montecarlo.ALTERNATIVES for i in range(n)], "cell long, method string, heat_n double, people_n double, lack_n double, far_n double")
+        given = norm, draws, "cell", {"hazard": "heat", "exposure": "people"}, "vulnerability", list(inner), index.FLOORS, n
+        want = sorted(map(tuple, montecarlo.drawn_summary(*given).select("cell", "p_top20", "stability").collect()))
+        for how in ({}, {"range_cells": 7}, {"most": 0}):
+            assert sorted(map(tuple, montecarlo.drawn_stability(*given, **how).collect())) == want
+
+
+def test_few_sites_are_compared_with_every_point(spark):
+    """As those in the cubes around are, at the date line, at poles and beside each other."""
+    points = spark.createDataFrame([(k, lon, lat) for k, (lon, lat) in enumerate([(179.9995, 10.0), (-179.9995, 10.0), (0.0, 89.9999), (180.0, 89.9999), (67.2, 24.83), (67.2001, 24.8301), (67.3, 24.9)])], "cell long, lon double, lat double")
+    sites = points.selectExpr("cell AS site", "lon AS site_lon", "lat AS site_lat")
+    few, many = (sorted(map(tuple, joins.within(points, sites, 400.0, few_sites=k).collect())) for k in (10, 0))
+    assert few == many and len(few) == 13
