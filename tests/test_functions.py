@@ -1,10 +1,12 @@
 import math
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from hexalloc.functions import geometry, numeric, ranks, text
+from hexalloc.operators import joins
 from hexalloc.plans import catalog, tables
 
 
@@ -140,3 +142,17 @@ def test_pairs_are_made_in_many_tasks_of_projected_points(spark):
 def test_rounding_by_scale(spark):
     row = one(spark, a=numeric.round_half_up(F.lit(2.0005), 3), b=numeric.round_half_up(F.lit(0.1234499), 3), c=numeric.round_half_up(F.lit(None).cast("double"), 3), d=numeric.round_half_up(F.lit(7.5), 0))
     assert (row.a, row.b, row.c, row.d) == (2.001, 0.123, None, 8.0)
+
+
+def test_many_sites_go_in_parts_that_make_small_files(spark, tmp_path):
+    """All pairs, once each, with the key of a site as a number of a dictionary and not written out for each pair."""
+    sites = spark.range(0, 120_000, 4, 3).select(F.when(F.col("id") != 44, F.col("id") * 1_000_003).alias("facility"), F.rand(7).alias("fx"))
+    points = spark.range(0, 41, 1, 3).withColumnRenamed("id", "cell")
+    joins.all_pairs(points, sites, "facility", 100_000).write.parquet(str(tmp_path / "pairs"))
+    back = spark.read.parquet(str(tmp_path / "pairs"))
+    got = back.groupBy("facility").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cell").alias("cells"), F.countDistinct("fx").alias("fx"))
+    assert got.count() == 30_000 and got.where("n != 41 or cells != 41 or fx != 1").count() == 0
+    found = [pq.ParquetFile(f).metadata for f in (tmp_path / "pairs").glob("*.parquet")]
+    assert found and sum(m.num_rows for m in found) == 41 * 30_000
+    key = [m.row_group(g).column(1) for m in found for g in range(m.num_row_groups)]
+    assert sum(c.total_uncompressed_size for c in key) < 4 * 41 * 30_000
